@@ -22,7 +22,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
-    """Edges ``(u, v)`` to ``(node, root)`` for every node with an edge.
+    """Edges ``(u, v)`` to ``(node, root)`` for every node with an edge, roots too.
 
     ``root`` is the smallest node of the component.  Loops and repeated or
     null-ended edges are ignored; no edges give no rows.  Each round is a
@@ -38,6 +38,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
             F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8)), F.bit_xor(F.xxhash64("u", "v"))
         ).first()
         if tuple(now) == seen:
-            return edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
+            own = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
+            return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(own)
         seen = tuple(now)
     raise RuntimeError(f"components did not settle in {max_rounds} rounds")

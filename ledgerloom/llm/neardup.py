@@ -1,8 +1,9 @@
-"""Near-duplicate groups of texts by wide SimHash fingerprints.
+"""Near-duplicate groups: SimHash finds candidates, shingle sets decide.
 
-512 bits estimate the similarity of five-word shingle sets closely enough for
-a threshold; the first 64 of them are compared tile by tile as in
-:mod:`simhash`, the others only where those are near.
+256 bits of SimHash keep unrelated texts apart at any corpus size.  Their
+first 64 are compared tile by tile as in :mod:`simhash`, the others where those
+are near, with room for the estimate's error.  Candidates form loose groups;
+within each, exact Jaccard similarities link the texts.
 """
 
 from __future__ import annotations
@@ -20,22 +21,23 @@ from .common import session, space_words, written
 from .components import connected_components
 from .simhash import near_links, shingle_hashes
 
-WIDE = 8
+WIDE = 4
 #: Odd multipliers and rounds of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
 
 
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
-    """``WIDE`` 64-bit words; each distinct shingle counts once; no word: zeros."""
+def shingle_set(text: bytes | None, shingle: int = 5) -> np.ndarray:
+    """Sorted distinct shingle hashes; empty without a word."""
     words = space_words(text)
-    ones, n = np.zeros((WIDE, 64), np.int64), 0
-    if not words:
-        return np.zeros(WIDE, np.uint64)
-    h = np.unique(np.concatenate(list(shingle_hashes(words, shingle))))
-    for lo in range(0, len(h), 1 << 14):
-        part = h[lo : lo + (1 << 14)]
-        n += len(part)
+    return np.unique(np.concatenate(list(shingle_hashes(words, shingle)))) if words else np.zeros(0, np.uint64)
+
+
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """``WIDE`` 64-bit words of a shingle set; the empty set has zeros."""
+    ones = np.zeros((WIDE, 64), np.int64)
+    for lo in range(0, len(hashes), 1 << 14):
+        part = hashes[lo : lo + (1 << 14)]
         for k in range(WIDE):
             z = part + np.uint64(GOLDEN * (k + 1) % 2**64)
             z = (z ^ (z >> np.uint64(30))) * MIX[0]
@@ -43,44 +45,117 @@ def wide_fingerprint(text: bytes | None, shingle: int = 5) -> np.ndarray:
             z ^= z >> np.uint64(31)
             bits = np.unpackbits(z.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
             ones[k] += bits.sum(axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > n, axis=1, bitorder="little").view(np.uint64).ravel()
+    return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def distance_limit(similarity: float, bits: int = 64 * WIDE) -> int:
-    """Expected differing bits of two sets with this Jaccard similarity.
+def distance_limit(similarity: float, bits: int, slack: float = 2.5) -> int:
+    """Differing bits that two sets of this Jaccard similarity hardly exceed.
 
-    Their vectors have the cosine 2J / (1 + J), and a bit differs with
-    probability angle / pi.
+    Their vectors have the cosine 2J / (1 + J), a bit differs with probability
+    angle / pi, and ``slack`` standard deviations are added.
     """
-    return round(bits * math.acos(2 * similarity / (1 + similarity)) / math.pi)
+    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
+
+
+def jaccard_forest(a: list, b: list | None, wide: tuple[np.ndarray, np.ndarray], similarity: float, limit: int) -> tuple[list[int], list[int]]:
+    """Pairs of row numbers (through ``a``, then ``b``) that connect all similar sets.
+
+    Nearest fingerprints are compared first, and sets that are connected
+    already not again, so a dense group costs little more than its members.
+    """
+    sets = [frozenset(x) for x in a] + ([] if b is None else [frozenset(x) for x in b])
+    shift = 0 if b is None else len(a)
+    label = np.arange(len(sets))
+    us, vs = [], []
+    for i in range(len(a)):
+        far = np.bitwise_count(wide[0][i] ^ wide[1]).sum(axis=1, dtype=np.int64)
+        js = np.flatnonzero(far <= limit)
+        if b is None:
+            js = js[js > i]
+        for j in js[np.argsort(far[js], kind="stable")] + shift:
+            if label[i] == label[j]:
+                continue
+            small, large = sorted((len(sets[i]), len(sets[j])))
+            if small < similarity * large:
+                continue
+            both = len(sets[i] & sets[j])
+            if both >= similarity * (small + large - both):
+                label[label == label[j]] = label[i]
+                us.append(i)
+                vs.append(int(j))
+    return us, vs
+
+
+def similar_links(loose: DataFrame, similarity: float, limit: int, unit_shingles: int = 2_000_000) -> DataFrame:
+    """Edges between the nodes of each loose group that connect all similar sets.
+
+    ``loose`` has ``root, node, wide, shingles``.  A group is dealt, by hash,
+    into parts of about ``unit_shingles`` hashes, and each pair of its parts is
+    a unit of its own: memory is bounded however large a group is.
+    """
+    sizes = loose.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles")) / (4 * unit_shingles)).alias("parts"))
+    placed = loose.join(sizes, "root").withColumn("parts", F.greatest("parts", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), "parts"))
+    units = F.expr(
+        "transform(sequence(0L, parts - 1), j -> if(j >= i, struct(i AS i, j AS j, 0 AS side), struct(j AS i, i AS j, 1 AS side)))"
+    )
+    dealt = placed.select("root", "node", "wide", "shingles", F.explode(units).alias("t")).select("root", "node", "wide", "shingles", "t.*")
+
+    def compare(group: pa.Table) -> pa.Table:
+        group = group.sort_by("side")
+        node = group.column("node").to_numpy()
+        n = int((group.column("side").to_numpy() == 0).sum())
+        sets = [np.frombuffer(x, np.uint32).tolist() for x in group.column("shingles").to_pylist()]
+        words = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+        if group.column("i")[0] == group.column("j")[0]:
+            u, v = jaccard_forest(sets, None, (words, words), similarity, limit)
+        else:
+            u, v = jaccard_forest(sets[:n], sets[n:], (words[:n], words[n:]), similarity, limit)
+        return pa.table({"u": pa.array(node[u], pa.int64()), "v": pa.array(node[v], pa.int64())})
+
+    return dealt.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicate_groups(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, radius: int = 14, tile: int = 16384,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> DataFrame:
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 16384, id_col: str = "doc_id", text_col: str = "text"
+) -> DataFrame:
     """``(id, stamp, node, component)`` per row; ``stamp`` hashes the text.
 
-    Two texts are linked if their fingerprints differ in at most
-    ``distance_limit(similarity)`` bits, ``radius`` at most among the first 64
-    (of pairs at the limit this loses under one in a hundred).  Groups are the
-    components of the links.  Texts without a word are one group.  Repeated
-    rows and null ids stay; an empty table gives no rows.
-    """
+    Two texts are linked if the Jaccard similarity of their shingle sets is
+    ``similarity`` or more (hashes of 32 bits stand for shingles) and SimHash
+    finds the pair, which it does for all but about two in a hundred at the
+    limit and practically all above it.  Groups are the components of the
+    links.  Texts without a word are one group.  Repeated rows and null ids
+    stay; an empty table gives no rows; other columns are not read.
+    """
     session(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("stamp"), F.col(text_col).cast("binary").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            prints = [wide_fingerprint(t.as_py(), shingle) for t in b.column(2)]
-            first = pa.array([int(p.view(np.int64)[0]) for p in prints], pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), first, pa.array([p.tobytes() for p in prints], pa.binary())], ["id", "stamp", "fp", "wide"])
-
-    schema = T.StructType([*rows.schema.fields[:2], T.StructField("fp", T.LongType()), T.StructField("wide", T.BinaryType())])
-    prints = written(rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("wide")), "fingerprints")
-    distinct = written(prints.select("node", "fp", "wide").distinct(), "distinct")
-    roots = connected_components(near_links(distinct, radius, tile, wide_limit=distance_limit(similarity)))
-    return prints.select("id", "stamp", F.col("node")).join(roots, "node", "left").select(
+            first, wide, shingles = [], [], []
+            for t in b.column(2):
+                hashes = shingle_set(t.as_py(), shingle)
+                words = wide_fingerprint(hashes)
+                first.append(int(words.view(np.int64)[0]))
+                wide.append(words.tobytes())
+                shingles.append(np.unique(hashes.astype(np.uint32)).tobytes())
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(first, pa.int64()), pa.array(wide, pa.binary()), pa.array(shingles, pa.binary())],
+                ["id", "stamp", "fp", "wide", "shingles"],
+            )
+
+    kinds = (("fp", T.LongType()), ("wide", T.BinaryType()), ("shingles", T.BinaryType()))
+    schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(n, t) for n, t in kinds)])
+    prints = written(rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("shingles")), "fingerprints")
+    distinct = prints.select("node", "fp", "wide").dropDuplicates(["node"])
+    limit = distance_limit(similarity, 64 * WIDE)
+    links = near_links(written(distinct, "distinct"), distance_limit(similarity, 64), tile, wide_limit=limit)
+    loose = connected_components(links)
+    # one row of each node of a loose group, shingles and all
+    carriers = prints.join(loose, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("root", "wide", "shingles")])
+    roots = connected_components(similar_links(written(carriers, "loose"), similarity, limit))
+    return prints.select("id", "stamp", "node").join(roots, "node", "left").select(
         "id", "stamp", "node", F.coalesce("root", "node").alias("component")
     )
 
