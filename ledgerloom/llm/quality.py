@@ -9,8 +9,10 @@ from .common import SPACE_CLASS, table, written
 
 #: A host is rejected if its shrunk failure rate exceeds this.
 MAX_HOST_RATE = 0.9
-#: Own rules of the method: symbols per word, and share of repeated lines.
-MAX_SYMBOLS = 0.5
+#: Own rules of the method: symbols per word, with the limit published for web
+#: text (Rae et al., 2021), and share of repeated lines.  Half of the lines must
+#: repeat, so that one repeated page header does not fail a text of three lines.
+MAX_SYMBOLS = 0.1
 MAX_DUP_LINES = 0.5
 
 
@@ -53,7 +55,7 @@ def document_counters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
 
 
-def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "source") -> DataFrame:
+def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None) -> DataFrame:
     """``docs`` plus the counters, ``base_failed``, ``host_rate`` and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated
@@ -67,7 +69,9 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "s
 
     Null text has no words and fails; null hosts form one host; repeated rows
     count each; an empty table gives no rows; columns with the names of the
-    added ones are replaced.  DataFrame expressions only.
+    added ones are replaced.  ``keep`` names the columns of ``docs`` to carry
+    (all by default): the counters are stored once with them, so leave out the
+    text where it is not needed.  DataFrame expressions only.
     """
     added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "own_failed", "host_rate", "kept"]
     rows = document_counters(docs.drop(*added), text_col)
@@ -78,7 +82,9 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "s
         | (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words"))
         | (F.col("n_dup_lines") > MAX_DUP_LINES * lines)
     )
-    judged = written(rows.withColumn("base_failed", base).withColumn("own_failed", own), "counters")
+    carried = [c for c in docs.columns if c not in added and (keep is None or c in (*keep, host_col))]
+    judged = rows.withColumn("base_failed", base).withColumn("own_failed", own).select(*carried, *added[:7])
+    judged = written(judged, "counters")
     hosts = judged.groupBy(F.col(host_col).alias("_host")).agg(
         F.count("*").alias("n"), F.sum(F.col("own_failed").cast("long")).alias("failed")
     )
@@ -99,8 +105,7 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "s
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
-    return quality_verdicts(docs).select(
+    return quality_verdicts(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
     )
 

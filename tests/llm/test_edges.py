@@ -156,6 +156,8 @@ HTML = {
     None: "", "": "", "plain text only": "plain text only",
     "<div class=sidebar>menu text here</div><div id=content><p>First para, long enough to matter.</p><p>Second &amp; last&nbsp;one.</p></div><div class='comments'><p>Nice post!</p></div>": "First para, long enough to matter.\nSecond & last one.",
     "<article><header><h1>Title</h1></header><p>One <b>bold</b>\n word.</p><script>if (a<b) '</p>'</script><aside>x</aside></article><form><p>mail</p></form>": "Title\nOne bold word.",
+    "<div class='site-header'><p>Brand</p></div><div><h1>Head</h1><div class=text><p>One long paragraph of the article.</p><p>Another long paragraph of it.</p></div></div><div id=cookie-banner>We use cookies</div>": "Head\nOne long paragraph of the article.\nAnother long paragraph of it.",
+    "<main><p>Body text of the page.</p></main><ol><li class=comment><article>I disagree with all of this, at length and loudly.</article></li></ol>": "Body text of the page.",
     "<p>a < b and <!-- c --> d": "a < b and d", "<!--": "", "<p": "",
     "<body><main><ul><li>one<li>two</ul></main><footer>f</footer>": "one\ntwo",
 }
