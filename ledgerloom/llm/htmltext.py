@@ -33,10 +33,11 @@ SCOPE = set("html body article aside section nav header footer main div td th ta
 NOISE_TAGS = set("nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input menu dialog head title search".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
 NOISE_WORDS = set(
-    "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion sidebar menu navbar navigation nav breadcrumb breadcrumbs "
-    "footer masthead cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe signup login "
-    "share sharing social related recommended comment comments disqus replies respond pagination pager toolbar widget skip".split()
+    "ad ads advert advertisement advertising adverts sponsor sponsored promo promotion banner sidebar menu navbar navigation nav breadcrumb breadcrumbs crumbs "
+    "footer masthead topbar cookie cookies consent gdpr notice notices notification announcement alert toast popup modal overlay lightbox newsletter subscribe "
+    "signup login search share sharing social related recommended teaser outbrain taboola pagination pager toolbar widget skip".split()
 )
+COMMENT_WORDS = set("comment comments commentlist disqus replies respond discussion feedback".split())
 ATTRS = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
@@ -49,7 +50,7 @@ class Dom:
     def __init__(self, source: str):
         self.tag: list[str] = ["body"]
         self.parent: list[int] = [-1]
-        self.noise: list[bool] = [False]
+        self.noise: list[int] = [0]  # 1: not if it holds the article, 2: in any case, 3: if outside the article
         self.events: list[tuple[int, str | None]] = []  # (element, text), None: a block border
         self._parse(source)
 
@@ -83,20 +84,29 @@ class Dom:
             if name in scope:
                 return
 
-    def _is_noise(self, name: str, attrs: str) -> bool:
+    def _is_noise(self, name: str, attrs: str) -> int:
         if name in NOISE_TAGS:
-            return True
-        if not attrs.strip() or name in ("article", "main"):
-            return False
+            return 1
+        found = 3 if name == "header" else 0
+        if not attrs.strip():
+            return found
         for key, *values in ATTRS.findall(attrs):
             key, value = key.lower(), "".join(values).lower()
-            if key in ("class", "id") and NOISE_WORDS.intersection(re.split(r"[^a-z0-9]+", value)):
-                return True
-            if key == "role" and value in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return True
-            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return True
-        return False
+            if key in ("class", "id"):
+                whole, parts = set(value.split()), set(re.split(r"[^a-z0-9]+", value))
+                if name in ("article", "main"):
+                    found = 2 if whole & COMMENT_WORDS else found
+                elif parts & COMMENT_WORDS:
+                    return 2
+                elif parts & NOISE_WORDS:
+                    return 1
+                elif "header" in parts:
+                    found = 3
+            elif key == "role" and value in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
+                return 1
+            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return 1
+        return found
 
     def _parse(self, s: str) -> None:
         stack, at, n = [0], 0, len(s)
@@ -168,22 +178,45 @@ def _density(c: int, t: int, lc: int, lt: int, link_share: float) -> float:
     return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log(max(base, 1 + 1e-6))
 
 
+def _whole_article(dom: Dom, node: int, keep: list[bool], chars: list[int], lchars: list[int]) -> int:
+    """The enclosing article, else the element widened as long as that adds a
+    heading and at most half as much text, few of it links."""
+    up = node
+    while up:
+        if dom.tag[up] in ("article", "main"):
+            return up
+        up = dom.parent[up]
+    heading = [keep[k] and t in ("h1", "h2") and chars[k] > 0 for k, t in enumerate(dom.tag)]
+    below = [int(h) for h in heading]
+    for k in range(len(below) - 1, 0, -1):
+        below[dom.parent[k]] += below[k]
+    best, up = node, node
+    while up:
+        up = dom.parent[up]
+        more = chars[up] - chars[best]
+        if below[up] > below[best] and 2 * more <= chars[best] and 3 * (lchars[up] - lchars[best]) <= more:
+            best = up
+    return best
+
+
 def main_text(source: str | None) -> str:
     """Main text of a page: blocks in page order, one per line; "" if none."""
     if not source:
         return ""
     dom = Dom(source)
     n = len(dom.tag)
-    holds = [t in ("article", "main") for t in dom.tag]
-    within = [False] * n
+    article = [t in ("article", "main") for t in dom.tag]
+    out, within, keep = [False] * n, [False] * n, [True] * n
+    for k in range(1, n):
+        p = dom.parent[k]
+        out[k] = out[p] or dom.noise[k] == 2
+        within[k] = within[p] or article[p]
+    holds = [a and not o for a, o in zip(article, out)]
     for k in range(n - 1, 0, -1):
         holds[dom.parent[k]] |= holds[k]
-    keep = [True] * n
     for k in range(1, n):
-        p = dom.parent[k]
-        within[k] = within[p] or dom.tag[p] in ("article", "main")
-        noise = dom.noise[k] or dom.tag[k] == "header" and not within[k]
-        keep[k] = keep[p] and not (noise and not holds[k])
+        noise = dom.noise[k] == 1 or dom.noise[k] == 3 and not within[k]
+        keep[k] = keep[dom.parent[k]] and not out[k] and not (noise and not holds[k])
     chars, _, lchars, _, _ = _sums(dom, [True] * n)
     share = lchars[0] / max(chars[0], 1)
     chars, tags, lchars, ltags, own = _sums(dom, keep)
@@ -209,11 +242,7 @@ def main_text(source: str | None) -> str:
         above = k and top[dom.parent[k]]
         top[k] = above or keep[k] and chars[k] > 0 and density[k] >= threshold
         if top[k] and not above:
-            node = peak[k]
-            up = node
-            while up and dom.tag[up] not in ("article", "main"):
-                up = dom.parent[up]
-            chosen[up or node] = True
+            chosen[_whole_article(dom, peak[k], keep, chars, lchars)] = True
     for k in range(1, n):
         chosen[k] = (chosen[k] or chosen[dom.parent[k]]) and keep[k]
     blocks, run = [], []
