@@ -65,12 +65,26 @@ def sample_clients(ids: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return ids.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
 
 
-def permuted(labels: DataFrame, key: str, target: str, seed: int) -> DataFrame:
+def numbered(df: DataFrame, order: list, bucket, name: str = "_n") -> DataFrame:
+    """Global row numbers without a global sort: ``bucket`` is monotone in ``order``.
+
+    Rows are numbered within buckets, and each bucket adds the sizes of those
+    before it: only the bucket counts meet in one task.
+    """
+    rows = df.withColumn("_b", bucket)
+    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    return rows.withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(*order))).join(base, "_b").withColumn(name, F.col(name) + F.col("_base")).drop("_b", "_base")
+
+
+def permuted(labels: DataFrame, key: str, target: str, seed: int, bits: int = 8) -> DataFrame:
     """Targets shuffled over clients: two hash orders joined by position."""
-    def numbered(salt):
-        w = Window.partitionBy(F.lit(0)).orderBy(F.xxhash64(key, F.lit(salt)), key)
-        return labels.withColumn("_n", F.row_number().over(w))
-    return numbered(seed).select(key, "_n").join(numbered(seed + 1).select(target, "_n"), "_n").drop("_n")
+
+    def by_hash(salt):
+        h = F.xxhash64(key, F.lit(salt))
+        return numbered(labels, [h, F.col(key)], F.shiftright(h, 64 - bits))
+
+    return by_hash(seed).select(key, "_n").join(by_hash(seed + 1).select(target, "_n"), "_n").drop("_n")
 
 
 def quartiles(df: DataFrame, column: str) -> DataFrame:
@@ -95,11 +109,19 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     )
 
 
-def auc(scored: DataFrame, score: str, positive: str) -> DataFrame:
-    """Area under the ROC curve from average ranks of tied scores."""
+def auc(scored: DataFrame, score: str, positive: str, buckets: int = 64) -> DataFrame:
+    """Area under the ROC curve from average ranks of tied scores.
+
+    Scores are cut into buckets at approximate quantiles; ranks run within
+    buckets, and only bucket totals meet in one task.
+    """
     t = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
-    before = Window.partitionBy(F.lit(0)).orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    r = t.withColumn("rank", F.coalesce(F.sum("n").over(before), F.lit(0)) + (F.col("n") + 1) / 2)
+    cuts = scored.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)]).alias("cuts"))
+    t = t.join(F.broadcast(cuts), how="inner", on=F.lit(True)).withColumn("_b", F.size(F.filter("cuts", lambda c: c < F.col(score)))).drop("cuts")
+    before = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = t.groupBy("_b").agg(F.sum("n").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
+    r = t.withColumn("_in", F.coalesce(F.sum("n").over(before), F.lit(0))).join(base, "_b").withColumn("rank", F.col("_base") + F.col("_in") + (F.col("n") + 1) / 2)
     return r.agg(F.sum(F.col("p") * F.col("rank")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(
         ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc")
     )

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND, FAMILIES, LABELS, NO_EVENT
 from ..functions.numeric import business_day, day, next_month
-from .streams import amount_components, card_out, without_background
+from .streams import amount_components, card_out, distinct, without_background
 
 VOCABULARY = {
     "type": ["card_payment", "topup", "p2p_transfer", "transfer", "atm", "refund", "fee"],
@@ -40,10 +40,10 @@ def summarize(ledger: DataFrame, windows: list[int], by: tuple[str, ...] = ("cli
         F.count("*").alias("count"), F.avg(a).alias("amount_mean"), F.stddev_pop(a).alias("amount_std"), F.min(a).alias("amount_min"), F.max(a).alias("amount_max"),
         F.median(a).alias("amount_median"), (F.stddev_pop(a) / F.greatest(F.avg(a), F.lit(1e-6))).alias("amount_cv"),
         (-F.min(t)).alias("first_age"), (-F.max(t)).alias("last_age"), (F.max(t) - F.min(t)).alias("span"),
-        F.count_distinct("description").alias("unique_description"), F.max("_share").alias("description_top_fraction"), F.avg(-F.ln("_share")).alias("description_entropy"),
-        F.count_distinct("mcc").alias("unique_mcc"), F.count_distinct("currency").alias("unique_currency"), F.avg((F.col("fee") > 0).cast("double")).alias("fee_fraction"),
+        distinct("description").alias("unique_description"), F.max("_share").alias("description_top_fraction"), F.avg(-F.ln("_share")).alias("description_entropy"),
+        distinct("mcc").alias("unique_mcc"), distinct("currency").alias("unique_currency"), F.avg((F.col("fee") > 0).cast("double")).alias("fee_fraction"),
         F.stddev_samp(F.dayofmonth("timestamp")).alias("dom_std"), F.stddev_samp(F.weekday("timestamp")).alias("dow_std"),
-        F.count_distinct(F.date_format("timestamp", "yyyy-MM")).alias("month_count"),
+        F.size(F.collect_set(F.date_format("timestamp", "yyyy-MM"))).alias("month_count"),
         *[F.count_if(t >= -w).alias(f"count_{w}") for w in windows],
         F.first("_gmed").alias("gap_median"), F.avg(g).alias("gap_mean"), F.stddev_pop(g).alias("gap_std"), F.min(g).alias("gap_min"), F.max(g).alias("gap_max"),
         F.median(F.abs(g - F.col("_gmed"))).alias("gap_mad"), (F.stddev_pop(g) / F.greatest(F.avg(g), F.lit(1e-6))).alias("gap_cv"),

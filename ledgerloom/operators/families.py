@@ -70,7 +70,7 @@ def top_streams(assigned: DataFrame, k: int = 2) -> DataFrame:
     other = F.greatest(*[F.when(F.col("candidate") != f, F.col(f"semantic_{f}")) for f in FAMILIES])
     s = assigned.withColumns(
         {
-            "kind": kind, "strength": F.col("count") * F.exp(-F.col("last_age") / 60), "own_semantic": pick("semantic_{}"), "own_mcc": pick("mcc_{}"),
+            "stream_count": F.count("*").over(Window.partitionBy("client_id", "candidate")), "kind": kind, "strength": F.col("count") * F.exp(-F.col("last_age") / 60), "own_semantic": pick("semantic_{}"), "own_mcc": pick("mcc_{}"),
             "own_template_diversity": pick("template_{}_diversity"), "own_template_count": pick("template_{}_count"), "other_semantic": other,
         }
     )
@@ -83,7 +83,7 @@ def kept_statistics(top: DataFrame) -> list[str]:
     skip = ("semantic_", "mcc_", "template_")
     numeric = [f.name for f in top.schema.fields if f.dataType.typeName() in ("double", "long", "integer")]
     own = ["own_semantic", "own_mcc", "own_template_diversity", "own_template_count", "other_semantic"]
-    return [c for c in numeric if not any(x in c for x in skip) and c not in ("eps", "family_score", "comp", "rank", "strength", "prior_low", "prior_high", *own)] + own
+    return [c for c in numeric if not any(x in c for x in skip) and c not in ("eps", "family_score", "comp", "rank", "strength", "stream_count", "prior_low", "prior_high", *own)] + own
 
 
 def candidates(ids: DataFrame) -> DataFrame:
@@ -92,32 +92,48 @@ def candidates(ids: DataFrame) -> DataFrame:
     return ids.select("client_id", labels).withColumn("is_none", (F.col("family") == "none").cast("int"))
 
 
+def assigned_top(streams: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
+    return top_streams(assign_hard(streams) if profiles is None else assign_soft(streams, profiles))
+
+
 def family_features(streams: DataFrame, ids: DataFrame, profiles: DataFrame | None = None, statistics: list[str] | None = None) -> DataFrame:
-    """A row per client and label with its top streams' statistics side by side.
+    """A row per client and label with its top streams' statistics side by side."""
+    return wide_candidates(assigned_top(streams, profiles), ids, statistics)
+
+
+def wide_candidates(top: DataFrame, ids: DataFrame, statistics: list[str] | None = None) -> DataFrame:
+    """The pivot is a conditional aggregate over a fixed vocabulary: kind x rank.
 
-    The pivot is a conditional aggregate over a fixed vocabulary: kind x rank.
     Missing values are null; the sentinel appears at the edge only.
     """
-    assigned = assign_hard(streams) if profiles is None else assign_soft(streams, profiles)
-    top = top_streams(assigned)
     stats = statistics or kept_statistics(top)
     slots = [(kind, r) for kind in ("amount", "broad") for r in (0, 1)]
     wide = top.groupBy("client_id", F.col("candidate").alias("family")).agg(
-        *[F.max(F.when((F.col("kind") == kind) & (F.col("rank") == r), F.col(c))).alias(f"{kind}{r}_{c}") for kind, r in slots for c in stats]
+        F.max("stream_count").alias("stream_count"),
+        *[F.max(F.when((F.col("kind") == kind) & (F.col("rank") == r), F.col(c))).alias(f"{kind}{r}_{c}") for kind, r in slots for c in stats],
     )
-    counts = assigned.groupBy("client_id", F.col("candidate").alias("family")).agg(F.count("*").alias("stream_count"))
-    return candidates(ids).join(counts, ["client_id", "family"], "left").join(wide, ["client_id", "family"], "left")
+    return candidates(ids).join(wide, ["client_id", "family"], "left")
+
+
+def place(c: str, by, down: bool = False) -> Column:
+    """Rank among a client's few candidates, ties take the first place; null for null.
+
+    Counting the better values needs no order, so any number of ranks share
+    one window over the client instead of a sort each.
+    """
+    values = F.collect_list(c).over(by)
+    better = F.filter(values, lambda v: v > F.col(c)) if down else F.filter(values, lambda v: v < F.col(c))
+    return F.when(F.col(c).isNotNull(), F.size(better) + 1)
 
 
-def ranks(x: DataFrame, columns: list[str], missing: int | None = 8, ascending_only: bool = False) -> DataFrame:
-    """``_rank`` (ties take the first place, nulls ``missing``) and ``_vs_best`` per client."""
+def ranks(x: DataFrame, columns: list[str], missing: int | None = 8) -> DataFrame:
+    """``_rank`` (nulls ``missing``) and ``_vs_best`` per client; counts and diversity descend."""
     by = Window.partitionBy("client_id")
     made = {}
     for c in columns:
-        down = not ascending_only and any(d in c for d in DESCENDING)
-        order = F.col(c).desc_nulls_last() if down else F.col(c).asc_nulls_last()
-        place = F.when(F.col(c).isNotNull(), F.rank().over(by.orderBy(order)))
-        made[f"{c}_rank"] = F.coalesce(place, F.lit(missing)) if missing is not None else place
+        down = any(d in c for d in DESCENDING)
+        rank = place(c, by, down)
+        made[f"{c}_rank"] = F.coalesce(rank, F.lit(missing)) if missing is not None else rank
         made[f"{c}_vs_best"] = F.col(c) - (F.max(c) if down else F.min(c)).over(by)
     return x.withColumns(made)
 
@@ -128,7 +144,7 @@ def competition(x: DataFrame, columns: list[str]) -> DataFrame:
     made = {}
     for c in columns:
         made |= {f"{c}_competition_{k}": f(c).over(by) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))}
-        made[f"{c}_competition_rank"] = F.when(F.col(c).isNotNull(), F.rank().over(by.orderBy(F.col(c).asc_nulls_last())))
+        made[f"{c}_competition_rank"] = place(c, by)
         made[f"{c}_competition_delta"] = F.col(c) - F.min(c).over(by)
     return x.withColumns(made)
 

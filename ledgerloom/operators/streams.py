@@ -61,6 +61,12 @@ def stream_members(ledger: DataFrame, eps: float = EPS, min_count: int = 3, filt
     return amount.unionByName(broad_members(rows).select(*amount.columns))
 
 
+def distinct(column: str):
+    """Exact distinct count of a small group: several of them in one aggregate
+    would otherwise multiply its input rows."""
+    return F.size(F.collect_set(column))
+
+
 def stream_stats(members: DataFrame, windows: list[int], periods: list[float] = PERIODS) -> DataFrame:
     """One row per stream with its amount, time, text and cadence statistics.
 
@@ -83,8 +89,8 @@ def stream_stats(members: DataFrame, windows: list[int], periods: list[float] =
         "amount_min": F.min(a), "amount_max": F.max(a), "amount_median": F.first("_amed"),
         "amount_mad": F.median(F.abs(a - F.col("_amed"))) / F.first("_amed"),
         "first_age": -F.min(t), "last_age": -F.max(t), "span": F.max(t) - F.min(t),
-        "unique_description": F.count_distinct("txt"), "description_top_fraction": F.max("_share"), "description_entropy": F.avg(-F.ln("_share")),
-        "unique_mcc": F.count_distinct("mcc"), "mcc_top_fraction": F.max("_mshare"),
+        "unique_description": distinct("txt"), "description_top_fraction": F.max("_share"), "description_entropy": F.avg(-F.ln("_share")),
+        "unique_mcc": distinct("mcc"), "mcc_top_fraction": F.max("_mshare"),
         "generic_fraction": F.avg(F.col("txt").isin(GENERIC).cast("double")),
         "dom_std": F.stddev_pop(F.dayofmonth("timestamp")), "dow_std": F.stddev_pop(F.weekday("timestamp")), "currency_count": F.lit(1),
         "gap_median": F.first("_gmed"), "gap_mean": F.avg(g), "gap_std": F.stddev_pop(g), "gap_mad": F.median(F.abs(g - F.col("_gmed"))),
@@ -98,7 +104,7 @@ def stream_stats(members: DataFrame, windows: list[int], periods: list[float] =
     for f in FAMILIES:
         aggs[f"semantic_{f}"] = F.avg(F.col("txt").rlike(PATTERNS[f]).cast("double"))
         aggs[f"mcc_{f}"] = F.avg((F.col("mcc") == MCC[f]).cast("double"))
-        aggs[f"template_{f}_diversity"] = F.count_distinct(F.when(F.col("txt").isin(TEMPLATES[f]), F.col("txt")))
+        aggs[f"template_{f}_diversity"] = F.size(F.array_intersect(F.collect_set("txt"), F.array(*map(F.lit, TEMPLATES[f]))))
         aggs[f"template_{f}_count"] = F.count_if(F.col("txt").isin(TEMPLATES[f]))
     for p in periods:
         strength, phase = circular(t, p)

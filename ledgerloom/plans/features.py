@@ -24,7 +24,8 @@ def build_features(ledger: DataFrame, windows: list[int], profiles: DataFrame |
     ids = ledger.select("client_id").distinct()
     found = streams.extract_streams(ledger, windows, min_count=min_count, periods=[])
     stats = COMPACT + [f"count_{w}" for w in windows] + (["price_support", "normalized_price"] if profiles is not None else [])
-    x = families.family_features(found, ids, profiles, stats)
+    top = families.assigned_top(found, profiles)
+    x = families.wide_candidates(top, ids, stats)
     templates = families.wide_templates(families.template_rollups(families.template_counts(ledger)))
     x = x.join(templates, ["client_id", "family"], "left")
     x = families.ranks(x, RANKED)
@@ -38,12 +39,9 @@ def build_features(ledger: DataFrame, windows: list[int], profiles: DataFrame |
     x = families.competition(x, GLOBAL + COMPETE[1:3])
     globals_ = clients.client_globals(ledger, windows)
     x = x.join(globals_.select("client_id", *[F.col(c).alias(f"client_{c}") for c in globals_.columns if c != "client_id"]), "client_id", "left")
-    slots = None
-    for prefix in ("amount0", "broad0"):
-        s = x.where((F.col(f"{prefix}_amount_median") > 0) & (F.col(f"{prefix}_count") >= 2)).select(
-            "client_id", "family", F.lit(prefix).alias("prefix"), F.col(f"{prefix}_amount_median").alias("amount_median"), F.col(f"{prefix}_last_age").alias("last_age")
-        )
-        slots = s if slots is None else slots.unionByName(s)
+    slots = top.where("rank = 0 AND amount_median > 0 AND count >= 2").select(
+        "client_id", F.col("candidate").alias("family"), F.concat("kind", F.lit("0")).alias("prefix"), "amount_median", "last_age"
+    )
     context = clients.payment_context(ledger, slots)
     names = [c for c in context.columns if c not in ("client_id", "family", "prefix", "amount_median", "last_age", "currency")]
     wide = context.groupBy("client_id", "family").agg(
