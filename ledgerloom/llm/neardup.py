@@ -152,8 +152,9 @@ def near_duplicate_groups(
     limit = distance_limit(similarity, 64 * WIDE)
     links = near_links(written(distinct, "distinct"), distance_limit(similarity, 64), tile, wide_limit=limit)
     loose = connected_components(links)
-    # one row of each node of a loose group, shingles and all
-    carriers = prints.join(loose, "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("root", "wide", "shingles")])
+    # one row of each node of a loose group, shingles and all; the groups grow
+    # with the corpus, so they are merged at every size and never broadcast
+    carriers = prints.join(loose.hint("merge"), "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("root", "wide", "shingles")])
     roots = connected_components(similar_links(written(carriers, "loose"), similarity, limit))
     return prints.select("id", "stamp", "node").join(roots, "node", "left").select(
         "id", "stamp", "node", F.coalesce("root", "node").alias("component")
