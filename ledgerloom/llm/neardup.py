@@ -87,19 +87,26 @@ def jaccard_forest(a: list, b: list | None, wide: tuple[np.ndarray, np.ndarray],
     return us, vs
 
 
-def similar_links(loose: DataFrame, similarity: float, limit: int, unit_shingles: int = 2_000_000) -> DataFrame:
+def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, limit: int, unit_shingles: int = 2_000_000) -> DataFrame:
     """Edges between the nodes of each loose group that connect all similar sets.
 
-    ``loose`` has ``root, node, wide, shingles``.  A group is dealt, by hash,
-    into parts of about ``unit_shingles`` hashes, and each pair of its parts is
-    a unit of its own: memory is bounded however large a group is.
+    ``loose`` has ``root, node, id, n``: the row of ``prints`` that stands for
+    the node and its number of shingles.  A group is dealt, by hash, into parts
+    of about ``unit_shingles`` hashes, and each pair of its parts is a unit of
+    its own: memory is bounded however large a group is.  Parts are planned
+    without the shingles, which move once to their plan and once to the units.
     """
-    sizes = loose.groupBy("root").agg(F.ceil(F.sum(F.octet_length("shingles")) / (4 * unit_shingles)).alias("parts"))
-    placed = loose.join(sizes, "root").withColumn("parts", F.greatest("parts", F.lit(1))).withColumn("i", F.pmod(F.xxhash64("node"), "parts"))
+    sizes = loose.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / unit_shingles), F.lit(1)).alias("parts"))
+    placed = (
+        loose.join(sizes, "root")
+        .withColumn("i", F.pmod(F.xxhash64("node"), "parts"))
+        .select("root", "parts", "i", F.col("node").alias("_node"), F.col("id").alias("_id"))
+    )
     units = F.expr(
         "transform(sequence(0L, parts - 1), j -> if(j >= i, struct(i AS i, j AS j, 0 AS side), struct(j AS i, i AS j, 1 AS side)))"
     )
-    dealt = placed.select("root", "node", "wide", "shingles", F.explode(units).alias("t")).select("root", "node", "wide", "shingles", "t.*")
+    carriers = prints.join(placed, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
+    dealt = carriers.select("root", "node", "wide", "shingles", F.explode(units).alias("t")).select("root", "node", "wide", "shingles", "t.*")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("side")
@@ -117,7 +124,7 @@ def similar_links(loose: DataFrame, similarity: float, limit: int, unit_shingles
 
 
 def near_duplicate_groups(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 16384, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 32768, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, stamp, node, component)`` per row; ``stamp`` hashes the text.
 
@@ -148,14 +155,16 @@ def near_duplicate_groups(
     kinds = (("fp", T.LongType()), ("wide", T.BinaryType()), ("shingles", T.BinaryType()))
     schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(n, t) for n, t in kinds)])
     prints = written(rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("shingles")), "fingerprints")
-    distinct = prints.select("node", "fp", "wide").dropDuplicates(["node"])
+    distinct = written(
+        prints.groupBy("node").agg(
+            F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("id").alias("id"), F.first(F.octet_length("shingles") / 4).alias("n")
+        ),
+        "distinct",
+    )
     limit = distance_limit(similarity, 64 * WIDE)
-    links = near_links(written(distinct, "distinct"), distance_limit(similarity, 64), tile, wide_limit=limit)
-    loose = connected_components(links)
-    # one row of each node of a loose group, shingles and all; the groups grow
-    # with the corpus, so they are merged at every size and never broadcast
-    carriers = prints.join(loose.hint("merge"), "node").groupBy("node").agg(*[F.first(c).alias(c) for c in ("root", "wide", "shingles")])
-    roots = connected_components(similar_links(written(carriers, "loose"), similarity, limit))
+    groups = connected_components(near_links(distinct, distance_limit(similarity, 64), tile, wide_limit=limit))
+    loose = written(groups.join(distinct.select("node", "id", "n"), "node"), "loose")
+    roots = connected_components(similar_links(prints, loose, similarity, limit))
     return prints.select("id", "stamp", "node").join(roots, "node", "left").select(
         "id", "stamp", "node", F.coalesce("root", "node").alias("component")
     )
@@ -168,11 +177,12 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     a repeated row stays once.  All columns pass through.
     """
     groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options)
+    key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
     stay = (
         groups.groupBy("component")
         .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "stamp")).alias("k"))
-        .select(F.col("k.id").alias("_id"), F.col("k.stamp").alias("_stamp"))
+        .select(key("k.id").alias("_id"), F.col("k.stamp").alias("_stamp"))
     )
-    rows = docs.withColumn("_key", F.xxhash64(text_col))
-    kept = rows.join(stay, F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_key") == F.col("_stamp")), "left_semi")
-    return kept.dropDuplicates([id_col, "_key"]).drop("_key")
+    # the join and the removal of repeated rows share their keys, so texts move once
+    rows = docs.withColumn("_id", key(id_col)).withColumn("_stamp", F.xxhash64(text_col))
+    return rows.join(stay, ["_id", "_stamp"], "left_semi").dropDuplicates(["_id", "_stamp"]).drop("_id", "_stamp")

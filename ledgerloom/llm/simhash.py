@@ -15,6 +15,8 @@ from .common import session, space_words, table, written
 from .components import connected_components
 
 CHUNK = 65536
+#: A corpus is cut into so many tiles at least, to occupy more than a few cores.
+MIN_TILES = 8
 
 
 def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -103,34 +105,60 @@ def tile_forest(
     return moved, label[moved]
 
 
+def count_bands(counts: dict[int, int], tile: int) -> list[tuple[int, int, int]]:
+    """``(lowest count, highest count, tiles)`` of bands of population counts, in order.
+
+    Neighbouring counts are joined while they hold ``tile`` members together.
+    """
+    bands, held = [], 0
+    for c in sorted(c for c, n in counts.items() if n):
+        if bands and held + counts[c] <= tile:
+            bands[-1], held = (bands[-1][0], c, 1), held + counts[c]
+        else:
+            bands.append((c, c, -(-counts[c] // tile)))
+            held = counts[c]
+    return bands
+
+
 def near_links(distinct: DataFrame, radius: int = 4, tile: int = 8192, wide_limit: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` between nodes that connect all fingerprints within ``radius``.
 
     ``distinct`` holds each ``node`` once with its ``fp``; with ``wide_limit``
     also all words of a wider fingerprint, ``wide``, which then may differ in
     that many bits at most.  Fingerprints are
-    dealt into tiles of one population count and about ``tile`` members (by
-    hash, so that no tile outgrows memory); two tiles meet only if their
-    counts differ by ``radius`` at most.  Every other pair of tiles is compared
-    exactly, with numpy exclusive-or and bit counts, and a pair returns at most
-    one edge per member, not its pairs.  The driver holds the 65 tile counts.
+    dealt into tiles of at most about ``tile`` members: neighbouring population counts
+    share a tile while they fit, a larger count is split by hash.  Pairs of
+    tiles whose counts differ by more than ``radius`` are skipped, every other
+    pair is compared exactly, with numpy exclusive-or and bit counts, and
+    returns at most one edge per member, not its pairs.  A fingerprint meets
+    as many tiles as lie within its radius, which is few until the corpus has
+    many tiles.  The driver holds the 65 counts.
     """
     session(distinct)
-    counts = dict(distinct.groupBy(F.bit_count("fp").alias("p")).count().collect())
-    splits = [-(-counts.get(p, 0) // tile) for p in range(65)]
-    s = f"array({', '.join(f'{x}L' for x in splits)})"
+    counts = dict(distinct.groupBy(F.bit_count("fp").alias("c")).count().collect())
+    bands = count_bands(counts, min(tile, max(1024, -(-sum(counts.values()) // MIN_TILES))))
+    if not bands:
+        return distinct.sparkSession.createDataFrame([], "u long, v long")
+    band_of = {c: k for k, (lo, hi, _) in enumerate(bands) for c in range(lo, hi + 1)}
+    # the first and the last band that a band meets
+    least = [min(k for k, b in enumerate(bands) if b[1] >= lo - radius) for lo, _, _ in bands]
+    most = [max(k for k, b in enumerate(bands) if b[0] <= hi + radius) for _, hi, _ in bands]
+
+    def lookup(values: list[int], index: str) -> str:
+        return f"get(array({', '.join(f'{x}L' for x in values)}), CAST({index} AS INT))"
+
+    splits = [b[2] for b in bands]
     own = ["node", "fp", *(["wide"] if wide_limit is not None else [])]
     mine = (
-        distinct.select(*own, F.bit_count("fp").cast("long").alias("p"))
-        .withColumn("i", F.expr(f"pmod(xxhash64(node), greatest(1L, get({s}, CAST(p AS INT))))"))
+        distinct.select(*own, F.expr(lookup([band_of.get(c, 0) for c in range(65)], "bit_count(fp)")).alias("p"))
+        .withColumn("i", F.expr(f"pmod(xxhash64(node), {lookup(splits, 'p')})"))
     )
-    size = f"get({s}, CAST(q AS INT))"
-    spans = lambda lo, hi, first, last, keep: (
-        f"flatten(transform(filter(sequence({lo}, {hi}), q -> {size} > 0), q -> "
-        f"transform(filter(sequence(0L, {size} - 1), j -> {keep}), j -> {first})))"
+    size = lookup(splits, "q")
+    spans = lambda lo, hi, first, keep: (
+        f"flatten(transform(sequence({lo}, {hi}), q -> transform(filter(sequence(0L, {size} - 1), j -> {keep}), j -> {first})))"
     )
-    home = spans("p", f"least(64L, p + {radius})", "struct(p AS p, i AS i, q AS q, j AS j, 0 AS side)", 0, "q > p OR j >= i")
-    guest = spans(f"greatest(0L, p - {radius})", "p", "struct(q AS p, j AS i, p AS q, i AS j, 1 AS side)", 0, "q < p OR j < i")
+    home = spans("p", lookup(most, "p"), "struct(p AS p, i AS i, q AS q, j AS j, 0 AS side)", "q > p OR j >= i")
+    guest = spans(lookup(least, "p"), "p", "struct(q AS p, j AS i, p AS q, i AS j, 1 AS side)", "q < p OR j < i")
     dealt = mine.select(*own, F.explode(F.expr(f"concat({home}, {guest})")).alias("t")).select(*own, "t.*")
 
     def compare(group: pa.Table) -> pa.Table:
