@@ -94,13 +94,15 @@ def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, limit:
     the node and its number of shingles.  A group is dealt, by hash, into parts
     of about ``unit_shingles`` hashes, and each pair of its parts is a unit of
     its own: memory is bounded however large a group is.  Parts are planned
-    without the shingles, which move once to their plan and once to the units.
+    without the shingles, in a table of a known size: if that is small, only the
+    shingles of loose groups move.
     """
     sizes = loose.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / unit_shingles), F.lit(1)).alias("parts"))
-    placed = (
+    placed = written(
         loose.join(sizes, "root")
         .withColumn("i", F.pmod(F.xxhash64("node"), "parts"))
-        .select("root", "parts", "i", F.col("node").alias("_node"), F.col("id").alias("_id"))
+        .select("root", "parts", "i", F.col("node").alias("_node"), F.col("id").alias("_id")),
+        "placed",
     )
     units = F.expr(
         "transform(sequence(0L, parts - 1), j -> if(j >= i, struct(i AS i, j AS j, 0 AS side), struct(j AS i, i AS j, 1 AS side)))"
@@ -163,7 +165,7 @@ def near_duplicate_groups(
     )
     limit = distance_limit(similarity, 64 * WIDE)
     groups = connected_components(near_links(distinct, distance_limit(similarity, 64), tile, wide_limit=limit))
-    loose = written(groups.join(distinct.select("node", "id", "n"), "node"), "loose")
+    loose = groups.join(distinct.select("node", "id", "n"), "node")
     roots = connected_components(similar_links(prints, loose, similarity, limit))
     return prints.select("id", "stamp", "node").join(roots, "node", "left").select(
         "id", "stamp", "node", F.coalesce("root", "node").alias("component")
@@ -176,13 +178,20 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     It is the row with the smallest id (a null id only if there is no other);
     a repeated row stays once.  All columns pass through.
     """
-    groups = near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
-    stay = (
-        groups.groupBy("component")
-        .agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "stamp")).alias("k"))
-        .select(key("k.id").alias("_id"), F.col("k.stamp").alias("_stamp"))
+    groups = written(near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options), "groups")
+    texts = groups.groupBy("component", key("id").alias("_id"), F.col("stamp").alias("_stamp")).agg(
+        F.count("*").alias("n"), F.first(F.struct(F.col("id").isNull().alias("none"), "id", "stamp")).alias("k")
     )
-    # the join and the removal of repeated rows share their keys, so texts move once
+    best = texts.groupBy("component").agg(F.min("k").alias("best"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
+    # what goes and what stands in several rows: less than what stays, and of a
+    # size known from its files before the texts would have to move to it
+    touched = written(
+        texts.join(best, "component").select("_id", "_stamp", (F.col("k") == F.col("best")).alias("stays"), "n").where("n > 1 OR NOT stays"),
+        "touched",
+    )
+    keys = ["_id", "_stamp"]
     rows = docs.withColumn("_id", key(id_col)).withColumn("_stamp", F.xxhash64(text_col))
-    return rows.join(stay, ["_id", "_stamp"], "left_semi").dropDuplicates(["_id", "_stamp"]).drop("_id", "_stamp")
+    once = rows.join(touched.select(*keys), keys, "left_anti")
+    repeated = rows.join(touched.where("stays").select(*keys), keys, "left_semi").dropDuplicates(keys)
+    return once.unionByName(repeated).drop(*keys)
