@@ -94,8 +94,8 @@ def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, limit:
     the node and its number of shingles.  A group is dealt, by hash, into parts
     of about ``unit_shingles`` hashes, and each pair of its parts is a unit of
     its own: memory is bounded however large a group is.  Parts are planned
-    without the shingles, in a table of a known size: if that is small, only the
-    shingles of loose groups move.
+    without the shingles, which move once to their plan and, in loose groups
+    only, once to the units.
     """
     sizes = loose.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / unit_shingles), F.lit(1)).alias("parts"))
     placed = written(
@@ -107,7 +107,8 @@ def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, limit:
     units = F.expr(
         "transform(sequence(0L, parts - 1), j -> if(j >= i, struct(i AS i, j AS j, 0 AS side), struct(j AS i, i AS j, 1 AS side)))"
     )
-    carriers = prints.join(placed, (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
+    # both sides grow with the corpus, so they are merged at every size
+    carriers = prints.join(placed.hint("merge"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
     dealt = carriers.select("root", "node", "wide", "shingles", F.explode(units).alias("t")).select("root", "node", "wide", "shingles", "t.*")
 
     def compare(group: pa.Table) -> pa.Table:
@@ -158,9 +159,9 @@ def near_duplicate_groups(
     schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(n, t) for n, t in kinds)])
     prints = written(rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("shingles")), "fingerprints")
     distinct = written(
-        prints.groupBy("node").agg(
-            F.first("fp").alias("fp"), F.first("wide").alias("wide"), F.min("id").alias("id"), F.first(F.octet_length("shingles") / 4).alias("n")
-        ),
+        prints.select("node", "fp", "wide", "id", (F.octet_length("shingles") / 4).alias("n"))
+        .groupBy("node")
+        .agg(*[F.first(c).alias(c) for c in ("fp", "wide", "n")], F.min("id").alias("id")),
         "distinct",
     )
     limit = distance_limit(similarity, 64 * WIDE)
@@ -184,14 +185,11 @@ def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
         F.count("*").alias("n"), F.first(F.struct(F.col("id").isNull().alias("none"), "id", "stamp")).alias("k")
     )
     best = texts.groupBy("component").agg(F.min("k").alias("best"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
-    # what goes and what stands in several rows: less than what stays, and of a
-    # size known from its files before the texts would have to move to it
-    touched = written(
-        texts.join(best, "component").select("_id", "_stamp", (F.col("k") == F.col("best")).alias("stays"), "n").where("n > 1 OR NOT stays"),
-        "touched",
-    )
     keys = ["_id", "_stamp"]
+    stays = (F.col("k") == F.col("best")).alias("stays")
+    gone = written(texts.join(best, "component").select(*keys, stays, "n").where("n > 1 OR NOT stays"), "gone")
+    # both grow with the corpus, so they are merged at every size; the removal
+    # of repeated rows has the join's keys, so texts move once
     rows = docs.withColumn("_id", key(id_col)).withColumn("_stamp", F.xxhash64(text_col))
-    once = rows.join(touched.select(*keys), keys, "left_anti")
-    repeated = rows.join(touched.where("stays").select(*keys), keys, "left_semi").dropDuplicates(keys)
-    return once.unionByName(repeated).drop(*keys)
+    judged = rows.join(gone.select(*keys, F.col("stays").alias("_stays")).hint("merge"), keys, "left")
+    return judged.where("_stays IS NULL OR _stays").drop("_stays").dropDuplicates(keys).drop(*keys)
