@@ -34,8 +34,9 @@ def connected_components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     seen = None
     for _ in range(max_rounds):
         edges = written(_small_star(_large_star(edges)), "edges")
+        # sums of 32-bit halves stay within a long below 2^32 edges whatever their signs
         now = edges.agg(
-            F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 8)), F.bit_xor(F.xxhash64("u", "v"))
+            F.count("*"), F.sum(F.shiftright(F.xxhash64("u", "v"), 32)), F.bit_xor(F.xxhash64("u", "v"))
         ).first()
         if tuple(now) == seen:
             own = edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()

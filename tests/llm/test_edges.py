@@ -54,6 +54,14 @@ def test_simhash_values(docs):
     assert {r["component_id"] for r in got if r["doc_id"] in (7, 8)} == {7}
 
 
+def test_components_of_edges_with_large_hashes(spark):
+    from ledgerloom.llm.components import connected_components
+
+    edges = spark.range(20_000).selectExpr("2 * id + 1 AS u", "2 * id AS v").where("xxhash64(u, v) > 1L << 62")
+    roots = connected_components(edges)
+    assert roots.count() == 2 * edges.count() > 4096 and roots.where("root <> 2 * (node div 2)").count() == 0
+
+
 def test_one_per_group(docs):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in neardup.one_per_group(docs).collect())
     assert got == [(False, 0), (False, 3), (False, 4), (False, 5), (False, 7), (False, 9), (True, 0)]
