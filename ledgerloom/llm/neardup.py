@@ -22,6 +22,10 @@ from .components import connected_components
 from .simhash import near_links, shingle_hashes
 
 WIDE = 4
+#: Bits of sets up to so many shingles tie often: they differ up to ``SHORT_TIES``
+#: times as much as the angle says (four shingles within five: 0.1875 to 0.1515).
+SHORT = 16
+SHORT_TIES = 1.25
 #: Odd multipliers and rounds of the splitmix64 generator.
 GOLDEN = 0x9E3779B97F4A7C15
 MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -48,37 +52,38 @@ def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
     return np.packbits(2 * ones > len(hashes), axis=1, bitorder="little").view(np.uint64).ravel()
 
 
-def distance_limit(similarity: float, bits: int, slack: float = 2.5) -> int:
+def distance_limit(similarity: float, bits: int, slack: float = 4.5, ties: float = 1.0) -> int:
     """Differing bits that two sets of this Jaccard similarity hardly exceed.
 
     Their vectors have the cosine 2J / (1 + J), a bit differs with probability
-    angle / pi, and ``slack`` standard deviations are added.
+    angle / pi times ``ties``, and ``slack`` standard deviations are added.
     """
-    p = math.acos(2 * similarity / (1 + similarity)) / math.pi
+    p = min(0.5, ties * math.acos(2 * similarity / (1 + similarity)) / math.pi)
     return math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def jaccard_forest(a: list, b: list | None, wide: tuple[np.ndarray, np.ndarray], similarity: float, limit: int) -> tuple[list[int], list[int]]:
+def jaccard_forest(a: list, b: list | None, wide: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
     """Pairs of row numbers (through ``a``, then ``b``) that connect all similar sets.
 
     Nearest fingerprints are compared first, and sets that are connected
     already not again, so a dense group costs little more than its members.
+    Fingerprints order the pairs and exclude none.
     """
     sets = [frozenset(x) for x in a] + ([] if b is None else [frozenset(x) for x in b])
     shift = 0 if b is None else len(a)
     label = np.arange(len(sets))
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
     us, vs = [], []
     for i in range(len(a)):
-        far = np.bitwise_count(wide[0][i] ^ wide[1]).sum(axis=1, dtype=np.int64)
-        js = np.flatnonzero(far <= limit)
+        other = size[shift:]
+        js = np.flatnonzero((label[shift:] != label[i]) & (np.minimum(size[i], other) >= similarity * np.maximum(size[i], other)))
         if b is None:
             js = js[js > i]
-        for j in js[np.argsort(far[js], kind="stable")] + shift:
+        far = np.bitwise_count(wide[0][i] ^ wide[1][js]).sum(axis=1, dtype=np.int64)
+        for j in js[np.argsort(far, kind="stable")] + shift:
             if label[i] == label[j]:
                 continue
             small, large = sorted((len(sets[i]), len(sets[j])))
-            if small < similarity * large:
-                continue
             both = len(sets[i] & sets[j])
             if both >= similarity * (small + large - both):
                 label[label == label[j]] = label[i]
@@ -87,7 +92,7 @@ def jaccard_forest(a: list, b: list | None, wide: tuple[np.ndarray, np.ndarray],
     return us, vs
 
 
-def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, limit: int, unit_shingles: int = 2_000_000) -> DataFrame:
+def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, unit_shingles: int = 2_000_000) -> DataFrame:
     """Edges between the nodes of each loose group that connect all similar sets.
 
     ``loose`` has ``root, node, id, n``: the row of ``prints`` that stands for
@@ -118,9 +123,9 @@ def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, limit:
         sets = [np.frombuffer(x, np.uint32).tolist() for x in group.column("shingles").to_pylist()]
         words = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
         if group.column("i")[0] == group.column("j")[0]:
-            u, v = jaccard_forest(sets, None, (words, words), similarity, limit)
+            u, v = jaccard_forest(sets, None, (words, words), similarity)
         else:
-            u, v = jaccard_forest(sets[:n], sets[n:], (words[:n], words[n:]), similarity, limit)
+            u, v = jaccard_forest(sets[:n], sets[n:], (words[:n], words[n:]), similarity)
         return pa.table({"u": pa.array(node[u], pa.int64()), "v": pa.array(node[v], pa.int64())})
 
     return dealt.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")
@@ -133,9 +138,10 @@ def near_duplicate_groups(
 
     Two texts are linked if the Jaccard similarity of their shingle sets is
     ``similarity`` or more (hashes of 32 bits stand for shingles) and SimHash
-    finds the pair, which it does for all but about two in a hundred at the
-    limit and practically all above it.  Groups are the components of the
-    links.  Texts without a word are one group.  Repeated rows and null ids
+    puts them into one loose group, which by the binomial model it does for all
+    but about one pair in ten thousand at the limit and for practically all
+    above it; within a loose group no pair is left out.  Groups are the
+    components of the links.  Texts without a word are one group.  Repeated rows and null ids
     stay; an empty table gives no rows; other columns are not read.
     """
     session(docs)
@@ -164,10 +170,12 @@ def near_duplicate_groups(
         .agg(*[F.first(c).alias(c) for c in ("fp", "wide", "n")], F.min("id").alias("id")),
         "distinct",
     )
-    limit = distance_limit(similarity, 64 * WIDE)
-    groups = connected_components(near_links(distinct, distance_limit(similarity, 64), tile, wide_limit=limit))
+    near = lambda d, ties: near_links(
+        d, distance_limit(similarity, 64, ties=ties), tile, wide_limit=distance_limit(similarity, 64 * WIDE, ties=ties)
+    )
+    groups = connected_components(near(distinct, 1.0).unionByName(near(distinct.where(F.col("n") <= SHORT), SHORT_TIES)))
     loose = groups.join(distinct.select("node", "id", "n"), "node")
-    roots = connected_components(similar_links(prints, loose, similarity, limit))
+    roots = connected_components(similar_links(prints, loose, similarity))
     return prints.select("id", "stamp", "node").join(roots, "node", "left").select(
         "id", "stamp", "node", F.coalesce("root", "node").alias("component")
     )

@@ -62,6 +62,23 @@ def test_components_of_edges_with_large_hashes(spark):
     assert roots.count() == 2 * edges.count() > 4096 and roots.where("root <> 2 * (node div 2)").count() == 0
 
 
+def test_near_duplicates_at_the_limit(spark):
+    # four of five and 36 of 45 shingles in common: similarity 0.8 exactly
+    pairs = [(k, " ".join(f"p{k}w{i}" for i in range(n))) for k, n in [(k, 9 if k < 600 else 49) for k in range(1200)]]
+    data = [(2 * k, t) for k, t in pairs] + [(2 * k + 1, " ".join(t.split()[: 8 if k < 600 else 40])) for k, t in pairs]
+    got = neardup.near_duplicate_groups(spark.createDataFrame(data, "doc_id long, text string")).collect()
+    of = {r["id"]: r["component"] for r in got}
+    assert [k for k in range(1200) if of[2 * k] != of[2 * k + 1]] == [] and len(set(of.values())) == 1200
+
+
+def test_no_pair_of_a_loose_group_is_left_out():
+    import numpy as np
+
+    near, apart = np.zeros((1, neardup.WIDE), np.uint64), np.full((1, neardup.WIDE), 2**64 - 1, np.uint64)
+    assert neardup.jaccard_forest([range(9)], [range(10)], (near, apart), 0.8) == ([0], [1])
+    assert neardup.jaccard_forest([range(9)], [range(12)], (near, near), 0.8) == ([], [])
+
+
 def test_one_per_group(docs):
     got = sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in neardup.one_per_group(docs).collect())
     assert got == [(False, 0), (False, 3), (False, 4), (False, 5), (False, 7), (False, 9), (True, 0)]
