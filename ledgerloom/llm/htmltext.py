@@ -178,7 +178,15 @@ def _density(c: int, t: int, lc: int, lt: int, link_share: float) -> float:
     return c / t * math.log(max(c / max(lc, 1) * t / max(lt, 1), 1.0)) / math.log(max(base, 1 + 1e-6))
 
 
-def _whole_article(dom: Dom, node: int, keep: list[bool], chars: list[int], lchars: list[int]) -> int:
+def _headings(dom: Dom, keep: list[bool], chars: list[int]) -> list[int]:
+    """Headings with text in each element."""
+    below = [int(keep[k] and t in ("h1", "h2") and chars[k] > 0) for k, t in enumerate(dom.tag)]
+    for k in range(len(below) - 1, 0, -1):
+        below[dom.parent[k]] += below[k]
+    return below
+
+
+def _whole_article(dom: Dom, node: int, below: list[int], chars: list[int], lchars: list[int]) -> int:
     """The enclosing article, else the element widened as long as that adds a
     heading and at most half as much text, few of it links."""
     up = node
@@ -186,10 +194,6 @@ def _whole_article(dom: Dom, node: int, keep: list[bool], chars: list[int], lcha
         if dom.tag[up] in ("article", "main"):
             return up
         up = dom.parent[up]
-    heading = [keep[k] and t in ("h1", "h2") and chars[k] > 0 for k, t in enumerate(dom.tag)]
-    below = [int(h) for h in heading]
-    for k in range(len(below) - 1, 0, -1):
-        below[dom.parent[k]] += below[k]
     best, up = node, node
     while up:
         up = dom.parent[up]
@@ -228,21 +232,29 @@ def main_text(source: str | None) -> str:
     path = [best]
     while path[-1]:
         path.append(dom.parent[path[-1]])
-    threshold = min(density[k] for k in path)
-    # go down from the body: the first elements as dense as the body path give
-    # their subtree of the largest sum
-    chosen = [False] * n
-    top = [False] * n
+    # without a link the density only grows with the element: characters per tag decide
+    reach = density if lchars[0] else [chars[k] / max(tags[k], 1) if keep[k] else 0.0 for k in range(n)]
+    threshold = min(reach[k] for k in path)
+    # go down from the body through elements as dense as the body path: each gives
+    # its subtree of the largest sum; where that is an article, others are looked
+    # for in articles only
+    chosen, done, top = [False] * n, [False] * n, [False] * n
+    below = _headings(dom, keep, chars)
     peak = list(range(n))
     for k in range(n - 1, 0, -1):
         p = dom.parent[k]
         if (total[peak[k]], -peak[k]) > (total[peak[p]], -peak[p]):
             peak[p] = peak[k]
+    marked = False
     for k in range(n):
-        above = k and top[dom.parent[k]]
-        top[k] = above or keep[k] and chars[k] > 0 and density[k] >= threshold
-        if top[k] and not above:
-            chosen[_whole_article(dom, peak[k], keep, chars, lchars)] = True
+        p = dom.parent[k]
+        done[k] = chosen[k] or k > 0 and done[p]
+        top[k] = (not k or top[p]) and keep[k] and chars[k] > 0 and reach[k] >= threshold
+        if top[k] and not done[k]:
+            whole = _whole_article(dom, peak[k], below, chars, lchars)
+            marked = marked or not k and article[whole]
+            chosen[whole] = chosen[whole] or not marked or article[whole]
+            done[k] = chosen[k]
     for k in range(1, n):
         chosen[k] = (chosen[k] or chosen[dom.parent[k]]) and keep[k]
     blocks, run = [], []

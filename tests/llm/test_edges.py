@@ -198,6 +198,17 @@ def test_html_cases(spark):
     assert htmltext.extract_pages(pages.limit(0)).count() == 0
 
 
+def test_html_split_article():
+    one, two, three = ("".join(f"<p>{w} part, sentence {i}, long enough to be read as prose by anyone.</p>" for i in range(n)) for w, n in (("First", 6), ("Second", 4), ("Third", 3)))
+    links = "<ul>" + "<li><a href=/x>Some other page</a></li>" * 5 + "</ul>"
+    got = htmltext.main_text(f"<div><div>{one}</div><div>{links}</div><div>{two}</div></div><div>{links}</div><div><div>{three}</div></div>")
+    assert [got.count(w) for w in ("First", "Second", "Third", "Some other page")] == [6, 4, 3, 0]
+    got = htmltext.main_text(f"<div><div>{one}</div><div>Short</div><div>{two}</div></div>")
+    assert [got.count(w) for w in ("First", "Second", "Short")] == [6, 4, 0]
+    got = htmltext.main_text(f"<main>{two}</main><div>{three}</div><article>{one}</article>")
+    assert [got.count(w) for w in ("First", "Second", "Third")] == [6, 4, 0]
+
+
 def test_packs_fill_well():
     import random
 
