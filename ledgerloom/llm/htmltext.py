@@ -38,12 +38,31 @@ NOISE_WORDS = set(
     "signup login search share sharing social related recommended teaser outbrain taboola pagination pager toolbar widget skip".split()
 )
 COMMENT_WORDS = set("comment comments commentlist disqus replies respond discussion feedback".split())
+# First tokens of a name that states what its element has, and last tokens after which the first says what it is.
+STATES = set("has with without no not is show hide".split())
+HOLDERS = set("area block body box button buttons container content group inner item items left link links list outer region right section text top bottom wrap wrapper".split())
 ATTRS = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 TAG_END = re.compile(r"""(?:[^>"']++|"[^"]*+"|'[^']*+')*+>""")
 NAME = re.compile(r"[A-Za-z][^\s/>]*")
 RAW_END = {t: re.compile(rf"</{t}(?=[\s/>])", re.I) for t in RAW}
 
 
+def _name_words(value: str) -> set[str]:
+    """What the names of a class or id say: whole names and their last tokens,
+    before a holder the first too; not what a name says its element has."""
+    out = set()
+    for name in value.split():
+        tokens = [t for t in re.split(r"[^a-z0-9]+", name) if t]
+        while len(tokens) > 1 and tokens[-1][0].isdigit():
+            tokens.pop()
+        if not tokens or tokens[0] in STATES:
+            continue
+        out |= {name, tokens[-1]}
+        if tokens[-1] in HOLDERS:
+            out.add(tokens[0])
+    return out
+
+
 class Dom:
     """Elements in page order as parallel lists, and the text between them."""
 
@@ -51,6 +70,7 @@ class Dom:
         self.tag: list[str] = ["body"]
         self.parent: list[int] = [-1]
         self.noise: list[int] = [0]  # 1: not if it holds the article, 2: in any case, 3: if outside the article
+        self.named: list[bool] = [False]  # noise by class or id only
         self.events: list[tuple[int, str | None]] = []  # (element, text), None: a block border
         self._parse(source)
 
@@ -64,7 +84,9 @@ class Dom:
         node = len(self.tag)
         self.tag.append(name)
         self.parent.append(stack[-1])
-        self.noise.append(self._is_noise(name, attrs))
+        found, named = self._is_noise(name, attrs)
+        self.noise.append(found)
+        self.named.append(named)
         if name in BLOCK:
             self.events.append((node, None))
         if name == "br":
@@ -84,29 +106,32 @@ class Dom:
             if name in scope:
                 return
 
-    def _is_noise(self, name: str, attrs: str) -> int:
+    def _is_noise(self, name: str, attrs: str) -> tuple[int, bool]:
         if name in NOISE_TAGS:
-            return 1
-        found = 3 if name == "header" else 0
+            return 1, False
+        found, by_name = 3 if name == "header" else 0, 0
         if not attrs.strip():
-            return found
+            return found, False
         for key, *values in ATTRS.findall(attrs):
             key, value = key.lower(), "".join(values).lower()
             if key in ("class", "id"):
-                whole, parts = set(value.split()), set(re.split(r"[^a-z0-9]+", value))
                 if name in ("article", "main"):
-                    found = 2 if whole & COMMENT_WORDS else found
-                elif parts & COMMENT_WORDS:
-                    return 2
-                elif parts & NOISE_WORDS:
-                    return 1
-                elif "header" in parts:
-                    found = 3
+                    by_name = 2 if set(value.split()) & COMMENT_WORDS else by_name
+                    continue
+                words = _name_words(value)
+                if words & COMMENT_WORDS:
+                    by_name = 2
+                elif words & NOISE_WORDS:
+                    by_name = by_name if by_name == 2 else 1
+                elif "header" in words:
+                    by_name = by_name or 3
             elif key == "role" and value in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return 1
+                return 1, False
             elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
-                return 1
-        return found
+                return 1, False
+        if found == 3:  # a header element stays one whatever its names
+            return by_name if by_name in (1, 2) else 3, False
+        return by_name, by_name > 0
 
     def _parse(self, s: str) -> None:
         stack, at, n = [0], 0, len(s)
@@ -203,12 +228,40 @@ def _whole_article(dom: Dom, node: int, below: list[int], chars: list[int], lcha
     return best
 
 
+def _spared(dom: Dom) -> list[bool]:
+    """Elements that only their name calls noise but that hold most of the page's
+    text outside links, whatever lies in further elements named so left aside;
+    of a name for comments, twice as much as is found outside of comments, where
+    no article stands."""
+    n = len(dom.tag)
+    owner, hard, link, said, held = list(range(n)), [False] * n, [False] * n, [False] * n, [0] * n
+    for k in range(1, n):
+        p = dom.parent[k]
+        hard[k] = hard[p] or dom.noise[k] == 1 and not dom.named[k]
+        link[k] = link[p] or dom.tag[k] == "a"
+        owner[k] = k if dom.named[k] else owner[p]
+        said[k] = said[p] or dom.noise[k] == 2
+    for node, text in dom.events:
+        if text and not hard[node] and not link[node]:
+            held[owner[node]] += sum(map(len, text.split()))
+    total = sum(h for k, h in enumerate(held) if dom.noise[k] != 2)
+    marked = any(t in ("article", "main") and not said[k] for k, t in enumerate(dom.tag))
+    spared = [dom.noise[k] == 2 and dom.named[k] and not marked and held[k] > 2 * total for k in range(n)]
+    total += sum(h for h, s in zip(held, spared) if s)
+    spared = [s or dom.named[k] and dom.noise[k] != 2 and 2 * held[k] > total for k, s in enumerate(spared)]
+    inside = list(spared)
+    for k in range(n - 1, 0, -1):
+        inside[dom.parent[k]] |= inside[k]
+    return [dom.named[k] and inside[k] for k in range(n)]
+
+
 def main_text(source: str | None) -> str:
     """Main text of a page: blocks in page order, one per line; "" if none."""
     if not source:
         return ""
     dom = Dom(source)
     n = len(dom.tag)
+    dom.noise = [0 if s else x for s, x in zip(_spared(dom), dom.noise)]
     article = [t in ("article", "main") for t in dom.tag]
     out, within, keep = [False] * n, [False] * n, [True] * n
     for k in range(1, n):

@@ -209,6 +209,16 @@ def test_html_split_article():
     assert [got.count(w) for w in ("First", "Second", "Third")] == [6, 4, 0]
 
 
+@pytest.mark.parametrize(
+    "attrs", ["class='content with-sidebar'", "id='page' class='menu-open'", "class='post social'", "class='job-notice'", "class='post has-comments'", "class='post feedback'"]
+)
+def test_html_article_in_a_wrapper_named_like_furniture(attrs):
+    prose = "".join(f"<p>Sentence {i} of the article, long enough to be read as prose.</p>" for i in range(5))
+    extra = "<div class='sidebar'><p>Furniture of the page.</p></div><ul class='comments'><li class='comment'><p>I disagree with it.</p></li></ul>"
+    got = htmltext.main_text(f"<div {attrs}><div>{prose}</div>{extra}</div><div><a href=/>Home</a></div>")
+    assert got.count("Sentence") == 5 and "Furniture" not in got and "disagree" not in got
+
+
 def test_packs_fill_well():
     import random
 
