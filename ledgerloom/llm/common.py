@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +18,7 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 _SHIPPED: set[str] = set()
+_LOCAL: dict[str, str] = {}
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
@@ -33,9 +36,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def numbered(df: DataFrame) -> tuple[DataFrame, Callable[[str], str]]:
+    """``df`` with its columns named ``in_0, in_1, ...`` and the new name of an old one.
+
+    Operators that pass the caller's columns through work on these names, so
+    neither the operator's own columns nor repeated names can clash with them.
+    """
+    names = df.columns
+    return df.toDF(*[f"in_{k}" for k in range(len(names))]), lambda name: f"in_{names.index(name)}"
+
+
 def session(df: DataFrame) -> SparkSession:
-    """The session of ``df``, with Arrow batches small enough for long texts
-    and this package shipped to the executors."""
+    """The session of ``df``, with this package shipped to the executors.
+
+    Arrow batches of the session are set to 1,000 rows and 8 MB at most: tasks
+    hold a batch of whole texts at a time, however long or repeated they are.
+    The setting is read when a lazy result runs, so it stays set.
+    """
     spark = df.sparkSession
     app = spark.sparkContext.applicationId
     if app not in _SHIPPED:
@@ -46,22 +63,28 @@ def session(df: DataFrame) -> SparkSession:
                 z.write(source, source.relative_to(package.parent))
         spark.sparkContext.addPyFile(str(path))
         _SHIPPED.add(app)
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 1000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    for name, most in (("maxRecordsPerBatch", 1000), ("maxBytesPerBatch", 8 << 20)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = spark.conf.get(key, None)
+        if now is None or int(now.removesuffix("B").removesuffix("b")) > most:
+            spark.conf.set(key, str(most))
     return spark
 
 
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors share (``spark.checkpoint.dir``).
 
-    Where the setting is absent (tests on one machine) a temporary folder is
-    used and set, so that later calls and ``checkpoint()`` agree.
+    Where it is unset a temporary folder is used if driver and tasks are one
+    process (``local``, as in tests); on a cluster that is an error.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-        spark.sparkContext.setCheckpointDir(folder)
+        context = spark.sparkContext
+        if not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        if context.applicationId not in _LOCAL:
+            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
+        folder = _LOCAL[context.applicationId]
     return folder.rstrip("/")
 
 
@@ -73,7 +96,7 @@ def fresh_dir(spark: SparkSession, tag: str) -> str:
     fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(p)
     fs.deleteOnExit(p)
-    return path
+    return fs.makeQualified(p).toString()
 
 
 def written(df: DataFrame, tag: str) -> DataFrame:
