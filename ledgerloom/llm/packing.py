@@ -6,6 +6,7 @@ import base64
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -27,18 +28,23 @@ class Encoder:
 
     tiktoken runs the same vocabulary about four times as fast and gives the
     same ids; texts that hold the special token's string, which only the file
-    knows, go through ``tokenizers``.
+    knows, go through ``tokenizers``, which is loaded with the first of them.
     """
 
     def __init__(self, json_path: str, ranks_path: str):
         import public_tokenizers
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(ranks_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.fast = tiktoken.Encoding("byte_bpe", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self.exact = Tokenizer.from_file(json_path)
+        self.json_path = json_path
+
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.json_path)
 
     def ids(self, text: str | None) -> np.ndarray:
         if not text:
@@ -126,17 +132,14 @@ def pieces(docs: DataFrame, capacity: int, vocabulary: str, id_col: str, text_co
     def tokenize(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, part, ranks = encoder(vocabulary), TaskContext.get().partitionId(), defaultdict(int)
         for b in batches:
-            row, out = [], [[] for _ in range(5)]
+            made = []
             for k, text in enumerate(b.column(1)):
                 ids = np.append(enc.ids(text.as_py()), np.uint32(END_ID)).astype("<u4")
                 for start, length in cut(len(ids), capacity):
-                    row.append(k)
-                    for column, x in zip(out, (start, length, zlib.crc32(ids[start : start + length].tobytes()), len(ids), ranks[length])):
-                        column.append(x)
+                    made.append((k, start, length, zlib.crc32(ids[start : start + length]), len(ids), part, ranks[length]))
                     ranks[length] += 1
-            start, length, crc, total, rank = (pa.array(c, pa.int64()) for c in out)
-            part_col = pa.array([part] * len(row), pa.int64())
-            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(row, pa.int64())), start, length, crc, total, part_col, rank], names)
+            table_ = np.array(made, np.int64).reshape(-1, len(names))
+            yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(table_[:, 0])), *map(pa.array, table_[:, 1:].T)], names)
 
     schema = T.StructType([rows.schema["id"], *(T.StructField(n, T.LongType()) for n in names[1:])])
     return rows.mapInArrow(tokenize, schema)
