@@ -13,13 +13,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import session, space_words, written
+from .common import fresh_dir, numbered, session, shuffle_partitions, space_words, written
 from .components import connected_components
-from .simhash import near_links, shingle_hashes
+from .simhash import TILE, near_links, shingle_hashes
 
 WIDE = 4
 #: Bits of sets up to so many shingles tie often: they differ up to ``SHORT_TIES``
@@ -62,77 +64,95 @@ def distance_limit(similarity: float, bits: int, slack: float = 4.5, ties: float
     return math.ceil(bits * p + slack * math.sqrt(bits * p * (1 - p)))
 
 
-def jaccard_forest(a: list, b: list | None, wide: tuple[np.ndarray, np.ndarray], similarity: float) -> tuple[list[int], list[int]]:
+def jaccard_forest(a: list[np.ndarray], b: list[np.ndarray] | None, similarity: float) -> tuple[list[int], list[int]]:
     """Pairs of row numbers (through ``a``, then ``b``) that connect all similar sets.
 
-    Nearest fingerprints are compared first, and sets that are connected
-    already not again, so a dense group costs little more than its members.
-    Fingerprints order the pairs and exclude none.
+    The sets of one side are indexed by element, so a row finds what it has in
+    common with all of them at once, exactly.  Rows whose possible partners are
+    all connected to them already are not looked up: a dense group costs little
+    more than its members.
     """
-    sets = [frozenset(x) for x in a] + ([] if b is None else [frozenset(x) for x in b])
+    sets = [*a, *(b or [])]
     shift = 0 if b is None else len(a)
-    label = np.arange(len(sets))
     size = np.fromiter(map(len, sets), np.int64, len(sets))
+    label = np.arange(len(sets))
+    element = np.concatenate([*sets[shift:], np.zeros(0, np.uint32)])
+    order = np.argsort(element, kind="stable")
+    element, owner = element[order], np.repeat(np.arange(len(sets) - shift), size[shift:])[order]
     us, vs = [], []
     for i in range(len(a)):
         other = size[shift:]
-        js = np.flatnonzero((label[shift:] != label[i]) & (np.minimum(size[i], other) >= similarity * np.maximum(size[i], other)))
+        may = (label[shift:] != label[i]) & (np.minimum(size[i], other) >= similarity * np.maximum(size[i], other))
         if b is None:
-            js = js[js > i]
-        far = np.bitwise_count(wide[0][i] ^ wide[1][js]).sum(axis=1, dtype=np.int64)
-        for j in js[np.argsort(far, kind="stable")] + shift:
-            if label[i] == label[j]:
-                continue
-            small, large = sorted((len(sets[i]), len(sets[j])))
-            both = len(sets[i] & sets[j])
-            if both >= similarity * (small + large - both):
-                label[label == label[j]] = label[i]
-                us.append(i)
-                vs.append(int(j))
+            may[: i + 1] = False
+        if not may.any():
+            continue
+        lo, n = (lambda x: (x, np.searchsorted(element, sets[i], "right") - x))(np.searchsorted(element, sets[i], "left"))
+        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
+        both = np.bincount(owner[at], minlength=len(other))
+        js = np.flatnonzero(may & (both + 1e-9 >= similarity * (size[i] + other - both))) + shift
+        found, first = np.unique(label[js], return_index=True)
+        us += [i] * len(found)
+        vs += js[first].tolist()
+        label[np.isin(label, found)] = label[i]
     return us, vs
 
 
-def similar_links(prints: DataFrame, loose: DataFrame, similarity: float, unit_shingles: int = 2_000_000) -> DataFrame:
+def similar_links(path: str, loose: DataFrame, similarity: float, unit_shingles: int = 4_000_000) -> DataFrame:
     """Edges between the nodes of each loose group that connect all similar sets.
 
-    ``loose`` has ``root, node, id, n``: the row of ``prints`` that stands for
-    the node and its number of shingles.  A group is dealt, by hash, into parts
-    of about ``unit_shingles`` hashes, and each pair of its parts is a unit of
-    its own: memory is bounded however large a group is.  Parts are planned
-    without the shingles, which move once to their plan and, in loose groups
-    only, once to the units.
+    ``loose`` has ``root, node, n, at``: the node's number of shingles and its
+    row in the written fingerprints below ``path``.  A group is dealt, by hash,
+    into parts of about ``unit_shingles`` hashes, and each pair of its parts is
+    a unit of its own: memory is bounded however large a group is.  Shingles
+    are read where they lie and move only for loose groups, once to each unit.
+    No loose group gives no edges.
     """
+    spark = session(loose)
     sizes = loose.groupBy("root").agg(F.greatest(F.ceil(F.sum("n") / unit_shingles), F.lit(1)).alias("parts"))
-    placed = written(
+    placed = (
         loose.join(sizes, "root")
-        .withColumn("i", F.pmod(F.xxhash64("node"), "parts"))
-        .select("root", "parts", "i", F.col("node").alias("_node"), F.col("id").alias("_id")),
-        "placed",
+        .select("root", "node", "parts", F.pmod(F.xxhash64("node"), "parts").alias("i"), "at.file", "at.row")
+        .repartition(shuffle_partitions(spark), "file")
+        .sortWithinPartitions("file", "row")
     )
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, folder = pafs.FileSystem.from_uri(path)
+        name, groups, held = None, None, None
+        for b in batches:
+            files, wanted = b.column(4).to_pylist(), b.column(5).to_numpy()
+            found: list[bytes] = []
+            for file, row in zip(files, wanted.tolist()):
+                if file != name:
+                    name, groups = file, pq.ParquetFile(fs.open_input_file(f"{folder}/{file}"))
+                    ends = np.cumsum([groups.metadata.row_group(g).num_rows for g in range(groups.num_row_groups)])
+                    held = None
+                g = int(np.searchsorted(ends, row, "right"))
+                if g != held:
+                    held, column = g, groups.read_row_group(g, ["shingles"]).column(0)
+                found.append(column[row - int(ends[g]) + len(column)].as_py())
+            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(found, pa.binary())], [*b.schema.names[:4], "shingles"])
+
+    schema = T.StructType([*placed.schema.fields[:4], T.StructField("shingles", T.BinaryType())])
     units = F.expr(
         "transform(sequence(0L, parts - 1), j -> if(j >= i, struct(i AS i, j AS j, 0 AS side), struct(j AS i, i AS j, 1 AS side)))"
     )
-    # both sides grow with the corpus, so they are merged at every size
-    carriers = prints.join(placed.hint("merge"), (F.col("node") == F.col("_node")) & F.col("id").eqNullSafe(F.col("_id")))
-    dealt = carriers.select("root", "node", "wide", "shingles", F.explode(units).alias("t")).select("root", "node", "wide", "shingles", "t.*")
+    dealt = placed.mapInArrow(read, schema).select("root", "node", "shingles", F.explode(units).alias("t")).select("root", "node", "shingles", "t.*")
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("side")
         node = group.column("node").to_numpy()
         n = int((group.column("side").to_numpy() == 0).sum())
-        sets = [np.frombuffer(x, np.uint32).tolist() for x in group.column("shingles").to_pylist()]
-        words = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
-        if group.column("i")[0] == group.column("j")[0]:
-            u, v = jaccard_forest(sets, None, (words, words), similarity)
-        else:
-            u, v = jaccard_forest(sets[:n], sets[n:], (words[:n], words[n:]), similarity)
+        sets = [np.frombuffer(x, np.uint32) for x in group.column("shingles").to_pylist()]
+        u, v = jaccard_forest(sets[:n], None if group.column("i")[0] == group.column("j")[0] else sets[n:], similarity)
         return pa.table({"u": pa.array(node[u], pa.int64()), "v": pa.array(node[v], pa.int64())})
 
     return dealt.groupBy("root", "i", "j").applyInArrow(compare, "u long, v long")
 
 
 def near_duplicate_groups(
-    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = 32768, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, similarity: float = 0.8, shingle: int = 5, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, stamp, node, component)`` per row; ``stamp`` hashes the text.
 
@@ -141,10 +161,11 @@ def near_duplicate_groups(
     puts them into one loose group, which by the binomial model it does for all
     but about one pair in ten thousand at the limit and for practically all
     above it; within a loose group no pair is left out.  Groups are the
-    components of the links.  Texts without a word are one group.  Repeated rows and null ids
-    stay; an empty table gives no rows; other columns are not read.
+    components of the links.  Null texts and texts without a word are one
+    group.  Repeated rows and null ids stay; an empty table gives no rows;
+    other columns are not read.
     """
-    session(docs)
+    spark = session(docs)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("stamp"), F.col(text_col).cast("binary").alias("text"))
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -163,19 +184,21 @@ def near_duplicate_groups(
 
     kinds = (("fp", T.LongType()), ("wide", T.BinaryType()), ("shingles", T.BinaryType()))
     schema = T.StructType([*rows.schema.fields[:2], *(T.StructField(n, t) for n, t in kinds)])
-    prints = written(rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("shingles")), "fingerprints")
+    scanned = rows.mapInArrow(scan, schema).withColumn("node", F.xxhash64("shingles")).withColumn("n", F.octet_length("shingles") / 4)
+    path = f"{fresh_dir(spark, 'fingerprints')}/t"
+    scanned.write.option("compression", "zstd").parquet(path)
+    prints = spark.read.schema(scanned.schema).parquet(path)
+    at = F.struct(F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
     distinct = written(
-        prints.select("node", "fp", "wide", "id", (F.octet_length("shingles") / 4).alias("n"))
-        .groupBy("node")
-        .agg(*[F.first(c).alias(c) for c in ("fp", "wide", "n")], F.min("id").alias("id")),
+        prints.select("node", "fp", "wide", "n", at.alias("at")).groupBy("node").agg(*[F.first(c).alias(c) for c in ("fp", "wide", "n")], F.min("at").alias("at")),
         "distinct",
     )
     near = lambda d, ties: near_links(
         d, distance_limit(similarity, 64, ties=ties), tile, wide_limit=distance_limit(similarity, 64 * WIDE, ties=ties)
     )
     groups = connected_components(near(distinct, 1.0).unionByName(near(distinct.where(F.col("n") <= SHORT), SHORT_TIES)))
-    loose = groups.join(distinct.select("node", "id", "n"), "node")
-    roots = connected_components(similar_links(prints, loose, similarity))
+    loose = written(groups.join(distinct.select("node", "n", "at"), "node"), "loose")
+    roots = connected_components(similar_links(path, loose, similarity))
     return prints.select("id", "stamp", "node").join(roots, "node", "left").select(
         "id", "stamp", "node", F.coalesce("root", "node").alias("component")
     )
@@ -184,20 +207,21 @@ def near_duplicate_groups(
 def one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay if one of each group of near duplicates does.
 
-    It is the row with the smallest id (a null id only if there is no other);
-    a repeated row stays once.  All columns pass through.
+    It is the row with the smallest id (a null id only if there is no other; of
+    rows with one id and different texts, the one whose text hashes lowest).
+    A row that repeats id and text stays once, with the other columns of any of
+    its rows.  Null texts and texts without a word are one group; an empty
+    table gives no rows; all columns pass through, whatever their names.
     """
+    rows, at = numbered(docs)
+    id_, text = at(id_col), at(text_col)
     key = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("\u0000"))
-    groups = written(near_duplicate_groups(docs, id_col=id_col, text_col=text_col, **options), "groups")
-    texts = groups.groupBy("component", key("id").alias("_id"), F.col("stamp").alias("_stamp")).agg(
-        F.count("*").alias("n"), F.first(F.struct(F.col("id").isNull().alias("none"), "id", "stamp")).alias("k")
+    groups = written(near_duplicate_groups(rows, id_col=id_, text_col=text, **options), "groups")
+    texts = groups.groupBy("component", key("id").alias("id_key"), "stamp").agg(
+        F.first(F.struct(F.col("id").isNull().alias("none"), "id", "stamp")).alias("k")
     )
-    best = texts.groupBy("component").agg(F.min("k").alias("best"), F.sum("n").alias("rows")).where("rows > 1").drop("rows")
-    keys = ["_id", "_stamp"]
-    stays = (F.col("k") == F.col("best")).alias("stays")
-    gone = written(texts.join(best, "component").select(*keys, stays, "n").where("n > 1 OR NOT stays"), "gone")
-    # both grow with the corpus, so they are merged at every size; the removal
-    # of repeated rows has the join's keys, so texts move once
-    rows = docs.withColumn("_id", key(id_col)).withColumn("_stamp", F.xxhash64(text_col))
-    judged = rows.join(gone.select(*keys, F.col("stays").alias("_stays")).hint("merge"), keys, "left")
-    return judged.where("_stays IS NULL OR _stays").drop("_stays").dropDuplicates(keys).drop(*keys)
+    best = texts.groupBy("component").agg(F.min("k").alias("best"), F.count("*").alias("texts")).where("texts > 1")
+    gone = written(texts.join(best, "component").where("k <> best").select("id_key", "stamp"), "gone")
+    # the exchange that finds repeated rows has the keys of the anti join
+    once = rows.withColumn("id_key", key(id_)).withColumn("stamp", F.xxhash64(text)).dropDuplicates(["id_key", "stamp"])
+    return once.join(gone, ["id_key", "stamp"], "left_anti").drop("id_key", "stamp").toDF(*docs.columns)

@@ -17,6 +17,9 @@ from .components import connected_components
 CHUNK = 65536
 #: A corpus is cut into so many tiles at least, to occupy more than a few cores.
 MIN_TILES = 8
+#: Members of a tile.  A task compares two tiles: some 7e10 pairs, a minute or
+#: two, from 25 MB of fingerprints.
+TILE = 1 << 18
 
 
 def shingle_hashes(words: list[bytes], shingle: int, seed: int = 42) -> Iterator[np.ndarray]:
@@ -56,26 +59,33 @@ def fingerprints(docs: DataFrame, shingle: int = 4, id_col: str = "doc_id", text
     return rows.mapInArrow(scan, schema)
 
 
-def _tile_links(a: np.ndarray, b: np.ndarray | None, radius: int, rows: int = 64) -> Iterator[tuple[int, np.ndarray]]:
-    """Row of ``a`` and its linked rows of ``b`` (of ``a`` behind it if None).
+def _near_pairs(
+    a: np.ndarray, b: np.ndarray | None, radius: int, wide: tuple[np.ndarray, np.ndarray] | None, limit: int, rows: int = 64, columns: int = 8192
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked rows of ``a`` and ``b`` (of ``a`` behind them if None), block by block.
 
     Both sides are sorted by the population count of their low half: the
-    halves' differences bound the distance, so most blocks need few columns.
+    halves' differences bound the distance, so blocks too far apart are
+    skipped.  A block fits the processor's cache.
     """
     half = np.uint64(0xFFFFFFFF)
     ca = np.bitwise_count(a & half).astype(np.int64)
     other, cb = (a, ca) if b is None else (b, np.bitwise_count(b & half).astype(np.int64))
     for lo in range(0, len(a), rows):
         hi = min(len(a), lo + rows)
-        left = lo if b is None else int(np.searchsorted(cb, ca[lo] - radius, "left"))
-        right = int(np.searchsorted(cb, ca[hi - 1] + radius, "right"))
-        if right <= left:
-            continue
-        near = np.bitwise_count(a[lo:hi, None] ^ other[None, left:right]) <= radius
-        if b is None:
-            near &= np.arange(left, right)[None, :] > np.arange(lo, hi)[:, None]
-        for r in np.flatnonzero(near.any(axis=1)):
-            yield lo + int(r), left + np.flatnonzero(near[r])
+        begin = lo if b is None else int(np.searchsorted(cb, ca[lo] - radius, "left"))
+        end = int(np.searchsorted(cb, ca[hi - 1] + radius, "right"))
+        for left in range(begin, end, columns):
+            right = min(end, left + columns)
+            r, c = np.nonzero(np.bitwise_count(a[lo:hi, None] ^ other[None, left:right]) <= radius)
+            r, c = r + lo, c + left
+            if b is None:
+                r, c = r[c > r], c[c > r]
+            if wide is not None and len(r):
+                close = np.bitwise_count(wide[0][r] ^ wide[1][c]).sum(axis=1, dtype=np.int64) <= limit
+                r, c = r[close], c[close]
+            if len(r):
+                yield r, c
 
 
 def tile_forest(
@@ -85,22 +95,30 @@ def tile_forest(
 
     Rows are numbered through ``a`` and then ``b``.  With ``wide``, the further
     words of both sides, a link also needs at most ``limit`` differing bits in
-    all.  Labels are merged row by row, so a dense group costs its comparisons
-    and no list of pairs.
+    all.  A dense group costs its comparisons and no list of pairs.
     """
     half = np.uint64(0xFFFFFFFF)
     oa = np.argsort(np.bitwise_count(a & half), kind="stable")
     ob = oa if b is None else np.argsort(np.bitwise_count(b & half), kind="stable")
     shift = 0 if b is None else len(a)
-    label = np.arange(len(a) + (0 if b is None else len(b)))
-    for r, cs in _tile_links(a[oa], None if b is None else b[ob], radius):
-        i, js = oa[r], ob[cs]
-        if wide is not None:
-            far = np.bitwise_count(wide[0][i] ^ wide[1][js]).sum(axis=1, dtype=np.int64)
-            js = js[far <= limit]
-        groups = np.unique(np.append(label[js + shift], label[i]))
-        for g in groups[1:]:
-            label[label == g] = groups[0]
+    parent = np.arange(len(a) + (0 if b is None else len(b)))
+
+    def roots(x: np.ndarray) -> np.ndarray:
+        r = parent[x]
+        while (parent[r] != r).any():
+            r = parent[r]
+        parent[x] = r
+        return r
+
+    if wide is not None:
+        wide = wide[0][oa], wide[1 if b is not None else 0][ob]
+    for r, c in _near_pairs(a[oa], None if b is None else b[ob], radius, wide, limit):
+        r, c = oa[r], ob[c] + shift
+        cuts = np.flatnonzero(np.diff(r)) + 1
+        for i, js in zip(r[np.append(0, cuts)], np.split(c, cuts)):
+            found = np.unique(roots(np.append(js, i)))
+            parent[found[1:]] = found[0]
+    label = roots(np.arange(len(parent)))
     moved = np.flatnonzero(label != np.arange(len(label)))
     return moved, label[moved]
 
@@ -120,7 +138,7 @@ def count_bands(counts: dict[int, int], tile: int) -> list[tuple[int, int, int]]
     return bands
 
 
-def near_links(distinct: DataFrame, radius: int = 4, tile: int = 8192, wide_limit: int | None = None) -> DataFrame:
+def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE, wide_limit: int | None = None) -> DataFrame:
     """Edges ``(u, v)`` between nodes that connect all fingerprints within ``radius``.
 
     ``distinct`` holds each ``node`` once with its ``fp``; with ``wide_limit``
@@ -130,9 +148,10 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = 8192, wide_limi
     share a tile while they fit, a larger count is split by hash.  Pairs of
     tiles whose counts differ by more than ``radius`` are skipped, every other
     pair is compared exactly, with numpy exclusive-or and bit counts, and
-    returns at most one edge per member, not its pairs.  A fingerprint meets
-    as many tiles as lie within its radius, which is few until the corpus has
-    many tiles.  The driver holds the 65 counts.
+    returns at most one edge per member, not its pairs.  A fingerprint goes to
+    the tiles within its radius: a dozen at most below ``MIN_TILES`` full tiles,
+    beyond them one more for each further tile.  Null nodes do not occur; a
+    repeated node links to itself.  The driver holds the 65 counts.
     """
     session(distinct)
     counts = dict(distinct.groupBy(F.bit_count("fp").alias("c")).count().collect())
@@ -181,7 +200,7 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = 8192, wide_limi
 
 
 def simhash_groups(
-    docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = 8192, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, shingle: int = 4, radius: int = 4, tile: int = TILE, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """``(id, fp, component_id)`` per row of ``docs``.
 
