@@ -4,165 +4,222 @@ from __future__ import annotations
 
 import pickle
 from collections.abc import Iterable, Iterator
-from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from numpy.lib.stride_tricks import sliding_window_view
 from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from xxhash import xxh64_intdigest
 
-from .common import alnum_words, fresh_dir, session, table
+from .common import alnum_words, fresh_dir, numbered, session, table, written
 
 WINDOW = 10
 SHINGLE = 3
-#: A block of the benchmark has about this many bytes of text at most; its
-#: index goes to the tasks whole.  Larger benchmarks are split into blocks.
+#: A block of the benchmark has about this many bytes of text: the index of one
+#: is held by a task at a time.
 BLOCK_BYTES = 4 << 20
+#: Words of a stretch of a long item, which is a row of its own.
+STRETCH_WORDS = 100_000
+#: Bytes of documents that a task compares with a block before it loads the next.
+HELD_BYTES = 16 << 20
+#: Odd multiplier of the shingle codes.
+MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def word_hashes(words: Iterable[bytes]) -> np.ndarray:
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64)
+
+
+def shingle_codes(hashes: np.ndarray, s: int) -> np.ndarray:
+    """64-bit codes of the ``s``-word shingles along the last axis."""
+    n = max(hashes.shape[-1] - s + 1, 0)
+    code = np.zeros(hashes.shape[:-1] + (n,), np.uint64)
+    for k in range(s):
+        code = code * MIX + hashes[..., k : k + n]
+    return code
 
 
 class WindowIndex:
     """Windows of benchmark items, found by their rarest shingle.
 
     A window occurs in a document only if all its shingles do, so looking up
-    one of them, the prefix in order of rarity, loses nothing.
+    one of them, the prefix in order of rarity, loses nothing.  Words are
+    compared by 64-bit hashes first; occurrences are then compared as text.
     """
 
-    def __init__(self, items: Iterable[tuple[str | None, bytes | None]], window: int = WINDOW, shingle: int = SHINGLE):
-        self.vocabulary: dict[bytes, int] = {}
+    def __init__(self, stretches: Iterable[tuple[str | None, bytes]], window: int = WINDOW, shingle: int = SHINGLE):
         self.shingle = shingle
-        by_length: dict[int, dict[tuple[int, ...], set]] = {}
-        for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in alnum_words(text)]
-            size = min(window, len(words))
-            for i in range(len(words) - size + 1 if size else 0):
-                by_length.setdefault(size, {}).setdefault(tuple(words[i : i + size]), set()).add(item)
-        self.windows = {n: np.array(list(w), np.int64) for n, w in by_length.items()}
-        self.items = {n: [sorted(x for x in s if x is not None) for s in w.values()] for n, w in by_length.items()}
-        self.base = len(self.vocabulary) + 1
-        if self.base**shingle >= 2**63:
-            raise ValueError("the block's vocabulary is too large for its shingle codes")
-        self.codes = {s: np.unique(np.concatenate([self._codes(w, s).ravel() for w in ws])) for s, ws in self._by_shingle().items()}
-        self.prefix: dict[int, tuple] = {}
-
-    def _by_shingle(self) -> dict[int, list[np.ndarray]]:
-        out: dict[int, list[np.ndarray]] = {}
-        for n, w in self.windows.items():
-            out.setdefault(min(self.shingle, n), []).append(w)
-        return out
-
-    def _codes(self, ids: np.ndarray, s: int) -> np.ndarray:
-        """Codes of the ``s``-word shingles along the last axis."""
-        n = ids.shape[-1] - s + 1
-        code = np.zeros(ids.shape[:-1] + (max(n, 0),), np.int64)
-        for k in range(s):
-            code = code * self.base + ids[..., k : k + max(n, 0)]
-        return code
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.vocabulary.get, words, repeat(0)), np.int64, len(words))
-
-    def count(self, ids: np.ndarray) -> dict[int, np.ndarray]:
-        """Occurrences of each benchmark shingle, by shingle size."""
-        out = {}
+        rows = [(item, alnum_words(text)) for item, text in dict.fromkeys(stretches)]
+        words = [w for _, ws in rows for w in ws]
+        self.names = sorted({item for item, _ in rows if item is not None})
+        number = {item: k for k, item in enumerate(self.names)}
+        self.body = b" ".join(words)
+        self.offset = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype(np.int64)
+        hashes, first = word_hashes(words), np.cumsum([0, *(len(ws) for _, ws in rows)])
+        starts: dict[int, list[np.ndarray]] = {}
+        owners: dict[int, list[np.ndarray]] = {}
+        for at, (item, ws) in zip(first, rows):
+            size = min(window, len(ws))
+            if size:
+                starts.setdefault(size, []).append(np.arange(at, at + len(ws) - size + 1))
+                owners.setdefault(size, []).append(np.full(len(ws) - size + 1, number.get(item, -1)))
+        self.windows, self.start, self.items, self.codes, self.prefix = {}, {}, {}, {}, {}
+        for n in starts:
+            start, owner = np.concatenate(starts[n]), np.concatenate(owners[n])
+            raw = np.ascontiguousarray(sliding_window_view(hashes, n)[start]).view(np.dtype((np.void, 8 * n))).ravel()
+            distinct, one, which = np.unique(raw, return_index=True, return_inverse=True)
+            self.windows[n], self.start[n] = distinct.view(np.uint64).reshape(-1, n), start[one]
+            pairs = np.unique(np.stack([which.ravel(), owner], axis=1)[owner >= 0], axis=0)
+            self.items[n] = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
+        for s in {min(shingle, n) for n in self.windows}:
+            of = [shingle_codes(w, s).ravel() for n, w in self.windows.items() if min(shingle, n) == s]
+            self.codes[s] = np.unique(np.concatenate(of))
+
+    def count(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shingle size, numbers of benchmark shingles, occurrences)."""
         for s, known in self.codes.items():
-            code = self._codes(ids, s)
+            code = shingle_codes(hashes, s)
             k = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            out[s] = np.bincount(k[known[k] == code], minlength=len(known))
-        return out
+            yield s, *np.unique(k[known[k] == code], return_counts=True)
 
     def order(self, frequency: dict[int, np.ndarray]) -> None:
         """Choose each window's prefix: its least frequent shingle, first on ties."""
         for n, w in self.windows.items():
             s = min(self.shingle, n)
-            code = self._codes(w, s)
+            code = shingle_codes(w, s)
             at = np.argmin(frequency[s][np.searchsorted(self.codes[s], code)], axis=1)
             token = code[np.arange(len(w)), at]
             by = np.argsort(token, kind="stable")
             keys, first = np.unique(token[by], return_index=True)
             self.prefix[n] = (keys, np.append(first, len(by)), by, at)
 
-    def find(self, ids: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, starts, windows) of all occurrences; 0 in ``ids`` matches nothing."""
+    def find(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(length, starts, windows) of all occurrences, by word hashes."""
         for n, (keys, first, by, at) in self.prefix.items():
-            code = self._codes(ids, min(self.shingle, n))
+            code = shingle_codes(hashes, min(self.shingle, n))
             k = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
             place = np.flatnonzero(keys[k] == code)
-            if not len(place):
-                continue
             lo, size = first[k[place]], first[k[place] + 1] - first[k[place]]
             spread = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
             window = by[np.repeat(lo, size) + spread]
             start = np.repeat(place, size) - at[window]
-            fits = (start >= 0) & (start + n <= len(ids))
+            fits = (start >= 0) & (start + n <= len(hashes))
             window, start = window[fits], start[fits]
             same = np.ones(len(start), bool)
             for q in range(n):
-                same &= ids[start + q] == self.windows[n][window, q]
+                same &= hashes[start + q] == self.windows[n][window, q]
             yield n, start[same], window[same]
 
+    def text(self, n: int, window: int) -> bytes:
+        at = self.start[n][window]
+        return self.body[self.offset[at] : self.offset[at + n] - 1]
+
+    def names_of(self, n: int, window: int) -> Iterator[str]:
+        names, first = self.items[n]
+        return (self.names[k] for k in names[first[window] : first[window + 1]])
+
 
-def _load(source: WindowIndex | str) -> WindowIndex:
-    if isinstance(source, WindowIndex):
-        return source
-    fs, path = pafs.FileSystem.from_uri(source)
-    with fs.open_input_stream(path) as f:
-        return pickle.loads(f.readall())
+_HELD: dict[str, WindowIndex] = {}
 
 
-def _joined(words: list[list[bytes]], index: WindowIndex) -> tuple[np.ndarray, np.ndarray]:
-    """Ids of all texts, a 0 behind each, and where each text starts."""
-    flat = [w for ws in words for w in (*ws, b"")]
-    return index.ids(flat), np.cumsum([0, *(len(ws) + 1 for ws in words)])
+def load(uri: str) -> WindowIndex:
+    """A stored index; a worker process holds the last one it used."""
+    if uri not in _HELD:
+        _HELD.clear()
+        fs, path = pafs.FileSystem.from_uri(uri)
+        with fs.open_input_stream(path) as f:
+            _HELD[uri] = pickle.loads(f.readall())
+    return _HELD[uri]
 
 
-def build_indexes(
-    docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, id_col: str, text_col: str, item_col: str, item_text_col: str
-) -> list[WindowIndex | str]:
-    """Indexes of the benchmark's blocks, prefixes ordered by document counts.
+def store(index: WindowIndex, uri: str) -> pa.Table:
+    fs, path = pafs.FileSystem.from_uri(uri)
+    with fs.open_output_stream(path) as f:
+        f.write(pickle.dumps(index))
+    return pa.table({"file": [uri]})
 
-    The driver holds one block at a time.  A single block is shipped with the
-    tasks; several are stored in the shared folder, where tasks read them one
-    after the other.  Shingle counts are taken over all documents.
+
+def benchmark_stretches(benchmark: DataFrame, window: int, item_col: str, text_col: str, words: int = STRETCH_WORDS) -> DataFrame:
+    """``(item, text)``: the items, long ones in stretches that share ``window - 1`` words.
+
+    So every window lies in one stretch.  Items without a word have none.
     """
-    spark = docs.sparkSession
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text_col).cast("binary").alias("text"))
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    blocks = max(1, -(-total // block_bytes))
-    folder = fresh_dir(spark, "benchmark") if blocks > 1 else ""
-    out: list[WindowIndex | str] = []
-    for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        index = WindowIndex([tuple(r) for r in part.collect()], window)
-        index.order(_document_counts(docs, index, text_col))
-        if blocks == 1:
-            return [index]
-        fs, path = pafs.FileSystem.from_uri(f"{folder}/{k}.pickle")
-        with fs.open_output_stream(path) as f:
-            f.write(pickle.dumps(index))
-        out.append(f"{folder}/{k}.pickle")
-    return out
-
-
-def _document_counts(docs: DataFrame, index: WindowIndex, text_col: str) -> dict[int, np.ndarray]:
-    """Occurrences of the block's shingles in all documents (added up per task)."""
+    rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = {s: np.zeros(len(c), np.int64) for s, c in index.codes.items()}
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, _ = _joined([alnum_words(t.as_py()) for t in b.column(0)], index)
-            for s, n in index.count(ids).items():
-                total[s] += n
-        for s, n in total.items():
-            k = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(k), s)), pa.array(k), pa.array(n[k])], ["s", "k", "n"])
+            got = []
+            for item, text in zip(b.column(0).to_pylist(), b.column(1)):
+                ws = alnum_words(text.as_py())
+                got += [(item, b" ".join(ws[k : k + words + window - 1])) for k in range(0, max(len(ws) - window + 1, min(1, len(ws))), words)]
+            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["item", "text"])
+
+    return rows.mapInArrow(split, "item string, text binary")
+
+
+def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[bytes], np.ndarray, np.ndarray]]:
+    """Batches of about ``HELD_BYTES`` of text (column 0) together: the texts,
+    all their word hashes, a 0 behind each text, and where each text starts."""
+    kept: list[pa.RecordBatch] = []
+    for b in batches:
+        kept.append(b)
+        if sum(x.column(0).nbytes for x in kept) >= HELD_BYTES:
+            yield _hashed(kept)
+            kept = []
+    if kept:
+        yield _hashed(kept)
 
-    rows = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "s long, k long, n long")
-    out = {s: np.zeros(len(c), np.int64) for s, c in index.codes.items()}
-    for r in rows.groupBy("s", "k").agg(F.sum("n").alias("n")).collect():
-        out[r["s"]][r["k"]] = r["n"]
-    return out
+
+def _hashed(kept: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[bytes], np.ndarray, np.ndarray]:
+    texts = [t.as_py() for b in kept for t in b.column(0)]
+    parts = [np.append(word_hashes(alnum_words(t)), np.uint64(0)) for t in texts]
+    first = np.cumsum([0, *map(len, parts)])
+    return kept, texts, np.concatenate(parts) if parts else np.zeros(0, np.uint64), first
+
+
+def build_indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, text_col: str, item_col: str, item_text_col: str) -> list[str]:
+    """Files with the indexes of the benchmark's blocks, prefixes ordered by rarity.
+
+    Each block is built and ordered in a task of its own.  Its shingles are
+    counted over all documents, in one pass for all blocks.  The driver holds
+    the files' names only.
+    """
+    folder = fresh_dir(docs.sparkSession, "benchmark")
+    stretches = written(benchmark_stretches(benchmark, window, item_col, item_text_col), "stretches")
+    total = stretches.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    block = F.pmod(F.xxhash64("item", "text"), F.lit(-(-total // block_bytes) or 1))
+
+    def build(key: tuple, group: pa.Table) -> pa.Table:
+        index = WindowIndex(zip(group.column("item").to_pylist(), group.column("text").to_pylist()), window)
+        return store(index, f"{folder}/{key[0].as_py()}.built")
+
+    built = written(stretches.select("item", "text", block.alias("block")).groupBy("block").applyInArrow(build, "file string"), "built")
+    files = sorted(r[0] for r in built.collect())
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, _, hashes, _ in held(batches):
+            for file in files:
+                for s, k, n in load(file).count(hashes):
+                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(k), pa.string()), pa.array(np.full(len(k), s)), pa.array(k), pa.array(n)], ["file", "s", "k", "n"])
+
+    counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "file string, s long, k long, n long")
+    none = built.select("file", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n"))
+    counts = counts.unionByName(none).groupBy("file", "s", "k").agg(F.sum("n").alias("n"))
+
+    def order(key: tuple, group: pa.Table) -> pa.Table:
+        index = load(key[0].as_py())
+        frequency = {s: np.zeros(len(c), np.int64) for s, c in index.codes.items()}
+        s, k, n = (group.column(c).to_numpy() for c in ("s", "k", "n"))
+        for size in frequency:
+            frequency[size][k[s == size]] = n[s == size]
+        index.order(frequency)
+        return store(index, key[0].as_py().removesuffix(".built") + ".ordered")
+
+    ordered = written(counts.groupBy("file").applyInArrow(order, "file string"), "ordered")
+    return sorted(r[0] for r in ordered.collect())
 
 
 def find_contamination(
@@ -178,39 +235,50 @@ def find_contamination(
     no window; windows of items with a null id count in ``spans`` only;
     repeated rows stay, repeated items count once; an empty table gives no
     rows, an empty benchmark no spans; other columns are not read, but those
-    named in ``keep`` pass through in place of the id.  No shuffle of documents: hot passages cost their own rows only.
+    named in ``keep`` pass through in place of the id, whatever their names.
+    The documents are read twice, however large the benchmark, and not
+    shuffled: hot passages cost their own rows only.  A task holds
+    ``HELD_BYTES`` of documents and the index of one block.
     """
     session(docs)
-    indexes = build_indexes(docs, benchmark, window, block_bytes, id_col, text_col, item_col, item_text_col)
+    rows, at = numbered(docs)
+    files = build_indexes(rows, benchmark, window, block_bytes, at(text_col), item_col, item_text_col)
     kept = [id_col] if keep is None else keep
-    rows = docs.select(F.col(text_col).cast("binary").alias("_0"), *(F.col(c).alias(f"_{k}") for k, c in enumerate(kept, 1)))
+    rows = rows.select(F.col(at(text_col)).cast("binary").alias("text"), *(F.col(at(c)).alias(f"_{k}") for k, c in enumerate(kept)))
     span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            words = [alnum_words(t.as_py()) for t in b.column(0)]
-            found: list[set] = [set() for _ in words]
-            first = np.cumsum([0, *(len(ws) + 1 for ws in words)])
-            step = np.zeros(first[-1] + 1, np.int64)
-            for source in indexes:
-                index = _load(source)
-                ids, _ = _joined(words, index)
-                for n, start, w in index.find(ids):
-                    np.add.at(step, start, 1)
-                    np.add.at(step, start + n, -1)
+        for some, texts, hashes, first in held(batches):
+            found: list[set] = [set() for _ in texts]
+            step, words = np.zeros(len(hashes) + 1, np.int64), {}
+            for file in files:
+                index = load(file)
+                for n, start, w in index.find(hashes):
                     doc = np.searchsorted(first, start, "right") - 1
-                    for d, k in set(zip(doc.tolist(), w.tolist())):
-                        found[d].update(index.items[n][k])
+                    seen = set()
+                    for d, s, k in zip(doc.tolist(), start.tolist(), w.tolist()):
+                        if d not in words:
+                            words[d] = alnum_words(texts[d])
+                        if b" ".join(words[d][s - first[d] : s - first[d] + n]) == index.text(n, k):
+                            step[s] += 1
+                            step[s + n] -= 1
+                            if (d, k) not in seen:
+                                seen.add((d, k))
+                                found[d].update(index.names_of(n, k))
             edge = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
             begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
             doc = np.searchsorted(first, begins, "right") - 1
-            spans: list[list[dict]] = [[] for _ in words]
+            spans: list[list[dict]] = [[] for _ in texts]
             for d, s, e in zip(doc.tolist(), (begins - first[doc]).tolist(), (ends - first[doc]).tolist()):
                 spans[d].append({"start": s, "end": e})
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns[1:], pa.array([len(ws) for ws in words], pa.int64()), pa.array(spans, span_type), pa.array([sorted(x) for x in found], pa.list_(pa.string()))],
-                [*b.schema.names[1:], "n_words", "spans", "items"],
-            )
+            size, done = np.diff(first) - 1, 0
+            for b in some:
+                own = slice(done, done + b.num_rows)
+                done += b.num_rows
+                yield pa.RecordBatch.from_arrays(
+                    [*b.columns[1:], pa.array(size[own]), pa.array(spans[own], span_type), pa.array([sorted(x) for x in found[own]], pa.list_(pa.string()))],
+                    [*b.schema.names[1:], "n_words", "spans", "items"],
+                )
 
     schema = T.StructType(
         [
@@ -220,7 +288,7 @@ def find_contamination(
             T.StructField("items", T.ArrayType(T.StringType())),
         ]
     )
-    return rows.mapInArrow(find, schema).withColumnsRenamed({f"_{k}": c for k, c in enumerate(kept, 1)})
+    return rows.mapInArrow(find, schema).toDF(*kept, "n_words", "spans", "items")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:
