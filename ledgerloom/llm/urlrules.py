@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -18,105 +18,123 @@ RULES = [
     ("block", "net", "/es/"),
     ("block", "net", "/fr/"),
 ]
-LAST = "\U0010ffff"
 RULE_TYPE = "array<struct<host: string, path: string, verdict: string>>"
+#: A domain name has at most so many labels (RFC 1035: 255 bytes).
+MAX_LABELS = 127
+
+
+def lower_ascii(x: Column) -> Column:
+    return F.translate(x, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
 def url_parts(rows: DataFrame, url_col: str) -> DataFrame:
     """Add ``host`` and ``path``: native string functions, no shuffle.
 
-    Upper-case A-Z of the host are lowered by ``translate``, other letters stay.
+    The host stands between the first ``://`` and the next ``/``, ``?`` or
+    ``#``, the path from there to the next ``?`` or ``#``.  Upper-case A-Z of
+    the host are lowered, other letters stay.  A null URL and one without
+    ``://`` have both empty; repeated rows stay, an empty table has no rows,
+    and other columns pass through.
     """
-    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
     rest = F.expr(f"if(instr({url_col}, '://') > 0, substring({url_col}, instr({url_col}, '://') + 3), '')")
     rows = rows.withColumn("rest", F.coalesce(rest, F.lit("")))
-    host = F.regexp_extract("rest", r"(?s)^([^/?#]*)([^?#]*)", 1)
-    return rows.select(
-        "*", F.translate(host, upper, lower).alias("host"), F.regexp_extract("rest", r"(?s)^([^/?#]*)([^?#]*)", 2).alias("path")
-    ).drop("rest")
+    part = lambda k: F.regexp_extract("rest", r"(?s)^([^/?#]*)([^?#]*)", k)
+    return rows.select("*", lower_ascii(part(1)).alias("host"), part(2).alias("path")).drop("rest")
 
 
-def host_key(host: F.Column) -> F.Column:
-    """Reversed labels, each ended by a comma: subdomains share the prefix."""
-    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(","))
+def host_key(host: Column) -> Column:
+    """Reversed labels, each ended by ``/``: subdomains share the prefix.
 
+    No host of a URL holds a ``/``, so keys of different hosts differ and a
+    label is never taken for two.
+    """
+    return F.concat(F.array_join(F.reverse(F.split(host, r"\.")), "/"), F.lit("/"))
 
-def rule_boundaries(rules: DataFrame) -> DataFrame:
-    """Interval ends ``(key, stack)``: the rules active from ``key`` on.
 
-    A host's subdomains are the interval from its key to its key plus the last
-    character.  Intervals nest or are apart, so a sweep over the sorted ends
-    keeps a stack: a start pushes its host's rules, an end pops them.  The
-    sweep runs over rules only, apart for each top-level label.
+def rule_intervals(rules: DataFrame) -> DataFrame:
+    """``(key, until, depth, own)`` per rule host: its rules hold from ``key`` to below ``until``.
+
+    A host and its subdomains are the strings that start with its key, which
+    are those from the key up to the key with its last ``/`` raised to the next
+    character, ``0``.  Intervals nest or are apart, and of nested ones the
+    inner has the greater ``depth``, its number of labels.  Rules with a null
+    are left out; repeated rules count once.
     """
     hosts = (
-        rules.select(F.lower("host").alias("host"), "path", "verdict")
+        rules.select(lower_ascii(F.col("host")).alias("host"), "path", "verdict")
+        .na.drop()
         .groupBy("host")
         .agg(F.array_sort(F.collect_set(F.struct("host", "path", "verdict"))).alias("own"))
         .withColumn("key", host_key(F.col("host")))
     )
-    ends = hosts.select("key", F.lit(1).alias("push"), "own").unionByName(
-        hosts.select(F.concat("key", F.lit(LAST)).alias("key"), F.lit(0).alias("push"), "own")
-    )
-    swept = ends.groupBy(F.substring_index("key", ",", 1).alias("top")).agg(
-        F.array_sort(F.collect_list(F.struct("key", "push", "own"))).alias("ends")
+    return hosts.select(
+        "key", F.expr("concat(substring(key, 1, length(key) - 1), '0')").alias("until"), F.size(F.split("host", r"\.")).alias("depth"), "own"
     )
-    step = F.expr(
-        f"""aggregate(ends,
-              named_struct('stack', CAST(array() AS array<{RULE_TYPE}>), 'out', CAST(array() AS array<struct<key: string, stack: array<{RULE_TYPE}>>>)),
-              (s, e) -> named_struct(
-                'stack', if(e.push = 1, concat(s.stack, array(e.own)), slice(s.stack, 1, size(s.stack) - 1)),
-                'out', concat(s.out, array(named_struct('key', e.key, 'stack',
-                   if(e.push = 1, concat(s.stack, array(e.own)), slice(s.stack, 1, size(s.stack) - 1)))))),
-              s -> s.out)"""
-    )
-    return swept.select(F.explode(step).alias("b")).select("b.key", F.flatten("b.stack").alias("stack"))
 
 
-def judge_urls(
-    pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url"
-) -> DataFrame:
-    """``(id, host, path, rule, verdict)`` per row of ``pages``.
+def active_rules(hosts: DataFrame, rules: DataFrame) -> DataFrame:
+    """``(host, rules)``: for each of the distinct ``hosts`` the rules of its own
+    and its parent domains.
 
-    Distinct hosts and rule boundaries are sorted together into ranges; within
-    a range each host takes the stack of the boundary before it, and a range
-    takes over the last stack of the ranges before it.  So no rule is copied
-    to hosts and no host to rules, and a host that many rows have is swept
-    once.  Of the active rules whose path starts the URL's path the longest
-    ``host/path`` wins (then the longest host); without one, ``default``.
-    The rules of a host's ancestors travel with it: cost per row follows their
-    number.  Null and malformed URLs have an empty host and path and take the
-    default; repeated rows stay; an empty table gives no rows; other columns
-    are not read.  DataFrame expressions only.
+    Keys of hosts and starts of intervals are sorted together into ranges and
+    swept in order.  The stack has a place for each depth: a start takes the
+    place of its depth, and an interval whose end has been passed is popped.
+    Within a range the places are running last values, and the last ones of a
+    range are carried into the ranges behind it, so however many rules a
+    domain has, no task sweeps them alone.  A host's own rules are one row.
     """
-    spark = pages.sparkSession
-    rows = url_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url_")), "url_").drop("url_")
-    hosts = rows.select("host").distinct().select(host_key(F.col("host")).alias("key"), "host")
-    ends = rule_boundaries(rules)
-    events = hosts.select("key", "host", F.lit(1).alias("kind"), F.lit(None).cast(RULE_TYPE).alias("stack")).unionByName(
-        ends.select("key", F.lit(None).cast("string").alias("host"), F.lit(0).alias("kind"), "stack")
+    intervals = written(rule_intervals(rules), "intervals")
+    depths = sorted(r[0] for r in intervals.select("depth").distinct().limit(MAX_LABELS + 1).collect())
+    if len(depths) > MAX_LABELS:
+        raise ValueError(f"rule hosts of more than {MAX_LABELS} different numbers of labels")
+    rule = F.struct("key", "until", "own")
+    events = hosts.select(host_key(F.col("host")).alias("key"), "host", F.lit(1).alias("kind")).unionByName(
+        intervals.select("key", F.lit(0).alias("kind"), "depth", rule.alias("rule")), allowMissingColumns=True
     )
+    # ranges are fixed by writing them: a task run again keeps its rows
     ranged = written(
-        events.repartitionByRange(shuffle_partitions(spark), "key").withColumn("part", F.spark_partition_id()), "events"
+        events.repartitionByRange(shuffle_partitions(hosts.sparkSession), "key").withColumn("part", F.spark_partition_id()), "events"
     )
-    before = Window.partitionBy("part").orderBy("key", "kind")
-    lasts = ranged.where("kind = 0").groupBy("part").agg(F.max_by("stack", "key").alias("stack"))
-    parts = ranged.groupBy("part").agg(F.count("*").alias("n")).join(lasts, "part", "left")
-    carried = parts.select(
-        "part",
-        F.last("stack", ignorenulls=True)
-        .over(Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1))
-        .alias("carry"),
+    so_far = Window.partitionBy("part").orderBy("key", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    parts_before = Window.partitionBy(F.lit(0)).orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    at = lambda d: F.when(F.col("depth") == d, F.col("rule"))
+    carried = (
+        ranged.groupBy("part")
+        .agg(F.count("*").alias("n"), *[F.max_by(at(d), F.when(F.col("depth") == d, F.col("key"))).alias(f"last{d}") for d in depths])
+        .select("part", *[F.last(f"last{d}", ignorenulls=True).over(parts_before).alias(f"carried{d}") for d in depths])
     )
     swept = (
-        ranged.withColumn("stack", F.last("stack", ignorenulls=True).over(before))
+        ranged.select("part", "key", "kind", "host", *[F.last(at(d), ignorenulls=True).over(so_far).alias(f"place{d}") for d in depths])
         .where("kind = 1")
         .join(carried, "part")
-        .select("host", F.coalesce("stack", "carry").alias("stack"))
     )
+    stack = F.array(*[F.coalesce(f"place{d}", f"carried{d}") for d in depths]) if depths else F.lit(None)
+    opened = swept.select("key", "host", stack.alias("stack"))
+    if not depths:
+        return opened.select("host", F.lit(None).cast(RULE_TYPE).alias("rules"))
+    return opened.select("host", F.expr("flatten(transform(filter(stack, r -> r IS NOT NULL AND key < r.until), r -> r.own))").alias("rules"))
+
+
+def judge_urls(
+    pages: DataFrame, rules: DataFrame, default: str = "allow", id_col: str = "page_id", url_col: str = "url"
+) -> DataFrame:
+    """``(id, host, path, rule, verdict)`` per row of ``pages``.
+
+    Distinct hosts are swept together with the rules (:func:`active_rules`), so
+    a host that many rows have is swept once.  Of the active rules whose path
+    starts the URL's path the longest ``host/path`` wins, then the longest
+    host, then the greater verdict; without one, ``default``.  The rules of a
+    host's ancestors travel with it: cost per row follows their number.  Null
+    and malformed URLs have an empty host and path and take the default (unless
+    a rule has both empty); without rules all rows do; repeated rows stay; an
+    empty table gives no rows; other columns are not read.  DataFrame
+    expressions only.
+    """
+    rows = url_parts(pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url_")), "url_").drop("url_")
+    swept = active_rules(rows.select("host").distinct(), rules)
     best = F.expr(
-        "try_element_at(array_sort(transform(filter(stack, r -> startswith(path, r.path)), r -> "
-        "struct(length(r.host) + length(r.path) AS size, length(r.host) AS depth, concat(r.host, r.path) AS rule, r.verdict AS verdict))), -1)"
+        "try_element_at(array_sort(transform(filter(rules, r -> startswith(path, r.path)), r -> "
+        "struct(length(r.host) + length(r.path) AS size, length(r.host) AS depth, r.verdict AS verdict, concat(r.host, r.path) AS rule))), -1)"
     )
     judged = rows.join(swept, "host", "left").select("id", "host", "path", best.alias("best"))
     return judged.select(
