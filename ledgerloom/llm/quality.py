@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, written
+from .common import SPACE_CLASS, numbered, table, written
 
-#: A host is rejected if its shrunk failure rate exceeds this.
-MAX_HOST_RATE = 0.9
+#: A host is rejected if its shrunk failure rate exceeds this: if more of its
+#: documents are expected to fail than to pass.
+MAX_HOST_RATE = 0.5
 #: Own rules of the method: symbols per word, with the limit published for web
 #: text (Rae et al., 2021), and share of repeated lines.  Half of the lines must
 #: repeat, so that one repeated page header does not fail a text of three lines.
@@ -21,18 +22,20 @@ def bind(value: str, name: str, body: str) -> str:
     return f"get(transform(array({value}), {name} -> {body}), 0)"
 
 
-def document_counters(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` plus ``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words``.
+ADDED = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "own_failed", "host_rate", "kept"]
 
-    Repeated windows are found by sorting (hash of three words, position) in
-    the row and comparing neighbours; the words they cover follow from the
-    gaps between the sorted positions.  Cost per row is n log n.
+
+def counted(text: str) -> list[Column]:
+    """``n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines`` of a text column.
+
+    The words are split once.  Repeated windows are found by sorting (hash of
+    three words, position) in the row and comparing neighbours, where a text
+    has any; the words they cover follow from the gaps between the sorted
+    positions.  Cost per row is n log n.  Null has no words and one line.
     """
-    words = rf"filter(split(_t, '{SPACE_CLASS}'), w -> w <> '')".replace("\\", "\\\\")
-    windows = (
-        "if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), "
-        "i -> struct(xxhash64(get(w, i), get(w, i + 1), get(w, i + 2)) AS h, i AS i)))"
-    )
+    t = f"coalesce({text}, '')"
+    space = SPACE_CLASS.replace("\\", "\\\\")
+    windows = "if(size(w) < 3, array(), transform(sequence(0, size(w) - 3), i -> xxhash64(get(w, i), get(w, i + 1), get(w, i + 2))))"
     again = "filter(s, (x, k) -> x.h <=> get(s, k - 1).h OR x.h <=> get(s, k + 1).h)"
     covered = (
         f"aggregate(array_sort(transform({again}, x -> x.i)), named_struct('end', 0, 'n', 0), "
@@ -40,23 +43,20 @@ def document_counters(docs: DataFrame, text_col: str = "text") -> DataFrame:
     )
     # most texts repeat no window: their sort is skipped
     repeat = bind(
-        windows, "v", f"if(size(v) = 0 OR size(array_distinct(transform(v, x -> x.h))) = size(v), 0L, {bind('sort_array(v)', 's', covered)})"
-    )
-    squeezed = F.regexp_replace("_t", SPACE_CLASS, "")
-    lines = r"filter(split(_t, '\n'), l -> l rlike '[^\x20\x09-\x0D]')".replace("\\", "\\\\")
-    return (
-        docs.withColumn("_t", F.coalesce(F.col(text_col), F.lit("")))
-        .withColumn("n_words", F.expr(f"CAST(size({words}) AS BIGINT)"))
-        .withColumn("word_chars", F.length(squeezed).cast("long"))
-        .withColumn("n_symbols", (F.length("_t") - F.length(F.translate("_t", "#*$%&|<>", ""))).cast("long"))
-        .withColumn("n_dup_lines", F.expr(bind(lines, "l", "CAST(size(l) - size(array_distinct(l)) AS BIGINT)")))
-        .withColumn("n_repeat_words", F.expr(bind(words, "w", repeat)))
-        .drop("_t")
+        windows, "v", f"if(size(array_distinct(v)) = size(v), 0L, {bind('sort_array(transform(v, (h, i) -> struct(h AS h, i AS i)))', 's', covered)})"
     )
+    words = f"named_struct('n', CAST(size(w) AS BIGINT), 'chars', CAST(length(array_join(w, '')) AS BIGINT), 'again', {repeat})"
+    lines = f"filter(split({t}, '\\\\n'), l -> l rlike '[^\\\\x20\\\\x09-\\\\x0D]')"
+    return [
+        F.expr(bind(f"array_remove(split({t}, '{space}'), '')", "w", words)).alias("words"),
+        F.expr(f"CAST(length({t}) - length(translate({t}, '#*$%&|<>', '')) AS BIGINT)").alias("n_symbols"),
+        F.expr(bind(lines, "l", "CAST(size(l) - size(array_distinct(l)) AS BIGINT)")).alias("n_dup_lines"),
+        F.expr(f"CAST(length({t}) - length(translate({t}, '\\n', '')) + 1 AS BIGINT)").alias("n_lines"),
+    ]
 
 
 def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "source", keep: list[str] | None = None) -> DataFrame:
-    """``docs`` plus the counters, ``base_failed``, ``host_rate`` and ``kept``.
+    """``docs`` plus the counters, ``base_failed``, ``own_failed``, ``host_rate`` and ``kept``.
 
     ``base_failed``: under 50 words, or over half of the words in repeated
     three-word windows.  A document fails the method's rules if it fails these
@@ -65,29 +65,24 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "s
     ``(failed + a) / (n + a + b)`` with a beta prior of the hosts' own mean and
     variance (moments; where hosts do not vary more than chance, the prior
     weighs as much as the largest host).  Kept are documents that pass all
-    rules on hosts whose shrunk rate is at most ``MAX_HOST_RATE``.
+    rules on hosts whose shrunk rate is at most ``MAX_HOST_RATE``; the other
+    documents of a host beyond it go with those that failed.
 
     Null text has no words and fails; null hosts form one host; repeated rows
     count each; an empty table gives no rows; columns with the names of the
-    added ones are replaced.  ``keep`` names the columns of ``docs`` to carry
-    (all by default): the counters are stored once with them, so leave out the
-    text where it is not needed.  DataFrame expressions only.
+    added ones are replaced, all others pass through whatever their names.
+    ``keep`` names the columns of ``docs`` to carry (all by default): the
+    counters are stored once with them, so leave out the text where it is not
+    needed.  DataFrame expressions only.
     """
-    added = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "own_failed", "host_rate", "kept"]
-    rows = document_counters(docs.drop(*added), text_col)
-    base = (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
-    lines = F.greatest(F.lit(1), F.size(F.split(F.coalesce(F.col(text_col), F.lit("")), "\n")))
-    own = (
-        F.col("base_failed")
-        | (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words"))
-        | (F.col("n_dup_lines") > MAX_DUP_LINES * lines)
-    )
-    carried = [c for c in docs.columns if c not in added and (keep is None or c in (*keep, host_col))]
-    judged = rows.withColumn("base_failed", base).withColumn("own_failed", own).select(*carried, *added[:7])
-    judged = written(judged, "counters")
-    hosts = judged.groupBy(F.col(host_col).alias("_host")).agg(
-        F.count("*").alias("n"), F.sum(F.col("own_failed").cast("long")).alias("failed")
-    )
+    rows, at = numbered(docs)
+    carried = [c for c in docs.columns if c not in ADDED and (keep is None or c in keep)]
+    judged = rows.select(*[f"in_{k}" for k, c in enumerate(docs.columns) if c in carried], F.col(at(host_col)).alias("host"), *counted(at(text_col)))
+    judged = judged.withColumns({"n_words": F.col("words.n"), "word_chars": F.col("words.chars"), "n_repeat_words": F.col("words.again")})
+    judged = judged.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
+    own = F.col("base_failed") | (F.col("n_symbols") > MAX_SYMBOLS * F.col("n_words")) | (F.col("n_dup_lines") > MAX_DUP_LINES * F.col("n_lines"))
+    judged = written(judged.withColumn("own_failed", own).drop("words", "n_lines"), "counters")
+    hosts = judged.groupBy("host").agg(F.count("*").alias("n"), F.sum(F.col("own_failed").cast("long")).alias("failed"))
     hosts = written(hosts, "hosts")
     rate = F.col("failed") / F.col("n")
     moments = hosts.agg(
@@ -99,9 +94,10 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "s
     weight = F.when((extra > 0) & (spread > extra), F.least(spread / extra - 1, F.col("most"))).otherwise(F.col("most"))
     prior = moments.select((F.col("m") * weight).alias("a"), ((1 - F.col("m")) * weight).alias("b")).first()
     a, b = (float(x or 0.0) for x in prior)
-    rates = hosts.select("_host", ((F.col("failed") + a) / (F.col("n") + (a + b))).alias("host_rate"))
-    joined = judged.join(rates, F.col(host_col).eqNullSafe(F.col("_host"))).drop("_host")
-    return joined.withColumn("kept", ~F.col("own_failed") & (F.col("host_rate") <= MAX_HOST_RATE))
+    rates = hosts.select(F.col("host").alias("of"), ((F.col("failed") + a) / (F.col("n") + (a + b))).alias("host_rate"))
+    joined = judged.join(rates, F.col("host").eqNullSafe(F.col("of")))
+    verdict = joined.withColumn("kept", ~F.col("own_failed") & (F.col("host_rate") <= MAX_HOST_RATE))
+    return verdict.select(*[c for c in judged.columns if c.startswith("in_")], *ADDED).toDF(*carried, *ADDED)
 
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
