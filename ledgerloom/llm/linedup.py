@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE_CLASS, table, written
+from .common import SPACE_CLASS, numbered, table, written
 
 MIN_SITES = 3
 #: Estimates within this factor of the threshold are counted exactly.  Sketches
@@ -62,38 +62,37 @@ def remove_boilerplate(
     all others.  Lines without a word never count or go.  A null text stays
     null with 0 lines; a null site is one site of its own; a null id is never
     a keeper unless all ids of the line are null; repeated rows are treated
-    alike; an empty table gives no rows.  Other columns pass through; columns
-    named ``n_lines`` or ``n_removed`` are replaced.
+    alike; an empty table gives no rows.  Other columns pass through, whatever
+    their names; columns named ``n_lines`` or ``n_removed`` are replaced.
 
     Only hashes and positions are shuffled by line, and their hot lines are
     combined map-side or split by adaptive execution; the texts move once, by
     document.
     """
-    own = docs.drop("n_lines", "n_removed")
-    stamped = own.select(
-        F.col(id_col).alias("id"), F.xxhash64(text_col).alias("stamp"),
-        F.coalesce(F.col(site_col).cast("string"), F.lit("\u0000")).alias("site"), F.col(text_col).alias("text"),
+    names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
+    rows, at = numbered(docs)
+    id_, text, site = (F.col(at(c)) for c in (id_col, text_col, site_col))
+    stamped = rows.select(
+        id_.alias("id"), F.xxhash64(text).alias("stamp"),
+        F.coalesce(site.cast("string"), F.lit("\u0000")).alias("site"), text.alias("text"),
     )
     lines = written(_lines(stamped), "lines")
     bad = written(boilerplate(lines, min_sites), "boilerplate")
     hits = lines.join(bad, ["a", "b"]).where(~F.col("id").eqNullSafe(F.col("keeper")))
-    gone = hits.groupBy(F.col("id").alias("_id"), F.col("stamp").alias("_stamp")).agg(
-        F.collect_set("pos").alias("_gone")
-    )
-    joined = own.join(gone, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_col) == F.col("_stamp")), "left")
-    split = joined.withColumn("_lines", F.split(text_col, "\n"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(
-        # array(_lines) binds the split once for all elements
+    gone = hits.groupBy("id", "stamp").agg(F.collect_set("pos").alias("gone"))
+    joined = rows.join(gone, id_.eqNullSafe(F.col("id")) & (F.xxhash64(text) == F.col("stamp")), "left").withColumn("lines", F.split(text, "\n"))
+    cleaned = F.when(F.col("gone").isNull(), text).otherwise(
+        # array(lines) binds the split once for all elements
         F.expr(
-            "array_join(flatten(transform(array(_lines), l -> "
-            "transform(array_except(sequence(0, size(l) - 1), _gone), i -> get(l, i)))), '\\n')"
+            "array_join(flatten(transform(array(lines), l -> "
+            "transform(array_except(sequence(0, size(l) - 1), gone), i -> get(l, i)))), '\\n')"
         )
     )
-    return split.select(
-        *[text.alias(c) if c == text_col else F.col(c) for c in own.columns],
-        F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("_lines")).cast("long").alias("n_lines"),
-        F.coalesce(F.array_size("_gone"), F.lit(0)).cast("long").alias("n_removed"),
-    )
+    return joined.select(
+        *[cleaned if c == text_col else F.col(f"in_{k}") for k, c in enumerate(docs.columns) if c in names],
+        F.when(text.isNull(), F.lit(0)).otherwise(F.size("lines")).cast("long"),
+        F.coalesce(F.array_size("gone"), F.lit(0)).cast("long"),
+    ).toDF(*names, "n_lines", "n_removed")
 
 
 def op5_line_dedup(spark, sf_dir: str) -> DataFrame:
