@@ -20,8 +20,8 @@ BASE_PHRASES = [
     ("cc-by", "cc by"),
     ("mit", "mit license"),
 ]
-# Notices of common licences.  Double brackets enclose the key
-# phrases that a match must contain word by word.
+# Notices and short texts of common licences, as words.  Double
+# brackets enclose the key phrases that a match must contain word by word.
 NOTICES = [
     ("agpl", "licensed under the [[gnu affero general public license]] version 3"),
     ("apache", "licensed under the [[apache license]] version 2 0 the license you may not use this file except in compliance with the license"),
@@ -39,6 +39,46 @@ NOTICES = [
     ("mit", "released under the [[mit license]]"),
     ("mpl", "this source code form is subject to the terms of the [[mozilla public license]] v 2 0"),
     ("unlicense", "this is [[free and unencumbered software]] released into the public domain"),
+    (
+        "mit",
+        "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software "
+        "[[to deal in the software without restriction]] including without limitation the rights to use copy modify merge publish distribute sublicense and or sell "
+        "copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and "
+        "this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind "
+        "express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the "
+        "authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in "
+        "connection with the software or the use or other dealings in the software",
+    ),
+    (
+        "isc",
+        "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice "
+        "and this permission notice appear in all copies the software is provided as is and the [[author disclaims all warranties with regard to this software]] "
+        "including all implied warranties of merchantability and fitness in no event shall the author be liable for any special direct indirect or consequential "
+        "damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising "
+        "out of or in connection with the use or performance of this software",
+    ),
+    (
+        "bsd",
+        "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[redistributions in binary form "
+        "must reproduce]] the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with "
+        "the distribution",
+    ),
+    (
+        "apache",
+        "unless required by applicable law or agreed to in writing software [[distributed under the license is distributed on an as is basis]] without warranties or "
+        "conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
+    ),
+    (
+        "gpl",
+        "this program is free software you can redistribute it and or modify it under the terms of the [[gnu general public license as published by the free software "
+        "foundation]] either version 3 of the license or at your option any later version",
+    ),
+    (
+        "zlib",
+        "this software is provided as is without any express or implied warranty in no event will the authors be held liable for any damages arising from the use of "
+        "this software permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it "
+        "freely subject to the following restrictions [[the origin of this software must not be misrepresented]]",
+    ),
 ]
 
 MATCH = T.StructType(
@@ -52,32 +92,31 @@ MATCH = T.StructType(
 
 
 class LicenseIndex:
-    """Templates with token postings.
+    """Templates with token postings, rarity from document frequencies.
 
     A template's key words are mandatory, so each occurrence holds its two
-    rarest key words at their distance: those two are its index tokens.
+    rarest key words at their distance: the rarest finds the template, the
+    second is intersected with it by relative position.
     """
 
-    def __init__(self, phrases: Iterable[tuple[str, str]] = BASE_PHRASES, notices: Iterable[tuple[str, str]] = NOTICES):
-        self.templates = []
-        for label, text in phrases:
-            self.templates.append((label, True, *self._parse(f"[[{text}]]")))
-        for label, text in notices:
-            self.templates.append((label, False, *self._parse(text)))
-        frequency: dict[bytes, int] = {}
-        for _, _, words, _ in self.templates:
-            for w in set(words):
-                frequency[w] = frequency.get(w, 0) + 1
-        n = len(self.templates)
-        self.idf = {w: math.log(1 + n / f) for w, f in frequency.items()}
+    def __init__(
+        self, phrases: Iterable[tuple[str, str]] = BASE_PHRASES, notices: Iterable[tuple[str, str]] = NOTICES,
+        files: int = 0, frequency: dict[bytes, int] | None = None,
+    ):
+        """``frequency``: how many of ``files`` texts hold a word (none: all alike)."""
+        self.templates = [(label, True, *self._parse(f"[[{text}]]")) for label, text in phrases]
+        self.templates += [(label, False, *self._parse(text)) for label, text in notices]
+        self.vocabulary = frozenset(w for _, _, words, _ in self.templates for w in words)
+        frequency = frequency or {}
+        self.idf = {w: math.log((2 + files) / (1 + frequency.get(w, 0))) for w in self.vocabulary}
         self.postings: dict[bytes, list[tuple[int, int]]] = {}
-        self.rare = []
+        self.second: list[int] = []
         for k, (_, _, words, keys) in enumerate(self.templates):
             by_rarity = sorted(keys, key=lambda p: (-self.idf[words[p]], p))
-            self.rare.append((by_rarity[0], by_rarity[min(1, len(by_rarity) - 1)]))
             self.postings.setdefault(words[by_rarity[0]], []).append((k, by_rarity[0]))
+            self.second.append(by_rarity[min(1, len(by_rarity) - 1)])
         self.weight = [sum(self.idf[w] for w in words) for _, _, words, _ in self.templates]
-        self.tokens = {words[p] for (_, _, words, _), pair in zip(self.templates, self.rare) for p in pair}
+        self.tokens = frozenset(self.postings) | {self.templates[k][2][p] for k, p in enumerate(self.second)}
 
     @staticmethod
     def _parse(text: str) -> tuple[list[bytes], list[int]]:
@@ -93,43 +132,69 @@ class LicenseIndex:
         return words, keys
 
     def scan(self, words: list[bytes]) -> list[tuple[str, bool, int, float]]:
-        """Matches (label, base, start of the first key word, score), in order."""
-        present = self.tokens.intersection(words)
-        if not present:
+        """Matches (label, base, start of the first key word, score), in order.
+
+        The score is the share of the template's rarity that stands in place.
+        """
+        at: dict[bytes, list[int]] = {w: [] for w in self.tokens.intersection(words)}
+        if not at:
             return []
-        at: dict[bytes, list[int]] = {w: [] for w in present}
         for i, w in enumerate(words):
             if w in at:
                 at[w].append(i)
         out = []
-        for token in sorted(present, key=lambda w: (-self.idf[w], w)):
-            for k, p in self.postings.get(token, ()):
+        # the file's licence words, rarest first: those that are the rarest of a template lead to it
+        for token in sorted(self.postings.keys() & at.keys(), key=lambda w: (-self.idf[w], w)):
+            for k, p in self.postings[token]:
                 label, base, body, keys = self.templates[k]
-                second = self.rare[k][1]
-                if body[second] not in at:
+                q = self.second[k]
+                if body[q] not in at:
                     continue
-                starts = {i - p for i in at[token]}
-                if second != p:
-                    starts &= {i - second for i in at[body[second]]}
-                for s in starts:
-                    if s + keys[0] < 0 or s + keys[-1] >= len(words) or any(words[s + q] != body[q] for q in keys):
+                for s in {i - p for i in at[token]}.intersection(i - q for i in at[body[q]]):
+                    if s + keys[0] < 0 or s + keys[-1] >= len(words) or any(words[s + x] != body[x] for x in keys):
                         continue
-                    hit = sum(self.idf[b] for q, b in enumerate(body) if 0 <= s + q < len(words) and words[s + q] == b)
+                    hit = sum(self.idf[b] for x, b in enumerate(body) if 0 <= s + x < len(words) and words[s + x] == b)
                     out.append((label, base, s + keys[0], min(1.0, hit / self.weight[k])))
         return sorted(out)
 
 
+def fitted_index(docs: DataFrame, text_col: str = "text", **templates) -> LicenseIndex:
+    """An index whose rarity is that of the words in ``docs``.
+
+    One aggregation over all rows counts the texts that hold each word of the
+    templates; the driver gets a row per such word, never per document.
+    """
+    session(docs)
+    vocabulary = LicenseIndex(**templates).vocabulary
+    rows = docs.select(F.col(text_col).cast("binary").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[bytes, int] = {}
+        for b in batches:
+            total[b""] = total.get(b"", 0) + b.num_rows
+            for text in b.column(0):
+                for w in vocabulary.intersection(alnum_words(text.as_py())):
+                    total[w] = total.get(w, 0) + 1
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
+
+    counts = rows.mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    frequency = {bytes(r["word"]): r["n"] for r in counts.collect()}
+    return LicenseIndex(**templates, files=frequency.pop(b"", 0), frequency=frequency)
+
+
 def find_licenses(docs: DataFrame, index: LicenseIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: its id, ``n_words`` and ``matches``.
 
-    ``matches`` lists (label, base, start word, score), sorted.  A null text
-    has no words; null and repeated ids pass through unchanged; an empty table
-    gives no rows; other columns of ``docs`` are not read, whatever their name.
-    No shuffle: each row is scanned where it is read, and the index holds only
-    the templates, never the data.  Memory follows the longest text.
+    ``matches`` lists (label, base, start word, score), sorted.  Without an
+    ``index`` one is fitted to ``docs``, which are then read twice.  A null
+    text has no words; null and repeated ids pass through unchanged; an empty
+    table gives no rows; other columns of ``docs`` are not read, whatever
+    their name.  No shuffle of texts: each row is scanned where it is read,
+    and the index holds only the templates, never the data.  Memory follows
+    the longest text.
     """
     session(docs)
-    index = index or LicenseIndex()
+    index = index or fitted_index(docs, text_col)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     schema = T.StructType(
         [rows.schema["id"], T.StructField("n_words", T.LongType()), T.StructField("matches", T.ArrayType(MATCH))]
