@@ -231,8 +231,9 @@ def _whole_article(dom: Dom, node: int, below: list[int], chars: list[int], lcha
 def _spared(dom: Dom) -> list[bool]:
     """Elements that only their name calls noise but that hold most of the page's
     text outside links, whatever lies in further elements named so left aside;
-    of a name for comments, twice as much as is found outside of comments, where
-    no article stands."""
+    of a name for comments, twice as much as is found outside of comments.  On
+    pages with an article element that is asked only inside of it, and not of
+    comments."""
     n = len(dom.tag)
     owner, hard, link, said, held = list(range(n)), [False] * n, [False] * n, [False] * n, [0] * n
     for k in range(1, n):
@@ -245,10 +246,15 @@ def _spared(dom: Dom) -> list[bool]:
         if text and not hard[node] and not link[node]:
             held[owner[node]] += sum(map(len, text.split()))
     total = sum(h for k, h in enumerate(held) if dom.noise[k] != 2)
-    marked = any(t in ("article", "main") and not said[k] for k, t in enumerate(dom.tag))
-    spared = [dom.noise[k] == 2 and dom.named[k] and not marked and held[k] > 2 * total for k in range(n)]
+    article = [t in ("article", "main") and not said[k] for k, t in enumerate(dom.tag)]
+    within = list(article)
+    for k in range(1, n):
+        within[k] |= within[dom.parent[k]]
+    # where the page says what its article is, only parts of that are in doubt
+    open_ = [dom.named[k] and (within[k] or not any(article)) for k in range(n)]
+    spared = [dom.noise[k] == 2 and open_[k] and not any(article) and held[k] > 2 * total for k in range(n)]
     total += sum(h for h, s in zip(held, spared) if s)
-    spared = [s or dom.named[k] and dom.noise[k] != 2 and 2 * held[k] > total for k, s in enumerate(spared)]
+    spared = [s or open_[k] and dom.noise[k] != 2 and 2 * held[k] > total for k, s in enumerate(spared)]
     inside = list(spared)
     for k in range(n - 1, 0, -1):
         inside[dom.parent[k]] |= inside[k]
@@ -282,8 +288,9 @@ def main_text(source: str | None) -> str:
     for k in range(1, n):
         total[dom.parent[k]] += density[k]
     best = max(range(n), key=lambda k: (total[k], -k))
+    # the path to the body, without the body: that holds the page's other parts too
     path = [best]
-    while path[-1]:
+    while dom.parent[path[-1]] > 0:
         path.append(dom.parent[path[-1]])
     # without a link the density only grows with the element: characters per tag decide
     reach = density if lchars[0] else [chars[k] / max(tags[k], 1) if keep[k] else 0.0 for k in range(n)]
@@ -302,7 +309,7 @@ def main_text(source: str | None) -> str:
     for k in range(n):
         p = dom.parent[k]
         done[k] = chosen[k] or k > 0 and done[p]
-        top[k] = (not k or top[p]) and keep[k] and chars[k] > 0 and reach[k] >= threshold
+        top[k] = not k or top[p] and keep[k] and chars[k] > 0 and reach[k] >= threshold
         if top[k] and not done[k]:
             whole = _whole_article(dom, peak[k], below, chars, lchars)
             marked = marked or not k and article[whole]
@@ -317,6 +324,8 @@ def main_text(source: str | None) -> str:
             run = []
         elif chosen[node]:
             run.append(text)
+        elif keep[node]:  # text between two regions parts them
+            run.append(" ")
     blocks.append("".join(run))
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
