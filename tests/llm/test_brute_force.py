@@ -38,6 +38,40 @@ def test_license_scan(spark, sf_dir):
         assert 0 <= r["score"] <= 1 and (r["score"] > 0) == (r["labels"] != "")
 
 
+def test_license_templates_against_brute_force(spark, sf_dir):
+    import math
+
+    from ledgerloom.llm import licenses
+
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    full = "Copyright 2020\n" + " ".join(w for w in dict(licenses.NOTICES)["zlib"].replace("[[", "").replace("]]", "").split()) + " end"
+    partly = "software distributed under the License is distributed on an AS IS basis, without any warranties"
+    planted = [(-1, full), (-2, partly), (-3, "Released under the MIT License. Licensed under CC BY SA 4.0 or the mit license"), (-4, None)]
+    docs = docs.unionByName(spark.createDataFrame(planted, "doc_id long, text string"))
+    words = {r["doc_id"]: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (r["text"] or "").translate(LOWER)) for r in docs.collect()}
+    held = Counter(w for ws in words.values() for w in set(ws))
+    idf = lambda w: math.log((2 + len(words)) / (1 + held[w]))
+    templates = [(label, True, f"[[{text}]]") for label, text in licenses.BASE_PHRASES] + [(label, False, text) for label, text in licenses.NOTICES]
+    want = {}
+    for i, ws in words.items():
+        want[i] = []
+        for label, base, text in templates:
+            before, key, after = (x.split() for x in re.split(r"\[\[|\]\]", text))
+            body = before + key + after
+            for at in (k for k in range(len(ws)) if ws[k : k + len(key)] == key):
+                place = [(w, at - len(before) + q) for q, w in enumerate(body)]
+                hit = sum(idf(w) for w, q in place if 0 <= q < len(ws) and ws[q] == w)
+                want[i].append((label, base, at, round(hit / sum(map(idf, body)), 9)))
+    got = {r["doc_id"]: [(m["label"], m["base"], m["start"], round(m["score"], 9)) for m in r["matches"]] for r in licenses.find_licenses(docs).collect()}
+    assert got == {i: sorted(m) for i, m in want.items()}
+    assert [m[0] for m in got[-1]] == ["zlib"] and got[-1][0][3] == 1 and got[-2][0][0] == "apache" and 0 < got[-2][0][3] < 1
+    assert {m[0] for m in got[-3]} == {"mit", "cc-by", "cc-by-sa"}
+    index = licenses.fitted_index(docs)
+    for k, (_, _, body, keys) in enumerate(index.templates):
+        rarest = max(index.idf[body[p]] for p in keys)
+        assert [p for w, found in index.postings.items() for t, p in found if t == k and index.idf[w] == rarest]
+
+
 def slow_fingerprint(text, n=4):
     words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(LOWER))
     grams = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []

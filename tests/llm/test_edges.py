@@ -35,6 +35,69 @@ OPERATORS = {
 }
 
 
+CLASHES = [
+    "_id", "_stamp", "_gone", "_lines", "_t", "_host", "_stays", "_n", "stamp", "host", "of", "node", "root", "component", "words", "lines", "gone", "id_key", "row", "part", "rank", "base",
+    "key", "kind", "stack", "rules", "rest", "url_", "payload", "digest", "first", "surt", "file", "text_", "turns", "segments", "t", "s", "k",
+]
+
+
+def clashing(df):
+    return df.select("*", *[F.lit(f"own {c}").alias(c) for c in CLASHES if c not in df.columns])
+
+
+THROUGH = {
+    "linedup": lambda d: linedup.remove_boilerplate(d),
+    "quality": lambda d: quality.quality_verdicts(d),
+    "neardup": lambda d: neardup.one_per_group(d),
+    "decontam": lambda d: decontam.find_contamination(d, bench(d.sparkSession), keep=d.columns),
+}
+
+
+@pytest.mark.parametrize("name", THROUGH)
+def test_clashing_columns_pass_through(name, docs):
+    mine = clashing(docs)
+    plain, named = (THROUGH[name](d).drop("text") for d in (docs, mine))
+    row = lambda r, c: tuple(str(r[x]) for x in c)
+    shared = [c for c in plain.columns if c in docs.columns]
+    assert sorted(row(r, shared) for r in plain.collect()) == sorted(row(r, shared) for r in named.collect())
+    assert {r[c] for r in named.collect() for c in ("_id", "_gone", "_t")} == {"own _id", "own _gone", "own _t"}
+    twice = THROUGH[name](docs.select("*", F.lit(1).alias("again"), F.lit(2).alias("again")))
+    assert twice.columns.count("again") == 2 and twice.count() == plain.count()
+
+
+def test_clashing_columns_are_not_read(spark):
+    pages = spark.createDataFrame(PAGES, "page_id long, url string, html string")
+    turns = spark.createDataFrame([(1, 0, "user", "x")], "conv_id long, turn long, role string, text string")
+    for make, df, n in ((warc.archive_pages, pages, 8), (htmltext.extract_pages, pages, 8), (lambda d: urlrules.judge_urls(d, urlrules.rules_frame(spark)), pages, 8), (chat.format_chats, turns, 1)):
+        assert make(clashing(df)).count() == n
+
+
+def test_very_long_texts(spark):
+    long = "w" * 3_000_000 + " x"
+    turns = spark.createDataFrame([(1, 0, "user", long), (1, 1, "assistant", long)], "conv_id long, turn long, role string, text string")
+    assert chat.format_chats(turns).select(F.length("formatted")).first()[0] > 6_000_000
+    pages = spark.createDataFrame([(1, "http://" + "a." * 500_000 + "com/en/" + long, f"<div><p>{long}</p></div>")], "page_id long, url string, html string")
+    assert htmltext.extract_pages(pages).first()["text"] == long
+    r = urlrules.judge_urls(pages, urlrules.rules_frame(spark)).first()
+    assert r["rule"] == "com/" and len(r["path"]) > 3_000_000
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_pipeline_stages_on_odd_input(spark, docs, sf_dir, k):
+    import corpus_pipeline
+
+    name, stage = corpus_pipeline.STAGES[k]
+    rows = clashing(docs.drop("id"))
+    last = k == len(corpus_pipeline.STAGES) - 1
+    for d in (rows, rows.limit(0)):
+        got = stage(spark, d, sf_dir)
+        assert got.columns == (["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] if last else corpus_pipeline.COLUMNS)
+        assert got.count() == 0 if d is not rows else k == 0 or got.count() > 0
+    again = stage(spark, rows.unionByName(rows), sf_dir)
+    once = lambda df: {r["doc_id"] for r in df.collect()}
+    assert once(again) == once(stage(spark, rows, sf_dir))
+
+
 @pytest.mark.parametrize("name", OPERATORS)
 def test_all_rows_come_back(name, docs):
     assert OPERATORS[name](docs).count() == docs.count()
@@ -74,9 +137,23 @@ def test_near_duplicates_at_the_limit(spark):
 def test_no_pair_of_a_loose_group_is_left_out():
     import numpy as np
 
-    near, apart = np.zeros((1, neardup.WIDE), np.uint64), np.full((1, neardup.WIDE), 2**64 - 1, np.uint64)
-    assert neardup.jaccard_forest([range(9)], [range(10)], (near, apart), 0.8) == ([0], [1])
-    assert neardup.jaccard_forest([range(9)], [range(12)], (near, near), 0.8) == ([], [])
+    to = lambda n: np.arange(n, dtype=np.uint32)
+    assert neardup.jaccard_forest([to(9)], [to(10)], 0.8) == ([0], [1])
+    assert neardup.jaccard_forest([to(9)], [to(12)], 0.8) == ([], [])
+    rng = np.random.default_rng(1)
+    sets = [np.unique(rng.choice(200, rng.integers(1, 40)).astype(np.uint32) if k % 3 else np.delete(to(40), rng.integers(0, 40, 4)).astype(np.uint32)) for k in range(90)]
+
+    def groups(pairs):
+        label = list(range(90))
+        for u, v in pairs:
+            label = [label[u] if x == label[v] else x for x in label]
+        return {frozenset(k for k in range(90) if label[k] == x) for x in label}
+
+    similar = lambda x, y: len(np.intersect1d(x, y)) >= 0.8 * len(np.union1d(x, y))
+    want = groups([(i, j) for i in range(90) for j in range(i) if similar(sets[i], sets[j])])
+    assert groups(zip(*neardup.jaccard_forest(sets, None, 0.8))) == want and len(want) < 90
+    pairs = [p for s in (slice(0, 30), slice(30, 90)) for p in zip(*neardup.jaccard_forest(sets[s], None, 0.8)) for p in [(p[0] + s.start, p[1] + s.start)]]
+    assert groups([*pairs, *zip(*neardup.jaccard_forest(sets[:30], sets[30:], 0.8))]) == want
 
 
 def test_one_per_group(docs):
@@ -99,6 +176,20 @@ def test_quality_values(spark):
     assert r["base_failed"] and not r["kept"]
 
 
+def test_bad_host_takes_its_passing_documents_along(spark):
+    good = " ".join(f"word{i}" for i in range(60))
+    data = [(h * 100 + k, good if h < 9 or k == 0 else "too short", f"host{h}") for h in range(10) for k in range(100)]
+    got = quality.quality_verdicts(spark.createDataFrame(data, "doc_id long, text string, source string")).where("NOT own_failed")
+    kept = {r["source"]: r["n"] for r in got.where("kept").groupBy("source").agg(F.count("*").alias("n")).collect()}
+    assert kept == {f"host{h}": 100 for h in range(9)}
+    gone = got.where("NOT kept").collect()
+    assert [r["doc_id"] for r in gone] == [900] and gone[0]["host_rate"] > 0.95
+    # one of two hosts fails more than the other, but passes more than it fails
+    data = [(h * 100 + k, good if k >= 10 * h + 5 else "too short", f"host{h}") for h in range(2) for k in range(100)]
+    fair = quality.quality_verdicts(spark.createDataFrame(data, "doc_id long, text string, source string"))
+    assert fair.where("kept").count() == 180
+
+
 def test_decontam_blocks_agree(docs, spark):
     key = F.struct("doc_id", "n_words", "spans", "items").cast("string")
     one = sorted(r[0] for r in decontam.find_contamination(docs, bench(spark)).select(key).collect())
@@ -111,6 +202,26 @@ def test_decontam_blocks_agree(docs, spark):
     assert empty.where("size(spans) > 0").count() == 0 and empty.count() == docs.count()
 
 
+def test_decontam_long_items_and_scans(docs, spark, monkeypatch):
+    from ledgerloom.llm import decontam as d
+
+    words = LONG.split()
+    long_item = spark.createDataFrame([(1, LONG), (2, " ".join(words[90:130]))], BENCH)
+    stretches = d.benchmark_stretches(long_item, 10, "item_id", "text", 1000).collect()
+    assert len(stretches) == 61
+    windows = {tuple(words[i : i + 10]) for i in range(len(words) - 9)}
+    cut = [r["text"].decode().split() for r in stretches if r["item"] == "1"]
+    assert {tuple(x[i : i + 10]) for x in cut for i in range(len(x) - 9)} == windows
+    assert sum(len(x) - 9 for x in cut) == len(words) - 9
+    index = d.WindowIndex([("1", " ".join(f"v{i}" for i in range(2_200_000)).encode())])
+    assert len(index.windows[10]) == 2_200_000 - 9
+    scans, read = [], docs.__class__.mapInArrow
+    monkeypatch.setattr(docs.__class__, "mapInArrow", lambda self, *a, **k: (scans.append(self.columns), read(self, *a, **k))[1])
+    d.find_contamination(docs, bench(spark), block_bytes=100).count()
+    # one pass counts, one finds, and one cuts the benchmark, for all of its blocks
+    assert len(scans) == 3
+
+
 PAGES = [
     (1, "http://a.com/x", "<p>same</p>"), (2, None, "<p>same</p>"), (3, "http://a.com/x\r\nWARC-Type: x", None), (3, "http://a.com/x\r\nWARC-Type: x", None),
     (4, "http://b.com/\u00e9?q=1#f", ""), (5, "", "<p>\r\n\r\nother"), (None, "http://c.com", "<p>null id"), (7, "http://a.com/x", LONG),
@@ -153,13 +264,25 @@ def test_url_rules(spark):
     assert urlrules.judge_urls(pages.limit(0), urlrules.rules_frame(spark)).count() == 0
 
 
-def test_url_rules_against_brute_force(spark):
+def test_url_rules_without_rules_and_with_odd_ones(spark):
+    pages = spark.createDataFrame([(1, "http://x.com,evil/"), (2, "http://www.net,b/es/q"), (3, "http://\u00c9.com:80/"), (4, None), (5, "http://A.\U0010ffffz.com/")], "page_id long, url string")
+    got = {r["page_id"]: (r["host"], r["rule"], r["verdict"]) for r in urlrules.judge_urls(pages, urlrules.rules_frame(spark)).collect()}
+    assert got == {1: ("x.com,evil", None, "allow"), 2: ("www.net,b", None, "allow"), 3: ("\u00c9.com:80", None, "allow"), 4: ("", None, "allow"), 5: ("a.\U0010ffffz.com", "com/", "allow")}
+    none = spark.createDataFrame([], "verdict string, host string, path string")
+    assert {r["verdict"] for r in urlrules.judge_urls(pages, none, default="block").collect()} == {"block"}
+    odd = [("block", None, "/"), (None, "com", "/"), ("block", "com", None), ("block", "", ""), ("block", "\u00c9.com:80", "/"), ("allow", "\u00c9.com:80", "/")]
+    got = {r["page_id"]: (r["rule"], r["verdict"]) for r in urlrules.judge_urls(pages, urlrules.rules_frame(spark, odd)).collect()}
+    assert got == {1: (None, "allow"), 2: (None, "allow"), 3: ("\u00c9.com:80/", "block"), 4: ("", "block"), 5: (None, "allow")}
+
+
+@pytest.mark.parametrize("seed", [3, 4])
+def test_url_rules_against_brute_force(spark, seed):
     import random
 
-    rng = random.Random(3)
-    host = lambda: ".".join(rng.choice("abc") for _ in range(rng.randint(1, 4)))
-    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in ((host(), rng.choice(["/", "/x", "/x/y"])) for _ in range(40))}.values())
-    urls = [(k, f"http://{host()}{rng.choice(['', '/', '/x', '/xx', '/x/y/z'])}") for k in range(300)]
+    rng = random.Random(seed)
+    host = lambda: ".".join(rng.choice(["a", "b", "c", "a,b", "a-", "a0", "\u00e9"]) for _ in range(rng.randint(1, 4)))
+    rules = list({(h, p): (rng.choice(["allow", "block"]), h, p) for h, p in ((host(), rng.choice(["/", "/x", "/x/y"])) for _ in range(60))}.values())
+    urls = [(k, f"http://{host()}{rng.choice(['', '/', '/x', '/xx', '/x/y/z'])}") for k in range(400)]
     got = {r["page_id"]: r["rule"] for r in urlrules.judge_urls(spark.createDataFrame(urls, "page_id long, url string"), urlrules.rules_frame(spark, rules)).collect()}
     for k, url in urls:
         h, _, p = url[7:].partition("/")
@@ -185,6 +308,8 @@ HTML = {
     "<main><p>Body text of the page.</p></main><ol><li class=comment><article>I disagree with all of this, at length and loudly.</article></li></ol>": "Body text of the page.",
     "<p>a < b and <!-- c --> d": "a < b and d", "<!--": "", "<p": "",
     "<body><main><ul><li>one<li>two</ul></main><footer>f</footer>": "one\ntwo",
+    "<div class=ad>An advert with much more text than the page itself has to offer.</div><article><h1>Short</h1><p><b>Short.</article><footer>Footer</footer>": "Short\nShort.",
+    "<main><div class='post social'><p>The text of the article stands in here.</p></div><div class=ad>Buy</div></main>": "The text of the article stands in here.",
 }
 
 
@@ -209,6 +334,100 @@ def test_html_split_article():
     assert [got.count(w) for w in ("First", "Second", "Third")] == [6, 4, 0]
 
 
+PROSE = "Prose that goes on for a while, as the text of an article does, sentence after sentence."
+UNNAMED = [
+    # no element has a name, a role or a tag that says furniture: density alone decides
+    f"<div><div>{'<p>' + PROSE + '</p>'}{'<p>' + PROSE + '</p>'}<p>{PROSE}</p></div><div>{'<div><a href=/x>Go on</a></div>' * 12}</div></div><div>{'<span>x</span>' * 8}</div>",
+    f"<div>{'<span><a href=/y>Elsewhere</a></span>' * 9}</div><section><p>{PROSE}</p><p>{PROSE}</p><p>{PROSE}</p></section><div>{'<div><span><b>Call us</b></span></div>' * 3}</div>",
+]
+
+
+@pytest.mark.parametrize("page", UNNAMED)
+def test_html_density_decides(page, monkeypatch):
+    assert htmltext.main_text(page) == "\n".join([PROSE] * 3)
+    monkeypatch.setattr(htmltext, "_density", lambda *a: 1.0)
+    assert htmltext.main_text(page) != "\n".join([PROSE] * 3)
+
+
+def test_html_threshold_is_that_of_the_path_below_the_body():
+    part = lambda n: f"<p>{PROSE}</p>" * n
+    links = "<div><a href=/x>Somewhere else</a></div>" * 10
+    thin = "<div><span>Tel.</span><span>Fax</span><span>Map</span></div>"
+    # as dense as the path: taken; less dense, though the body is less dense still: left out
+    page = f"<div>{part(4)}</div><div>{links}</div><div>{part(4)}</div><div>{thin}</div>"
+    assert htmltext.main_text(page) == "\n".join([PROSE] * 8)
+    assert htmltext.main_text(f"<p>One <span>{'w ' * 9}</span></p>".replace("<p>", "<div>").replace("</p>", "</div>")) != ""
+
+
+def test_html_against_a_plain_version():
+    import math
+    import random
+
+    def grow(rng, depth, in_link):
+        node = {"tag": rng.choice(["div", "section", "span"] + ([] if in_link else ["a"])), "kids": []}
+        for _ in range(rng.randint(1, 4)):
+            if depth and rng.random() < 0.6:
+                node["kids"].append(grow(rng, depth - 1, in_link or node["tag"] == "a"))
+            else:
+                node["kids"].append(" ".join(f"w{rng.randint(0, 999)}" for _ in range(rng.choice([1, 2, 15, 40]))))
+        return node
+
+    def markup(n):
+        return n if isinstance(n, str) else f"<{n['tag']}>{' '.join(map(markup, n['kids']))}</{n['tag']}>"
+
+    def words(n):
+        return n.split() if isinstance(n, str) else [w for k in n["kids"] for w in words(k)]
+
+    def below(n):
+        return [n] + [x for k in n["kids"] if not isinstance(k, str) for x in below(k)]
+
+    def measure(n, link=False):
+        link = link or n["tag"] == "a"
+        own = sum(len(w) for k in n["kids"] if isinstance(k, str) for w in k.split())
+        n["own"], n["c"], n["t"], n["lc"], n["lt"] = own, own, 0, own if link else 0, 0
+        for k in (k for k in n["kids"] if not isinstance(k, str)):
+            measure(k, link)
+            k["up"] = n
+            n["c"], n["lc"], n["t"], n["lt"] = n["c"] + k["c"], n["lc"] + k["lc"], n["t"] + k["t"] + 1, n["lt"] + k["lt"] + (k["tag"] == "a")
+
+    def density(c, t, lc, lt, share):
+        t, lc_, lt = max(t, 1), max(lc, 1), max(lt, 1)
+        base = math.log(c * lc / max(c - lc, 1) + share * c + math.e)
+        return c / t * math.log(max(1, c * t / (lc_ * lt)), max(base, 1 + 1e-6)) if c else 0.0
+
+    differ = 0
+    for seed in range(150):
+        rng = random.Random(seed)
+        body = {"tag": "body", "kids": [grow(rng, 3, False) for _ in range(3)]}
+        measure(body)
+        nodes, share = below(body), body["lc"] / max(body["c"], 1)
+        for n in nodes:
+            n["d"] = density(n["c"], n["t"], n["lc"], n["lt"], share)
+        for n in nodes:
+            n["sum"] = (density(n["own"], 1, 0, 0, share)) + sum(k["d"] for k in n["kids"] if not isinstance(k, str))
+            n["reach"] = n["d"] if body["lc"] else n["c"] / max(n["t"], 1)
+        best = max(nodes, key=lambda n: n["sum"])
+        limit, at = best["reach"], best
+        while at is not body and at["up"] is not body:
+            at = at["up"]
+            limit = min(limit, at["reach"])
+        taken = []
+
+        def visit(n):
+            if any(n is y for x in taken for y in below(x)) or n is not body and (n["reach"] < limit or not n["c"]):
+                return
+            taken.append(max(below(n), key=lambda x: x["sum"]))
+            for k in (k for k in n["kids"] if not isinstance(k, str)):
+                visit(k)
+
+        visit(body)
+        inside = [x for n in nodes if any(n is y for x in taken for y in below(x)) for x in [id(n)]]
+        kept = lambda n: [w for k in n["kids"] for w in ((k.split() if id(n) in inside else []) if isinstance(k, str) else kept(k))]  # noqa: B023, E731
+        assert htmltext.main_text("<body>" + " ".join(map(markup, body["kids"])) + "</body>").split() == kept(body), seed
+        differ += kept(body) != words(body)
+    assert differ > 50
+
+
 @pytest.mark.parametrize(
     "attrs", ["class='content with-sidebar'", "id='page' class='menu-open'", "class='post social'", "class='job-notice'", "class='post has-comments'", "class='post feedback'"]
 )
