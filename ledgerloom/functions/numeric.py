@@ -71,9 +71,17 @@ def cadence_error(gap: Column, period: float) -> Column:
     return F.median(F.least(r, period - r))
 
 
-def uniform(*key, salt: int) -> Column:
-    """A reproducible number in [0, 1) for a key: depends on no row order."""
-    return F.pmod(F.xxhash64(*key, F.lit(salt)), F.lit(1_000_003)) / 1_000_003.0
+def draw(*key: str, salt: int) -> Column:
+    """A reproducible number below 2**32 for a key: depends on no row order.
+
+    MD5 of the key's text, which any SQL engine computes alike.
+    """
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *key, F.lit(salt))), 1, 8), 16, 10).cast("long")
+
+
+def uniform(*key: str, salt: int) -> Column:
+    """A reproducible number in [0, 1) for a key."""
+    return draw(*key, salt=salt) / float(1 << 32)
 
 
 def per(*columns: str):

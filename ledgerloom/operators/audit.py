@@ -2,14 +2,68 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
-def describe(df: DataFrame, column: str, by: list[str]) -> DataFrame:
-    q = F.percentile(column, F.array(*[F.lit(x) for x in (0.25, 0.5, 0.75)]))
+def describe(df: DataFrame, column: str, by: list[str] | None = None, percentiles: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
+    """Count, moments, extremes and percentiles of a column, of all rows or by group."""
+    by = by or []
+    q = F.percentile(column, F.array(*[F.lit(x / 100) for x in percentiles]))
     made = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), q.alias("q"))
-    return made.select(*by, "n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(n) for k, n in enumerate(("q25", "q50", "q75"))], "max")
+    return made.select(*by, "n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(f"q{p}") for k, p in enumerate(percentiles)], "max")
+
+
+def grouped_report(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
+    """Count, mean, median and sample deviation of several columns by group, long."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("statistic"), F.col(c).cast("double").alias("value")) for c in columns])).alias("e")
+    return df.select(by, each).groupBy(by, "e.statistic").agg(
+        F.count("e.value").alias("n"), F.avg("e.value").alias("mean"), F.median("e.value").alias("median"), F.stddev_samp("e.value").alias("std")
+    )
+
+
+def semi(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ``ids``; no row is repeated, however often its id is."""
+    return df.join(ids.select(key).distinct(), key, "left_semi")
+
+
+def many_to_one(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Left join that refuses a right side with a repeated key."""
+    if right.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").limit(1).count():
+        raise ValueError(f"repeated {key} on the right side")
+    return left.join(right, key, "left")
+
+
+def renamed(df: DataFrame, names: DataFrame, key: str, to: str) -> DataFrame:
+    """Keys replaced through the lookup ``names`` (key, to); others keep theirs."""
+    return df.join(names.select(key, F.col(to).alias("_to")), key, "left").withColumn(key, F.coalesce("_to", key)).drop("_to")
+
+
+def first_rows(df: DataFrame, by: str, order: list[str]) -> DataFrame:
+    """The first row of each group: a minimum, combined before the shuffle."""
+    rest = [c for c in df.columns if c not in (by, *order)]
+    return df.groupBy(by).agg(F.min(F.struct(*order, *rest)).alias("r")).select(by, "r.*")
+
+
+def unstack(df: DataFrame, row: str, column: str, values: list[str], names: list[str]) -> DataFrame:
+    """Long to wide over a fixed vocabulary: ``<name>__<value>`` columns, absent ones null."""
+    return df.groupBy(row).agg(*[F.max(F.when(F.col(column) == v, F.col(n))).alias(f"{n}__{v}") for n in names for v in values])
+
+
+def profile(ledger: DataFrame) -> DataFrame:
+    """One row about a split: sizes, range, vocabulary, duplicates."""
+    rows = ledger.groupBy("client_id", "timestamp", "amount", "currency", "type", "direction", "description", "mcc", "fee").agg(F.count("*").alias("n"))
+    return rows.agg(
+        F.sum("n").alias("transactions"), F.count_distinct("client_id").alias("clients"), F.unix_micros(F.min("timestamp")).alias("first"), F.unix_micros(F.max("timestamp")).alias("last"),
+        F.count_distinct("description").alias("descriptions"), F.sum(F.col("n") - 1).alias("repeated"),
+    )
+
+
+def top_confusions(pairs: DataFrame, k: int = 20) -> DataFrame:
+    """The most frequent wrong pairs of truth and prediction."""
+    return pairs.where("truth <> prediction").groupBy("truth", "prediction").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "truth", "prediction").limit(k)
 
 
 def value_counts(df: DataFrame, column: str, k: int) -> DataFrame:
@@ -55,34 +109,40 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def stratified_folds(labels: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
-    """Disjoint, covering folds with each label spread evenly; order by hash."""
-    w = Window.partitionBy(label).orderBy(F.xxhash64(key, F.lit(seed)), key)
-    return labels.withColumn("fold", (F.row_number().over(w) - 1) % folds)
+    """Disjoint, covering folds with each label spread evenly; order by hash.
+
+    A label is numbered in 256 buckets of the hash, however many rows have it.
+    """
+    h = F.md5(F.concat_ws("|", key, F.lit(seed)))
+    placed = numbered(labels, [h, F.col(key)], F.substring(h, 1, 2), by=(label,))
+    return placed.withColumn("fold", (F.col("_n") - 1) % folds).select(*labels.columns, "fold")
 
 
 def sample_clients(ids: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     """``n`` clients without replacement, the same for the same seed."""
-    return ids.select(key).distinct().orderBy(F.xxhash64(key, F.lit(seed)), key).limit(n)
+    return ids.select(key).distinct().orderBy(F.md5(F.concat_ws("|", key, F.lit(seed))), key).limit(n)
 
 
-def numbered(df: DataFrame, order: list, bucket, name: str = "_n") -> DataFrame:
-    """Global row numbers without a global sort: ``bucket`` is monotone in ``order``.
+def numbered(df: DataFrame, order: list, bucket, name: str = "_n", by: tuple[str, ...] = ()) -> DataFrame:
+    """Row numbers, of all rows or by group, without sorting a group in one task:
+    ``bucket`` is monotone in ``order``.
 
     Rows are numbered within buckets, and each bucket adds the sizes of those
-    before it: only the bucket counts meet in one task.
+    before it: only the bucket counts of a group meet in one task.
     """
     rows = df.withColumn("_b", bucket)
-    before = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy("_b").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    return rows.withColumn(name, F.row_number().over(Window.partitionBy("_b").orderBy(*order))).join(base, "_b").withColumn(name, F.col(name) + F.col("_base")).drop("_b", "_base")
+    before = Window.partitionBy(*by, F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
+    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
+    return rows.withColumn(name, inside).join(base, [*by, "_b"]).withColumn(name, F.col(name) + F.col("_base")).drop("_b", "_base")
 
 
 def permuted(labels: DataFrame, key: str, target: str, seed: int, bits: int = 8) -> DataFrame:
     """Targets shuffled over clients: two hash orders joined by position."""
 
     def by_hash(salt):
-        h = F.xxhash64(key, F.lit(salt))
-        return numbered(labels, [h, F.col(key)], F.shiftright(h, 64 - bits))
+        h = F.md5(F.concat_ws("|", key, F.lit(salt)))
+        return numbered(labels, [h, F.col(key)], F.substring(h, 1, bits // 4))
 
     return by_hash(seed).select(key, "_n").join(by_hash(seed + 1).select(target, "_n"), "_n").drop("_n")
 
@@ -100,28 +160,52 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """Independence statistic and degrees of freedom of two categorical columns."""
     n = df.groupBy(a, b).agg(F.count("*").alias("n"))
     ra, rb = n.groupBy(a).agg(F.sum("n").alias("na")), n.groupBy(b).agg(F.sum("n").alias("nb"))
-    total = Window.partitionBy(F.lit(0))
-    grid = ra.withColumn("_k", F.lit(0)).join(rb.withColumn("_k", F.lit(0)), "_k").join(n, [a, b], "left")
-    grid = grid.withColumn("e", F.col("na") * F.col("nb") / (F.sum(F.coalesce("n", F.lit(0))).over(total)))
-    return grid.agg(
-        F.sum(F.pow(F.coalesce("n", F.lit(0)) - F.col("e"), F.lit(2.0)) / F.col("e")).alias("chi2"),
+    # the sum of (n - e)^2 / e over the grid needs the occupied cells only
+    seen = n.join(ra, a).join(rb, b)
+    return seen.agg(
+        (F.sum("n") * (F.sum(F.col("n") * F.col("n") / (F.col("na") * F.col("nb"))) - 1)).alias("chi2"),
         ((F.count_distinct(a) - 1) * (F.count_distinct(b) - 1)).alias("df"),
     )
 
 
-def auc(scored: DataFrame, score: str, positive: str, buckets: int = 64) -> DataFrame:
-    """Area under the ROC curve from average ranks of tied scores.
+def chi_square_tail(chi2: float, df: int) -> float:
+    """Probability of a larger statistic: the regularised upper gamma function."""
+    a, x = df / 2, chi2 / 2
+    if df <= 0 or x <= 0:
+        return 1.0
+    scale = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:  # series of the lower function
+        term = total = 1 / a
+        k = a
+        while term > total * 1e-16:
+            k += 1
+            term *= x / k
+            total += term
+        return max(0.0, 1 - scale * total)
+    back, ahead = 1e300, 1 / (x + 1 - a)  # continued fraction of the upper one
+    total = ahead
+    for k in range(1, 10_000):
+        step, b = k * (a - k), x + 1 - a + 2 * k
+        ahead, back = 1 / (step * ahead + b), b + step / back
+        total *= ahead * back
+        if abs(ahead * back - 1) < 1e-15:
+            break
+    return scale * total
+
+
+def auc(scored: DataFrame, score: str, positive: str, buckets: int = 64, by: tuple[str, ...] = ()) -> DataFrame:
+    """Area under the ROC curve from average ranks of tied scores, of all rows or by group.
 
     Scores are cut into buckets at approximate quantiles; ranks run within
     buckets, and only bucket totals meet in one task.
     """
-    t = scored.groupBy(score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
+    t = scored.groupBy(*by, score).agg(F.count("*").alias("n"), F.sum(F.col(positive).cast("long")).alias("p"))
     cuts = scored.agg(F.percentile_approx(score, [k / buckets for k in range(1, buckets)]).alias("cuts"))
     t = t.join(F.broadcast(cuts), how="inner", on=F.lit(True)).withColumn("_b", F.size(F.filter("cuts", lambda c: c < F.col(score)))).drop("cuts")
-    before = Window.partitionBy("_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    earlier = Window.partitionBy(F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = t.groupBy("_b").agg(F.sum("n").alias("_c")).select("_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
-    r = t.withColumn("_in", F.coalesce(F.sum("n").over(before), F.lit(0))).join(base, "_b").withColumn("rank", F.col("_base") + F.col("_in") + (F.col("n") + 1) / 2)
-    return r.agg(F.sum(F.col("p") * F.col("rank")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(
-        ((F.col("s") - F.col("p") * (F.col("p") + 1) / 2) / (F.col("p") * (F.col("n") - F.col("p")))).alias("auc")
+    before = Window.partitionBy(*by, "_b").orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
+    earlier = Window.partitionBy(*by, F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    base = t.groupBy(*by, "_b").agg(F.sum("n").alias("_c")).select(*by, "_b", F.coalesce(F.sum("_c").over(earlier), F.lit(0)).alias("_base"))
+    r = t.withColumn("_in", F.coalesce(F.sum("n").over(before), F.lit(0))).join(base, [*by, "_b"]).withColumn("rank", F.col("_base") + F.col("_in") + (F.col("n") + 1) / 2)
+    return r.groupBy(*by).agg(F.sum(F.col("p") * F.col("rank")).alias("s"), F.sum("p").alias("p"), F.sum("n").alias("n")).select(
+        *by, F.try_divide(F.col("s") - F.col("p") * (F.col("p") + 1) / 2, F.col("p") * (F.col("n") - F.col("p"))).alias("auc")
     )

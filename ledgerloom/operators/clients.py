@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..constants import BACKGROUND, FAMILIES, LABELS, NO_EVENT
-from ..functions.numeric import business_day, day, next_month
+from ..constants import BACKGROUND, FAMILIES, GENERIC, LABELS, MCC, NO_EVENT, PATTERNS
+from ..functions.numeric import business_day, day, next_month, right_closed
+from ..functions.text import enriched
 from .streams import amount_components, card_out, distinct, without_background
 
 VOCABULARY = {
@@ -170,16 +171,90 @@ def cadence_audit(ledger: DataFrame, cutoff: str, min_events: int = 5, gaps: tup
     )
 
 
-def document_text(ledger: DataFrame) -> DataFrame:
-    """The client's descriptions in time order, joined by `` ; ``."""
-    ordered = F.sort_array(F.collect_list(F.struct("timestamp", "tx_id", "txt")))
-    return ledger.groupBy("client_id").agg(F.array_join(F.transform(ordered, lambda x: x["txt"]), " ; ").alias("document"))
+def document_text(ledger: DataFrame, kind: str = "normalized") -> DataFrame:
+    """The client's descriptions in time order, joined by `` ; ``: ``raw``,
+    ``normalized`` or ``enriched`` with code and type."""
+    text = {"raw": F.col("description"), "normalized": F.col("txt"), "enriched": enriched(F.col("txt"), F.col("mcc"), F.col("type"))}[kind]
+    ordered = F.sort_array(F.collect_list(F.struct("timestamp", "tx_id", text.alias("text"))))
+    return ledger.groupBy("client_id").agg(F.array_join(F.transform(ordered, lambda x: x["text"]), " ; ").alias("document"))
+
+
+def row_text():
+    """A ledger row as text: microseconds, amount and fee to six decimals, the rest as it is."""
+    money = lambda c: F.col(c).cast("decimal(20,6)").cast("string")
+    return F.concat_ws("|", F.unix_micros("timestamp").cast("string"), money("amount"), "currency", "type", "direction", "description", "mcc", money("fee"))
 
 
 def fingerprints(ledger: DataFrame) -> DataFrame:
     """SHA-256 of a client's ordered rows without its id: equal histories, equal hash."""
-    row = F.struct("timestamp", "amount", "currency", "type", "direction", "description", "mcc", "fee")
-    return ledger.groupBy("client_id").agg(F.sha2(F.to_json(F.sort_array(F.collect_list(row))), 256).alias("history"))
+    rows = F.sort_array(F.collect_list(row_text()))
+    return ledger.groupBy("client_id").agg(F.sha2(F.array_join(rows, "\n"), 256).alias("history"))
+
+
+def blocks(ledger: DataFrame) -> DataFrame:
+    """The ledger's rows once for each block of the wide tabular baseline they belong to.
+
+    Blocks are ``global``; of outgoing card payments ``card``, ``mcc<code>``,
+    ``generic``, and per family ``text_<f>`` (text matches) and ``joint_<f>``
+    (text and code match).
+    """
+    out = (F.col("type") == "card_payment") & (F.col("direction") == "out")
+    names = {"card": F.lit(True), **{f"mcc{m}": F.col("mcc") == m for m in sorted(set(MCC.values()))}, "generic": F.col("txt").isin(GENERIC)}
+    for f in FAMILIES:
+        text = F.col("txt").rlike(PATTERNS[f])
+        names |= {f"text_{f}": text, f"joint_{f}": text & (F.col("mcc") == MCC[f])}
+    own = F.array_compact(F.array(F.lit("global"), *[F.when(out & c, F.lit(k)) for k, c in names.items()]))
+    return ledger.withColumn("block", F.explode(own))
+
+
+def block_names() -> list[str]:
+    return ["global", "card", *[f"mcc{m}" for m in sorted(set(MCC.values()))], "generic", *[f"{k}_{f}" for f in FAMILIES for k in ("text", "joint")]]
+
+
+def tabular(ledger: DataFrame, windows: list[int], statistics: list[str] | None = None) -> DataFrame:
+    """Wide tabular baseline: a row per client with every block's summary, counts
+    of the global categories, and incoming payments that match a family's text.
+
+    Blocks are summarised in long form with one aggregation and put side by
+    side over their fixed names; missing values are null, ``count`` is 0.
+    """
+    long = summarize(blocks(ledger), windows, ("client_id", "block"))
+    stats = statistics or [c for c in long.columns if c not in ("client_id", "block")]
+    cell = lambda b, c: F.max(F.when(F.col("block") == b, F.col(c)))
+    wide = long.groupBy("client_id").agg(
+        *[(F.coalesce(cell(b, c), F.lit(0)) if c == "count" else cell(b, c)).alias(f"{b}__{c}") for b in block_names() for c in stats]
+    )
+    counts = ledger.groupBy("client_id").agg(
+        *[F.count_if(F.col(c) == v).alias(f"global__{c}_{v}") for c, vs in VOCABULARY.items() for v in vs],
+        *[F.count_if((F.col("direction") == "in") & F.col("txt").rlike(PATTERNS[f])).alias(f"text_{f}__refund_count") for f in FAMILIES],
+    )
+    return wide.join(counts, "client_id")
+
+
+def forecast_errors(audit: DataFrame) -> DataFrame:
+    """Mean and median absolute error of each kind of date forecast."""
+    kinds = ("median_interval", "same_day", "business_day")
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("forecast"), F.col(k).alias("error")) for k in kinds])).alias("e")
+    return audit.select(each).groupBy("e.forecast").agg(F.count("e.error").alias("n"), F.avg("e.error").alias("mean_error"), F.median("e.error").alias("median_error"))
+
+
+def repeated_descriptions(ledger: DataFrame, min_count: int = 2) -> DataFrame:
+    """A row per client and text that returns, with its pace and bands of it.
+
+    Bands are numbers of right-closed bins, null outside of them.
+    """
+    w = Window.partitionBy("client_id", "txt").orderBy("t", "tx_id")
+    s = card_out(ledger).withColumn("gap", F.col("t") - F.lag("t").over(w)).groupBy("client_id", "txt").agg(
+        F.count("*").alias("count"), (-F.max("t")).alias("recency_days"), (F.max("t") - F.min("t")).alias("span_days"), F.median("gap").alias("median_interval_days"),
+        F.stddev_pop("gap").alias("interval_std_days"), F.avg("amount").alias("amount_mean"), F.stddev_pop("amount").alias("amount_std"),
+    ).where(F.col("count") >= min_count)
+    s = s.withColumn("interval_cv", F.col("interval_std_days") / F.greatest(F.col("median_interval_days"), F.lit(0.01)))
+    # Bin edges.
+    bands = {
+        "occurrence_band": ("count", [1, 2, 4, 8, 16, 1e18]), "recency_band": ("recency_days", [0, 15, 30, 60, 90, 180, 1e18]),
+        "interval_band": ("median_interval_days", [0, 10, 20, 35, 65, 100, 200, 1e18]), "regularity_band": ("interval_cv", [-0.001, 0.1, 0.25, 0.5, 1, 1e18]),
+    }
+    return s.withColumns({k: right_closed(F.col(c), edges) for k, (c, edges) in bands.items()})
 
 
 def labels_frame(spark) -> DataFrame:

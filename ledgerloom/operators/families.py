@@ -115,38 +115,37 @@ def wide_candidates(top: DataFrame, ids: DataFrame, statistics: list[str] | None
     return candidates(ids).join(wide, ["client_id", "family"], "left")
 
 
-def place(c: str, by, down: bool = False) -> Column:
-    """Rank among a client's few candidates, ties take the first place; null for null.
+def place(c: str, down: bool = False) -> Column:
+    """Rank among the client's few candidates ``_all``, ties take the first place; null for null.
 
     Counting the better values needs no order, so any number of ranks share
-    one window over the client instead of a sort each.
+    one list of the client's candidates instead of a sort each.
     """
-    values = F.collect_list(c).over(by)
-    better = F.filter(values, lambda v: v > F.col(c)) if down else F.filter(values, lambda v: v < F.col(c))
+    better = F.filter("_all", lambda v: v[c] > F.col(c)) if down else F.filter("_all", lambda v: v[c] < F.col(c))
     return F.when(F.col(c).isNotNull(), F.size(better) + 1)
 
 
 def ranks(x: DataFrame, columns: list[str], missing: int | None = 8) -> DataFrame:
     """``_rank`` (nulls ``missing``) and ``_vs_best`` per client; counts and diversity descend."""
     by = Window.partitionBy("client_id")
-    made = {}
+    x, made = x.withColumn("_all", F.collect_list(F.struct(*columns)).over(by)), {}
     for c in columns:
         down = any(d in c for d in DESCENDING)
-        rank = place(c, by, down)
+        rank = place(c, down)
         made[f"{c}_rank"] = F.coalesce(rank, F.lit(missing)) if missing is not None else rank
         made[f"{c}_vs_best"] = F.col(c) - (F.max(c) if down else F.min(c)).over(by)
-    return x.withColumns(made)
+    return x.withColumns(made).drop("_all")
 
 
 def competition(x: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, maximum, mean, ascending rank and distance to the minimum per client."""
     by = Window.partitionBy("client_id")
-    made = {}
+    x, made = x.withColumn("_all", F.collect_list(F.struct(*columns)).over(by)), {}
     for c in columns:
         made |= {f"{c}_competition_{k}": f(c).over(by) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))}
-        made[f"{c}_competition_rank"] = place(c, by)
+        made[f"{c}_competition_rank"] = place(c)
         made[f"{c}_competition_delta"] = F.col(c) - F.min(c).over(by)
-    return x.withColumns(made)
+    return x.withColumns(made).drop("_all")
 
 
 def activity(x: DataFrame, prefix: str) -> dict[str, Column]:

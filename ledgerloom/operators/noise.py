@@ -5,17 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import BACKGROUND, CORRUPTION, FAMILIES, GENERIC, MCC, TEMPLATES
-from ..functions.numeric import uniform
-from .clients import fingerprints
+from ..constants import BACKGROUND, CONFUSED, CORRUPTION, FAMILIES, GENERIC, MCC, PREFIX_NOISE, SUFFIX_NOISE, TEMPLATES
+from ..functions.numeric import draw, uniform
+from .clients import fingerprints, row_text
 
 MERCHANT_TEXTS = sorted({t for f in FAMILIES for t in TEMPLATES[f]})
-# Codes that recurring merchants' codes are mistaken for.
-CONFUSED = {"5732": ["5734", "4814"], "5734": ["5732", "5812"], "4814": ["5734"], "5812": ["5734", "5411"], "7997": ["5812"]}
 
 
 def choose(values: list[str], *key, salt: int) -> Column:
-    return F.element_at(F.array(*map(F.lit, values)), (F.pmod(F.xxhash64(*key, F.lit(salt)), F.lit(len(values))) + 1).cast("int"))
+    return F.element_at(F.array(*map(F.lit, values)), (draw(*key, salt=salt) % len(values) + 1).cast("int"))
 
 
 def mask_descriptions(ledger: DataFrame, probability: float, seed: int, key: tuple[str, ...] = ("tx_id",)) -> DataFrame:
@@ -34,7 +32,7 @@ def corrupt(ledger: DataFrame, severity: str, seed: int, key: tuple[str, ...] =
     """
     r1, r2, r3, r4 = CORRUPTION[severity]
     merchant = F.col("type").isin("card_payment", "refund") & ~F.col("txt").rlike(BACKGROUND)
-    back = (F.col("type") == "card_payment") & F.col("txt").rlike(BACKGROUND)
+    back = F.col("type").isin("card_payment", "refund") & F.col("txt").rlike(BACKGROUND)
     masked = mask_descriptions(ledger, r1, seed, key).drop("masked")
     swap = F.lit(None).cast("string")
     for source, options in CONFUSED.items():
@@ -42,7 +40,7 @@ def corrupt(ledger: DataFrame, severity: str, seed: int, key: tuple[str, ...] =
     confused = merchant & (uniform(*key, salt=seed + 2) < r2) & F.col("mcc").isin(list(CONFUSED))
     planted = back & (uniform(*key, salt=seed + 3) < r3)
     varied = F.col("type").isin("card_payment", "refund") & (uniform(*key, salt=seed + 4) < r4)
-    prefix, suffix = choose(["pay ", "billing ", "member ", ""], *key, salt=seed + 5), choose([" online", " core", " digital", " service", ""], *key, salt=seed + 6)
+    prefix, suffix = choose(PREFIX_NOISE, *key, salt=seed + 5), choose(SUFFIX_NOISE, *key, salt=seed + 6)
     text = F.when(planted, choose(MERCHANT_TEXTS, *key, salt=seed + 7)).otherwise(F.col("description"))
     return masked.withColumns(
         {"description": F.when(varied, F.concat(prefix, text, suffix)).otherwise(text), "mcc": F.when(confused, swap).otherwise(F.col("mcc"))}
@@ -51,11 +49,12 @@ def corrupt(ledger: DataFrame, severity: str, seed: int, key: tuple[str, ...] =
 
 def corruption_view(ledger: DataFrame, scenario: str, seed: int = 2026) -> DataFrame:
     """A corrupted copy that does not depend on client ids: rows are keyed by
-    the history's hash and their content, so renaming clients changes nothing."""
+    the history's hash and their content, so renaming clients changes nothing
+    (and equal rows of a client change alike)."""
     if scenario == "original":
         return ledger
-    keyed = ledger.join(fingerprints(ledger), "client_id")
-    return corrupt(keyed, scenario, seed, ("history", "timestamp", "amount", "description")).drop("history")
+    keyed = ledger.join(fingerprints(ledger), "client_id").withColumn("content", row_text())
+    return corrupt(keyed, scenario, seed, ("history", "content")).drop("history", "content")
 
 
 def merchant_codes() -> list[str]:

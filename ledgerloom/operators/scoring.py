@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
-from ..functions.numeric import softmax, substitute_none
+from ..functions.numeric import biased, softmax, substitute_none, uniform
 from ..functions.text import valid_id
 from ..sources.ledger import ContractError
 
@@ -81,10 +81,27 @@ def scores(matrix: DataFrame) -> DataFrame:
 
 def score_predictions(labels: DataFrame, predictions: DataFrame, spark) -> DataFrame:
     """The task's score: contract first, then macro-F1 over the eight labels."""
+    return scores(scored_confusion(labels, predictions, spark))
+
+
+def scored_confusion(labels: DataFrame, predictions: DataFrame, spark) -> DataFrame:
+    """The confusion matrix of a valid submission."""
     renamed = labels.select("client_id", F.col("target_next_recurring_merchant").alias("truth"))
     validate_submission(predictions, renamed)
     pairs = renamed.join(predictions.select("client_id", F.col("predicted_next_recurring_merchant").alias("prediction")), "client_id")
-    return scores(confusion(pairs, spark.createDataFrame([(x,) for x in LABELS], "label string")))
+    return confusion(pairs, spark.createDataFrame([(x,) for x in LABELS], "label string"))
+
+
+def score_report(matrix: DataFrame) -> dict:
+    """The score as a plain dict: totals, classes and confusions in label order."""
+    cells = {(r["truth"], r["prediction"]): r["n"] for r in matrix.collect()}
+    classes = {r["label"]: r for r in per_class(matrix).collect()}
+    total = scores(matrix).first()
+    return {
+        "clients": sum(cells.values()), "macro_f1": total["macro_f1"], "accuracy": total["accuracy"], "label_order": LABELS, "undefined_class_f1": 0.0,
+        "per_class": {x: {"support": classes[x]["support"], "predicted_count": classes[x]["predicted"], **{k: classes[x][k] for k in ("precision", "recall", "f1")}} for x in LABELS},
+        "confusion_true_by_predicted": {a: {b: cells[a, b] for b in LABELS} for a in LABELS},
+    }
 
 
 def probability_losses(p: DataFrame, truth: str = "truth") -> DataFrame:
@@ -112,13 +129,41 @@ def expected_calibration_error(bins: DataFrame) -> DataFrame:
     return bins.agg((F.sum(F.col("n") * F.abs(F.col("confidence") - F.col("accuracy"))) / F.sum("n")).alias("ece"))
 
 
-def combine(scores_: DataFrame, none: DataFrame | None, temperature: float = 1.0) -> DataFrame:
-    """Softmax of ``score`` per client and seed, none substitution, mean over seeds."""
-    w = Window.partitionBy("client_id", "seed")
-    p = scores_.withColumn("p", softmax(F.col("score") / temperature, w))
-    if none is not None:
-        p = p.join(none, ["client_id", "seed"]).withColumn("p", substitute_none(F.col("p"), F.col("p_none"), F.col("family") == "none", w))
-    return p.groupBy("client_id", "family", "family_index").agg(F.avg("p").alias("p"))
+def combine(
+    scores_: DataFrame, none: DataFrame | None, temperature: float = 1.0, legacy: DataFrame | None = None, legacy_weight: float = 0.0,
+    prior_: DataFrame | None = None, prior_bias: float = 0.0, raw: bool = False,
+) -> DataFrame:
+    """Probabilities of an ensemble: ``(client_id, family, family_index, p)``.
+
+    ``scores_`` and ``legacy`` hold a ``score`` per candidate and ``seed``.
+    Each seed's scores are divided by ``temperature`` and turned into
+    probabilities, none is substituted by ``none`` (client_id, seed, p_none),
+    and seeds are averaged; with ``raw`` the scores are averaged instead and
+    turned into probabilities once.  ``legacy`` enters with its weight, and
+    ``prior_`` (label, prior) lowers frequent labels by ``prior_bias``.
+    """
+    each, client = Window.partitionBy("client_id", "seed"), Window.partitionBy("client_id")
+    key = ["client_id", "family", "family_index"]
+    part = lambda x: x if raw else x.withColumn("score", softmax(F.col("score") / temperature, each))
+    main = part(scores_)
+    if none is not None and not raw:
+        main = main.join(none, ["client_id", "seed"]).withColumn("score", substitute_none(F.col("score"), F.col("p_none"), F.col("family") == "none", each))
+    p = main.groupBy(*key).agg(F.avg("score").alias("p"))
+    if legacy is not None and legacy_weight:
+        p = blend([(p, 1 - legacy_weight), (part(legacy).groupBy(*key).agg(F.avg("score").alias("p")), legacy_weight)])
+    if raw:
+        p = p.withColumn("p", softmax(F.col("p") / temperature, client))
+    if prior_ is not None and prior_bias:
+        p = p.join(F.broadcast(prior_.withColumnRenamed("label", "family")), "family").withColumn("p", biased(F.col("p"), -prior_bias * F.ln("prior"), client)).select(*key, "p")
+    return p
+
+
+def check_probabilities(p: DataFrame) -> None:
+    """Eight finite probabilities per client that sum to one; ``ContractError`` otherwise."""
+    finite = F.col("p").isNotNull() & ~F.isnan("p") & F.col("p").between(0, 1)
+    bad = p.groupBy("client_id").agg(F.count("*").alias("n"), F.sum("p").alias("s"), F.min(finite.cast("int")).alias("ok")).where("n <> 8 OR ok = 0 OR abs(s - 1) > 1e-6")
+    if bad.limit(1).count():
+        raise ContractError("invalid probabilities")
 
 
 def blend(parts: list[tuple[DataFrame, float]]) -> DataFrame:
@@ -138,18 +183,35 @@ def prior(targets: DataFrame, classes: DataFrame) -> DataFrame:
     return x.select("label", ((F.col("n") + 1) / (F.sum("n").over(every) + F.count("*").over(every))).alias("prior"))
 
 
-def bootstrap(pairs: DataFrame, repetitions: int, seed: int) -> DataFrame:
-    """Accuracy per replicate by Poisson weights: a draw per client and replicate, no gather.
+#: Distribution function of Poisson draws with mean 1, up to six.
+POISSON = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
+
 
-    Each client's weight follows from a hash of client, replicate and seed, so
-    replicates are reproducible and the aggregation is combined map-side.
+def bootstrap(pairs: DataFrame, repetitions: int, seed: int, labels: list[str] = LABELS, rival: str | None = None) -> DataFrame:
+    """``accuracy`` and ``macro_f1`` per replicate by Poisson weights: a draw per
+    client and replicate, no gather.
+
+    With a second prediction column ``rival`` also its macro-F1 and ``delta``,
+    the first less the second of the same draw.  Each client's weight follows
+    from a hash of client, replicate and seed, so replicates are reproducible
+    and the aggregation is combined map-side.
     """
-    u = F.pmod(F.xxhash64("client_id", "replicate", F.lit(seed)), F.lit(1_000_003)) / 1_000_003.0
-    steps = [0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582]
-    weight = sum((F.when(u >= s, 1).otherwise(0) for s in steps), F.lit(0))
+    u = uniform("client_id", "replicate", salt=seed)
+    weight = sum((F.when(u >= s, 1).otherwise(0) for s in POISSON), F.lit(0))
     each = pairs.withColumn("replicate", F.explode(F.sequence(F.lit(0), F.lit(repetitions - 1)))).withColumn("w", weight)
-    hit = (F.col("truth") == F.col("prediction")).cast("int")
-    return each.groupBy("replicate").agg((F.sum(F.col("w") * hit) / F.sum("w")).alias("accuracy"))
+    w, truth = F.col("w"), F.col("truth")
+
+    def macro(column: str):
+        said = F.col(column)
+        share = lambda x: F.sum(F.when(truth == x, w).otherwise(0)) + F.sum(F.when(said == x, w).otherwise(0))
+        f1 = [F.coalesce(F.try_divide(2.0 * F.sum(F.when((truth == x) & (said == x), w).otherwise(0)), share(x)), F.lit(0.0)) for x in labels]
+        return sum(f1[1:], f1[0]) / len(labels)
+
+    hit = F.sum(F.when(truth == F.col("prediction"), w).otherwise(0))
+    made = each.groupBy("replicate").agg(
+        F.try_divide(hit, F.sum("w")).alias("accuracy"), macro("prediction").alias("macro_f1"), *([macro(rival).alias("rival_macro_f1")] if rival else [])
+    )
+    return made.withColumn("delta", F.col("macro_f1") - F.col("rival_macro_f1")) if rival else made
 
 
 def interval(replicates: DataFrame, column: str = "accuracy") -> DataFrame:
@@ -157,6 +219,14 @@ def interval(replicates: DataFrame, column: str = "accuracy") -> DataFrame:
     return replicates.agg(q.alias("q")).select(F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
 
 
+def intervals(replicates: DataFrame) -> DataFrame:
+    """``(metric, low, high)`` of every metric of the replicates."""
+    names = [c for c in replicates.columns if c != "replicate"]
+    each = replicates.select(F.explode(F.array(*[F.struct(F.lit(c).alias("metric"), F.col(c).alias("value")) for c in names])).alias("m"))
+    q = F.percentile("m.value", F.array(F.lit(0.025), F.lit(0.975)))
+    return each.groupBy("m.metric").agg(q.alias("q")).select("metric", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"))
+
+
 def cohorts(rows: DataFrame, flags: dict[str, object]) -> DataFrame:
     """Size, errors and accuracy of overlapping cohorts in one pass."""
     named = F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in flags.items()]))
@@ -166,5 +236,5 @@ def cohorts(rows: DataFrame, flags: dict[str, object]) -> DataFrame:
 
 def best_examples(rows: DataFrame) -> DataFrame:
     """The surest correct client per class."""
-    w = Window.partitionBy("prediction").orderBy(F.desc("confidence"), "client_id")
-    return rows.where("truth = prediction").withColumn("k", F.row_number().over(w)).where("k = 1").drop("k")
+    best = F.min_by(F.struct(*rows.columns), F.struct(-F.col("confidence"), "client_id"))
+    return rows.where("truth = prediction").groupBy("prediction").agg(best.alias("r")).select("r.*")

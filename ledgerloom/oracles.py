@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .constants import BACKGROUND, EPS, FAMILIES, GENERIC, LABELS, MCC, PATTERNS, SUFFIXES, TEMPLATES, TEST_CUTOFF, TEST_WINDOWS
+from .constants import BACKGROUND, CONFUSED, CORRUPTION, EPS, FAMILIES, GENERIC, LABELS, MCC, PATTERNS, PERIODS, PREFIX_NOISE, SUFFIX_NOISE, SUFFIXES, TEMPLATES, TEST_CUTOFF, TEST_WINDOWS
 from .operators.noise import merchant_codes
 from .sources.ledger import CODES, VOCABULARY
 
@@ -30,6 +30,66 @@ PER_FAMILY_SQL = ",\n".join(
 )
 SCORES = ", ".join(f"semantic_{f} + 0.25 * mcc_{f}" for f in FAMILIES)
 
+NUMBER = "substr(client_id, 2)::BIGINT"
+TEMPLATE_STATS = [f"{s}_{w}_{c}" for s in ("any", "mcc") for w in (999, 90) for c in ("diversity", "repeated", "sum", "max", "rank0", "rank1", "rank2", "rank3")]
+COMPACT = "count amount_mean amount_median amount_cv amount_mad amount_change first_age last_age span gap_median gap_mean gap_std gap_mad gap_cv gap_last gap_recent next_median next_recent linear_period linear_residual linear_next overdue_ratio own_semantic own_mcc own_template_diversity own_template_count other_semantic description_top_fraction generic_fraction".split()
+COMPACT += [*(f"count_{w}" for w in TEST_WINDOWS), "price_support", "normalized_price"]
+SLOTS = {"amount0": ("amount", 0), "amount1": ("amount", 1), "broad0": ("broad", 0), "broad1": ("broad", 1)}
+
+
+def at_slot(slot: str, c: str) -> str:
+    kind, rank = SLOTS[slot]
+    return f"max(CASE WHEN kind = '{kind}' AND rank = {rank} THEN {c} END) AS {slot}_{c}"
+
+
+def mod(x: str, p: str) -> str:
+    return f"((({x}) % {p}) + {p}) % {p}"
+
+
+def of_family(prefix: str) -> str:
+    return "CASE candidate " + " ".join(f"WHEN '{f}' THEN {prefix.format(f)}" for f in FAMILIES) + " END"
+
+
+def support(a: str) -> str:
+    return f"exp(-8 * greatest(0, ln(low / greatest({a}, 0.01)), ln(greatest({a}, 0.01) / high)))"
+
+
+def drawn(key: str, salt: int) -> str:
+    return f"('0x' || substr(md5(concat_ws('|', {key}, {salt})), 1, 8))::BIGINT"
+
+
+def chosen(values: list[str], key: str, salt: int) -> str:
+    return f"[{texts(values)}][({drawn(key, salt)} % {len(values)} + 1)::INT]"
+
+
+def label_at(step: int) -> str:
+    return f"[{texts(LABELS)}][({NUMBER} * {step} % 8 + 1)::INT]"
+
+
+def clocks(top: str) -> str:
+    """Clock columns of the four slots for streams ``top``, per candidate."""
+    columns = ["count", "gap_median", "last_age", "next_median", *(f"{k}_{j}" for j in range(len(PERIODS)) for k in ("ps", "pn"))]
+    wide = ", ".join(at_slot(s, c) for s in SLOTS for c in columns)
+    fits = lambda s: "[" + ", ".join(f"{{'f': (1 - {s}_ps_{j}) + 0.8 * abs(ln(greatest({s}_gap_median, 1) / {float(p)})), 'k': {j}, 'p': {float(p)}::DOUBLE, 'n': {s}_pn_{j}, 's': {s}_ps_{j}}}" for j, p in enumerate(PERIODS)) + "]"
+    best = ", ".join(f"list_sort({fits(s)})[1] AS {s}_b, coalesce({s}_gap_median > 0 AND {s}_count >= 3, false) AS {s}_v" for s in SLOTS)
+    made = ", ".join(
+        f"CASE WHEN {s}_v THEN {s}_b.p END AS {s}_clock_period, CASE WHEN {s}_v THEN {s}_b.n ELSE 999 END AS {s}_clock_next, "
+        f"CASE WHEN {s}_v AND coalesce({s}_last_age < {s}_b.p * 1.4, false) THEN {s}_b.n ELSE 999 END AS {s}_clock_active_next, CASE WHEN {s}_v THEN {s}_b.s ELSE 0 END AS {s}_clock_strength, "
+        f"({s}_v AND coalesce({s}_last_age < {s}_b.p * 1.4, false))::BIGINT AS {s}_clock_active, CASE WHEN {s}_v THEN {mod(f'{s}_next_median', f'{s}_b.p')} ELSE 999 END AS {s}_next_modulo"
+        for s in SLOTS
+    )
+    return f"""SELECT client_id, family, {made}, {', '.join(f'{s}_last_age' for s in SLOTS)} FROM (SELECT *, {best} FROM cand LEFT JOIN
+        (SELECT client_id, candidate AS family, {wide} FROM {top} JOIN ph USING (client_id, currency, group_type, comp) GROUP BY client_id, candidate) USING (client_id, family))"""
+
+
+def compared(c: str) -> str:
+    w = "OVER (PARTITION BY client_id)"
+    return (
+        f"min({c}) {w} AS {c}_competition_min, max({c}) {w} AS {c}_competition_max, avg({c}) {w} AS {c}_competition_mean, "
+        f"CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY client_id ORDER BY {c} NULLS LAST) END AS {c}_competition_rank, {c} - min({c}) {w} AS {c}_competition_delta"
+    )
+
+
 #: Common table expressions in the order of their dependence.
 CTES = {
     "b0": "SELECT event_id, user_id, ts, event_type, value, CAST(json_extract_string(props, '$.k') AS INT) AS k FROM events",
@@ -91,7 +151,49 @@ CTES = {
     "near": """SELECT s.*, c.currency, c.fee AS last_fee FROM slot s JOIN led c USING (client_id) WHERE c.type = 'card_payment'
         QUALIFY row_number() OVER (PARTITION BY s.client_id, s.family, s.prefix ORDER BY abs(-c.t - s.last_age), c.timestamp, c.tx_id) = 1""",
     "hit": "SELECT n.*, l.type, -l.t AS age, l.fee, l.timestamp FROM near n JOIN led l USING (client_id, currency) WHERE l.type IN ('card_payment', 'refund') AND abs(ln(l.amount / n.amount_median)) < 0.4",
-    "probs": """SELECT client_id, family, family_index, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY client_id) AS p
+    "ph": f"""SELECT {GAP_KEYS}, {", ".join(f"sqrt(avg(cos(t * (2 * pi() / {p}))) ^ 2 + avg(sin(t * (2 * pi() / {p}))) ^ 2) AS ps_{j}, {mod(f'atan2(avg(sin(t * (2 * pi() / {p}))), avg(cos(t * (2 * pi() / {p})))) * ({p} / (2 * pi()))', str(float(p)))} AS pn_{j}" for j, p in enumerate(PERIODS))}
+        FROM mem GROUP BY {GAP_KEYS}""",
+    "stx": "SELECT *, amount_std / amount_mean AS amount_cv, round(sqrt(greatest(0, vt * (1 - r2))), 4) AS linear_residual, icept + linear_period * count AS linear_next, last + gap_recent AS next_recent, -last / greatest(gap_median, 1) AS overdue_ratio FROM stf",
+    "own": "SELECT stx.*, " + ", ".join(f"(3 * semantic_{f} + mcc_{f} + 0.05) * coalesce((SELECT {support('amount_median')} FROM prof WHERE family = '{f}'), 0) AS own_{f}" for f in FAMILIES) + " FROM stx",
+    "soft": f"""SELECT o.*, p.low, p.high FROM (SELECT *, CASE WHEN group_type = 'amount' THEN 'amount' ELSE 'broad' END AS kind, unnest(CASE WHEN group_type = 'amount' THEN
+          list_filter([{per_family(lambda f: f"CASE WHEN own_{f} >= 0.4 * greatest({per_family(lambda g: f'own_{g}')}) AND own_{f} > 0.02 THEN '{f}' END")}], lambda x: x IS NOT NULL) ELSE [replace(group_type, 'family_', '')] END) AS candidate FROM own) o
+        LEFT JOIN prof p ON p.family = candidate""",
+    "tops": f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY client_id, candidate, kind ORDER BY count * exp(-last_age / 60) DESC, count DESC, last_age, currency, comp) - 1 AS rank, count(*) OVER (PARTITION BY client_id, candidate) AS stream_count,
+        {of_family('semantic_{}')} AS own_semantic, {of_family('mcc_{}')} AS own_mcc, {of_family('template_{}_diversity')} AS own_template_diversity, {of_family('template_{}_count')} AS own_template_count,
+        greatest({per_family(lambda f: f"CASE WHEN candidate <> '{f}' THEN semantic_{f} END")}) AS other_semantic, {support('amount_median')} AS price_support, (amount_median - low) / nullif(high - low, 0) AS normalized_price FROM soft) WHERE rank < 2""",
+    "tc9": f"""SELECT client_id, family, scope, w AS "window", txt AS template, count(*) AS n FROM co JOIN tem ON txt = template, (VALUES ('any'), ('mcc')) AS s(scope), (VALUES (999), (90)) AS v(w)
+        WHERE (scope = 'any' OR family = 'none' OR mcc = {CODE}) AND (w = 999 OR t >= -w) GROUP BY ALL""",
+    "ro9": """SELECT client_id, family, scope, "window", count(*) AS diversity, count(*) FILTER (WHERE n >= 2) AS repeated, sum(n)::BIGINT AS sum, max(n) AS max, list_reverse_sort(list(n)) AS o FROM tc9 GROUP BY ALL""",
+    "tw": "SELECT client_id, family, " + ", ".join(
+        f"""coalesce(max(CASE WHEN scope = '{x.split("_")[0]}' AND "window" = {x.split("_")[1]} THEN {x.split("_")[2] if not x.split("_")[2].startswith("rank") else f"coalesce(o[{int(x[-1]) + 1}], 0)"} END), 0) AS own_template_{x}""" for x in TEMPLATE_STATS
+    ) + " FROM ro9 GROUP BY client_id, family",
+    "fx": "SELECT client_id, candidate AS family, max(stream_count) AS stream_count, " + ", ".join(at_slot(s, c) for s in SLOTS for c in COMPACT) + " FROM tops GROUP BY client_id, candidate",
+    "fm": "SELECT cand.*, fx.* EXCLUDE (client_id, family), " + ", ".join(f"coalesce(own_template_{x}, 0) AS own_template_{x}" for x in TEMPLATE_STATS) + " FROM cand LEFT JOIN fx USING (client_id, family) LEFT JOIN tw USING (client_id, family)",
+    "fa": "SELECT *, " + ", ".join(
+        f"{p}_act::BIGINT AS {p}_active, CASE WHEN {p}_act THEN {mod(f'{p}_next_median', f'{p}_p')} ELSE 999 END AS {p}_next_active, CASE WHEN {p}_obs THEN {p}_p END AS {p}_period_rounded, "
+        + ", ".join(f"coalesce(greatest({p}_{c}, 0) / greatest({p}_count, 1), 0) AS {p}_{c}_per_event" for c in ("own_semantic", "own_mcc", "own_template_diversity", "own_template_count"))
+        for p in ("amount0", "broad0", "amount1")
+    ) + " FROM (SELECT *, " + ", ".join(f"coalesce({p}_obs AND {p}_last_age < {p}_p * 1.35, false) AS {p}_act" for p in ("amount0", "broad0", "amount1")) + " FROM (SELECT *, " + ", ".join(
+        f"coalesce({p}_count >= 2 AND {p}_gap_median >= 5 AND {p}_gap_median <= 120, false) AS {p}_obs, list_sort(list_transform([14.0, 28.0, 30.0, 60.0, 90.0]::DOUBLE[], lambda x: {{'d': abs({p}_gap_median - x), 'p': x}}))[1].p AS {p}_p"
+        for p in ("amount0", "broad0", "amount1")
+    ) + " FROM fm))",
+    "slot9": "SELECT client_id, candidate AS family, kind || '0' AS prefix, amount_median, last_age FROM tops WHERE rank = 0 AND amount_median > 0 AND count >= 2",
+    "near9": """SELECT s.*, c.currency, c.fee AS last_fee FROM slot9 s JOIN led c USING (client_id) WHERE c.type = 'card_payment'
+        QUALIFY row_number() OVER (PARTITION BY s.client_id, s.family, s.prefix ORDER BY abs(-c.t - s.last_age), c.timestamp, c.tx_id) = 1""",
+    "hit9": "SELECT n.*, l.type, -l.t AS age, l.fee, l.timestamp FROM near9 n JOIN led l USING (client_id, currency) WHERE l.type IN ('card_payment', 'refund') AND abs(ln(l.amount / n.amount_median)) < 0.04",
+    "ctx": """SELECT client_id, family, prefix, any_value(last_fee) AS last_fee, count(*) FILTER (WHERE type = 'refund') AS refund_count, count(*) FILTER (WHERE type = 'refund' AND age < 90) AS refund_count90, count(*) FILTER (WHERE type = 'refund' AND age < 30) AS refund_count30,
+        avg((fee > 0)::INT) FILTER (WHERE type <> 'refund') AS fee_fraction, avg(fee) FILTER (WHERE type <> 'refund') AS fee_mean, stddev_samp(hour(timestamp)) FILTER (WHERE type <> 'refund') AS hour_std, avg((isodow(timestamp) >= 6)::INT) FILTER (WHERE type <> 'refund') AS weekend_fraction,
+        count(*) FILTER (WHERE type = 'refund') / greatest(count(*) FILTER (WHERE type <> 'refund'), 1) AS refund_ratio, coalesce(min(age) FILTER (WHERE type = 'refund'), 999) AS refund_last_age,
+        coalesce(max((last_age - age BETWEEN 0 AND 10)::INT) FILTER (WHERE type = 'refund'), 0) AS refund_after_last FROM hit9 GROUP BY client_id, family, prefix""",
+    "rowt": "SELECT *, concat_ws('|', epoch_us(timestamp), amount::DECIMAL(20,6), currency, type, direction, description, mcc, fee::DECIMAL(20,6)) AS content FROM led",
+    "hist": "SELECT client_id, sha256(string_agg(content, chr(10) ORDER BY content)) AS history FROM rowt GROUP BY client_id",
+    "keyed": "SELECT rowt.*, history FROM rowt JOIN hist USING (client_id)",
+    "blk": f"""SELECT *, unnest(list_filter(['global', CASE WHEN o THEN 'card' END, {", ".join(f"CASE WHEN o AND mcc = '{m}' THEN 'mcc{m}' END" for m in sorted(set(MCC.values())))}, CASE WHEN o AND txt IN ({texts(GENERIC)}) THEN 'generic' END,
+        {per_family(lambda f: f"CASE WHEN o AND regexp_matches(txt, '{PATTERNS[f]}') THEN 'text_{f}' END, CASE WHEN o AND regexp_matches(txt, '{PATTERNS[f]}') AND mcc = '{MCC[f]}' THEN 'joint_{f}' END")}], lambda x: x IS NOT NULL)) AS block
+        FROM (SELECT *, type = 'card_payment' AND direction = 'out' AS o FROM led)""",
+    "blkg": "SELECT *, t - lag(t) OVER (PARTITION BY client_id, block ORDER BY t, tx_id) AS gap FROM blk",
+    "docs": "SELECT client_id, string_agg(txt, ' ; ' ORDER BY timestamp, tx_id, txt) AS document FROM led GROUP BY client_id",
+    "probs": f"""SELECT client_id, family, family_index, {label_at(1)} AS truth, exp(s - mx) / sum(exp(s - mx)) OVER (PARTITION BY client_id) AS p
         FROM (SELECT *, coalesce(stream_count, 0) / 4.0::DOUBLE AS s, max(coalesce(stream_count, 0) / 4.0::DOUBLE) OVER (PARTITION BY client_id) AS mx FROM mat)""",
     "pairs": "SELECT doc_id, quality::VARCHAR AS truth, toxic::VARCHAR AS prediction FROM labels",
     "cls": "SELECT * FROM (VALUES ('0'), ('1'), ('2')) AS v(label)",
@@ -124,10 +226,6 @@ def rule(order: str) -> str:
         QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY {order}, currency, comp) = 1) x USING (client_id)"""
 
 
-def support(a: str) -> str:
-    return f"exp(-8 * greatest(0, ln(low / greatest({a}, 0.01)), ln(greatest({a}, 0.01) / high)))"
-
-
 CANON = f"""SELECT tx_id, CASE WHEN c IN ('digital plus', 'digital service') THEN c ELSE regexp_replace(c, ' ({"|".join(SUFFIXES)})$', '') END AS canonical
     FROM (SELECT tx_id, CASE WHEN txt IN ('member pass', 'member plan') THEN txt ELSE regexp_replace(txt, '^(pay|billing|member) ', '') END AS c FROM led)"""
 SUMMARY = """SELECT client_id, mcc, count(*) AS count, median(amount) AS amount_median, stddev_pop(amount) / greatest(avg(amount), 1e-6) AS amount_cv, count(DISTINCT description) AS unique_description,
@@ -180,15 +278,15 @@ BODIES = {
     "amount_components": "SELECT client_id, currency, count(*) AS n, count(DISTINCT comp) AS components, sum(tx_id)::BIGINT AS id_sum FROM chains WHERE size >= 3 GROUP BY ALL",
     "amount_pairs": "SELECT client_id, currency, count(*) AS n, min(tx_id) AS first_id FROM chains WHERE size >= 2 GROUP BY client_id, currency, comp",
     "stream_stats_core": "SELECT " + ", ".join(["client_id", "currency", "group_type", "comp", *"count amount_mean amount_std amount_median amount_mad first_age last_age span unique_description description_top_fraction description_entropy unique_mcc generic_fraction gap_median gap_mean gap_std gap_mad gap_min gap_max gap_cv".split(), *(f"count_{w}" for w in TEST_WINDOWS), "family", "family_score"]) + " FROM stf",
-    "stream_circular": f"SELECT {GAP_KEYS}, {', '.join(f'{circular(p)} AS phase_strength_{p.replace(chr(46), chr(95))}' for p in ('7', '14', '30.4375'))} FROM mem WHERE group_type = 'amount' GROUP BY {GAP_KEYS}",
-    "stream_ols": f"SELECT {GAP_KEYS}, linear_period, sqrt(greatest(0, vt * (1 - r2))) AS linear_residual, icept + linear_period * count AS linear_next FROM st WHERE group_type = 'amount'",
-    "cadence_error": f"SELECT {GAP_KEYS}, median(least(fmod(gap, 7), 7 - fmod(gap, 7))) AS period_error_7, median(least(fmod(gap, 14), 14 - fmod(gap, 14))) AS period_error_14 FROM m1 WHERE group_type = 'amount' GROUP BY {GAP_KEYS}",
-    "recent_gap_median": f"SELECT {GAP_KEYS}, gap_last, gap_recent, last + gap_median AS next_median, last + gap_recent AS next_recent, last + gap_last AS next_last, -last / greatest(gap_median, 1) AS overdue_ratio FROM st WHERE group_type = 'amount'",
-    "amount_change": f"SELECT {GAP_KEYS}, amount_change FROM st WHERE group_type = 'amount'",
+    "stream_circular": f"SELECT {GAP_KEYS}, " + ", ".join(f"ps_{j} AS phase_strength_{f'{p:g}'.replace('.', '_')}, pn_{j} AS phase_next_{f'{p:g}'.replace('.', '_')}" for j, p in enumerate(PERIODS)) + " FROM ph",
+    "stream_ols": f"SELECT {GAP_KEYS}, linear_period, linear_residual, linear_next FROM stx",
+    "cadence_error": f"SELECT {GAP_KEYS}, " + ", ".join(f"median(least(fmod(gap, {p}), {p} - fmod(gap, {p}))) AS period_error_{f'{p:g}'.replace('.', '_')}" for p in PERIODS) + f" FROM m1 GROUP BY {GAP_KEYS}",
+    "recent_gap_median": f"SELECT {GAP_KEYS}, gap_last, gap_recent, last + gap_median AS next_median, last + gap_recent AS next_recent, last + gap_last AS next_last, -last / greatest(gap_median, 1) AS overdue_ratio FROM st",
+    "amount_change": f"SELECT {GAP_KEYS}, amount_change FROM st",
     "broad_streams": "SELECT client_id, currency, group_type, count(*) AS n, sum(tx_id)::BIGINT AS id_sum FROM broad GROUP BY ALL",
     "summary_block": SUMMARY,
     "price_profiles": "SELECT * FROM prof",
-    "price_support": f"SELECT tx_id, {support('amount')} AS support FROM co, prof WHERE family = 'cloud' AND mcc = '5732'",
+    "price_support": f"SELECT tx_id, family, {support('amount')} AS support FROM co, prof",
     "soft_assignment": SOFT,
     "hard_assignment": "SELECT client_id, candidate, count(*) AS n FROM asg GROUP BY ALL",
     "top2_streams": "SELECT client_id, candidate, kind, rank, count, last_age, own_semantic, own_mcc, own_template_diversity, other_semantic FROM top",
@@ -225,12 +323,13 @@ BODIES = {
     "confusion_matrix": "SELECT * FROM conf",
     "per_class_f1": "SELECT label, support, predicted, precision, recall, f1 FROM cls_f",
     "macro_scores": "SELECT avg(f1) AS macro_f1, sum(h) / sum(support) AS accuracy FROM cls_f",
-    "prob_losses": "SELECT avg(ll) AS log_loss, avg(h) AS entropy, avg(c) AS confidence, avg(b) AS brier FROM (SELECT client_id, sum(CASE WHEN family = 'cloud' THEN -ln(p) ELSE 0 END) AS ll, sum(-p * ln(p)) AS h, max(p) AS c, sum((p - (family = 'cloud')::INT) ^ 2) AS b FROM probs GROUP BY client_id)",
-    "calibration_bins": "SELECT ceil(c * 10)::BIGINT AS bin, count(*) AS n, avg((f = 'cloud')::INT) AS accuracy, avg(c) AS confidence FROM (SELECT client_id, max(p) AS c, arg_max(family, (p, -family_index)) AS f FROM probs GROUP BY client_id) GROUP BY 1",
+    "prob_losses": "SELECT avg(ll) AS log_loss, avg(h) AS entropy, avg(c) AS confidence, avg(b) AS brier FROM (SELECT client_id, sum(CASE WHEN family = truth THEN -ln(p) ELSE 0 END) AS ll, sum(-p * ln(p)) AS h, max(p) AS c, sum((p - (family = truth)::INT) ^ 2) AS b FROM probs GROUP BY client_id)",
+    "calibration_bins": "SELECT ceil(c * 10)::BIGINT AS bin, count(*) AS n, avg((f = truth)::INT) AS accuracy, avg(c) AS confidence FROM (SELECT client_id, truth, max(p) AS c, arg_max(family, (p, -family_index)) AS f FROM probs GROUP BY ALL) GROUP BY 1",
+    "calibration_error": "SELECT sum(n * abs(confidence - accuracy)) / sum(n) AS ece FROM (SELECT ceil(c * 10) AS bin, count(*) AS n, avg((f = truth)::INT) AS accuracy, avg(c) AS confidence FROM (SELECT client_id, truth, max(p) AS c, arg_max(family, (p, -family_index)) AS f FROM probs GROUP BY ALL) GROUP BY 1)",
     "softmax_none_substitution": """SELECT client_id, family, p, CASE WHEN family = 'none' THEN 0.3 ELSE p * 0.7 / sum(CASE WHEN family <> 'none' THEN p END) OVER w END AS q,
         p * exp(-0.1 * family_index) / sum(p * exp(-0.1 * family_index)) OVER w AS biased FROM probs WINDOW w AS (PARTITION BY client_id)""",
     "laplace_prior": "SELECT label, (n + 1) / (sum(n) OVER () + count(*) OVER ()) AS prior FROM (SELECT label, count(truth) AS n FROM cls LEFT JOIN pairs ON label = truth GROUP BY label)",
-    "submission_check": """SELECT (SELECT count(*) FROM s)::BIGINT AS rows, 0::BIGINT AS bad_ids, (SELECT count(*) FROM s WHERE k % 7 = 0)::BIGINT AS bad_labels, (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0)::BIGINT AS missing, 0::BIGINT AS unexpected, 0::BIGINT AS repeated_left, 1::BIGINT AS repeated_right
+    "submission_check": """SELECT (SELECT count(*) FROM s)::BIGINT + 3 AS rows, 3::BIGINT AS bad_ids, (SELECT count(*) FROM s WHERE k % 7 = 0)::BIGINT AS bad_labels, (SELECT count(*) FROM customer WHERE c_custkey % 50 = 0)::BIGINT AS missing, 3::BIGINT AS unexpected, 0::BIGINT AS repeated_left, 1::BIGINT AS repeated_right
         FROM (SELECT 1) """.replace("FROM s)", "FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 50 <> 0 UNION ALL SELECT 1))").replace("FROM s WHERE", "FROM (SELECT c_custkey AS k FROM customer WHERE c_custkey % 50 <> 0 UNION ALL SELECT 1) WHERE"),
     "exact_cover": """SELECT count(*) FILTER (WHERE b.k IS NULL) AS missing, count(*) FILTER (WHERE a.k IS NULL) AS unexpected, count(*) FILTER (WHERE a.n > 1) AS repeated_left, count(*) FILTER (WHERE b.n > 1) AS repeated_right
         FROM (SELECT c_custkey AS k, count(*) AS n FROM customer GROUP BY 1) a FULL JOIN (SELECT o_custkey AS k, count(*) AS n FROM orders GROUP BY 1) b ON a.k = b.k""",
@@ -245,10 +344,143 @@ BODIES = {
     "orders_by_priority_cube": "SELECT o_orderpriority, o_orderstatus, count(*) AS n, round(sum(o_totalprice), 2) AS total FROM orders GROUP BY CUBE (o_orderpriority, o_orderstatus)",
     "order_streams": f"""SELECT client_id, count(*) AS n, count(DISTINCT comp) AS components FROM (SELECT *, count(*) OVER (PARTITION BY client_id, comp) AS size FROM (SELECT *, sum(brk) OVER (PARTITION BY client_id ORDER BY amount, tx_id ROWS UNBOUNDED PRECEDING) AS comp FROM
         (SELECT o_custkey AS client_id, o_orderkey AS tx_id, o_totalprice AS amount, CASE WHEN ln(o_totalprice) - lag(ln(o_totalprice)) OVER (PARTITION BY o_custkey ORDER BY o_totalprice, o_orderkey) > {EPS} THEN 1 ELSE 0 END AS brk FROM orders))) WHERE size >= 2 GROUP BY client_id""",
-    "html_links": """SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, unnest(regexp_extract_all(html, 'href="([^"]*)"', 1)) AS href FROM pages) GROUP BY href""",
+    "html_links": r"""SELECT href, count(*) AS n, count(DISTINCT page_id) AS pages FROM (SELECT page_id, trim(unnest(regexp_extract_all(html, '(?i)href\s*=\s*("[^"]*"|''[^'']*''|[^\s>"'']+)', 1)), chr(34) || chr(39)) AS href FROM pages) GROUP BY href""",
     "fold_assignment": "SELECT quality, fold, count(*) AS n FROM (SELECT quality, (row_number() OVER (PARTITION BY quality ORDER BY doc_id) - 1) % 5 AS fold FROM labels) GROUP BY ALL",
 }
+
+MERCHANTS = sorted({x for f in FAMILIES for x in TEMPLATES[f]})
+_CARD = "type IN ('card_payment', 'refund')"
+
+
+def masked(key: str, rate: float, seed: int) -> tuple[str, str]:
+    """Condition and text of masked descriptions."""
+    hit = f"({_CARD} AND NOT regexp_matches(txt, '{BACKGROUND}') AND txt NOT IN ({texts(GENERIC)}) AND {drawn(key, seed)} / 4294967296.0::DOUBLE < {rate})"
+    return hit, f"CASE WHEN {hit} THEN {chosen(GENERIC, key, seed + 1)} ELSE description END"
+
+
+def corrupted(scenario: str, seed: int = 2026) -> str:
+    r1, r2, r3, r4 = CORRUPTION[scenario]
+    key = "history, content"
+    below = lambda salt, r: f"{drawn(key, salt)} / 4294967296.0::DOUBLE < {r}"
+    back = f"regexp_matches(txt, '{BACKGROUND}')"
+    text = f"CASE WHEN {_CARD} AND {back} AND {below(seed + 3, r3)} THEN {chosen(MERCHANTS, key, seed + 7)} ELSE {masked(key, r1, seed)[1]} END"
+    swap = "CASE mcc " + " ".join(f"WHEN '{m}' THEN {chosen(o, key, seed + 8)}" for m, o in CONFUSED.items()) + " END"
+    return f"""SELECT tx_id, CASE WHEN {_CARD} AND {below(seed + 4, r4)} THEN {chosen(PREFIX_NOISE, key, seed + 5)} || x || {chosen(SUFFIX_NOISE, key, seed + 6)} ELSE x END AS description,
+        CASE WHEN {_CARD} AND NOT {back} AND {below(seed + 2, r2)} AND mcc IN ({texts(CONFUSED)}) THEN {swap} ELSE mcc END AS mcc FROM (SELECT *, {text} AS x FROM keyed)"""
+
+
+def blocks_sql(columns: str) -> str:
+    return f"SELECT client_id, block, {columns} FROM blkg GROUP BY client_id, block"
+
+
+def macro(prediction: str) -> str:
+    share = lambda x: f"(sum(w) FILTER (WHERE truth = '{x}'))"
+    zero = lambda e: f"coalesce({e}, 0)"
+    f1 = [
+        f"coalesce(2 * {zero(f"sum(w) FILTER (WHERE truth = '{x}' AND {prediction} = '{x}')")} / nullif({zero(share(x))} + {zero(f"(sum(w) FILTER (WHERE {prediction} = '{x}'))")}, 0), 0)"
+        for x in ("0", "1", "2")
+    ]
+    return "(" + " + ".join(f1) + ") / 3"
+
+
+_POISSON = " + ".join(f"(u >= {s})::INT" for s in (0.36787944, 0.73575888, 0.91969860, 0.98101184, 0.99634015, 0.99940582))
+_SUMMED = "count(*) AS count, avg(amount) AS amount_mean, stddev_pop(amount) AS amount_std, min(amount) AS amount_min, max(amount) AS amount_max, median(amount) AS amount_median, -min(t) AS first_age, -max(t) AS last_age, max(t) - min(t) AS span, count(DISTINCT mcc) AS unique_mcc, avg(gap) AS gap_mean, max(gap) AS gap_max, median(abs(gap - 30)) AS period_error_30"
+_BLOCKS = ["global", "card", *(f"mcc{m}" for m in sorted(set(MCC.values()))), "generic", *(f"{k}_{f}" for f in FAMILIES for k in ("text", "joint"))]
+_VOCABULARY = {"type": ["card_payment", "topup", "p2p_transfer", "transfer", "atm", "refund", "fee"], "direction": ["out", "in"], "currency": ["chf", "eur", "usd", "gbp"]}
+_COUNTED = lambda p: ", ".join(f"count(*) FILTER (WHERE {c} = '{v}') AS {p}{c}_{v}" for c, vs in _VOCABULARY.items() for v in vs)
+_CONTEXT = ["last_fee", "refund_count", "refund_count90", "refund_count30", "fee_fraction", "fee_mean", "hour_std", "weekend_fraction", "refund_ratio", "refund_last_age", "refund_after_last"]
+_RANKED = ["amount0_next_median", "amount0_last_age", "amount0_count", "amount0_own_template_diversity", "broad0_next_median", "broad0_count", "broad0_own_template_diversity"]
+_GLOBAL = ["amount0_next_active", "amount0_active", "amount0_count", "amount0_last_age", "amount0_amount_cv", "amount0_own_semantic", "broad0_active", "broad0_count", "broad0_next_active", "amount0_gap_cv", "amount0_linear_next"]
+_CLOCKS = [f"{s}_{c}" for s in SLOTS for c in ("clock_period", "clock_next", "clock_active_next", "clock_strength", "clock_active", "next_modulo")]
+_CELLS = "SELECT *, regexp_split_to_array(document, '[^a-z0-9_]+') AS w0 FROM docs"
+_WORDS = f"SELECT client_id, list_filter(w0, lambda x: length(x) > 1) AS w FROM ({_CELLS})"
+_TERMS = f"SELECT client_id, unnest(list_concat(w, [w[k] || ' ' || w[k + 1] for k in range(1, length(w))])) AS term FROM ({_WORDS})"
+_CHARS = "SELECT client_id, unnest(list_transform(range(1, length(p) - n + 2), lambda i: substr(p, i::INT, n))) AS term FROM (SELECT client_id, ' ' || unnest(list_filter(string_split(trim(regexp_replace(document, '[^a-z]+', ' ', 'g')), ' '), lambda x: x <> '')) || ' ' AS p FROM docs), (VALUES (3), (4), (5)) AS v(n) WHERE length(p) >= n"
+
+
+def tfidf(terms: str) -> str:
+    return f"""SELECT client_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY client_id)) AS weight FROM (SELECT client_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(DISTINCT client_id) FROM docs)) / (1 + df)) + 1) AS v
+        FROM (SELECT client_id, term, count(*) AS n FROM ({terms}) GROUP BY ALL) JOIN (SELECT term, count(DISTINCT client_id) AS df, count(*) AS total FROM ({terms}) GROUP BY term HAVING count(DISTINCT client_id) >= 2 ORDER BY total DESC, term LIMIT 30000) USING (term))"""
+
+
+BODIES |= {
+    "semi_filter": "SELECT tx_id, client_id FROM led WHERE client_id IN (SELECT client_id FROM led WHERE type = 'refund')",
+    "derived_keys": "SELECT txt || ' | ' || mcc AS description_mcc, type || ' | ' || mcc AS type_mcc, count(*) AS n FROM led GROUP BY ALL",
+    "renamed_clients": f"SELECT CASE WHEN {NUMBER} % 2 = 0 THEN 'R' || reverse(client_id) ELSE client_id END AS client_id, tx_id FROM led",
+    "describe_all": "SELECT count(amount) AS n, avg(amount) AS mean, stddev_samp(amount) AS std, min(amount) AS min, max(amount) AS max, " + ", ".join(f"quantile_cont(amount, {q / 100}) AS q{q}" for q in (1, 10, 50, 90, 99)) + " FROM led",
+    "grouped_report": "SELECT family, e.s AS statistic, count(e.v) AS n, avg(e.v) AS mean, median(e.v) AS median, stddev_samp(e.v) AS std FROM (SELECT family, unnest(["
+    + ", ".join(f"{{'s': '{c}', 'v': {c}::DOUBLE}}" for c in ("count", "last_age", "span", "gap_median", "gap_cv")) + "]) AS e FROM stf) GROUP BY family, e.s",
+    "unstacked_families": "SELECT client_id, " + ", ".join(f"max(CASE WHEN family = '{f}' THEN {c} END) AS {n}__{f}" for c, n in (("stream_count", "stream_count"), ("b_count", "broad0_count")) for f in LABELS) + " FROM mat GROUP BY client_id",
+    "date_parts": "SELECT tx_id, second(timestamp) AS s, minute(timestamp) AS mi, hour(timestamp) AS h, day(timestamp) AS day, month(timestamp) AS month, isodow(timestamp) - 1 AS wd, epoch_us(timestamp) + 92 * 86400000000 AS shifted FROM led",
+    "repeated_texts": """SELECT *, CASE WHEN count > 16 THEN 4 WHEN count > 8 THEN 3 WHEN count > 4 THEN 2 WHEN count > 2 THEN 1 WHEN count > 1 THEN 0 END::BIGINT AS occurrence_band,
+        CASE WHEN recency_days > 180 THEN 5 WHEN recency_days > 90 THEN 4 WHEN recency_days > 60 THEN 3 WHEN recency_days > 30 THEN 2 WHEN recency_days > 15 THEN 1 WHEN recency_days > 0 THEN 0 END::BIGINT AS recency_band,
+        CASE WHEN median_interval_days > 200 THEN 6 WHEN median_interval_days > 100 THEN 5 WHEN median_interval_days > 65 THEN 4 WHEN median_interval_days > 35 THEN 3 WHEN median_interval_days > 20 THEN 2 WHEN median_interval_days > 10 THEN 1 WHEN median_interval_days > 0 THEN 0 END::BIGINT AS interval_band,
+        CASE WHEN interval_cv > 1 THEN 4 WHEN interval_cv > 0.5 THEN 3 WHEN interval_cv > 0.25 THEN 2 WHEN interval_cv > 0.1 THEN 1 WHEN interval_cv > -0.001 THEN 0 END::BIGINT AS regularity_band
+        FROM (SELECT *, interval_std_days / greatest(median_interval_days, 0.01) AS interval_cv FROM (SELECT client_id, txt, count(*) AS count, -max(t) AS recency_days, max(t) - min(t) AS span_days, median(gap) AS median_interval_days,
+          stddev_pop(gap) AS interval_std_days, avg(amount) AS amount_mean, stddev_pop(amount) AS amount_std FROM (SELECT *, t - lag(t) OVER (PARTITION BY client_id, txt ORDER BY t, tx_id) AS gap FROM co) GROUP BY client_id, txt HAVING count(*) >= 2))""",
+    "row_json": "SELECT tx_id, to_json({'client_id': client_id, 'type': type, 'mcc': mcc, 'txt': txt})::VARCHAR AS json FROM led",
+    "first_rows": "SELECT client_id, tx_id, amount, txt FROM led QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY timestamp, tx_id) = 1",
+    "total_order": "SELECT tx_id, row_number() OVER (ORDER BY timestamp, client_id, amount, tx_id) AS position FROM led",
+    "recipe_selection": "SELECT recipe, score::DOUBLE AS score, complexity::BIGINT AS complexity, position::BIGINT AS position FROM (VALUES ('full', 0.60, 7, 0), ('no_unlabeled', 0.62, 7, 1), ('no_augmentations', 0.64, 7, 2), ('no_multiseed', 0.61, 3, 3), ('principal_lightgbm', 0.63, 1, 4), ('no_none_detector', 0.60, 4, 5), ('no_soft_assignment', 0.62, 7, 6), ('simple_postprocessing', 0.64, 4, 7), ('no_payment_context', 0.61, 7, 8), ('no_cadence_thresholds', 0.63, 7, 9), ('seven_leaves', 0.60, 7, 10), ('no_legacy', 0.62, 6, 11), ('legacy_half', 0.64, 7, 12), ('temperature_1_5', 0.61, 7, 13), ('train_prior_bias', 0.63, 7, 14)) AS v(recipe, score, complexity, position) QUALIFY row_number() OVER (ORDER BY score DESC, complexity, position) = 1",
+    "best_examples": "SELECT doc_id AS client_id, truth, prediction, confidence FROM (SELECT *, (doc_id * 37 % 100) / 100 AS confidence FROM pairs WHERE truth = prediction) QUALIFY row_number() OVER (PARTITION BY prediction ORDER BY confidence DESC, doc_id) = 1",
+    "top_confusions": "SELECT truth, prediction, count(*) AS n FROM pairs WHERE truth <> prediction GROUP BY ALL ORDER BY n DESC, truth, prediction LIMIT 20",
+    "client_sample": "SELECT client_id FROM ids ORDER BY md5(concat_ws('|', client_id, 7)), client_id LIMIT 20",
+    "fold_membership": "SELECT doc_id, quality, (row_number() OVER (PARTITION BY quality ORDER BY md5(concat_ws('|', doc_id, 42)), doc_id) - 1) % 5 AS fold FROM labels",
+    "permuted_labels": """SELECT a.doc_id, b.quality FROM (SELECT doc_id, row_number() OVER (ORDER BY md5(concat_ws('|', doc_id, 5)), doc_id) AS n FROM labels) a
+        JOIN (SELECT quality, row_number() OVER (ORDER BY md5(concat_ws('|', doc_id, 6)), doc_id) AS n FROM labels) b USING (n)""",
+    "history_fingerprint": "SELECT client_id, history FROM hist",
+    "masked_rows": f"SELECT tx_id, {masked('tx_id', 0.3, 7)[1]} AS description, {masked('tx_id', 0.3, 7)[0]} AS masked FROM led",
+    "masked_view": f"SELECT type, count(*) AS n, count(*) FILTER (WHERE {masked('tx_id', 0.3, 7)[0]}) AS masked FROM led GROUP BY type",
+    "corrupted_rows_valid_like": corrupted("valid_like"),
+    "corrupted_rows_test_like": corrupted("test_like"),
+    "corrupted_view": f"SELECT mcc, count(*) AS n FROM ({corrupted('valid_like')}) GROUP BY mcc",
+    "bootstrap_ci": f"""SELECT m.k AS metric, quantile_cont(m.v, 0.025) AS low, quantile_cont(m.v, 0.975) AS high FROM (SELECT unnest([{{'k': 'accuracy', 'v': a}}, {{'k': 'macro_f1', 'v': f}}, {{'k': 'rival_macro_f1', 'v': g}}, {{'k': 'delta', 'v': f - g}}]) AS m FROM
+        (SELECT replicate, sum(w) FILTER (WHERE truth = prediction) / sum(w) AS a, {macro('prediction')} AS f, {macro('rival')} AS g FROM
+          (SELECT *, {_POISSON} AS w FROM (SELECT *, {drawn('doc_id, replicate', 20260925)} / 4294967296.0::DOUBLE AS u FROM (SELECT *, (doc_id % 2)::VARCHAR AS rival FROM pairs), (SELECT unnest(range(2000)) AS replicate))) GROUP BY replicate)) GROUP BY m.k""",
+    "ensemble": f"""SELECT client_id, family, family_index, m * pow((family_index + 1) / 36, -0.25) / sum(m * pow((family_index + 1) / 36, -0.25)) OVER (PARTITION BY client_id) AS p FROM
+        (SELECT client_id, family, family_index, 0.75 * avg(q) + 0.25 * any_value(l) AS m FROM (SELECT *, CASE WHEN family = 'none' THEN pn ELSE p * (1 - pn) / sum(CASE WHEN family <> 'none' THEN p END) OVER (PARTITION BY client_id, seed) END AS q FROM
+          (SELECT *, exp(s) / sum(exp(s)) OVER (PARTITION BY client_id, seed) AS p, exp(o) / sum(exp(o)) OVER (PARTITION BY client_id, seed) AS l, CASE seed WHEN 1 THEN {NUMBER} % 10 / 20 + 0.1 ELSE 0.3 END AS pn FROM
+            (SELECT *, coalesce(CASE seed WHEN 1 THEN stream_count ELSE b_count END, 0) / 4 / 1.5 AS s, coalesce(b_count, 0) / 8 / 1.5 AS o FROM mat, (VALUES (1), (2)) AS v(seed)))) GROUP BY ALL)""",
+    "raw_ensemble": """SELECT client_id, family, family_index, exp(s) / sum(exp(s)) OVER (PARTITION BY client_id) AS p FROM
+        (SELECT *, (0.5 * (coalesce(stream_count, 0) / 4 + coalesce(b_count, 0) / 4) / 2 + 0.5 * coalesce(b_count, 0) / 8) / 1.5 AS s FROM mat)""",
+    "rank_auc_by_language": "SELECT lang, (sum(CASE WHEN q = 1 THEN r END) - sum(q) * (sum(q) + 1) / 2) / nullif(sum(q) * (count(*) - sum(q)), 0) AS auc FROM (SELECT lang, quality AS q, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)) GROUP BY lang",
+    "split_profile": "SELECT count(*) AS transactions, count(DISTINCT client_id) AS clients, epoch_us(min(timestamp)) AS first, epoch_us(max(timestamp)) AS last, count(DISTINCT description) AS descriptions, count(*) - (SELECT count(*) FROM (SELECT DISTINCT client_id, timestamp, amount, currency, type, direction, description, mcc, fee FROM led)) AS repeated FROM led",
+    "description_structure": "SELECT txt, mcc, type, direction, count(amount) AS n, avg(amount) AS mean, stddev_samp(amount) AS std, min(amount) AS min, median(amount) AS q50, max(amount) AS max FROM led GROUP BY ALL",
+    "official_score": f"""SELECT avg(coalesce(2 * h / nullif(s + q, 0), 0)) AS macro_f1, sum(h) / sum(s) AS accuracy FROM (SELECT family, count(*) FILTER (WHERE truth = family) AS s, count(*) FILTER (WHERE said = family) AS q, count(*) FILTER (WHERE truth = family AND said = family) AS h
+        FROM lab, (SELECT {label_at(1)} AS truth, CASE WHEN {NUMBER} % 3 = 0 THEN {label_at(1)} ELSE {label_at(5)} END AS said FROM ids) GROUP BY family)""",
+    "aligned_targets": f"SELECT client_id, {NUMBER} * 3 % 8 AS y FROM ids",
+    "sample_order": f"SELECT client_id, ({NUMBER} * 7919) % 100003 AS position, {label_at(1)} AS prediction FROM ids",
+    "documents_raw": "SELECT client_id, string_agg(description, ' ; ' ORDER BY timestamp, tx_id, description) AS document FROM led GROUP BY client_id",
+    "documents_enriched": "SELECT client_id, string_agg(concat(txt, ' mcc', mcc, ' type', type, ' ', replace(txt, ' ', '_'), '_m', mcc), ' ; ' ORDER BY timestamp, tx_id) AS document FROM led GROUP BY client_id",
+    "tfidf_weights": tfidf(_TERMS),
+    "tfidf_characters": tfidf(_CHARS),
+    "tabular_blocks": blocks_sql(_SUMMED),
+    "tabular_wide": "SELECT * FROM (SELECT client_id, " + ", ".join(f"{f'coalesce(max(CASE WHEN block = {chr(39)}{b}{chr(39)} THEN {c} END), 0)' if c == 'count' else f'max(CASE WHEN block = {chr(39)}{b}{chr(39)} THEN {c} END)'} AS {b}__{c}" for b in _BLOCKS for c in ("count", "amount_median", "gap_median"))
+    + f" FROM ({blocks_sql('count(*) AS count, median(amount) AS amount_median, median(gap) AS gap_median')}) GROUP BY client_id) JOIN (SELECT client_id, {_COUNTED('global__')}, " + per_family(lambda f: f"count(*) FILTER (WHERE direction = 'in' AND regexp_matches(txt, '{PATTERNS[f]}')) AS text_{f}__refund_count") + " FROM led GROUP BY client_id) USING (client_id)",
+    "edge_values": "SELECT client_id, family, coalesce(a_count, -999) AS amount0_count, coalesce(b_gap, -999) AS broad0_gap_median, b_gap AS broad0_gap_known FROM mat",
+    "ablation_columns": "SELECT client_id, family, NULL::DOUBLE AS unknown, stream_count, b_count AS broad0_count, b1_age AS broad1_last_age FROM mat LEFT JOIN (SELECT client_id, candidate AS family, last_age AS b1_age FROM top WHERE kind = 'broad' AND rank = 1) USING (client_id, family)",
+    "view_union": 'SELECT client_id, family, stream_count, CASE v WHEN 0 THEN b_count END AS broad0_count, v AS "view", 0.5::DOUBLE AS weight FROM mat, (VALUES (0), (1)) AS x(v)',
+    "page_words": r"SELECT page_id, trim(regexp_replace(regexp_replace(coalesce(html, ''), '<[^>]*>', ' ', 'g'), '[ \t\n\r]+', ' ', 'g')) AS text FROM pages",
+    "clock_selection": f"SELECT client_id, family, {', '.join(_CLOCKS)} FROM ({clocks('top')})",
+    **{f"matrix_{s}": f"SELECT client_id, family, {', '.join(f'{s}_{c}' for c in COMPACT)} FROM fm" for s in SLOTS},
+    "matrix_templates": f"SELECT client_id, family, stream_count, {', '.join(f'own_template_{c}' for c in TEMPLATE_STATS)} FROM fm",
+    "matrix_ranks": "SELECT client_id, family, " + ", ".join(
+        f"coalesce(CASE WHEN {c} IS NOT NULL THEN rank() OVER (PARTITION BY client_id ORDER BY {c} {'DESC' if down else 'ASC'} NULLS LAST) END, 8) AS {c}_rank, {c} - {'max' if down else 'min'}({c}) OVER (PARTITION BY client_id) AS {c}_vs_best"
+        for c in _RANKED for down in ["count" in c or "diversity" in c]) + " FROM fm",
+    "matrix_activity": "SELECT client_id, family, " + ", ".join(f"{p}_{c}" for p in ("amount0", "broad0", "amount1") for c in ("active", "next_active", "period_rounded", *(f"{x}_per_event" for x in ("own_semantic", "own_mcc", "own_template_diversity", "own_template_count")))) + " FROM fa",
+    "matrix_competition": "SELECT client_id, family, " + ", ".join(map(compared, _GLOBAL)) + " FROM fa",
+    "matrix_globals": f"SELECT cand.client_id, family, g.* EXCLUDE (client_id) FROM cand JOIN (SELECT client_id, count(*) AS client_total_count, avg(amount) AS client_amount_mean, coalesce(stddev_samp(amount), 0) AS client_amount_std, max(-t) AS client_first_age, min(-t) AS client_last_age, {_COUNTED('client_')}, "
+    + ", ".join(f"count(*) FILTER (WHERE -t <= {w}) AS client_count_{w}" for w in TEST_WINDOWS) + " FROM led GROUP BY client_id) g USING (client_id)",
+    "matrix_context": "SELECT client_id, family, " + ", ".join(f"max(CASE WHEN prefix = '{p}' THEN {c} END) AS {p}_{c}" for p in ("amount0", "broad0") for c in _CONTEXT) + " FROM cand LEFT JOIN ctx USING (client_id, family) GROUP BY client_id, family",
+    "ranking_matrix": f"SELECT client_id, family, {', '.join(c for c in _CLOCKS if 'active_next' not in c)}, {', '.join(f'coalesce(global_none_{c}, 0) AS global_none_{c}' for c in TEMPLATE_STATS)} FROM ({clocks('tops')}) LEFT JOIN (SELECT client_id, {', '.join(f'own_template_{c} AS global_none_{c}' for c in TEMPLATE_STATS)} FROM tw WHERE family = 'none') USING (client_id)",
+    "ranking_competition": "SELECT client_id, family, " + ", ".join(
+        map(compared, [*(f"{s}_{c}" for s in SLOTS for c in ("clock_active_next", "next_modulo", "last_age", "clock_active")), *(f"own_template_{c}" for c in TEMPLATE_STATS if c.startswith("mcc_999")), "amount0_count", "amount0_gap_cv", "amount0_linear_next", "broad0_next_median", "broad0_count"])
+    ) + f" FROM ({clocks('tops')}) JOIN (SELECT * EXCLUDE ({', '.join(f'{s}_last_age' for s in SLOTS)}) FROM fm) USING (client_id, family)",
+}
 ORACLE_SQL = {k: sql(v) for k, v in BODIES.items()}
 # its own WITH clause follows the shared expressions
 _HEAD = sql("SELECT 1 FROM quiet").rsplit("\n", 1)[0]
 ORACLE_SQL["cadence_audit"] = f"{_HEAD},\n{CADENCE.removeprefix('WITH ')}"
+ORACLE_SQL["forecast_errors"] = (
+    f"SELECT e.k AS forecast, count(e.v) AS n, avg(e.v) AS mean_error, median(e.v) AS median_error FROM (SELECT unnest([{{'k': 'median_interval', 'v': median_interval}}, {{'k': 'same_day', 'v': same_day}}, {{'k': 'business_day', 'v': business_day}}]) AS e FROM ({ORACLE_SQL['cadence_audit']})) GROUP BY e.k"
+)

@@ -5,16 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..constants import MISSING
+from ..constants import MISSING, PERIODS
 from ..operators import clients, families, streams
 
 MODES = ("full", "no_unlabeled", "hard")
+SLOTS = ("amount0", "amount1", "broad0", "broad1")
+# Names of the statistics that candidates are compared by.
 COMPETE = ["amount0_count", "amount0_gap_cv", "amount0_linear_next", "broad0_next_median", "broad0_count"]
-COMPACT = (
-    "count amount_mean amount_median amount_cv amount_mad amount_change first_age last_age span gap_median gap_mean gap_std gap_mad gap_cv gap_last gap_recent "
-    "next_median next_recent linear_period linear_residual linear_next overdue_ratio own_semantic own_mcc own_template_diversity own_template_count other_semantic "
-    "description_top_fraction generic_fraction"
-).split()
+COMPARED = ["clock_active_next", "next_modulo", "last_age", "clock_active"]
+# Names of the statistics of a stream in the compact matrix.
+COMPACT = [
+    "count", "amount_mean", "amount_median", "amount_cv", "amount_mad", "amount_change", "first_age", "last_age", "span", "gap_median", "gap_mean", "gap_std",
+    "gap_mad", "gap_cv", "gap_last", "gap_recent", "next_median", "next_recent", "linear_period", "linear_residual", "linear_next", "overdue_ratio", "own_semantic",
+    "own_mcc", "own_template_diversity", "own_template_count", "other_semantic", "description_top_fraction", "generic_fraction",
+]
 RANKED = ["amount0_next_median", "amount0_last_age", "amount0_count", "amount0_own_template_diversity", "broad0_next_median", "broad0_count", "broad0_own_template_diversity"]
 GLOBAL = ["amount0_next_active", "amount0_active", "amount0_count", "amount0_last_age", "amount0_amount_cv", "amount0_own_semantic", "broad0_active", "broad0_count", "broad0_next_active"]
 
@@ -26,8 +30,7 @@ def build_features(ledger: DataFrame, windows: list[int], profiles: DataFrame |
     stats = COMPACT + [f"count_{w}" for w in windows] + (["price_support", "normalized_price"] if profiles is not None else [])
     top = families.assigned_top(found, profiles)
     x = families.wide_candidates(top, ids, stats)
-    templates = families.wide_templates(families.template_rollups(families.template_counts(ledger)))
-    x = x.join(templates, ["client_id", "family"], "left")
+    x = with_templates(x, ledger)
     x = families.ranks(x, RANKED)
     for prefix in ("amount0", "broad0", "amount1"):
         x = x.withColumns(families.activity(x, prefix))
@@ -50,6 +53,30 @@ def build_features(ledger: DataFrame, windows: list[int], profiles: DataFrame |
     return x.join(wide, ["client_id", "family"], "left")
 
 
+def with_templates(x: DataFrame, ledger: DataFrame) -> DataFrame:
+    """Candidates with their template evidence, 0 where they have none."""
+    templates = families.wide_templates(families.template_rollups(families.template_counts(ledger)))
+    names = [c for c in templates.columns if c not in ("client_id", "family")]
+    return x.join(templates, ["client_id", "family"], "left").na.fill(0, names)
+
+
+def ranking_features(ledger: DataFrame, windows: list[int], profiles: DataFrame | None = None, min_count: int = 3, clocks: bool = True) -> DataFrame:
+    """Ranking matrix: every statistic of four stream slots, template evidence of the
+    candidate and of none, clocks, and the comparison with the client's other candidates.
+    """
+    ids = ledger.select("client_id").distinct()
+    found = streams.extract_streams(ledger, windows, min_count=min_count, periods=list(PERIODS) if clocks else [])
+    x = with_templates(families.family_features(found, ids, profiles), ledger)
+    own = [c for c in x.columns if c.startswith("own_template_")]
+    none = x.where("family = 'none'").select("client_id", *[F.col(c).alias(f"global_none_{c.removeprefix('own_template_')}") for c in own])
+    x = x.join(none, "client_id", "left")
+    compared = [f"{s}_last_age" for s in SLOTS] + [c for c in own if "mcc_999" in c] + COMPETE
+    if clocks:
+        x = x.withColumns({k: v for s in SLOTS for k, v in families.clock(x, s).items()})
+        compared = [f"{s}_{c}" for s in SLOTS for c in COMPARED] + compared[len(SLOTS) :]
+    return families.competition(families.ranks(x, RANKED), compared)
+
+
 def feature_bank(ledger: DataFrame, windows: list[int], profiles: DataFrame, mode: str) -> DataFrame:
     """``full`` and ``no_unlabeled`` assign softly, the latter without price columns; ``hard`` assigns hard."""
     if mode not in MODES:

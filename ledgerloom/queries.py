@@ -7,14 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .constants import FAMILIES, LABELS, PATTERNS, TEST_CUTOFF, TEST_WINDOWS
+from .constants import FAMILIES, LABELS, PATTERNS, PERIODS, TEST_CUTOFF, TEST_WINDOWS
 from .functions import numeric, text
 from .operators import audit, clients, families, noise, scoring, streams
 from .plans import features, learning
 from .sources import ledger as src
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-CORE = "count amount_mean amount_std amount_median amount_mad first_age last_age span unique_description description_top_fraction description_entropy unique_mcc generic_fraction gap_median gap_mean gap_std gap_mad gap_min gap_max gap_cv".split()
+# Names of statistics of a stream.
+CORE = [
+    "count", "amount_mean", "amount_std", "amount_median", "amount_mad", "first_age", "last_age", "span", "unique_description", "description_top_fraction",
+    "description_entropy", "unique_mcc", "generic_fraction", "gap_median", "gap_mean", "gap_std", "gap_mad", "gap_min", "gap_max", "gap_cv",
+]
 WINDOW_COLUMNS = [f"count_{w}" for w in TEST_WINDOWS]
 KEY = ["client_id", "currency", "group_type", "comp"]
 
@@ -170,27 +174,28 @@ def stream_stats_core(spark, d):
 
 @query
 def stream_circular(spark, d):
-    return out(found(spark, d, [7, 14, 30.4375]).where("group_type = 'amount'"), *KEY, *[f"phase_strength_{p}" for p in ("7", "14", "30_4375")])
+    return out(found(spark, d, PERIODS), *KEY, *[f"phase_{k}_{numeric.label(p)}" for p in PERIODS for k in ("strength", "next")])
 
 
 @query
 def stream_ols(spark, d):
-    return out(found(spark, d).where("group_type = 'amount'"), *KEY, "linear_period", "linear_residual", "linear_next")
+    x = found(spark, d).withColumn("linear_residual", F.round("linear_residual", 4))
+    return out(x, *KEY, "linear_period", "linear_residual", "linear_next")
 
 
 @query
 def cadence_error(spark, d):
-    return out(found(spark, d, [7, 14]).where("group_type = 'amount'"), *KEY, "period_error_7", "period_error_14")
+    return out(found(spark, d, PERIODS), *KEY, *[f"period_error_{numeric.label(p)}" for p in PERIODS])
 
 
 @query
 def recent_gap_median(spark, d):
-    return out(found(spark, d).where("group_type = 'amount'"), *KEY, "gap_last", "gap_recent", "next_median", "next_recent", "next_last", "overdue_ratio")
+    return out(found(spark, d), *KEY, "gap_last", "gap_recent", "next_median", "next_recent", "next_last", "overdue_ratio")
 
 
 @query
 def amount_change(spark, d):
-    return out(found(spark, d).where("group_type = 'amount'"), *KEY, "amount_change")
+    return out(found(spark, d), *KEY, "amount_change")
 
 
 @query
@@ -213,8 +218,8 @@ def price_profiles(spark, d):
 @query
 def price_support(spark, d):
     p = families.price_profiles(led(spark, d))
-    m = streams.card_out(led(spark, d)).join(F.broadcast(p), how="inner", on=F.col("mcc") == F.lit("5732")).where("family = 'cloud'")
-    return out(m.select("tx_id", numeric.price_support(F.col("amount"), F.col("low"), F.col("high")).alias("support")))
+    m = streams.card_out(led(spark, d)).join(F.broadcast(p), how="inner", on=F.lit(True))
+    return out(m.select("tx_id", "family", numeric.price_support(F.col("amount"), F.col("low"), F.col("high")).alias("support")))
 
 
 @query
@@ -238,6 +243,7 @@ def family_matrix(spark, d, periods=()):
     source = led(spark, d)
     stats = ["count", "last_age", "next_median", "gap_median", "gap_cv", "linear_next", "own_template_diversity"]
     stats += [f"phase_{k}_{numeric.label(p)}" for p in periods for k in ("strength", "next")]
+    stats += ["own_semantic"]
     return families.family_features(streams.extract_streams(source, TEST_WINDOWS, periods=list(periods)), ids(source), None, stats)
 
 
@@ -282,9 +288,9 @@ def compact_activity(spark, d):
 
 @query
 def clock_selection(spark, d):
-    x = family_matrix(spark, d, [7, 14, 28, 30])
-    made = families.clock(x, "broad0", [7, 14, 28, 30])
-    return out(x.select("client_id", "family", *[made[f"broad0_{c}"].alias(c) for c in ("clock_period", "clock_active", "clock_strength")]))
+    x = family_matrix(spark, d, PERIODS)
+    made = {k: v for s in features.SLOTS for k, v in families.clock(x, s).items()}
+    return out(x.select("client_id", "family", *[v.alias(k) for k, v in made.items()]))
 
 
 def slots(spark, d):
@@ -392,7 +398,16 @@ def macro_scores(spark, d):
 def probabilities(spark, d):
     """A probability table from the family matrix: softmax of stream counts."""
     x = family_matrix(spark, d).withColumn("score", F.coalesce("stream_count", F.lit(0)) / 4.0)
-    return x.withColumn("p", numeric.softmax(F.col("score"), Window.partitionBy("client_id"))).withColumn("truth", F.lit("cloud")).select("client_id", "family", "family_index", "p", "truth")
+    return x.withColumn("p", numeric.softmax(F.col("score"), Window.partitionBy("client_id"))).withColumn("truth", label_of(1)).select("client_id", "family", "family_index", "p", "truth")
+
+
+def number():
+    return F.substring("client_id", 2, 10).cast("long")
+
+
+def label_of(step: int):
+    """A label for each client: the eight in turn, ``step`` at a time."""
+    return F.element_at(F.array(*map(F.lit, LABELS)), (number() * step % 8 + 1).cast("int"))
 
 
 @query
@@ -402,8 +417,12 @@ def prob_losses(spark, d):
 
 @query
 def calibration_bins(spark, d):
-    decided = scoring.decide(probabilities(spark, d)).withColumn("truth", F.lit("cloud"))
-    return out(scoring.calibration(decided))
+    return out(scoring.calibration(scoring.decide(probabilities(spark, d)).withColumn("truth", label_of(1))))
+
+
+@query
+def calibration_error(spark, d):
+    return out(scoring.expected_calibration_error(scoring.calibration(scoring.decide(probabilities(spark, d)).withColumn("truth", label_of(1)))))
 
 
 @query
@@ -425,7 +444,8 @@ def laplace_prior(spark, d):
 def submission_check(spark, d):
     sample = tab(spark, d, "customer").select(F.concat(F.lit("C"), F.col("c_custkey")).alias("client_id"), "c_custkey")
     sent = sample.where("c_custkey % 50 <> 0").select("client_id", F.when(F.col("c_custkey") % 7 == 0, "bad").otherwise("none").alias("predicted_next_recurring_merchant"))
-    return out(scoring.inspect_submission(sent.unionByName(sent.where("client_id = 'C1'")), sample.select("client_id")))
+    bad = spark.createDataFrame([("", "none"), (" C2", "none"), (None, "cloud")], sent.schema)
+    return out(scoring.inspect_submission(sent.unionByName(sent.where("client_id = 'C1'")).unionByName(bad), sample.select("client_id")))
 
 
 @query
@@ -436,7 +456,7 @@ def exact_cover(spark, d):
 @query
 def cohort_errors(spark, d):
     x, _ = truth_pairs(spark, d)
-    x = x.join(tab(spark, d, "documents").select(F.col("doc_id").alias("client_id"), "lang", "n_chars"), "client_id", "left")
+    x = audit.many_to_one(x, tab(spark, d, "documents").select(F.col("doc_id").alias("client_id"), "lang", "n_chars"), "client_id")
     return out(scoring.cohorts(x, {"english": F.col("lang") == "en", "long": F.col("n_chars") > 2000, "all": F.lit(True)}))
 
 
@@ -504,7 +524,8 @@ def corrupted_view(spark, d):
 @query
 def bootstrap_ci(spark, d):
     x, _ = truth_pairs(spark, d)
-    return out(scoring.interval(scoring.bootstrap(x, 500, 20260925)))
+    x = x.withColumn("rival", (F.col("client_id") % 2).cast("string"))
+    return out(scoring.intervals(scoring.bootstrap(x, 2000, 20260925, ["0", "1", "2"], "rival")))
 
 
 @query
@@ -512,3 +533,269 @@ def gbt_ranker(spark, d):
     x = family_matrix(spark, d).withColumn("label", F.col("is_none").cast("double")).drop("is_none", "family_index").na.fill(-999)
     model = learning.fit_ranker(x, iterations=3, depth=2)
     return learning.rank_scores(model, x)
+
+
+@query
+def semi_filter(spark, d):
+    return audit.semi(led(spark, d), led(spark, d).where("type = 'refund'"), "client_id").select("tx_id", "client_id")
+
+
+@query
+def derived_keys(spark, d):
+    keys = [F.concat_ws(" | ", a, "mcc").alias(k) for k, a in (("description_mcc", "txt"), ("type_mcc", "type"))]
+    return led(spark, d).groupBy(*keys).agg(F.count("*").alias("n"))
+
+
+@query
+def renamed_clients(spark, d):
+    names = ids(led(spark, d)).where(number() % 2 == 0).withColumn("new", F.concat(F.lit("R"), F.reverse("client_id")))
+    return audit.renamed(led(spark, d).select("client_id", "tx_id"), names, "client_id", "new")
+
+
+@query
+def describe_all(spark, d):
+    return out(audit.describe(led(spark, d), "amount", percentiles=(1, 10, 50, 90, 99)))
+
+
+@query
+def grouped_report(spark, d):
+    return out(audit.grouped_report(found(spark, d), "family", ["count", "last_age", "span", "gap_median", "gap_cv"]))
+
+
+@query
+def forecast_errors(spark, d):
+    return out(clients.forecast_errors(clients.cadence_audit(led(spark, d), TEST_CUTOFF, min_events=5, gaps=(0.1, 35), max_cv=9.0)))
+
+
+@query
+def unstacked_families(spark, d):
+    return out(audit.unstack(family_matrix(spark, d), "client_id", "family", LABELS, ["stream_count", "broad0_count"]))
+
+
+@query
+def date_parts(spark, d):
+    parts = {"s": F.second, "mi": F.minute, "h": F.hour, "day": F.dayofmonth, "month": F.month, "wd": F.weekday}
+    return out(led(spark, d).select("tx_id", *[f("timestamp").alias(k) for k, f in parts.items()], F.unix_micros(F.col("timestamp") + F.expr("INTERVAL 92 DAYS")).alias("shifted")))
+
+
+@query
+def repeated_texts(spark, d):
+    return out(clients.repeated_descriptions(led(spark, d)))
+
+
+@query
+def row_json(spark, d):
+    return led(spark, d).select("tx_id", F.to_json(F.struct("client_id", "type", "mcc", "txt")).alias("json"))
+
+
+@query
+def first_rows(spark, d):
+    return audit.first_rows(led(spark, d).select("client_id", "timestamp", "tx_id", "txt", "amount"), "client_id", ["timestamp", "tx_id"]).drop("timestamp")
+
+
+@query
+def total_order(spark, d):
+    x = audit.numbered(led(spark, d), ["timestamp", "client_id", "amount", "tx_id"], F.date_format("timestamp", "yyyyMMdd"))
+    return out(x.select("tx_id", F.col("_n").alias("position")))
+
+
+@query
+def recipe_selection(spark, d):
+    tried = [(n, round(0.6 + (k * 7 % 5) / 100, 2), r.complexity, k) for k, (n, r) in enumerate(learning.catalogue().items())]
+    return out(learning.select_recipe(spark.createDataFrame(tried, "recipe string, score double, complexity int, position int")))
+
+
+@query
+def best_examples(spark, d):
+    x, _ = truth_pairs(spark, d)
+    return out(scoring.best_examples(x.withColumn("confidence", (F.col("client_id") * 37 % 100) / 100)))
+
+
+@query
+def top_confusions(spark, d):
+    return audit.top_confusions(truth_pairs(spark, d)[0])
+
+
+@query
+def client_sample(spark, d):
+    return audit.sample_clients(led(spark, d), "client_id", 20, 7)
+
+
+@query
+def fold_membership(spark, d):
+    return out(audit.stratified_folds(tab(spark, d, "labels").select("doc_id", "quality"), "quality", "doc_id"))
+
+
+@query
+def permuted_labels(spark, d):
+    return out(audit.permuted(tab(spark, d, "labels").select("doc_id", "quality"), "doc_id", "quality", 5))
+
+
+@query
+def masked_rows(spark, d):
+    return noise.mask_descriptions(led(spark, d), 0.3, 7).select("tx_id", "description", "masked")
+
+
+def _corrupted(scenario):
+    def run(spark, d):
+        return noise.corruption_view(led(spark, d), scenario).select("tx_id", "description", "mcc")
+
+    QUERIES[f"corrupted_rows_{scenario}"] = run
+
+
+for _scenario in ("valid_like", "test_like"):
+    _corrupted(_scenario)
+
+
+@query
+def ensemble(spark, d):
+    x = family_matrix(spark, d)
+    score = lambda c, k, s: x.select("client_id", "family", "family_index", (F.coalesce(c, F.lit(0)) / k).alias("score"), F.lit(s).alias("seed"))
+    who = ids(led(spark, d))
+    none = who.select("client_id", F.lit(1).alias("seed"), (number() % 10 / 20 + 0.1).alias("p_none")).unionByName(who.select("client_id", F.lit(2).alias("seed"), F.lit(0.3).alias("p_none")))
+    prior = spark.createDataFrame([(x, (k + 1) / 36) for k, x in enumerate(LABELS)], "label string, prior double")
+    p = scoring.combine(score("stream_count", 4.0, 1).unionByName(score("broad0_count", 4.0, 2)), none, 1.5, score("broad0_count", 8.0, 0), 0.25, prior, 0.25)
+    return out(p)
+
+
+@query
+def raw_ensemble(spark, d):
+    x = family_matrix(spark, d)
+    score = lambda c, k, s: x.select("client_id", "family", "family_index", (F.coalesce(c, F.lit(0)) / k).alias("score"), F.lit(s).alias("seed"))
+    return out(scoring.combine(score("stream_count", 4.0, 1).unionByName(score("broad0_count", 4.0, 2)), None, 1.5, score("broad0_count", 8.0, 0), 0.5, raw=True))
+
+
+@query
+def rank_auc_by_language(spark, d):
+    x = tab(spark, d, "labels").join(tab(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    return out(audit.auc(x, "n_chars", "quality", by=("lang",)))
+
+
+@query
+def split_profile(spark, d):
+    return out(audit.profile(led(spark, d)))
+
+
+@query
+def description_structure(spark, d):
+    return out(audit.describe(led(spark, d), "amount", ["txt", "mcc", "type", "direction"], (50,)))
+
+
+@query
+def official_score(spark, d):
+    who = ids(led(spark, d))
+    labels = who.withColumn("target_next_recurring_merchant", label_of(1))
+    said = who.withColumn("predicted_next_recurring_merchant", F.when(number() % 3 == 0, label_of(1)).otherwise(label_of(5)))
+    return out(scoring.score_predictions(labels, said, spark))
+
+
+@query
+def aligned_targets(spark, d):
+    who = ids(led(spark, d))
+    return out(scoring.align_targets(who.withColumn("target_next_recurring_merchant", label_of(3)), who))
+
+
+@query
+def sample_order(spark, d):
+    who = ids(led(spark, d))
+    sample = who.withColumn("position", (number() * 7919) % 100_003)
+    return out(scoring.in_sample_order(who.withColumn("prediction", label_of(1)), sample, "position"))
+
+
+@query
+def documents_raw(spark, d):
+    return clients.document_text(led(spark, d), "raw")
+
+
+@query
+def documents_enriched(spark, d):
+    return clients.document_text(led(spark, d), "enriched")
+
+
+@query
+def tfidf_weights(spark, d):
+    return out(learning.tfidf(clients.document_text(led(spark, d))))
+
+
+@query
+def tfidf_characters(spark, d):
+    return out(learning.tfidf(clients.document_text(led(spark, d)), "char"))
+
+
+@query
+def tabular_blocks(spark, d):
+    columns = ["count", "amount_mean", "amount_std", "amount_min", "amount_max", "amount_median", "first_age", "last_age", "span", "unique_mcc", "gap_mean", "gap_max", "period_error_30"]
+    return out(clients.summarize(clients.blocks(led(spark, d)), TEST_WINDOWS, ("client_id", "block")), "client_id", "block", *columns)
+
+
+@query
+def tabular_wide(spark, d):
+    return out(clients.tabular(led(spark, d), TEST_WINDOWS, ["count", "amount_median", "gap_median"]))
+
+
+@query
+def edge_values(spark, d):
+    x = features.at_edge(family_matrix(spark, d)).select("client_id", "family", "amount0_count", "broad0_gap_median")
+    return out(x.withColumn("broad0_gap_known", F.nullif("broad0_gap_median", F.lit(-999.0))))
+
+
+@query
+def ablation_columns(spark, d):
+    x = features.column_subset(family_matrix(spark, d), drop=("gap", "phase", "own", "linear", "next", "index", "none"), keep=("count", "age"))
+    return out(features.project_vocabulary(x, ["client_id", "family", "stream_count", "broad0_count", "broad1_last_age", "unknown"]))
+
+
+@query
+def view_union(spark, d):
+    a = family_matrix(spark, d).select("client_id", "family", "stream_count", "broad0_count")
+    return out(features.union_views([a, a.drop("broad0_count")]))
+
+
+@query
+def page_words(spark, d):
+    return src.page_words(tab(spark, d, "pages"))
+
+
+def matrix(spark, d):
+    return features.build_features(led(spark, d), TEST_WINDOWS, families.price_profiles(led(spark, d)))
+
+
+MATRIX_STATS = [*features.COMPACT, *WINDOW_COLUMNS, "price_support", "normalized_price"]
+
+
+def _matrix(name, columns):
+    def run(spark, d):
+        x = matrix(spark, d)
+        x = x.withColumns({c: F.round(c, 4) for c in x.columns if c.endswith("linear_residual")})
+        return out(x, "client_id", "family", *columns)
+
+    QUERIES[f"matrix_{name}"] = run
+
+
+for _slot in ("amount0", "amount1", "broad0", "broad1"):
+    _matrix(_slot, [f"{_slot}_{c}" for c in MATRIX_STATS])
+TEMPLATE_STATS = [f"{s}_{w}_{c}" for s in ("any", "mcc") for w in (999, 90) for c in ("diversity", "repeated", "sum", "max", "rank0", "rank1", "rank2", "rank3")]
+_matrix("templates", ["stream_count", *[f"own_template_{c}" for c in TEMPLATE_STATS]])
+_matrix("ranks", [f"{c}_{k}" for c in features.RANKED for k in ("rank", "vs_best")])
+_matrix(
+    "activity",
+    [f"{p}_{c}" for p in ("amount0", "broad0", "amount1") for c in ("active", "next_active", "period_rounded", *(f"{x}_per_event" for x in ("own_semantic", "own_mcc", "own_template_diversity", "own_template_count")))],
+)
+_matrix("competition", [f"{c}_competition_{k}" for c in features.GLOBAL + features.COMPETE[1:3] for k in ("min", "max", "mean", "rank", "delta")])
+_matrix("globals", ["client_total_count", "client_amount_mean", "client_amount_std", "client_first_age", "client_last_age", *[f"client_{c}_{v}" for c, vs in clients.VOCABULARY.items() for v in vs], *[f"client_{c}" for c in WINDOW_COLUMNS]])
+CONTEXT = ["last_fee", "refund_count", "refund_count90", "refund_count30", "fee_fraction", "fee_mean", "hour_std", "weekend_fraction", "refund_ratio", "refund_last_age", "refund_after_last"]
+_matrix("context", [f"{p}_{c}" for p in ("amount0", "broad0") for c in CONTEXT])
+RANKING = [f"{s}_{c}" for s in features.SLOTS for c in features.COMPARED] + [f"own_template_{c}" for c in TEMPLATE_STATS if c.startswith("mcc_999")] + features.COMPETE
+
+
+@query
+def ranking_matrix(spark, d):
+    x = features.ranking_features(led(spark, d), TEST_WINDOWS, families.price_profiles(led(spark, d)))
+    clocks = [f"{s}_{c}" for s in features.SLOTS for c in ("clock_period", "clock_next", "clock_strength", "clock_active", "next_modulo")]
+    return out(x, "client_id", "family", *clocks, *[f"global_none_{c}" for c in TEMPLATE_STATS])
+
+
+@query
+def ranking_competition(spark, d):
+    x = features.ranking_features(led(spark, d), TEST_WINDOWS, families.price_profiles(led(spark, d)))
+    return out(x, "client_id", "family", *[f"{c}_competition_{k}" for c in RANKING for k in ("min", "max", "mean", "rank", "delta")])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 from pathlib import Path
@@ -10,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..constants import CUTOFF, LABELS, TEST_CUTOFF
+from ..constants import CUTOFF, FAMILIES, GENERIC, LABELS, MCC, TEMPLATES, TEST_CUTOFF
 from ..functions.numeric import day
 from ..functions.text import normalize
 
@@ -51,18 +52,31 @@ def canonical_transactions(ledger: DataFrame, cutoff: str = CUTOFF) -> DataFrame
     return ledger.select(*RAW)
 
 
-def read_ledger(spark: SparkSession, path: str, cutoff: str = CUTOFF) -> DataFrame:
-    """JSON Lines (explicit schema: ``mcc`` stays text) or Parquet, cutoff checked."""
+def read_ledger(spark: SparkSession, path: str, cutoff: str = CUTOFF, cache: str | None = None, use_cache: bool = True) -> DataFrame:
+    """JSON Lines (explicit schema: ``mcc`` stays text) or Parquet, cutoff checked.
+
+    With ``cache``, a Parquet path, the checked ledger is written there once and
+    read from there later; ``use_cache=False`` reads the source in any case.
+    """
+    if cache and use_cache and exists(spark, f"{cache}/_SUCCESS"):
+        return spark.read.parquet(cache)
     if path.rstrip("/").endswith(".parquet"):
         df = spark.read.parquet(path)
     else:
         df = spark.read.schema(LEDGER).option("mode", "FAILFAST").json(path)
-    late = df.agg(F.max("timestamp")).first()[0]
-    if late is not None and df.where(F.col("timestamp") >= F.lit(cutoff).cast("timestamp")).limit(1).count():
+    if df.agg(F.coalesce(F.max("timestamp") >= F.lit(cutoff).cast("timestamp"), F.lit(False))).first()[0]:
         raise ContractError("transactions at or after the cutoff")
+    if cache and use_cache:
+        df.write.mode("overwrite").parquet(cache)
+        return spark.read.parquet(cache)
     return df
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
+
+
 def split_path(data_dir: str, split: str) -> str:
     if split not in SPLITS:
         raise ValueError(f"unknown split {split!r}")
@@ -70,13 +84,22 @@ def split_path(data_dir: str, split: str) -> str:
 
 
 def read_strings(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV with all columns as text: ``none`` and empty stay, ``\\r\\r\\n`` is read."""
-    lines = spark.read.text(path, lineSep="\n").select(F.rtrim(F.regexp_replace("value", "\r+$", "")).alias("v")).where("v <> ''")
-    head = lines.first()[0].split(",")
-    schema = T.StructType([T.StructField(h, T.StringType()) for h in head])
-    options = {"nullValue": "\u0001", "emptyValue": "", "delimiter": ","}
-    parsed = lines.where(F.col("v") != F.lit(",".join(head))).select(F.from_csv("v", schema.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " "), options).alias("r")).select("r.*")
-    return parsed.fillna("")
+    """A CSV with all columns as text: ``none`` and empty stay, ``\\r\\r\\n`` is read.
+
+    Each file begins with the header, which may be quoted; a row of data that
+    reads like it stays.
+    """
+    lines = spark.read.text(path, lineSep="\n").select(
+        F.regexp_replace("value", "\r+$", "").alias("v"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")
+    ).where("v <> ''")
+    heads = lines.where("block = 0").groupBy("file").agg(F.min(F.struct("at", "v")).alias("h")).select("h.*").collect()
+    if not heads:
+        raise ContractError(f"no header in {path}")
+    names = next(csv.reader([heads[0]["v"]]))
+    schema = ", ".join(f"c{k} string" for k in range(len(names)))
+    options = {"nullValue": "\u0001", "emptyValue": "", "delimiter": ",", "escape": "\"", "mode": "FAILFAST"}
+    rows = lines.where(~F.col("at").isin([h["at"] for h in heads])).select(F.from_csv("v", schema, options).alias("r")).select("r.*")
+    return rows.fillna("").toDF(*names)
 
 
 def read_labels(spark: SparkSession, path: str, split: str = "train", allow_holdout: bool = False, cutoff_date: str = CUTOFF[:10]) -> DataFrame:
@@ -111,6 +134,30 @@ def append_records(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
+def write_probabilities(p: DataFrame, path: str, labels: list[str] = LABELS, folds: DataFrame | None = None) -> None:
+    """A row per client in order: its decision, its probabilities, and its fold if given."""
+    wide = p.groupBy("client_id").agg(
+        F.max_by("family", F.struct("p", -F.col("family_index"))).alias("prediction"), *[F.max(F.when(F.col("family") == x, F.col("p"))).alias(f"p_{x}") for x in labels]
+    )
+    write_csv(wide if folds is None else wide.join(folds.select("client_id", "fold"), "client_id"), path, ["client_id"])
+
+
+def append_log(path: str, record: dict) -> None:
+    """A line of a driver-side CSV log, its header once, and the same in Markdown beside it."""
+    target = Path(path)
+    target.parent.mkdir(parents=True, exist_ok=True)
+    new = not target.exists()
+    with target.open("a", newline="") as f:
+        writer = csv.DictWriter(f, list(record))
+        if new:
+            writer.writeheader()
+        writer.writerow(record)
+    with target.with_suffix(".md").open("a") as f:
+        if new:
+            f.write(f"| {' | '.join(record)} |\n|{'---|' * len(record)}\n")
+        f.write(f"| {' | '.join(map(str, record.values()))} |\n")
+
+
 def write_json(path: str, value, exclusive: bool = False) -> None:
     """A small driver-side receipt; ``exclusive`` refuses to overwrite."""
     Path(path).parent.mkdir(parents=True, exist_ok=True)
@@ -131,6 +178,15 @@ def manifest(spark: SparkSession, glob: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
 
 
+def verify_manifest(found: DataFrame, expected: DataFrame) -> None:
+    """The same files with the same sizes and digests; ``ContractError`` otherwise."""
+    key = ["file", "bytes", "sha256"]
+    wrong = found.select(*key).exceptAll(expected.select(*key)).unionByName(expected.select(*key).exceptAll(found.select(*key)))
+    names = sorted({r["file"] for r in wrong.limit(20).collect()})
+    if names:
+        raise ContractError(f"files differ from the manifest: {names}")
+
+
 def rebuild_runs(spark: SparkSession, glob: str) -> DataFrame:
     """One row per JSON receipt, by time and id; ``disposition`` follows from its kind."""
     runs = spark.read.option("multiLine", True).json(glob)
@@ -143,18 +199,23 @@ def rebuild_runs(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def links(pages: DataFrame) -> DataFrame:
-    """Targets of the links of each page."""
-    return pages.select("page_id", F.explode(F.expr(r"regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)")).alias("href"))
-
-
-# 30 descriptions for the test ledger and their merchant codes, in parallel.
-VOCABULARY = (
-    "cloud access|cloud backup|storage plan|service plan|gym membership|fitness monthly|fit club|urban gym|insurance monthly|"
-    "policy premium|safe cover|cover plan|phone contract|service bill|monthly plan|digital plus|audio streaming|member pass|"
-    "premium plan|software access|saas billing|productivity suite|media streaming|video access|digital service|member plan|"
-    "subscription charge|coffee shop|grocery market|hotel booking"
-)
-CODES = "|".join(["5732"] * 4 + ["7997"] * 4 + ["6300"] * 4 + ["4814"] * 4 + ["5812"] * 3 + ["5734"] * 3 + ["5812"] * 2 + ["6012"] * 3 + ["5812", "5411", "7011"])
+    """Targets of the links of each page, in double, single or no quotes."""
+    href = r"regexp_extract_all(html, '(?i)href\\s*=\\s*(\"[^\"]*\"|\'[^\']*\'|[^\\s>\"\']+)', 1)"
+    return pages.select("page_id", F.explode(F.expr(href)).alias("href")).withColumn("href", F.regexp_replace("href", "^[\"']|[\"']$", ""))
+
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """``(page_id, text)``: a page without its markup, blanks folded."""
+    return pages.select("page_id", F.trim(F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), "<[^>]*>", " "), "[ \t\n\r]+", " ")).alias("text"))
+
+
+# Descriptions for the test ledger and their merchant codes, in parallel: each
+# family's texts with its code, texts of no family, and everyday payments.
+_OWNERS = {text: MCC[f] for f in reversed(FAMILIES) for text in TEMPLATES[f]}
+_TEXTS = list(dict.fromkeys(text for f in FAMILIES for text in TEMPLATES[f]))
+_EVERYDAY = {"coffee shop": "5812", "grocery market": "5411", "hotel booking": "7011"}
+_PAIRS = [(x, _OWNERS[x]) for x in _TEXTS] + [(x, "6012") for x in GENERIC if x not in _OWNERS] + list(_EVERYDAY.items())
+VOCABULARY, CODES = ("|".join(column) for column in zip(*_PAIRS))
 
 
 def events_ledger(spark: SparkSession, sf_dir: str, cutoff: str = TEST_CUTOFF) -> DataFrame:

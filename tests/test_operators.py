@@ -141,6 +141,12 @@ def test_text_csv_dialect(spark, tmp_path):
     path = tmp_path / "s.csv"
     path.write_bytes(b"client_id,predicted\r\r\nA,none\r\r\nB,\r\r\n")
     assert sorted(map(tuple, src.read_strings(spark, str(path)).collect())) == [("A", "none"), ("B", "")]
+    path.write_text('"client, id",predicted\n"client, id",predicted\n"A ","x ""y"""\n')
+    read = src.read_strings(spark, str(path))
+    assert read.columns == ["client, id", "predicted"] and sorted(map(tuple, read.collect())) == [("A ", 'x "y"'), ("client, id", "predicted")]
+    (tmp_path / "empty.csv").write_text("")
+    with pytest.raises(src.ContractError):
+        src.read_strings(spark, str(tmp_path / "empty.csv"))
 
 
 def test_sinks(spark, tmp_path):
@@ -158,6 +164,26 @@ def test_sinks(spark, tmp_path):
     src.append_records(df, str(tmp_path / "log"))
     assert spark.read.json(str(tmp_path / "log")).count() == 4 and spark.read.parquet(str(tmp_path / "pq")).count() == 2
     assert src.digest({"b": 1, "a": 2}) == src.digest({"a": 2, "b": 1})
+    found = src.manifest(spark, str(tmp_path / "runs/*.json"))
+    src.verify_manifest(found, found)
+    with pytest.raises(src.ContractError):
+        src.verify_manifest(found, found.withColumn("bytes", F.col("bytes") + 1))
+    for k in range(2):
+        src.append_log(str(tmp_path / "log.csv"), {"run": k, "score": 0.5})
+    assert (tmp_path / "log.csv").read_text().split() == ["run,score", "0,0.5", "1,0.5"] and (tmp_path / "log.md").read_text().count("\n") == 4
+    p = families.candidates(spark.createDataFrame([("A",), ("B",)], "client_id string")).withColumn("p", F.lit(1 / 8))
+    src.write_probabilities(p, str(tmp_path / "p"), folds=spark.createDataFrame([("A", 0), ("B", 1)], "client_id string, fold int"))
+    wide = spark.read.csv(str(tmp_path / "p"), header=True, inferSchema=True)
+    assert wide.count() == 2 and {r["prediction"] for r in wide.collect()} == {"cloud"} and "fold" in wide.columns and "p_none" in wide.columns
+
+
+def test_ledger_cache(spark, tmp_path):
+    good = history(spark).select(*src.RAW)
+    good.write.json(str(tmp_path / "raw"))
+    read = lambda **k: src.read_ledger(spark, str(tmp_path / "raw"), cache=str(tmp_path / "cache"), **k).count()
+    assert read() == 20 and src.exists(spark, str(tmp_path / "cache/_SUCCESS"))
+    good.limit(5).write.mode("overwrite").json(str(tmp_path / "raw"))
+    assert read() == 20 and read(use_cache=False) == 5
 
 
 def classes(spark):
@@ -177,6 +203,35 @@ def test_metric_goldens(spark):
     assert score(spark, [every[0], every[7]])[0] == pytest.approx(2 / 8)
 
 
+def test_published_confusion_matrix(spark):
+    # The published matrix, rows are the truth in label order, and its macro-F1.
+    rows = [
+        [62, 2, 3, 1, 0, 4, 8, 9], [4, 81, 5, 3, 3, 5, 5, 15], [4, 7, 58, 3, 6, 4, 5, 12], [2, 6, 5, 66, 3, 4, 3, 15],
+        [4, 6, 8, 5, 50, 6, 3, 11], [5, 7, 3, 4, 6, 56, 5, 18], [6, 5, 1, 4, 6, 7, 54, 14], [8, 9, 10, 8, 9, 7, 7, 235],
+    ]
+    cells = [(a, b, n) for a, row in zip(constants.LABELS, rows) for b, n in zip(constants.LABELS, row)]
+    pairs = spark.createDataFrame(cells, "truth string, prediction string, n long")
+    got = scoring.scores(scoring.confusion(pairs, classes(spark), n="n")).first()
+    assert got["macro_f1"] == pytest.approx(0.6348197070753525, abs=1e-12) and got["accuracy"] == 0.662
+
+
+def test_fixed_values_by_hand(spark):
+    # written out, not taken from the package: a wrong constant cannot pass both sides
+    assert src.VOCABULARY == (
+        "cloud access|cloud backup|storage plan|service plan|gym membership|fitness monthly|fit club|urban gym|insurance monthly|policy premium|safe cover|cover plan|"
+        "phone contract|service bill|monthly plan|digital plus|audio streaming|member pass|premium plan|software access|saas billing|productivity suite|media streaming|"
+        "video access|digital service|member plan|subscription charge|coffee shop|grocery market|hotel booking"
+    )
+    assert src.CODES == "5732|5732|5732|5732|7997|7997|7997|7997|6300|6300|6300|6300|4814|4814|4814|4814|5812|5812|5812|5734|5734|5734|5812|5812|6012|6012|6012|5812|5411|7011"
+    assert constants.LABELS == ["cloud", "gym", "insurance", "mobile", "music", "software", "streaming", "none"]
+    families_of = {"my cloud": "cloud", "service plan": "cloud", "fit club x": "gym", "the policy": "insurance", "service bill": "mobile", "member pass": "music", "saas": "software", "a video": "streaming"}
+    for words, family in families_of.items():
+        row = spark.createDataFrame([(words,)], "x string").select(*[F.col("x").rlike(p).alias(f) for f, p in constants.PATTERNS.items()]).first().asDict()
+        assert [f for f, hit in row.items() if hit] == [family]
+    background = spark.createDataFrame([("coffee shop",), ("sharecroft",), ("hotel x",), ("cloud",)], "x string").select(F.col("x").rlike(constants.BACKGROUND)).collect()
+    assert [r[0] for r in background] == [True, False, True, False]
+
+
 def test_submission_contract(spark):
     column = "predicted_next_recurring_merchant"
     sample = spark.createDataFrame([("A", 0), ("B", 1)], "client_id string, pos int")
@@ -208,8 +263,10 @@ def test_ensemble_algebra(spark):
 
 def test_bootstrap_is_reproducible(spark):
     pairs = spark.createDataFrame([(f"c{k}", "x", "x" if k % 3 else "y") for k in range(60)], "client_id string, truth string, prediction string")
-    a = scoring.bootstrap(pairs, 50, 1)
-    assert rows_of(a) == rows_of(scoring.bootstrap(pairs.repartition(5), 50, 1)) and a.count() == 50
+    a = scoring.bootstrap(pairs, 50, 1, ["x", "y"])
+    assert rows_of(a) == rows_of(scoring.bootstrap(pairs.repartition(5), 50, 1, ["x", "y"])) and a.count() == 50
+    same = {r["metric"]: (r["low"], r["high"]) for r in scoring.intervals(scoring.bootstrap(pairs.withColumn("other", F.col("prediction")), 50, 1, ["x", "y"], "other")).collect()}
+    assert same["delta"] == (0.0, 0.0) and same["macro_f1"] == same["rival_macro_f1"] and 0.3 < same["macro_f1"][0] < same["macro_f1"][1] < 0.5
     low, high = scoring.interval(a).first()
     assert low < 2 / 3 < high
     assert scoring.expected_calibration_error(scoring.calibration(pairs.withColumn("confidence", F.lit(0.66)))).first()[0] == pytest.approx(abs(0.66 - 40 / 60))
@@ -233,22 +290,82 @@ def test_folds_sampling_and_permutation(spark):
     assert rows_of(shuffled.select("label")) == rows_of(labels.select("label")) and rows_of(shuffled) != rows_of(labels)
 
 
-def test_learning(spark):
+def test_learning(spark, tmp_path):
     docs = spark.createDataFrame([(f"c{k}", "cloud backup plan" if k % 2 else "urban gym monthly", float(k % 2), float(k % 2), k % 3 * 1.0) for k in range(40)], "client_id string, document string, label double, x double, z double")
-    model = learning.text_model().fit(docs)
-    assert model.transform(docs).where("prediction <> label").count() == 0
+    for analyzer in ("word", "char"):
+        read = learning.balanced(learning.terms(docs, analyzer))
+        model = learning.text_model().fit(read)
+        assert model.transform(read).where("prediction <> label").count() == 0
+    assert learning.terms(docs.limit(1).withColumn("document", F.lit("gym x")), "char").first()["terms"] == [" gy", "gym", "ym ", " gym", "gym ", " gym ", " x "]
     assert learning.tabular_model(["x", "z"]).fit(docs).transform(docs).where("prediction <> label").count() == 0
     assert learning.forest_model(["x", "z"], trees=5).fit(docs).transform(docs).where("prediction <> label").count() == 0
     folds = audit.stratified_folds(docs, "label", "client_id", 2)
     oof = learning.cross_validate(docs, folds, lambda d: learning.tabular_model(["x", "z"]).fit(d), lambda m, d: m.transform(d).select("client_id", "prediction"))
     assert oof.count() == 40 and oof.select("client_id").distinct().count() == 40
+    fitted = []
+    fit = lambda d: (fitted.append(1), learning.tabular_model(["x", "z"]).fit(d))[1]
+    folder = learning.spec_folder(str(tmp_path), learning.Recipe(), folds=2)
+    for _ in range(2):
+        again = learning.cross_validate(docs, folds, fit, lambda m, d: m.transform(d).select("client_id", "prediction"), folder)
+        assert rows_of(again) == rows_of(oof) and len(fitted) == 2
+    learning.save_model(model, str(tmp_path / "model"))
+    assert learning.load_model(str(tmp_path / "model")).transform(read).where("prediction <> label").count() == 0
+    drift = learning.drift_scores(docs.where("label = 0"), docs.where("label = 1"), ["x", "z"], folds=2, iterations=2)
+    assert drift.count() == 40 and audit.auc(drift, "probability", "label").first()["auc"] == 1
+    assert audit.auc(drift, "probability", "label", by=("fold",)).count() == 2
     ranked = learning.fit_ranker(docs.select("client_id", "label", "x", "z"), iterations=2, depth=2)
     assert learning.importances(ranked)[0] > 0.9
-    assert len(learning.catalogue()) == 9 and learning.select_recipe(spark.createDataFrame([("a", 0.5, 2, 0), ("b", 0.5, 1, 1)], "recipe string, score double, complexity int, position int")).first()["recipe"] == "b"
+    assert len(learning.catalogue()) == 15 and learning.select_recipe(spark.createDataFrame([("a", 0.5, 2, 0), ("b", 0.5, 1, 1)], "recipe string, score double, complexity int, position int")).first()["recipe"] == "b"
     bias = learning.search_bias([([0.46, 0.54] + [0.0] * 6, 0), ([0.1, 0.9] + [0.0] * 6, 1)])
     assert bias[0] - bias[1] > 0
 
 
+@pytest.mark.parametrize("name", ["legacy_half", "simple_postprocessing", "train_prior_bias", "no_augmentations"])
+def test_recipes_run(spark, name):
+    recipe = learning.replace(learning.catalogue()[name], seeds=(1,), leaves=3)
+    who = spark.createDataFrame([(f"c{k}", constants.LABELS[k % 8]) for k in range(24)], "client_id string, truth string")
+    x = families.candidates(who).join(who, "client_id").withColumn("a", (F.col("family") == F.col("truth")).cast("double")).withColumn("fee_x", F.lit(1.0)).drop("truth")
+    p = learning.run_recipe(recipe, [x, x.withColumn("a", F.col("a") * 0.9)], who, x, (x, x), iterations=2)
+    scoring.check_probabilities(p)
+    decided = scoring.decide(p).join(who, "client_id")
+    assert decided.where("prediction = truth").count() >= 20
+    with pytest.raises(src.ContractError):
+        scoring.check_probabilities(p.withColumn("p", F.col("p") * 2))
+    assert "fee_x" not in learning.recipe_columns(x, learning.catalogue()["no_payment_context"]).columns
+
+
+def test_audit_helpers(spark):
+    left = spark.createDataFrame([("a", 1), ("b", 2), ("b", 3)], "k string, v int")
+    right = spark.createDataFrame([("a", "x"), ("c", "y")], "k string, w string")
+    assert rows_of(audit.many_to_one(left, right, "k")) == rows_of(spark.createDataFrame([("a", 1, "x"), ("b", 2, None), ("b", 3, None)], "k string, v int, w string"))
+    with pytest.raises(ValueError):
+        audit.many_to_one(right, left, "k")
+    for chi2, df, p in ((3.841458820694124, 1, 0.05), (16.918977604620448, 9, 0.05), (0.0, 3, 1.0), (100.0, 9, 1.5e-17), (2.0, 4, 0.7357588823428847)):
+        assert audit.chi_square_tail(chi2, df) == pytest.approx(p, rel=1e-3)
+
+
+def test_command_line(spark, tmp_path, capsys):
+    import json
+
+    from ledgerloom import cli
+
+    paths = {n: tmp_path / f"{n}.csv" for n in ("labels", "good", "sample", "short")}
+    paths["labels"].write_text("client_id,cutoff_date,target_next_recurring_merchant\nA,2026-01-01,cloud\nB,2026-01-01,none\n")
+    paths["good"].write_text("client_id,predicted_next_recurring_merchant\nB,none\nA,gym\n")
+    paths["sample"].write_text("client_id\nA\nB\n")
+    paths["short"].write_text("client_id,predicted_next_recurring_merchant\nA,gym\n")
+    at = {k: str(v) for k, v in paths.items()}
+    assert cli.main(["score", "--labels", at["labels"], "--predictions", at["good"]]) == 0
+    report = json.loads(capsys.readouterr().out)
+    assert report["clients"] == 2 and report["accuracy"] == 0.5 and report["macro_f1"] == 1 / 8 and report["confusion_true_by_predicted"]["cloud"]["gym"] == 1
+    assert report["per_class"]["none"] == {"support": 1, "predicted_count": 1, "precision": 1.0, "recall": 1.0, "f1": 1.0}
+    assert cli.main(["validate", "--sample", at["sample"], "--predictions", at["good"]]) == 0 and json.loads(capsys.readouterr().out)["valid"]
+    assert cli.main(["validate", "--sample", at["sample"], "--predictions", at["short"]]) == 2 and "Error" in capsys.readouterr().err
+    with pytest.raises(SystemExit) as wrong:
+        cli.main(["score"])
+    assert wrong.value.code == 2
+
+
 def test_streaming(spark, sf_dir, tmp_path):
     from ledgerloom.streaming import live
 
