@@ -445,7 +445,7 @@ BODIES |= {
         (SELECT *, (0.5 * (coalesce(stream_count, 0) / 4 + coalesce(b_count, 0) / 4) / 2 + 0.5 * coalesce(b_count, 0) / 8) / 1.5 AS s FROM mat)""",
     "rank_auc_by_language": "SELECT lang, (sum(CASE WHEN q = 1 THEN r END) - sum(q) * (sum(q) + 1) / 2) / nullif(sum(q) * (count(*) - sum(q)), 0) AS auc FROM (SELECT lang, quality AS q, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)) GROUP BY lang",
     "split_profile": "SELECT count(*) AS transactions, count(DISTINCT client_id) AS clients, epoch_us(min(timestamp)) AS first, epoch_us(max(timestamp)) AS last, count(DISTINCT description) AS descriptions, count(*) - (SELECT count(*) FROM (SELECT DISTINCT client_id, timestamp, amount, currency, type, direction, description, mcc, fee FROM led)) AS repeated FROM led",
-    "description_structure": "SELECT txt, mcc, type, direction, count(amount) AS n, avg(amount) AS mean, stddev_samp(amount) AS std, min(amount) AS min, median(amount) AS q50, max(amount) AS max FROM led GROUP BY ALL",
+    "description_structure": "SELECT txt, mcc, type, direction, count(amount) AS n, round(sum(amount), 2) AS total, stddev_samp(amount) AS std, min(amount) AS min, median(amount) AS q50, max(amount) AS max FROM led GROUP BY ALL",
     "official_score": f"""SELECT avg(coalesce(2 * h / nullif(s + q, 0), 0)) AS macro_f1, sum(h) / sum(s) AS accuracy FROM (SELECT family, count(*) FILTER (WHERE truth = family) AS s, count(*) FILTER (WHERE said = family) AS q, count(*) FILTER (WHERE truth = family AND said = family) AS h
         FROM lab, (SELECT {label_at(1)} AS truth, CASE WHEN {NUMBER} % 3 = 0 THEN {label_at(1)} ELSE {label_at(5)} END AS said FROM ids) GROUP BY family)""",
     "aligned_targets": f"SELECT client_id, {NUMBER} * 3 % 8 AS y FROM ids",
