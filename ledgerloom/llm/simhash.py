@@ -16,7 +16,7 @@ from .components import connected_components
 
 CHUNK = 65536
 #: A corpus is cut into so many tiles at least, to occupy more than a few cores.
-MIN_TILES = 8
+MIN_TILES = 6
 #: Members of a tile.  A task compares two tiles: some 7e10 pairs, a minute or
 #: two, from 25 MB of fingerprints.
 TILE = 1 << 18
@@ -142,8 +142,8 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE, wide_limi
     """Edges ``(u, v)`` between nodes that connect all fingerprints within ``radius``.
 
     ``distinct`` holds each ``node`` once with its ``fp``; with ``wide_limit``
-    also all words of a wider fingerprint, ``wide``, which then may differ in
-    that many bits at most.  Fingerprints are
+    also all words of a wider fingerprint, ``wide``, whose first is ``fp`` and
+    which then may differ in that many bits at most.  Fingerprints are
     dealt into tiles of at most about ``tile`` members: neighbouring population counts
     share a tile while they fit, a larger count is split by hash.  Pairs of
     tiles whose counts differ by more than ``radius`` are skipped, every other
@@ -167,9 +167,10 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE, wide_limi
         return f"get(array({', '.join(f'{x}L' for x in values)}), CAST({index} AS INT))"
 
     splits = [b[2] for b in bands]
-    own = ["node", "fp", *(["wide"] if wide_limit is not None else [])]
+    # the first word of the wide fingerprint is the narrow one
+    own = ["node", "fp"] if wide_limit is None else ["node", "wide"]
     mine = (
-        distinct.select(*own, F.expr(lookup([band_of.get(c, 0) for c in range(65)], "bit_count(fp)")).alias("p"))
+        distinct.select("*", F.expr(lookup([band_of.get(c, 0) for c in range(65)], "bit_count(fp)")).alias("p"))
         .withColumn("i", F.expr(f"pmod(xxhash64(node), {lookup(splits, 'p')})"))
     )
     size = lookup(splits, "q")
@@ -182,12 +183,14 @@ def near_links(distinct: DataFrame, radius: int = 4, tile: int = TILE, wide_limi
 
     def compare(group: pa.Table) -> pa.Table:
         group = group.sort_by("side")
-        fp = group.column("fp").to_numpy().view(np.uint64)
         node = group.column("node").to_numpy()
         n = int((group.column("side").to_numpy() == 0).sum())
         words = None
-        if wide_limit is not None:
-            bits = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(fp), -1)
+        if wide_limit is None:
+            fp = group.column("fp").to_numpy().view(np.uint64)
+        else:
+            bits = np.frombuffer(b"".join(group.column("wide").to_pylist()), np.uint64).reshape(len(node), -1)
+            fp = np.ascontiguousarray(bits[:, 0])
             words = bits[:n], bits[:n] if n == len(fp) else bits[n:]
         if n == len(fp):
             same = all(group.column(x)[0] == group.column(y)[0] for x, y in (("p", "q"), ("i", "j")))
