@@ -159,7 +159,7 @@ def pack_documents(
     not read.
     """
     table_ = written(pieces(docs, capacity, vocabulary, id_col, text_col), "pieces")
-    counts = written(table_.groupBy("part", "length").count(), "lengths")
+    counts = table_.groupBy("part", "length").count()
     histogram = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
     plan = Placement(shortest_pack_first(histogram, capacity))
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
