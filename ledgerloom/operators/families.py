@@ -110,42 +110,42 @@ def wide_candidates(top: DataFrame, ids: DataFrame, statistics: list[str] | None
     slots = [(kind, r) for kind in ("amount", "broad") for r in (0, 1)]
     wide = top.groupBy("client_id", F.col("candidate").alias("family")).agg(
         F.max("stream_count").alias("stream_count"),
-        *[F.max(F.when((F.col("kind") == kind) & (F.col("rank") == r), F.col(c))).alias(f"{kind}{r}_{c}") for kind, r in slots for c in stats],
+        *[F.expr(f"max(CASE WHEN kind = '{kind}' AND rank = {r} THEN {c} END) AS {kind}{r}_{c}") for kind, r in slots for c in stats],
     )
     return candidates(ids).join(wide, ["client_id", "family"], "left")
 
 
-def place(c: str, down: bool = False) -> Column:
+def place(c: str, down: bool = False) -> str:
     """Rank among the client's few candidates ``_all``, ties take the first place; null for null.
 
     Counting the better values needs no order, so any number of ranks share
     one list of the client's candidates instead of a sort each.
     """
-    better = F.filter("_all", lambda v: v[c] > F.col(c)) if down else F.filter("_all", lambda v: v[c] < F.col(c))
-    return F.when(F.col(c).isNotNull(), F.size(better) + 1)
+    return f"if({c} IS NULL, NULL, size(filter(_all, v -> v.{c} {'>' if down else '<'} {c})) + 1)"
+
+
+#: Hundreds of columns are given as SQL text: one call to the JVM each, not one for each operator.
+OVER = "OVER (PARTITION BY client_id)"
 
 
 def ranks(x: DataFrame, columns: list[str], missing: int | None = 8) -> DataFrame:
     """``_rank`` (nulls ``missing``) and ``_vs_best`` per client; counts and diversity descend."""
-    by = Window.partitionBy("client_id")
-    x, made = x.withColumn("_all", F.collect_list(F.struct(*columns)).over(by)), {}
+    made = []
     for c in columns:
         down = any(d in c for d in DESCENDING)
         rank = place(c, down)
-        made[f"{c}_rank"] = F.coalesce(rank, F.lit(missing)) if missing is not None else rank
-        made[f"{c}_vs_best"] = F.col(c) - (F.max(c) if down else F.min(c)).over(by)
-    return x.withColumns(made).drop("_all")
+        made.append(f"{rank if missing is None else f'coalesce({rank}, {missing})'} AS {c}_rank")
+        made.append(f"{c} - {'max' if down else 'min'}({c}) {OVER} AS {c}_vs_best")
+    return x.selectExpr("*", f"collect_list(struct({', '.join(columns)})) {OVER} AS _all").selectExpr("*", *made).drop("_all")
 
 
 def competition(x: DataFrame, columns: list[str]) -> DataFrame:
     """Minimum, maximum, mean, ascending rank and distance to the minimum per client."""
-    by = Window.partitionBy("client_id")
-    x, made = x.withColumn("_all", F.collect_list(F.struct(*columns)).over(by)), {}
+    made = []
     for c in columns:
-        made |= {f"{c}_competition_{k}": f(c).over(by) for k, f in (("min", F.min), ("max", F.max), ("mean", F.avg))}
-        made[f"{c}_competition_rank"] = place(c)
-        made[f"{c}_competition_delta"] = F.col(c) - F.min(c).over(by)
-    return x.withColumns(made).drop("_all")
+        made += [f"{f}({c}) {OVER} AS {c}_competition_{k}" for k, f in (("min", "min"), ("max", "max"), ("mean", "avg"))]
+        made += [f"{place(c)} AS {c}_competition_rank", f"{c} - min({c}) {OVER} AS {c}_competition_delta"]
+    return x.selectExpr("*", f"collect_list(struct({', '.join(columns)})) {OVER} AS _all").selectExpr("*", *made).drop("_all")
 
 
 def activity(x: DataFrame, prefix: str) -> dict[str, Column]:
@@ -221,7 +221,7 @@ def wide_templates(rollups: DataFrame, windows: tuple[int, ...] = (999, 90)) ->
     stats = ["diversity", "repeated", "sum", "max", "rank0", "rank1", "rank2", "rank3"]
     return rollups.groupBy("client_id", "family").agg(
         *[
-            F.coalesce(F.max(F.when((F.col("scope") == s) & (F.col("window") == w), F.col(c))), F.lit(0)).alias(f"own_template_{s}_{w}_{c}")
+            F.expr(f"coalesce(max(CASE WHEN scope = '{s}' AND window = {w} THEN {c} END), 0) AS own_template_{s}_{w}_{c}")
             for s in ("any", "mcc") for w in windows for c in stats
         ]
     )

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import MISSING, PERIODS
 from ..operators import clients, families, streams
+from ..sources.stored import written
 
 MODES = ("full", "no_unlabeled", "hard")
 SLOTS = ("amount0", "amount1", "broad0", "broad1")
@@ -24,31 +25,34 @@ GLOBAL = ["amount0_next_active", "amount0_active", "amount0_count", "amount0_las
 
 
 def build_features(ledger: DataFrame, windows: list[int], profiles: DataFrame | None = None, min_count: int = 3) -> DataFrame:
-    """Compact candidate matrix: eight rows per client, nulls for missing values."""
+    """Compact candidate matrix: eight rows per client, nulls for missing values.
+
+    The top streams are written once: statistics and payment context both start from them.
+    """
     ids = ledger.select("client_id").distinct()
     found = streams.extract_streams(ledger, windows, min_count=min_count, periods=[])
     stats = COMPACT + [f"count_{w}" for w in windows] + (["price_support", "normalized_price"] if profiles is not None else [])
-    top = families.assigned_top(found, profiles)
+    top = written(families.assigned_top(found, profiles), "top")
     x = families.wide_candidates(top, ids, stats)
     x = with_templates(x, ledger)
     x = families.ranks(x, RANKED)
     for prefix in ("amount0", "broad0", "amount1"):
         x = x.withColumns(families.activity(x, prefix))
         per_event = {
-            f"{prefix}_{c}_per_event": F.coalesce(F.greatest(F.col(f"{prefix}_{c}").cast("double"), F.lit(0.0)) / F.greatest(F.col(f"{prefix}_count"), F.lit(1)), F.lit(0.0))
+            f"{prefix}_{c}_per_event": F.expr(f"coalesce(greatest(double({prefix}_{c}), 0D) / greatest({prefix}_count, 1), 0D)")
             for c in ("own_semantic", "own_mcc", "own_template_diversity", "own_template_count")
         }
         x = x.withColumns(per_event)
     x = families.competition(x, GLOBAL + COMPETE[1:3])
     globals_ = clients.client_globals(ledger, windows)
-    x = x.join(globals_.select("client_id", *[F.col(c).alias(f"client_{c}") for c in globals_.columns if c != "client_id"]), "client_id", "left")
+    x = x.join(globals_.toDF(*[c if c == "client_id" else f"client_{c}" for c in globals_.columns]), "client_id", "left")
     slots = top.where("rank = 0 AND amount_median > 0 AND count >= 2").select(
         "client_id", F.col("candidate").alias("family"), F.concat("kind", F.lit("0")).alias("prefix"), "amount_median", "last_age"
     )
     context = clients.payment_context(ledger, slots)
     names = [c for c in context.columns if c not in ("client_id", "family", "prefix", "amount_median", "last_age", "currency")]
     wide = context.groupBy("client_id", "family").agg(
-        *[F.max(F.when(F.col("prefix") == p, F.col(c))).alias(f"{p}_{c}") for p in ("amount0", "broad0") for c in names]
+        *[F.expr(f"max(CASE WHEN prefix = '{p}' THEN {c} END) AS {p}_{c}") for p in ("amount0", "broad0") for c in names]
     )
     return x.join(wide, ["client_id", "family"], "left")
 
@@ -66,10 +70,10 @@ def ranking_features(ledger: DataFrame, windows: list[int], profiles: DataFrame
     """
     ids = ledger.select("client_id").distinct()
     found = streams.extract_streams(ledger, windows, min_count=min_count, periods=list(PERIODS) if clocks else [])
-    x = with_templates(families.family_features(found, ids, profiles), ledger)
+    x = with_templates(families.wide_candidates(written(families.assigned_top(found, profiles), "top"), ids), ledger)
     own = [c for c in x.columns if c.startswith("own_template_")]
-    none = x.where("family = 'none'").select("client_id", *[F.col(c).alias(f"global_none_{c.removeprefix('own_template_')}") for c in own])
-    x = x.join(none, "client_id", "left")
+    none = "max(CASE WHEN family = 'none' THEN {c} END) OVER (PARTITION BY client_id) AS global_none_{n}"
+    x = x.selectExpr("*", *[none.format(c=c, n=c.removeprefix("own_template_")) for c in own])
     compared = [f"{s}_last_age" for s in SLOTS] + [c for c in own if "mcc_999" in c] + COMPETE
     if clocks:
         x = x.withColumns({k: v for s in SLOTS for k, v in families.clock(x, s).items()})

@@ -39,12 +39,9 @@ def tab(spark: SparkSession, d: str, name: str) -> DataFrame:
 def out(df: DataFrame, *columns: str) -> DataFrame:
     """The columns, counts as long and doubles to six places."""
     kinds = dict(df.dtypes)
-    return df.select(
-        *[
-            (F.round(c, 6) + 0.0).alias(c) if kinds[c] in ("double", "float") else F.col(c).cast("long").alias(c) if kinds[c] in ("int", "bigint", "smallint", "tinyint") else F.col(c)
-            for c in (columns or df.columns)
-        ]
-    )
+    shown = {"double": "round(`{c}`, 6) + 0.0D AS `{c}`", "float": "round(`{c}`, 6) + 0.0D AS `{c}`"}
+    shown |= {k: "CAST(`{c}` AS BIGINT) AS `{c}`" for k in ("int", "bigint", "smallint", "tinyint")}
+    return df.selectExpr(*[shown.get(kinds[c], "`{c}`").format(c=c) for c in (columns or df.columns)])
 
 
 def ids(df: DataFrame) -> DataFrame:
