@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import re
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..sources.stored import fresh_dir, shared_dir, written  # noqa: F401
+
 # Byte classes.  Words of the lower-cased alphabet are runs of [0-9a-z] and of
 # bytes >= 0x80, so a text can be split without decoding it.
 _WORD_BYTES = bytes(
@@ -18,7 +18,6 @@ _WORD_BYTES = bytes(
     for b in range(256)
 )
 _SHIPPED: set[str] = set()
-_LOCAL: dict[str, str] = {}
 SPACE_CLASS = r"[\x20\x09-\x0D]+"
 
 
@@ -71,43 +70,5 @@ def session(df: DataFrame) -> SparkSession:
     return spark
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """Folder that driver and executors share (``spark.checkpoint.dir``).
-
-    Where it is unset a temporary folder is used if driver and tasks are one
-    process (``local``, as in tests); on a cluster that is an error.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        context = spark.sparkContext
-        if not re.fullmatch(r"local(\[.*\])?", context.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if context.applicationId not in _LOCAL:
-            _LOCAL[context.applicationId] = "file://" + tempfile.mkdtemp(prefix="ledgerloom-")
-        folder = _LOCAL[context.applicationId]
-    return folder.rstrip("/")
-
-
-def fresh_dir(spark: SparkSession, tag: str) -> str:
-    """A new path in the shared folder; it is removed when the JVM ends."""
-    path = f"{shared_dir(spark)}/ledgerloom-{tag}-{uuid.uuid4().hex}"
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.mkdirs(p)
-    fs.deleteOnExit(p)
-    return fs.makeQualified(p).toString()
-
-
-def written(df: DataFrame, tag: str) -> DataFrame:
-    """Cut the lineage: store ``df`` as Parquet in the shared folder, read it back.
-
-    Unlike executor-local storage, the files outlive lost executors.
-    """
-    path = f"{fresh_dir(df.sparkSession, tag)}/t"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
