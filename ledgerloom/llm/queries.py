@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, decontam, htmltext, licenses, linedup, packing, quality, simhash, urlrules, warc
+from . import chat, decontam, fim, htmltext, licenses, linedup, packing, quality, repair, simhash, tokencount, urlrules, warc
 
 QUERIES = {
     f.__name__: f
@@ -17,6 +17,9 @@ QUERIES = {
         chat.op8_chat_format,
         decontam.op9_decontamination,
         htmltext.op10_html_text,
+        tokencount.op11_token_counts,
+        fim.op12_fill_in_middle,
+        repair.op13_conversation_repair,
     )
 }
 
@@ -27,4 +30,6 @@ ORACLE_SQL = {
     "op7_quality_rules": quality.OP7_SQL,
     "op8_chat_format": chat.OP8_SQL,
     "op9_decontamination": decontam.OP9_SQL,
+    "op12_fill_in_middle": fim.OP12_SQL,
+    "op13_conversation_repair": repair.OP13_SQL,
 }
