@@ -7,13 +7,19 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordered import RANGE_ROWS, numbered, percentiles as exact_percentiles
+
 
 def describe(df: DataFrame, column: str, by: list[str] | None = None, percentiles: tuple[int, ...] = (25, 50, 75)) -> DataFrame:
     """Count, moments, extremes and percentiles of a column, of all rows or by group."""
     by = by or []
-    q = F.percentile(column, F.array(*[F.lit(x / 100) for x in percentiles]))
-    made = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"), q.alias("q"))
-    return made.select(*by, "n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(f"q{p}") for k, p in enumerate(percentiles)], "max")
+    made = df.groupBy(*by).agg(F.count(column).alias("n"), F.avg(column).alias("mean"), F.stddev_samp(column).alias("std"), F.min(column).alias("min"), F.max(column).alias("max"))
+    q = exact_percentiles(df, column, [x / 100 for x in percentiles], tuple(by)).toDF(*[f"_k{k}" for k in range(len(by))], "q")
+    on = F.lit(True)
+    for k, c in enumerate(by):
+        on &= F.col(c).eqNullSafe(F.col(f"_k{k}"))
+    # one row a group on both sides; without groups one row each
+    return made.join(q if by else F.broadcast(q), on, "inner").select(*by, "n", "mean", "std", "min", *[F.get("q", F.lit(k)).alias(f"q{p}") for k, p in enumerate(percentiles)], "max")
 
 
 def grouped_report(df: DataFrame, by: str, columns: list[str]) -> DataFrame:
@@ -108,13 +114,13 @@ def duplicates(df: DataFrame, columns: list[str]) -> DataFrame:
     return df.groupBy(*columns).agg(F.count("*").alias("n")).where("n > 1")
 
 
-def stratified_folds(labels: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42) -> DataFrame:
+def stratified_folds(labels: DataFrame, label: str, key: str, folds: int = 5, seed: int = 42, rows: int = RANGE_ROWS) -> DataFrame:
     """Disjoint, covering folds with each label spread evenly; order by hash.
 
-    A label is numbered in 256 buckets of the hash, however many rows have it.
+    A label is numbered in ranges of the hash, however many rows have it.
     """
     h = F.md5(F.concat_ws("|", key, F.lit(seed)))
-    placed = numbered(labels, [h, F.col(key)], F.substring(h, 1, 2), by=(label,))
+    placed = numbered(labels, [h, F.col(key)], (label,), rows=rows)
     return placed.withColumn("fold", (F.col("_n") - 1) % folds).select(*labels.columns, "fold")
 
 
@@ -123,33 +129,18 @@ def sample_clients(ids: DataFrame, key: str, n: int, seed: int) -> DataFrame:
     return ids.select(key).distinct().orderBy(F.md5(F.concat_ws("|", key, F.lit(seed))), key).limit(n)
 
 
-def numbered(df: DataFrame, order: list, bucket, name: str = "_n", by: tuple[str, ...] = ()) -> DataFrame:
-    """Row numbers, of all rows or by group, without sorting a group in one task:
-    ``bucket`` is monotone in ``order``.
-
-    Rows are numbered within buckets, and each bucket adds the sizes of those
-    before it: only the bucket counts of a group meet in one task.
-    """
-    rows = df.withColumn("_b", bucket)
-    before = Window.partitionBy(*by, F.lit(0)).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    base = rows.groupBy(*by, "_b").agg(F.count("*").alias("_c")).withColumn("_base", F.coalesce(F.sum("_c").over(before), F.lit(0))).drop("_c")
-    inside = F.row_number().over(Window.partitionBy(*by, "_b").orderBy(*order))
-    return rows.withColumn(name, inside).join(base, [*by, "_b"]).withColumn(name, F.col(name) + F.col("_base")).drop("_b", "_base")
-
-
-def permuted(labels: DataFrame, key: str, target: str, seed: int, bits: int = 8) -> DataFrame:
+def permuted(labels: DataFrame, key: str, target: str, seed: int, rows: int = RANGE_ROWS) -> DataFrame:
     """Targets shuffled over clients: two hash orders joined by position."""
 
     def by_hash(salt):
-        h = F.md5(F.concat_ws("|", key, F.lit(salt)))
-        return numbered(labels, [h, F.col(key)], F.substring(h, 1, bits // 4))
+        return numbered(labels, [F.md5(F.concat_ws("|", key, F.lit(salt))), F.col(key)], rows=rows)
 
     return by_hash(seed).select(key, "_n").join(by_hash(seed + 1).select(target, "_n"), "_n").drop("_n")
 
 
 def quartiles(df: DataFrame, column: str) -> DataFrame:
-    """Right-closed quartile bin (0 to 3) of a column; edges come from one aggregate."""
-    edges = df.agg(F.percentile(column, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("e"))
+    """Right-closed quartile bin (0 to 3) of a column; edges are exact and one row."""
+    edges = exact_percentiles(df, column, [0.25, 0.5, 0.75]).withColumnRenamed("q", "e")
     x = F.col(column)
     return df.join(F.broadcast(edges), how="inner", on=F.lit(True)).withColumn(
         "bin", F.when(x <= F.get("e", F.lit(0)), 0).when(x <= F.get("e", F.lit(1)), 1).when(x <= F.get("e", F.lit(2)), 2).otherwise(3)

@@ -54,21 +54,37 @@ def summarize(ledger: DataFrame, windows: list[int], by: tuple[str, ...] = ("cli
 
 
 def nearest_card(ledger: DataFrame, slots: DataFrame) -> DataFrame:
-    """The card row of the client whose age is nearest to ``last_age`` (the earliest on ties)."""
-    card = ledger.where("type = 'card_payment'").select("client_id", "t", "tx_id", "timestamp", "currency", "fee")
-    best = F.min_by(F.struct("currency", "fee"), F.struct(F.abs(-F.col("t") - F.col("last_age")), F.col("timestamp"), F.col("tx_id")))
-    return slots.join(card, "client_id").groupBy(*slots.columns).agg(best.alias("c")).select(*slots.columns, F.col("c.currency").alias("currency"), F.col("c.fee").alias("last_fee"))
+    """The card row of the client whose age is nearest to ``last_age`` (the earliest on ties).
+
+    Cards and slots of a client are sorted together, once from each end, and
+    the last card before a slot is carried along: the work is linear in both.
+    """
+    cards = ledger.where("type = 'card_payment'").groupBy("client_id", "timestamp").agg(F.min("t").alias("t"), F.min(F.struct("tx_id", "currency", "fee")).alias("c"))
+    card = F.struct("t", "timestamp", "c")
+    both = cards.select("client_id", "t", F.lit(0).alias("kind"), card.alias("card")).unionByName(
+        slots.select("client_id", (-F.col("last_age")).alias("t"), F.lit(1).alias("kind"), F.struct(*slots.columns).alias("slot")), allowMissingColumns=True
+    )
+    carried = lambda order: F.last("card", True).over(Window.partitionBy("client_id").orderBy(order, "kind").rowsBetween(Window.unboundedPreceding, 0))
+    found = both.select("kind", "slot", carried(F.asc("t")).alias("before"), carried(F.desc("t")).alias("after")).where("kind = 1")
+    near = lambda c: F.when(F.col(c).isNotNull(), F.struct(F.abs(-F.col(f"{c}.t") - F.col("slot.last_age")).alias("d"), f"{c}.timestamp", f"{c}.c"))
+    best = found.select("slot", F.least(near("before"), near("after")).alias("b")).where("b IS NOT NULL")
+    return best.select("slot.*", F.col("b.c.currency").alias("currency"), F.col("b.c.fee").alias("last_fee"))
 
 
 def payment_context(ledger: DataFrame, slots: DataFrame, windows: tuple[int, int] = (90, 30), tolerance: float = 0.04, grace: float = 10) -> DataFrame:
     """Refund, fee and time evidence of streams ``(client_id, family, prefix, amount_median, last_age)``.
 
-    An equi-join on client and currency narrows the band join on amounts to a
-    client's own rows; refunds count by the strict trailing windows.
+    Log amounts are cut into cells as wide as the band: a stream meets the rows
+    of its client, currency, own and two neighbouring cells only.  Refunds
+    count by the strict trailing windows.
     """
     near = nearest_card(ledger, slots)
-    rows = ledger.where("type IN ('card_payment', 'refund')").select("client_id", "currency", "type", "amount", "t", F.col("fee").alias("_fee"), "timestamp")
-    hit = near.join(rows, ["client_id", "currency"]).where(F.abs(F.ln(F.col("amount") / F.col("amount_median"))) < tolerance)
+    cell = lambda a: F.floor(F.ln(a) / (tolerance * (1 + 1e-9))).cast("long")
+    rows = ledger.where("type IN ('card_payment', 'refund')").select(
+        "client_id", "currency", cell("amount").alias("_cell"), "type", "amount", "t", F.col("fee").alias("_fee"), "timestamp"
+    )
+    probes = near.withColumn("_cell", F.explode(F.transform(F.array(*map(F.lit, (-1, 0, 1))), lambda k: cell("amount_median") + k)))
+    hit = probes.join(rows, ["client_id", "currency", "_cell"]).where(F.abs(F.ln(F.col("amount") / F.col("amount_median"))) < tolerance)
     refund, card, age = F.col("type") == "refund", F.col("type") == "card_payment", -F.col("t")
     keys = [c for c in near.columns]
     made = hit.groupBy(*keys).agg(

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..constants import FAMILIES, LABELS, MCC, NO_EVENT, PATTERNS, PERIODS, TEMPLATES
 from ..functions.numeric import floor_mod, label, price_support
+from .ordered import percentiles
 from .streams import card_out
 
 DESCENDING = ("count", "diversity")
@@ -17,8 +18,8 @@ def price_profiles(ledger: DataFrame) -> DataFrame:
     anchors = F.array_compact(
         F.array(*[F.when(F.col("description").rlike(PATTERNS[f]) & (F.col("mcc") == MCC[f]), F.lit(f)) for f in FAMILIES])
     )
-    q = F.percentile("amount", F.array(F.lit(0.005), F.lit(0.995), F.lit(0.5)))
-    made = card_out(ledger).select("amount", F.explode(anchors).alias("family")).groupBy("family").agg(q.alias("q"), F.count("*").alias("n_anchor_events"))
+    rows = card_out(ledger).select("amount", F.explode(anchors).alias("family"))
+    made = percentiles(rows, "amount", [0.005, 0.995, 0.5], ("family",)).join(rows.groupBy("family").agg(F.count("*").alias("n_anchor_events")), "family")
     return made.select("family", F.get("q", F.lit(0)).alias("low"), F.get("q", F.lit(1)).alias("high"), F.get("q", F.lit(2)).alias("median"), "n_anchor_events")
 
 

@@ -403,6 +403,8 @@ def tfidf(terms: str) -> str:
         FROM (SELECT client_id, term, count(*) AS n FROM ({terms}) GROUP BY ALL) JOIN (SELECT term, count(DISTINCT client_id) AS df, count(*) AS total FROM ({terms}) GROUP BY term HAVING count(DISTINCT client_id) >= 2 ORDER BY total DESC, term LIMIT 30000) USING (term))"""
 
 
+# template evidence on canonical texts
+BODIES_TC = CTES["tc"].replace("FROM co JOIN tem ON txt = template", f"FROM (SELECT co.* REPLACE (canonical AS txt) FROM co JOIN ({CANON}) USING (tx_id)) JOIN tem ON txt = template")
 BODIES |= {
     "semi_filter": "SELECT tx_id, client_id FROM led WHERE client_id IN (SELECT client_id FROM led WHERE type = 'refund')",
     "derived_keys": "SELECT txt || ' | ' || mcc AS description_mcc, type || ' | ' || mcc AS type_mcc, count(*) AS n FROM led GROUP BY ALL",
@@ -421,7 +423,9 @@ BODIES |= {
     "row_json": "SELECT tx_id, to_json({'client_id': client_id, 'type': type, 'mcc': mcc, 'txt': txt})::VARCHAR AS json FROM led",
     "first_rows": "SELECT client_id, tx_id, amount, txt FROM led QUALIFY row_number() OVER (PARTITION BY client_id ORDER BY timestamp, tx_id) = 1",
     "total_order": "SELECT tx_id, row_number() OVER (ORDER BY timestamp, client_id, amount, tx_id) AS position FROM led",
-    "recipe_selection": "SELECT recipe, score::DOUBLE AS score, complexity::BIGINT AS complexity, position::BIGINT AS position FROM (VALUES ('full', 0.60, 7, 0), ('no_unlabeled', 0.62, 7, 1), ('no_augmentations', 0.64, 7, 2), ('no_multiseed', 0.61, 3, 3), ('principal_lightgbm', 0.63, 1, 4), ('no_none_detector', 0.60, 4, 5), ('no_soft_assignment', 0.62, 7, 6), ('simple_postprocessing', 0.64, 4, 7), ('no_payment_context', 0.61, 7, 8), ('no_cadence_thresholds', 0.63, 7, 9), ('seven_leaves', 0.60, 7, 10), ('no_legacy', 0.62, 6, 11), ('legacy_half', 0.64, 7, 12), ('temperature_1_5', 0.61, 7, 13), ('train_prior_bias', 0.63, 7, 14)) AS v(recipe, score, complexity, position) QUALIFY row_number() OVER (ORDER BY score DESC, complexity, position) = 1",
+    "recipe_selection": "SELECT recipe, macro AS score, complexity, position FROM (" + " UNION ALL ".join(
+        f"SELECT '{n}' AS recipe, round(sum(coalesce(2.0 * h / nullif(t + p, 0), 0)) / 8, 9) AS macro, {1 + k % 2}::BIGINT AS complexity, {k}::BIGINT AS position FROM (SELECT lab.family, count(*) FILTER (WHERE label = lab.family) AS t, count(*) FILTER (WHERE prediction = lab.family) AS p, count(*) FILTER (WHERE label = lab.family AND prediction = lab.family) AS h FROM lab, (SELECT r.prediction, y.label FROM ({rule(o)}) r JOIN ({WEAK}) y USING (client_id)) GROUP BY lab.family)"
+        for k, (n, o) in enumerate({"most_frequent": "count DESC", "most_recent": "last_age", "minimum_next": "greatest(next_median, 0)", "regularity": "gap_cv"}.items())) + ") QUALIFY row_number() OVER (ORDER BY score DESC, complexity, position) = 1",
     "best_examples": "SELECT doc_id AS client_id, truth, prediction, confidence FROM (SELECT *, (doc_id * 37 % 100) / 100 AS confidence FROM pairs WHERE truth = prediction) QUALIFY row_number() OVER (PARTITION BY prediction ORDER BY confidence DESC, doc_id) = 1",
     "top_confusions": "SELECT truth, prediction, count(*) AS n FROM pairs WHERE truth <> prediction GROUP BY ALL ORDER BY n DESC, truth, prediction LIMIT 20",
     "client_sample": "SELECT client_id FROM ids ORDER BY md5(concat_ws('|', client_id, 7)), client_id LIMIT 20",
@@ -445,7 +449,7 @@ BODIES |= {
         (SELECT *, (0.5 * (coalesce(stream_count, 0) / 4 + coalesce(b_count, 0) / 4) / 2 + 0.5 * coalesce(b_count, 0) / 8) / 1.5 AS s FROM mat)""",
     "rank_auc_by_language": "SELECT lang, (sum(CASE WHEN q = 1 THEN r END) - sum(q) * (sum(q) + 1) / 2) / nullif(sum(q) * (count(*) - sum(q)), 0) AS auc FROM (SELECT lang, quality AS q, rank() OVER (PARTITION BY lang ORDER BY n_chars) + (count(*) OVER (PARTITION BY lang, n_chars) - 1) / 2 AS r FROM labels JOIN documents USING (doc_id)) GROUP BY lang",
     "split_profile": "SELECT count(*) AS transactions, count(DISTINCT client_id) AS clients, epoch_us(min(timestamp)) AS first, epoch_us(max(timestamp)) AS last, count(DISTINCT description) AS descriptions, count(*) - (SELECT count(*) FROM (SELECT DISTINCT client_id, timestamp, amount, currency, type, direction, description, mcc, fee FROM led)) AS repeated FROM led",
-    "description_structure": "SELECT txt, mcc, type, direction, count(amount) AS n, round(sum(amount), 2) AS total, stddev_samp(amount) AS std, min(amount) AS min, median(amount) AS q50, max(amount) AS max FROM led GROUP BY ALL",
+    "description_structure": "SELECT txt, mcc, type, direction, count(amount) AS n, round(avg(amount) + 1e-9, 4) AS mean, stddev_samp(amount) AS std, min(amount) AS min, median(amount) AS q50, max(amount) AS max FROM led GROUP BY ALL",
     "official_score": f"""SELECT avg(coalesce(2 * h / nullif(s + q, 0), 0)) AS macro_f1, sum(h) / sum(s) AS accuracy FROM (SELECT family, count(*) FILTER (WHERE truth = family) AS s, count(*) FILTER (WHERE said = family) AS q, count(*) FILTER (WHERE truth = family AND said = family) AS h
         FROM lab, (SELECT {label_at(1)} AS truth, CASE WHEN {NUMBER} % 3 = 0 THEN {label_at(1)} ELSE {label_at(5)} END AS said FROM ids) GROUP BY family)""",
     "aligned_targets": f"SELECT client_id, {NUMBER} * 3 % 8 AS y FROM ids",
@@ -454,7 +458,7 @@ BODIES |= {
     "documents_enriched": "SELECT client_id, string_agg(concat(txt, ' mcc', mcc, ' type', type, ' ', replace(txt, ' ', '_'), '_m', mcc), ' ; ' ORDER BY timestamp, tx_id) AS document FROM led GROUP BY client_id",
     "tfidf_weights": tfidf(_TERMS),
     "tfidf_characters": tfidf(_CHARS),
-    "tabular_blocks": blocks_sql(_SUMMED),
+    "tabular_blocks": f"SELECT * REPLACE (round(amount_mean + 1e-9, 4) AS amount_mean) FROM ({blocks_sql(_SUMMED)})",
     "tabular_wide": "SELECT * FROM (SELECT client_id, " + ", ".join(f"{f'coalesce(max(CASE WHEN block = {chr(39)}{b}{chr(39)} THEN {c} END), 0)' if c == 'count' else f'max(CASE WHEN block = {chr(39)}{b}{chr(39)} THEN {c} END)'} AS {b}__{c}" for b in _BLOCKS for c in ("count", "amount_median", "gap_median"))
     + f" FROM ({blocks_sql('count(*) AS count, median(amount) AS amount_median, median(gap) AS gap_median')}) GROUP BY client_id) JOIN (SELECT client_id, {_COUNTED('global__')}, " + per_family(lambda f: f"count(*) FILTER (WHERE direction = 'in' AND regexp_matches(txt, '{PATTERNS[f]}')) AS text_{f}__refund_count") + " FROM led GROUP BY client_id) USING (client_id)",
     "edge_values": "SELECT client_id, family, coalesce(a_count, -999) AS amount0_count, coalesce(b_gap, -999) AS broad0_gap_median, b_gap AS broad0_gap_known FROM mat",
@@ -477,6 +481,62 @@ BODIES |= {
         map(compared, [*(f"{s}_{c}" for s in SLOTS for c in ("clock_active_next", "next_modulo", "last_age", "clock_active")), *(f"own_template_{c}" for c in TEMPLATE_STATS if c.startswith("mcc_999")), "amount0_count", "amount0_gap_cv", "amount0_linear_next", "broad0_next_median", "broad0_count"])
     ) + f" FROM ({clocks('tops')}) JOIN (SELECT * EXCLUDE ({', '.join(f'{s}_last_age' for s in SLOTS)}) FROM fm) USING (client_id, family)",
 }
+
+
+def first_gains(gradients: str, enough: str, l2: float = 10.0) -> str:
+    """All splits of the root over sixteen bins, from gradients ``(client_id, i, g, h)`` in whole units."""
+    named = ["stream_count", "b_count", "b_gap", "family_index"]
+    features = "[" + ", ".join(f"{{'f': '{n}', 'v': {c}::DOUBLE}}" for n, c in zip(["stream_count", "broad0_count", "broad0_gap_median", "family_index"], named)) + "]"
+    return f"""SELECT f AS feature, bin, gl * gl / (hl + {l2}) + (g - gl) ^ 2 / (h - hl + {l2}) - g * g / (h + {l2}) AS gain, g, h, n, gl, hl, nl FROM
+      (SELECT f, bin, sum(g) OVER u / 1048576 AS gl, sum(h) OVER u / 1048576 AS hl, (sum(n) OVER u)::BIGINT AS nl, sum(g) OVER w / 1048576 AS g, sum(h) OVER w / 1048576 AS h, (sum(n) OVER w)::BIGINT AS n FROM
+        (SELECT f, bin, sum(round(g * 1048576)) AS g, sum(round(h * 1048576)) AS h, count(*) AS n FROM
+          (SELECT e.client_id, e.i, e.f, CASE WHEN any_value(v) IS NULL THEN 0 ELSE 1 + count(c) END::BIGINT AS bin FROM (SELECT client_id, family_index AS i, unnest({features}, recursive := true) FROM mat) e
+            LEFT JOIN (SELECT DISTINCT f, v AS c FROM (SELECT f, v, row_number() OVER (PARTITION BY f ORDER BY v) - 1 AS r, count(*) OVER (PARTITION BY f) AS n FROM (SELECT unnest({features}, recursive := true) FROM mat) WHERE v IS NOT NULL)
+              JOIN range(1, 16) k ON r = floor(k.range * n / 16)) c ON c.f = e.f AND c.c < e.v GROUP BY ALL)
+          JOIN ({gradients}) USING (client_id, i) GROUP BY ALL)
+        WINDOW u AS (PARTITION BY f ORDER BY bin), w AS (PARTITION BY f)) WHERE {enough}"""
+
+
+_LISTS = f"SELECT client_id, family_index AS i, (family = label)::INT AS y FROM cand JOIN ({WEAK}) USING (client_id)"
+# no scores yet: a member's place is its rank, both ends of a pair are equally likely
+_LAMBDAS = f"""SELECT client_id, i, sum(g) * k AS g, sum(h) * k AS h FROM (SELECT client_id, unnest([{{'i': a, 'g': -w / 2, 'h': w / 4}}, {{'i': b, 'g': w / 2, 'h': w / 4}}], recursive := true) FROM
+      (SELECT x.client_id, x.i AS a, z.i AS b, abs(1 / log2(2 + x.i) - 1 / log2(2 + z.i)) AS w FROM ({_LISTS}) x JOIN ({_LISTS}) z ON x.client_id = z.client_id AND x.y > z.y))
+    JOIN (SELECT client_id, log2(1 + sum(w)) / sum(w) AS k FROM (SELECT x.client_id, abs(1 / log2(2 + x.i) - 1 / log2(2 + z.i)) AS w FROM ({_LISTS}) x JOIN ({_LISTS}) z ON x.client_id = z.client_id AND x.y > z.y) GROUP BY 1) USING (client_id)
+    GROUP BY client_id, i, k"""
+
+
+def mixed(x: str) -> str:
+    """The finalizer of SplitMix64 on a number below 2**64, as HUGEINT halves."""
+    times = lambda a, c: f"((({a}) & 4294967295)::HUGEINT * {c}::HUGEINT + (((({a}) >> 32)::HUGEINT * {c}::HUGEINT) & 4294967295::HUGEINT) * 4294967296::HUGEINT) & 18446744073709551615::HUGEINT"
+    one = f"list_transform([{x}], lambda q: {times('xor(q, q >> 30)', 13787848793156543929)})"
+    two = f"list_transform({one}, lambda q: {times('xor(q, q >> 27)', 10723151780598845931)})"
+    return f"list_transform({two}, lambda q: xor(q, q >> 31))[1]"
+
+
+# the first round: its salt is 0; partners are the members of other labels in label order
+_PAIRS = f"""SELECT client_id, i, sum(g) AS g, sum(h) AS h FROM (SELECT client_id, unnest([{{'i': a, 'g': s / 8, 'h': 0.125}}, {{'i': b, 'g': -s / 8, 'h': 0.125}}], recursive := true) FROM
+      (SELECT client_id, a, CASE y WHEN 1 THEN -1 ELSE 1 END AS s, others[({mixed('base + a * 4 + k + 1')} % len(others) + 1)::INT] AS b FROM
+        (SELECT x.client_id, x.i AS a, x.y, list(z.i ORDER BY z.i) FILTER (WHERE z.y <> x.y) AS others, {mixed("('0x' || substr(md5(x.client_id), 1, 15))::HUGEINT")} AS base FROM ({_LISTS}) x JOIN ({_LISTS}) z USING (client_id) GROUP BY ALL),
+        (SELECT range AS k FROM range(4)) WHERE others IS NOT NULL)) GROUP BY client_id, i"""
+_TRIALS = "SELECT (2 * k + s)::INT AS trial, list_transform(range(8), lambda j: (CASE WHEN j = k THEN d ELSE 0 END) - d / 8) AS bias FROM (SELECT range AS k FROM range(8)), (VALUES (0, -0.2::DOUBLE), (1, 0.2::DOUBLE)) AS v(s, d)"
+_SETS = " UNION ALL ".join(f"SELECT {k} AS part, client_id, list(ln(greatest(round(p, 6), 1e-12)) ORDER BY family_index) AS l FROM ({BODIES[n]}) GROUP BY client_id" for k, n in enumerate(("ensemble", "raw_ensemble")))
+BODIES |= {
+    "listwise_round": first_gains(_LAMBDAS, "least(nl, n - nl) >= 5 AND least(hl, h - hl) >= 0.001"),
+    "pairwise_round": first_gains(_PAIRS, "least(nl, n - nl) >= 1 AND least(hl, h - hl) >= 10"),
+    "target_encoding": f"""SELECT doc_id, (coalesce(sum((quality = 0)::INT) OVER b, 0) + 0.5) / (coalesce(count(*) OVER b, 0) + 1) AS lang_ts_0, (coalesce(sum((quality = 1)::INT) OVER b, 0) + 0.5) / (coalesce(count(*) OVER b, 0) + 1) AS lang_ts_1
+        FROM labels JOIN documents USING (doc_id) WINDOW b AS (PARTITION BY lang ORDER BY {drawn('doc_id', 42)}, doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)""",
+    "bias_trials": f"""SELECT trial::BIGINT AS trial, avg(m) AS score FROM (SELECT trial, part, sum(f) / 8 AS m FROM (SELECT trial, part, label, 2.0 * sum((y = guess)::INT) FILTER (WHERE side = 0) / count(*) AS f FROM
+        (SELECT trial, part, y, guess, unnest([y, guess]) AS label, unnest([0, 1]) AS side FROM (SELECT trial, part, list_position([{texts(LABELS)}], {label_at(3)}) - 1 AS y,
+          list_transform([list_transform(range(1, 9), lambda j: l[j] + bias[j])], lambda s: list_position(s, list_max(s)) - 1)[1] AS guess FROM ({_SETS}), ({_TRIALS}))) GROUP BY ALL) GROUP BY ALL) GROUP BY trial""",
+    "template_canonical": BODIES_TC,
+    "invariance_rename": """SELECT client_id, '' AS "column" FROM ids WHERE false""",
+    "invariance_shuffle": """SELECT client_id, family, scope, "window", '' AS "column" FROM ro WHERE false""",
+    "invariance_poison": f"""SELECT client_id, unnest(list_filter(['largest', CASE WHEN count(*) <> count(*) FILTER (WHERE fee > 0) THEN 'fees' END], lambda x: x IS NOT NULL)) AS "column" FROM led WHERE {NUMBER} % 10 = 3 GROUP BY client_id""",
+    "stream_stats_rest": f"""SELECT {GAP_KEYS}, min(amount) AS amount_min, max(amount) AS amount_max, max(ms) AS mcc_top_fraction, stddev_pop(day(timestamp)) AS dom_std, stddev_pop(isodow(timestamp)) AS dow_std,
+        CASE WHEN count(*) >= 2 THEN max(t) + avg(gap) END AS next_mean, CASE WHEN count(*) >= 2 THEN max(t) + arg_max(gap, i) END AS next_last, CASE WHEN count(*) >= 2 THEN -max(t) / greatest(median(gap), 1) END AS overdue_ratio, """
+    + ", ".join(f"avg(regexp_matches(txt, '{PATTERNS[f]}')::INT) AS semantic_{f}, avg((mcc = '{MCC[f]}')::INT) AS mcc_{f}, count(DISTINCT txt) FILTER (WHERE txt IN ({texts(TEMPLATES[f])})) AS template_{f}_diversity, count(*) FILTER (WHERE txt IN ({texts(TEMPLATES[f])})) AS template_{f}_count" for f in FAMILIES)
+    + f" FROM (SELECT *, count(*) OVER (PARTITION BY {GAP_KEYS}, mcc) / count(*) OVER (PARTITION BY {GAP_KEYS}) AS ms FROM m1) GROUP BY {GAP_KEYS}",
+}
 ORACLE_SQL = {k: sql(v) for k, v in BODIES.items()}
 # its own WITH clause follows the shared expressions
 _HEAD = sql("SELECT 1 FROM quiet").rsplit("\n", 1)[0]

@@ -1,7 +1,7 @@
-"""Learners on Spark ML: pointwise boosted trees and linear text models.
+"""Recipes, text and tabular models, validation and decision biases.
 
-The pairwise and listwise boosters of other libraries are not available; their
-scores are not reproduced.  Features, decision algebra and metrics are.
+Rankers are those of :mod:`.boosting`; pointwise trees and linear models come
+from Spark ML.
 """
 
 from __future__ import annotations
@@ -13,10 +13,13 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import LABELS
+from ..functions.numeric import softmax
 from ..functions.text import letters, ngrams, tokens
 from ..operators import families, scoring
 from ..operators.audit import stratified_folds
 from ..sources.ledger import digest, exists
+from ..sources.stored import written
+from . import boosting
 
 
 @dataclass(frozen=True)
@@ -65,51 +68,91 @@ def recipe_columns(x: DataFrame, recipe: Recipe) -> DataFrame:
     return x.drop(*drop)
 
 
+def labelled(x: DataFrame, target: DataFrame) -> DataFrame:
+    """Candidate rows with ``label``, 1 for the client's own family, and their place among the eight."""
+    told = x.join(target, "client_id").withColumn("label", (F.col("family") == F.col("truth")).cast("double"))
+    return in_label_order(told.drop("truth")).na.fill(-999)
+
+
+def in_label_order(x: DataFrame) -> DataFrame:
+    place = F.create_map(*[v for k, f in enumerate(LABELS) for v in (F.lit(f), F.lit(k))])
+    return x.withColumn("family_index", F.element_at(place, F.col("family")))
+
+
+def stacked(views: list[DataFrame]) -> DataFrame:
+    """The views of the same clients below each other; a client of a view is a list of its own."""
+    named = [v.withColumn("view", F.lit(k)) for k, v in enumerate(views)]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named).na.fill(-999)
+
+
+def fit_list(views: list[DataFrame], settings: boosting.Boosting) -> boosting.Model:
+    """A ranker of labelled candidate matrices."""
+    rows = stacked(views)
+    return boosting.fit(rows, feature_columns(rows), "label", ["client_id", "view"], "family_index", settings)
+
+
+def candidate_scores(model: boosting.Model, x: DataFrame) -> DataFrame:
+    """``(client_id, family, family_index, score)``; features that are missing count as -999."""
+    known = in_label_order(x).na.fill(-999)
+    absent = {c: F.lit(-999.0) for c in model.features if c not in known.columns}
+    made = boosting.predict(model, known.withColumns(absent), ["client_id", "family", "family_index"])
+    return made.select("client_id", "family", "family_index", F.get("scores", F.lit(0)).alias("score"))
+
+
+def fit_none(views: list[DataFrame], target: DataFrame, settings: boosting.Boosting) -> boosting.Model:
+    """The detector of clients without a next payment, on aggregates over a client's candidates."""
+    told = target.select("client_id", (F.col("truth") == "none").cast("double").alias("label"))
+    rows = stacked([families.none_aggregates(v.drop("label")).join(told, "client_id") for v in views]).withColumn("place", F.lit(0))
+    columns = [c for c in feature_columns(rows) if c != "place"]
+    return boosting.fit(rows, columns, "label", ["client_id", "view"], "place", replace(settings, objective="logistic"))
+
+
+def none_scores(model: boosting.Model, x: DataFrame) -> DataFrame:
+    """``(client_id, p_none)``."""
+    wide = families.none_aggregates(in_label_order(x).na.fill(-999)).na.fill(-999)
+    absent = {c: F.lit(-999.0) for c in model.features if c not in wide.columns}
+    made = boosting.predict(model, wide.withColumns(absent), ["client_id"])
+    return made.select("client_id", (1 / (1 + F.exp(-F.get("scores", F.lit(0))))).alias("p_none"))
+
+
 def run_recipe(
-    recipe: Recipe, train: list[DataFrame], target: DataFrame, test: DataFrame, legacy: tuple[DataFrame, DataFrame] | None = None, iterations: int = 20
+    recipe: Recipe,
+    train: list[DataFrame],
+    target: DataFrame,
+    test: DataFrame,
+    legacy: tuple[dict[str, list[DataFrame]], dict[str, DataFrame]] | None = None,
+    rounds: int | None = None,
+    **settings,
 ) -> DataFrame:
     """Probabilities ``(client_id, family, family_index, p)`` of a recipe for ``test``.
 
     ``train`` holds the matrices of the original view and of its corrupted
-    copies, ``target`` (client_id, truth) the labels, ``legacy`` the ranking
-    matrices to train on and to score.  Boosted trees stand for the rankers;
-    their depth is that of a balanced tree with the recipe's leaves.
+    copies, ``target`` (client_id, truth) the labels.  Per seed a listwise
+    ranker and a detector of none are fitted.  ``legacy`` holds the ranking
+    matrices to train on and to score by assignment (``hard``, ``soft``): two
+    listwise experts and, on the soft one, a pairwise one, whose probabilities
+    are averaged.  ``rounds`` replaces the boosters' own numbers of rounds,
+    ``settings`` other fields of all of them.
     """
+    tuned = lambda s, **more: replace(s, **({"rounds": rounds} if rounds else {}) | more | settings)
     views = [recipe_columns(x, recipe) for x in (train if recipe.augment else train[:1])]
-    depth = max(2, (recipe.leaves + 1).bit_length() - 1)
-    edge = lambda x: x.na.fill(-999)
-    told = lambda x: edge(x.join(target, "client_id").withColumn("label", (F.col("family") == F.col("truth")).cast("double")).drop("truth"))
-    rows = None
-    for k, v in enumerate(views):
-        v = told(v).withColumn("view", F.lit(k)).withColumn("weight", F.lit(1.0 / len(views)))
-        rows = v if rows is None else rows.unionByName(v, allowMissingColumns=True)
-    scored = edge(recipe_columns(test, recipe))
-    key = ["client_id", "family", "family_index"]
+    lists = [labelled(v, target) for v in views]
+    scored = recipe_columns(test, recipe)
     parts = lambda make: reduce(DataFrame.unionByName, [make(s).withColumn("seed", F.lit(s)) for s in recipe.seeds])
-    place = F.create_map(*[x for k, f in enumerate(LABELS) for x in (F.lit(f), F.lit(k))])
-    indexed = lambda x: x.withColumn("family_index", F.element_at(place, F.col("family")))
-    main = parts(lambda s: indexed(rank_scores(fit_ranker(rows, seed=s, iterations=iterations, depth=depth), scored)).select(*key, "score"))
+    main = parts(lambda s: candidate_scores(fit_list(lists, tuned(boosting.LISTWISE, seed=s, leaves=recipe.leaves)), scored))
     none = None
     if recipe.none_detector:
-        wide = lambda x: edge(families.none_aggregates(x.drop("label", "view", "weight")))
-        fit_on = reduce(
-            lambda a, b: a.unionByName(b, allowMissingColumns=True), [wide(v).join(target, "client_id").withColumn("label", (F.col("truth") == "none").cast("double")).drop("truth") for v in views]
-        )
-        none = parts(lambda s: none_probability(fit_ranker(edge(fit_on), seed=s, iterations=iterations, depth=depth), wide(scored)))
+        none = parts(lambda s: none_scores(fit_none(lists, target, tuned(boosting.LISTWISE, seed=s, leaves=recipe.leaves)), scored))
     old, prior_ = None, None
     if recipe.legacy_weight and legacy is not None:
-        old = indexed(rank_scores(fit_ranker(told(legacy[0]), iterations=iterations, depth=depth), edge(legacy[1]))).select(*key, "score").withColumn("seed", F.lit(0))
+        experts = [("hard", boosting.LEGACY), ("soft", boosting.LEGACY), ("soft", boosting.PAIRWISE)]
+        fitted = [(fit_list([labelled(v, target) for v in legacy[0][source]], tuned(s)), legacy[1][source]) for source, s in experts]
+        old = reduce(DataFrame.unionByName, [candidate_scores(m, x).withColumn("seed", F.lit(k)) for k, (m, x) in enumerate(fitted)])
     if recipe.prior_bias:
         prior_ = scoring.prior(target, target.sparkSession.createDataFrame([(x,) for x in LABELS], "label string"))
     return scoring.combine(main, none, recipe.temperature, old, recipe.legacy_weight, prior_, recipe.prior_bias, raw=recipe.postprocess == "raw_logits")
 
 
-def none_probability(model, x: DataFrame) -> DataFrame:
-    from pyspark.ml.functions import vector_to_array
-
-    return model.transform(x).select("client_id", F.get(vector_to_array("probability"), F.lit(1)).alias("p_none"))
-
-
 def save_model(model, path: str) -> None:
     """A fitted pipeline below ``path``; an existing one is refused."""
     model.save(path)
@@ -274,26 +317,69 @@ def drift_scores(a: DataFrame, b: DataFrame, columns: list[str], folds: int = 5,
     return cross_validate(x, placed, lambda d: fit_ranker(d, iterations=iterations, depth=3, seed=seed), score)
 
 
-def search_bias(confusable: list[tuple[list[float], int]], steps=(0.2, 0.1, 0.05), sweeps: int = 3, cap: float = 1.0) -> list[float]:
-    """Coordinate search of per-class log biases that raise macro-F1 on a small table."""
-    import numpy as np
+def log_probabilities(sets: list[DataFrame], truth: DataFrame) -> DataFrame:
+    """``(part, client_id, y, logp)``: the logs of a client's probabilities in label order.
+
+    ``sets`` hold long rows ``(client_id, family_index, p)``, ``truth`` the label of each client.
+    """
+    place = F.create_map(*[x for k, f in enumerate(LABELS) for x in (F.lit(f), F.lit(k))])
+    told = truth.select("client_id", F.element_at(place, F.col("truth")).alias("y"))
+    logs = lambda p: p.groupBy("client_id").agg(F.sort_array(F.collect_list(F.struct("family_index", F.ln(F.greatest("p", F.lit(1e-12))).alias("l")))).alias("m"))
+    parts = [logs(p).select(F.lit(k).alias("part"), "client_id", F.col("m.l").alias("logp")) for k, p in enumerate(sets)]
+    return reduce(DataFrame.unionByName, parts).join(told, "client_id")
 
-    p = np.log(np.maximum(np.array([x for x, _ in confusable]), 1e-12))
-    y = np.array([k for _, k in confusable])
 
-    def macro(b):
-        guess = np.argmax(p + b, axis=1)
-        hits = [((guess == k) & (y == k)).sum() for k in range(len(LABELS))]
-        sizes = [(guess == k).sum() + (y == k).sum() for k in range(len(LABELS))]
-        return sum(2 * h / s if s else 0.0 for h, s in zip(hits, sizes)) / len(LABELS)
+def bias_scores(logs: DataFrame, trials: list[list[float]]) -> DataFrame:
+    """``(trial, score)``: macro-F1 of the biased decisions, averaged over the probability sets.
 
-    bias, best = np.zeros(p.shape[1]), macro(np.zeros(p.shape[1]))
+    All trials are scored in one aggregation of counts per (trial, set, truth,
+    decision); of equal probabilities the first label is taken.
+    """
+    each = F.explode(F.array(*[F.struct(F.lit(k).alias("trial"), F.array(*map(F.lit, b)).alias("bias")) for k, b in enumerate(trials)])).alias("t")
+    s = F.zip_with("logp", "t.bias", lambda a, b: a + b)
+    said = logs.select("part", "y", each, "logp").select("part", "y", "t.trial", s.alias("s")).withColumn("guess", F.array_position("s", F.array_max("s")).cast("int") - 1)
+    counts = said.groupBy("trial", "part", "y", "guess").agg(F.count("*").alias("n"))
+    sides = F.explode(F.array(F.col("y"), F.col("guess"))).alias("label")
+    f1 = counts.select("trial", "part", sides, "n", F.when(F.col("y") == F.col("guess"), F.col("n")).otherwise(0).alias("hit")).groupBy("trial", "part", "label").agg((F.sum("hit") / F.sum("n")).alias("f1"))
+    # a hit is counted on both sides: its sum is twice the hits, as F1 asks for
+    macro = f1.groupBy("trial", "part").agg((F.sum("f1") / len(LABELS)).alias("score"))
+    return macro.groupBy("trial").agg(F.avg("score").alias("score"))
+
+
+def centred(bias: list[float], k: int, delta: float) -> list[float]:
+    """``bias`` with ``delta`` added to one entry, moved to mean zero."""
+    moved = [b + delta * (i == k) for i, b in enumerate(bias)]
+    return [b - sum(moved) / len(moved) for b in moved]
+
+
+def search_bias(logs: DataFrame, steps: tuple[float, ...] = (0.2, 0.1, 0.05), sweeps: int = 3, cap: float = 1.0) -> tuple[list[float], list[dict]]:
+    """Biases per label that raise macro-F1 on :func:`log_probabilities`, and the history.
+
+    Coordinate search: at each label both signs of the step start from the same
+    biases, are centred, and are left out beyond ``cap``; the better one is
+    taken if it gains more than 1e-9.  Sweeps of a step stop when none gains.
+    Both signs are one job over the stored logs; the driver sees their scores.
+    """
+    logs = written(logs, "logs")
+    score = lambda trials: {r["trial"]: r["score"] for r in bias_scores(logs, trials).collect()}
+    bias = [0.0] * len(LABELS)
+    now = score([bias])[0]
+    history = [{"step": "initial", "score": now, "bias": bias}]
     for step in steps:
         for _ in range(sweeps):
+            improved = False
             for k in range(len(bias)):
-                for d in (-step, step):
-                    trial = bias.copy()
-                    trial[k] = np.clip(trial[k] + d, -cap, cap)
-                    if (s := macro(trial)) > best:
-                        bias, best = trial, s
-    return bias.tolist()
+                trials = [t for t in (centred(bias, k, d) for d in (-step, step)) if max(map(abs, t)) <= cap]
+                for trial, found in sorted(score(trials).items()) if trials else ():
+                    if found > now + 1e-9:
+                        now, bias, improved = found, trials[trial], True
+            history.append({"step": step, "score": now, "bias": bias})
+            if not improved:
+                break
+    return bias, history
+
+
+def apply_bias(p: DataFrame, bias: list[float]) -> DataFrame:
+    """Probabilities ``(client_id, family, family_index, p)`` with a bias on their logs."""
+    shift = F.get(F.array(*map(F.lit, bias)), F.col("family_index"))
+    return p.withColumn("p", softmax(F.ln(F.greatest("p", F.lit(1e-12))) + shift, Window.partitionBy("client_id")))

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from .constants import FAMILIES, LABELS, PATTERNS, PERIODS, TEST_CUTOFF, TEST_WINDOWS
 from .functions import numeric, text
-from .operators import audit, clients, families, noise, scoring, streams
-from .plans import features, learning
+from .operators import audit, clients, families, invariance, noise, ordered, scoring, streams
+from .plans import boosting, features, learning
 from .sources import ledger as src
+from .sources.stored import written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Names of statistics of a stream.
@@ -525,11 +526,102 @@ def bootstrap_ci(spark, d):
     return out(scoring.intervals(scoring.bootstrap(x, 2000, 20260925, ["0", "1", "2"], "rival")))
 
 
+RANK_FEATURES = ["stream_count", "broad0_count", "broad0_gap_median", "family_index"]
+
+
+def ranking_rows(spark, d):
+    """Candidates with the weak label of their client."""
+    labels = weak_labels(spark, d)
+    return family_matrix(spark, d).join(labels, "client_id").withColumn("label", (F.col("family") == F.col("label")).cast("double"))
+
+
+def _first_gains(spark, d, settings):
+    x = written(ranking_rows(spark, d).select("client_id", "label", *RANK_FEATURES), "candidates")
+    cuts = boosting.fit_cuts(x, RANK_FEATURES, settings.bins)
+    rows = boosting.unscored(boosting.training_rows(x, RANK_FEATURES, cuts, "label", ["client_id"], "family_index"), settings)
+    gains = boosting.split_gains(boosting.histogram(rows, settings, len(RANK_FEATURES), {}, [1], [], 0), settings)
+    return out(gains.withColumn("feature", F.element_at(F.array(*map(F.lit, RANK_FEATURES)), (F.col("feature") + 1).cast("int"))), *"feature bin gain g h n gl hl nl".split())
+
+
+@query
+def listwise_round(spark, d):
+    """All splits of the first listwise tree's root: bins, lambdas, gains."""
+    return _first_gains(spark, d, boosting.Boosting(bins=16, min_rows=5))
+
+
+@query
+def pairwise_round(spark, d):
+    """All splits of the first pairwise tree's root."""
+    return _first_gains(spark, d, boosting.Boosting("pairwise", bins=16, min_rows=1, min_hessian=10.0))
+
+
 @query
 def gbt_ranker(spark, d):
-    x = family_matrix(spark, d).withColumn("label", F.col("is_none").cast("double")).drop("is_none", "family_index").na.fill(-999)
-    model = learning.fit_ranker(x, iterations=3, depth=2)
-    return learning.rank_scores(model, x)
+    x = ranking_rows(spark, d).drop("is_none").na.fill(-999)
+    settings = boosting.Boosting(rounds=5, min_rows=20, learning_rate=0.2)
+    model = boosting.fit(x, [c for c in learning.feature_columns(x)], "label", ["client_id"], "family_index", settings)
+    return learning.candidate_scores(model, x)
+
+
+@query
+def target_encoding(spark, d):
+    x = tab(spark, d, "labels").join(tab(spark, d, "documents").select("doc_id", "lang", "n_chars"), "doc_id")
+    made = boosting.target_statistics(x.select("doc_id", "lang", "quality"), "lang", "quality", 2, ["doc_id"], seed=42, rows=100)
+    return made.select("doc_id", "lang_ts_0", "lang_ts_1")  # exact fractions: rounding would part ties
+
+
+@query
+def symmetric_scores(spark, d):
+    """Quality of documents by symmetric trees, scored by an expression."""
+    x = tab(spark, d, "labels").join(tab(spark, d, "documents").select("doc_id", "lang", "source", "n_chars"), "doc_id").withColumn("place", F.lit(0))
+    for c in ("lang", "source"):
+        x = boosting.target_statistics(x, c, "quality", 2, ["doc_id"])
+    columns = ["n_chars", *[f"{c}_ts_{k}" for c in ("lang", "source") for k in (0, 1)]]
+    settings = learning.replace(boosting.SYMMETRIC, rounds=5, classes=2, learning_rate=0.3)
+    model = boosting.fit(x, columns, "quality", ["doc_id"], "place", settings)
+    s = boosting.symmetric_scores(model)
+    return out(x.select("doc_id", "quality", F.get(s, F.lit(0)).alias("score_0"), F.get(s, F.lit(1)).alias("score_1")))
+
+
+@query
+def bias_trials(spark, d):
+    """Macro-F1 of every first step of the bias search, over two probability sets."""
+    p = QUERIES["ensemble"](spark, d)
+    rival = QUERIES["raw_ensemble"](spark, d)
+    truth = ids(led(spark, d)).withColumn("truth", label_of(3))
+    trials = [learning.centred([0.0] * len(LABELS), k, step) for k in range(len(LABELS)) for step in (-0.2, 0.2)]
+    return out(learning.bias_scores(learning.log_probabilities([p, rival], truth), trials))
+
+
+def _client_statistics(ledger):
+    """What the invariance queries watch: exact numbers, so that no order of sums shows."""
+    return ledger.groupBy("client_id").agg(
+        F.count("*").alias("n"), F.max("amount").alias("largest"), F.min("t").alias("first"), F.count_distinct("mcc").alias("codes"), F.sum((F.col("fee") > 0).cast("long")).alias("fees")
+    )
+
+
+@query
+def invariance_rename(spark, d):
+    """Other names and another order of rows change nothing."""
+    x = led(spark, d).select("client_id", "amount", "t", "mcc", "fee")
+    return invariance.changes(_client_statistics(x), invariance.renamed_back(_client_statistics, x, "client_id"), ["client_id"])
+
+
+@query
+def invariance_shuffle(spark, d):
+    """Features of candidates from shuffled rows, against those from rows as they are."""
+    x = led(spark, d)
+    make = lambda rows: out(families.template_rollups(families.template_counts(rows, (999, 14))))
+    return invariance.changes(make(x), make(x.repartition(7, F.md5(F.col("tx_id").cast("string")))), ["client_id", "family", "scope", "window"])
+
+
+@query
+def invariance_poison(spark, d):
+    """Poisoned rows of some clients change these clients' statistics and no other's."""
+    x = led(spark, d).select("client_id", "amount", "t", "mcc", "fee")
+    hit = number() % 10 == 3
+    poisoned = x.withColumn("amount", F.when(hit, F.col("amount") * 2).otherwise(F.col("amount"))).withColumn("fee", F.when(hit, F.lit(1.0)).otherwise(F.col("fee")))
+    return invariance.changes(_client_statistics(x), _client_statistics(poisoned), ["client_id"])
 
 
 @query
@@ -592,14 +684,21 @@ def first_rows(spark, d):
 
 @query
 def total_order(spark, d):
-    x = audit.numbered(led(spark, d), ["timestamp", "client_id", "amount", "tx_id"], F.date_format("timestamp", "yyyyMMdd"))
+    x = ordered.numbered(led(spark, d), ["timestamp", "client_id", "amount", "tx_id"], rows=2000)
     return out(x.select("tx_id", F.col("_n").alias("position")))
 
 
 @query
 def recipe_selection(spark, d):
-    tried = [(n, round(0.6 + (k * 7 % 5) / 100, 2), r.complexity, k) for k, (n, r) in enumerate(learning.catalogue().items())]
-    return out(learning.select_recipe(spark.createDataFrame(tried, "recipe string, score double, complexity int, position int")))
+    """Rules as recipes: their macro-F1 against the weak labels decides, then their place."""
+    labels = weak_labels(spark, d).withColumnRenamed("label", "truth")
+    classes = spark.createDataFrame([(x,) for x in LABELS], "label string")
+    tried = None
+    for k, name in enumerate(("most_frequent", "most_recent", "minimum_next", "regularity")):
+        pairs = QUERIES[f"rule_{name}"](spark, d).join(labels, "client_id")
+        row = scoring.scores(scoring.confusion(pairs, classes)).select(F.lit(name).alias("recipe"), F.round("macro_f1", 9).alias("score"), F.lit(1 + k % 2).alias("complexity"), F.lit(k).alias("position"))
+        tried = row if tried is None else tried.unionByName(row)
+    return out(learning.select_recipe(tried))
 
 
 @query
@@ -673,11 +772,16 @@ def split_profile(spark, d):
     return out(audit.profile(led(spark, d)))
 
 
+def mean_of_cents(column):
+    """A mean at four places.  Means of few amounts in cents often end in a five
+    behind them; a little on top rounds all of these up everywhere."""
+    return F.round(F.col(column) + 1e-9, 4)
+
+
 @query
 def description_structure(spark, d):
-    # means of few amounts in cents end in a five too often to round alike everywhere
     x = audit.describe(led(spark, d), "amount", ["txt", "mcc", "type", "direction"], (50,))
-    return out(x.withColumn("total", F.round(F.col("n") * F.col("mean"), 2)).drop("mean"))
+    return out(x.withColumn("mean", mean_of_cents("mean")))
 
 
 @query
@@ -723,8 +827,9 @@ def tfidf_characters(spark, d):
 
 @query
 def tabular_blocks(spark, d):
-    columns = ["count", "amount_std", "amount_min", "amount_max", "amount_median", "first_age", "last_age", "span", "unique_mcc", "gap_mean", "gap_max", "period_error_30"]
-    return out(clients.summarize(clients.blocks(led(spark, d)), TEST_WINDOWS, ("client_id", "block")), "client_id", "block", *columns)
+    columns = ["count", "amount_mean", "amount_std", "amount_min", "amount_max", "amount_median", "first_age", "last_age", "span", "unique_mcc", "gap_mean", "gap_max", "period_error_30"]
+    x = clients.summarize(clients.blocks(led(spark, d)), TEST_WINDOWS, ("client_id", "block")).withColumn("amount_mean", mean_of_cents("amount_mean"))
+    return out(x, "client_id", "block", *columns)
 
 
 @query
@@ -798,3 +903,25 @@ def ranking_matrix(spark, d):
 def ranking_competition(spark, d):
     x = features.ranking_features(led(spark, d), TEST_WINDOWS, families.price_profiles(led(spark, d)))
     return out(x, "client_id", "family", *[f"{c}_competition_{k}" for c in RANKING for k in ("min", "max", "mean", "rank", "delta")])
+
+
+@query
+def stream_stats_rest(spark, d):
+    s = found(spark, d)
+    by_family = [f"{k}_{f}" for f in FAMILIES for k in ("semantic", "mcc")] + [f"template_{f}_{k}" for f in FAMILIES for k in ("diversity", "count")]
+    return out(s, *KEY, "amount_min", "amount_max", "mcc_top_fraction", "dom_std", "dow_std", "next_mean", "next_last", "overdue_ratio", *by_family)
+
+
+@query
+def template_canonical(spark, d):
+    return out(families.template_counts(led(spark, d), (999, 14), "canonical"))
+
+
+@query
+def drift_auc(spark, d):
+    """How well candidates' features tell early from late ledgers: out-of-fold AUC per fold."""
+    x = led(spark, d)
+    half = lambda rows: clients.client_globals(rows, TEST_WINDOWS).na.fill(0)
+    a, b = half(x.where("t < -15")), half(x.where("t >= -15"))
+    columns = [c for c, k in a.dtypes if k in ("double", "bigint") and c in ("total_count", "amount_mean", "amount_std")]
+    return out(audit.auc(learning.drift_scores(a, b, columns or [c for c in a.columns if c != "client_id"][:3]), "probability", "label", by=("fold",)))

@@ -53,6 +53,7 @@ def same_rows(spark, duck, sf_dir):
         df = query(spark, sf_dir)
         columns = sorted(df.columns)
         got = plain(map(tuple, df.select(*[f"`{c}`" for c in columns]).collect()))
+        assert columns == sorted(c for c, *_ in duck.execute(f"DESCRIBE {sql}").fetchall())
         names = ", ".join(f'"{c}"' for c in columns)
         assert got == plain(duck.execute(f"SELECT {names} FROM ({sql})").fetchall())
 
