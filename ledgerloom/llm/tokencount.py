@@ -20,6 +20,8 @@ SPACE = "▁"  # how the vocabulary writes a space
 #: so its broadcast stays below 9 MB; so does a summary of a task.
 TABLE_SIZE = 1 << 15
 KEY_CHARS = 64
+#: Summaries that a task merges, beyond the first step.
+FAN_IN = 32
 #: A worker forgets its cached misses beyond this many.
 CACHE_SIZE = 1 << 18
 #: Characters of a text that are split at a time.
@@ -151,8 +153,8 @@ def frequent_table(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", siz
     """The most frequent pre-tokens of all texts and their lengths.
 
     Each task sums up its texts, and summaries of at most ``size`` entries are
-    merged in two steps: no pre-token is shuffled, and the driver gets one
-    summary.  Which pre-tokens it holds decides speed, never counts.
+    merged in a tree, ``FAN_IN`` by ``FAN_IN``: no pre-token is shuffled, and
+    the driver gets one summary.  Which pre-tokens it holds decides speed, never counts.
     """
     spark = session(docs)
 
@@ -167,8 +169,12 @@ def frequent_table(docs: DataFrame, vocabulary: str = "piece_bpe_32k.model", siz
         yield _summary(held, size)
 
     summaries = docs.select(F.col(text_col).alias("text")).mapInArrow(summarise, SUMMARY)
-    merged = summaries.repartition(shuffle_partitions(spark)).mapInArrow(_merge(size), SUMMARY)
-    last = merged.repartition(1).mapInArrow(_merge(size), SUMMARY).first()
+    parts = shuffle_partitions(spark)
+    merged = summaries.repartition(parts).mapInArrow(_merge(size), SUMMARY)
+    while parts > 1:
+        parts = -(-parts // FAN_IN)
+        merged = merged.repartition(parts).mapInArrow(_merge(size), SUMMARY)
+    last = merged.first()
     tokens = [t for t, _ in sorted(zip(last["tokens"], last["counts"]), key=lambda x: (-x[1], x[0]))] if last else []
     return FrequentTable.of(tokens, counter(vocabulary).encoded(tokens) if tokens else [])
 
