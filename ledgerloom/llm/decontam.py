@@ -2,29 +2,27 @@
 
 from __future__ import annotations
 
-import pickle
+import hashlib
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from numpy.lib.stride_tricks import sliding_window_view
-from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import alnum_words, fresh_dir, numbered, session, table, written
+from .common import alnum_words, numbered, session, table, written
 
 WINDOW = 10
 SHINGLE = 3
-#: A block of the benchmark has about this many bytes of text: the index of one
-#: is held by a task at a time.
-BLOCK_BYTES = 4 << 20
-#: Words of a stretch of a long item, which is a row of its own.
+#: The bitmap that tasks look shingles up in before the join has sixteen bits a
+#: shingle and at most this many (32 MB); beyond that more shingles pass it that
+#: the join then drops.
+MAX_BITS = 28
+#: Words of an item that a task holds as windows at a time.
 STRETCH_WORDS = 100_000
-#: Bytes of documents that a task compares with a block before it loads the next.
-HELD_BYTES = 16 << 20
 #: Odd multiplier of the shingle codes.
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -34,196 +32,174 @@ def word_hashes(words: Iterable[bytes]) -> np.ndarray:
 
 
 def shingle_codes(hashes: np.ndarray, s: int) -> np.ndarray:
-    """64-bit codes of the ``s``-word shingles along the last axis."""
-    n = max(hashes.shape[-1] - s + 1, 0)
-    code = np.zeros(hashes.shape[:-1] + (n,), np.uint64)
+    """64-bit codes of the ``s``-word shingles of a sequence, other ones for each ``s``."""
+    n = max(len(hashes) - s + 1, 0)
+    code = np.full(n, s, np.uint64)
     for k in range(s):
-        code = code * MIX + hashes[..., k : k + n]
-    return code
+        code = code * MIX + hashes[k : k + n]
+    return code.view(np.int64)
 
 
-class WindowIndex:
-    """Windows of benchmark items, found by their rarest shingle.
+def benchmark_windows(benchmark: DataFrame, window: int, shingle: int, item_col: str, text_col: str, words: int = STRETCH_WORDS) -> DataFrame:
+    """``(item, n, text, codes)``: the windows of all items with the codes of their shingles.
 
-    A window occurs in a document only if all its shingles do, so looking up
-    one of them, the prefix in order of rarity, loses nothing.  Words are
-    compared by 64-bit hashes first; occurrences are then compared as text.
-    """
-
-    def __init__(self, stretches: Iterable[tuple[str | None, bytes]], window: int = WINDOW, shingle: int = SHINGLE):
-        self.shingle = shingle
-        rows = [(item, alnum_words(text)) for item, text in dict.fromkeys(stretches)]
-        words = [w for _, ws in rows for w in ws]
-        self.names = sorted({item for item, _ in rows if item is not None})
-        number = {item: k for k, item in enumerate(self.names)}
-        self.body = b" ".join(words)
-        self.offset = np.concatenate([[0], np.cumsum([len(w) + 1 for w in words])]).astype(np.int64)
-        hashes, first = word_hashes(words), np.cumsum([0, *(len(ws) for _, ws in rows)])
-        starts: dict[int, list[np.ndarray]] = {}
-        owners: dict[int, list[np.ndarray]] = {}
-        for at, (item, ws) in zip(first, rows):
-            size = min(window, len(ws))
-            if size:
-                starts.setdefault(size, []).append(np.arange(at, at + len(ws) - size + 1))
-                owners.setdefault(size, []).append(np.full(len(ws) - size + 1, number.get(item, -1)))
-        self.windows, self.start, self.items, self.codes, self.prefix = {}, {}, {}, {}, {}
-        for n in starts:
-            start, owner = np.concatenate(starts[n]), np.concatenate(owners[n])
-            raw = np.ascontiguousarray(sliding_window_view(hashes, n)[start]).view(np.dtype((np.void, 8 * n))).ravel()
-            distinct, one, which = np.unique(raw, return_index=True, return_inverse=True)
-            self.windows[n], self.start[n] = distinct.view(np.uint64).reshape(-1, n), start[one]
-            pairs = np.unique(np.stack([which.ravel(), owner], axis=1)[owner >= 0], axis=0)
-            self.items[n] = pairs[:, 1], np.searchsorted(pairs[:, 0], np.arange(len(distinct) + 1))
-        for s in {min(shingle, n) for n in self.windows}:
-            of = [shingle_codes(w, s).ravel() for n, w in self.windows.items() if min(shingle, n) == s]
-            self.codes[s] = np.unique(np.concatenate(of))
-
-    def count(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(shingle size, numbers of benchmark shingles, occurrences)."""
-        for s, known in self.codes.items():
-            code = shingle_codes(hashes, s)
-            k = np.minimum(np.searchsorted(known, code), len(known) - 1)
-            yield s, *np.unique(k[known[k] == code], return_counts=True)
-
-    def order(self, frequency: dict[int, np.ndarray]) -> None:
-        """Choose each window's prefix: its least frequent shingle, first on ties."""
-        for n, w in self.windows.items():
-            s = min(self.shingle, n)
-            code = shingle_codes(w, s)
-            at = np.argmin(frequency[s][np.searchsorted(self.codes[s], code)], axis=1)
-            token = code[np.arange(len(w)), at]
-            by = np.argsort(token, kind="stable")
-            keys, first = np.unique(token[by], return_index=True)
-            self.prefix[n] = (keys, np.append(first, len(by)), by, at)
-
-    def find(self, hashes: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-        """(length, starts, windows) of all occurrences, by word hashes."""
-        for n, (keys, first, by, at) in self.prefix.items():
-            code = shingle_codes(hashes, min(self.shingle, n))
-            k = np.minimum(np.searchsorted(keys, code), len(keys) - 1)
-            place = np.flatnonzero(keys[k] == code)
-            lo, size = first[k[place]], first[k[place] + 1] - first[k[place]]
-            spread = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
-            window = by[np.repeat(lo, size) + spread]
-            start = np.repeat(place, size) - at[window]
-            fits = (start >= 0) & (start + n <= len(hashes))
-            window, start = window[fits], start[fits]
-            same = np.ones(len(start), bool)
-            for q in range(n):
-                same &= hashes[start + q] == self.windows[n][window, q]
-            yield n, start[same], window[same]
-
-    def text(self, n: int, window: int) -> bytes:
-        at = self.start[n][window]
-        return self.body[self.offset[at] : self.offset[at + n] - 1]
-
-    def names_of(self, n: int, window: int) -> Iterator[str]:
-        names, first = self.items[n]
-        return (self.names[k] for k in names[first[window] : first[window + 1]])
-
-
-_HELD: dict[str, WindowIndex] = {}
-
-
-def load(uri: str) -> WindowIndex:
-    """A stored index; a worker process holds the last one it used."""
-    if uri not in _HELD:
-        _HELD.clear()
-        fs, path = pafs.FileSystem.from_uri(uri)
-        with fs.open_input_stream(path) as f:
-            _HELD[uri] = pickle.loads(f.readall())
-    return _HELD[uri]
-
-
-def store(index: WindowIndex, uri: str) -> pa.Table:
-    fs, path = pafs.FileSystem.from_uri(uri)
-    with fs.open_output_stream(path) as f:
-        f.write(pickle.dumps(index))
-    return pa.table({"file": [uri]})
-
-
-def benchmark_stretches(benchmark: DataFrame, window: int, item_col: str, text_col: str, words: int = STRETCH_WORDS) -> DataFrame:
-    """``(item, text)``: the items, long ones in stretches that share ``window - 1`` words.
-
-    So every window lies in one stretch.  Items without a word have none.
+    An item of fewer words than ``window`` is one window; items without a word
+    have none.  Long items are cut into stretches that share ``window - 1``
+    words, so every window is made once.
     """
     rows = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).cast("binary").alias("text"))
+    names = ["item", "n", "text", "codes"]
 
-    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = []
             for item, text in zip(b.column(0).to_pylist(), b.column(1)):
-                ws = alnum_words(text.as_py())
-                got += [(item, b" ".join(ws[k : k + words + window - 1])) for k in range(0, max(len(ws) - window + 1, min(1, len(ws))), words)]
-            yield pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.string()), pa.array([g[1] for g in got], pa.binary())], ["item", "text"])
+                every = alnum_words(text.as_py())
+                for k in range(0, max(len(every) - window + 1, min(1, len(every))), words):
+                    ws = every[k : k + words + window - 1]
+                    n = min(window, len(ws))
+                    codes = shingle_codes(word_hashes(ws), min(shingle, n))
+                    width = n - min(shingle, n) + 1
+                    texts = [b" ".join(ws[i : i + n]).decode() for i in range(len(ws) - n + 1)]
+                    spread = codes[np.arange(len(texts))[:, None] + np.arange(width)]
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, spread.size + 1, width), pa.int32()), pa.array(spread.ravel()))
+                    yield pa.RecordBatch.from_arrays([pa.array([item] * len(texts), pa.string()), pa.array([n] * len(texts), pa.int32()), pa.array(texts), lists], names)
+
+    return rows.mapInArrow(cut, "item string, n int, text string, codes array<bigint>")
 
-    return rows.mapInArrow(split, "item string, text binary")
 
+class CodeFilter:
+    """Bitmap of codes, looked up before the join: three bits a code.
+
+    Its size follows the number of codes up to ``2**MAX_BITS`` bits.  A code
+    that is not among them may pass; the join decides.
+    """
 
-def held(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[pa.RecordBatch], list[bytes], np.ndarray, np.ndarray]]:
-    """Batches of about ``HELD_BYTES`` of text (column 0) together: the texts,
-    all their word hashes, a 0 behind each text, and where each text starts."""
-    kept: list[pa.RecordBatch] = []
+    def __init__(self, codes: DataFrame):
+        count = codes.count()
+        self.bits = int(min(max(count * 16, 1 << 12), 1 << MAX_BITS)).bit_length()
+        self.bits = min(self.bits, MAX_BITS)
+        place = lambda shift: F.shiftrightunsigned("code", shift) if shift else F.col("code")
+        at = F.explode(F.array(*[place(k).bitwiseAND((1 << self.bits) - 1) for k in self.shifts()])).alias("at")
+        word = F.shiftright("at", 6)
+        set_ = codes.select(at).groupBy(word.alias("word")).agg(F.expr("bit_or(shiftleft(1L, CAST(at & 63 AS INT)))").alias("bits"))
+        found = set_.toArrow()
+        self.words = np.zeros(1 << (self.bits - 6), np.int64)
+        self.words[found["word"].to_numpy()] = found["bits"].to_numpy()
+
+    def shifts(self) -> tuple[int, int, int]:
+        """Where in a code its three places in the bitmap begin."""
+        return 0, 18, 64 - self.bits
+
+    def passing(self, codes: np.ndarray) -> np.ndarray:
+        """The places of codes that may be known."""
+        u, keep = codes.view(np.uint64), np.ones(len(codes), bool)
+        for shift in self.shifts():
+            at = ((u >> np.uint64(shift)) & np.uint64((1 << self.bits) - 1)).astype(np.int64)
+            keep &= (self.words[at >> 6].view(np.uint64) >> (at & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
+        return np.flatnonzero(keep)
+
+
+def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[bytes]], np.ndarray, np.ndarray, pa.RecordBatch]]:
+    """Per batch the words of its texts (column 0), the hashes of all and where each text starts."""
     for b in batches:
-        kept.append(b)
-        if sum(x.column(0).nbytes for x in kept) >= HELD_BYTES:
-            yield _hashed(kept)
-            kept = []
-    if kept:
-        yield _hashed(kept)
+        words = [alnum_words(t.as_py()) for t in b.column(0)]
+        yield words, word_hashes(w for ws in words for w in ws), np.cumsum([0, *map(len, words)]), b
 
 
-def _hashed(kept: list[pa.RecordBatch]) -> tuple[list[pa.RecordBatch], list[bytes], np.ndarray, np.ndarray]:
-    texts = [t.as_py() for b in kept for t in b.column(0)]
-    parts = [np.append(word_hashes(alnum_words(t)), np.uint64(0)) for t in texts]
-    first = np.cumsum([0, *map(len, parts)])
-    return kept, texts, np.concatenate(parts) if parts else np.zeros(0, np.uint64), first
+def _inside(codes: np.ndarray, first: np.ndarray, s: int) -> np.ndarray:
+    """Whether the shingle at each place lies in one text."""
+    at = np.arange(len(codes))
+    return first[np.searchsorted(first, at, "right")] >= at + s if len(codes) else np.zeros(0, bool)
+
+
+def shingle_counts(texts: DataFrame, known: CodeFilter, sizes: list[int]) -> DataFrame:
+    """``(code, n)``: occurrences in all texts of the shingles that pass the bitmap."""
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, hashes, first, _ in _hashed(batches):
+            for s in sizes:
+                codes = shingle_codes(hashes, s)
+                at = shared.value.passing(codes)
+                code, n = np.unique(codes[at[_inside(codes, first, s)[at]]], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(code), pa.array(n)], ["code", "n"])
+
+    return texts.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
 
 
-def build_indexes(docs: DataFrame, benchmark: DataFrame, window: int, block_bytes: int, text_col: str, item_col: str, item_text_col: str) -> list[str]:
-    """Files with the indexes of the benchmark's blocks, prefixes ordered by rarity.
+def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
+    """``(code, at, n, window)``: each window's rarest shingle, the first on ties, and its place.
 
-    Each block is built and ordered in a task of its own.  Its shingles are
-    counted over all documents, in one pass for all blocks.  The driver holds
-    the files' names only.
+    A window occurs only where all its shingles do, so its prefix in the order
+    of rarity needs one token.
     """
-    folder = fresh_dir(docs.sparkSession, "benchmark")
-    stretches = written(benchmark_stretches(benchmark, window, item_col, item_text_col), "stretches")
-    total = stretches.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    block = F.pmod(F.xxhash64("item", "text"), F.lit(-(-total // block_bytes) or 1))
+    each = windows.select("text", "n", F.posexplode("codes").alias("at", "code"))
+    rarity = F.struct(F.coalesce("times", F.lit(0)).alias("times"), "at")
+    counted = each.join(counts.select("code", F.col("n").alias("times")), "code", "left")
+    best = counted.groupBy("text").agg(F.min_by(F.struct("code", "at", "n"), rarity).alias("p"))
+    return best.select("p.code", "p.at", "p.n", F.col("text").alias("window"))
 
-    def build(key: tuple, group: pa.Table) -> pa.Table:
-        index = WindowIndex(zip(group.column("item").to_pylist(), group.column("text").to_pylist()), window)
-        return store(index, f"{folder}/{key[0].as_py()}.built")
 
-    built = written(stretches.select("item", "text", block.alias("block")).groupBy("block").applyInArrow(build, "file string"), "built")
-    files = sorted(r[0] for r in built.collect())
+def prefix_places(texts: DataFrame, known: CodeFilter, sizes: list[int], window: int) -> DataFrame:
+    """``(digest, code, place, before, context)``: where prefixes may stand in texts.
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, _, hashes, _ in held(batches):
-            for file in files:
-                for s, k, n in load(file).count(hashes):
-                    yield pa.RecordBatch.from_arrays([pa.array([file] * len(k), pa.string()), pa.array(np.full(len(k), s)), pa.array(k), pa.array(n)], ["file", "s", "k", "n"])
+    ``context`` has the words that windows over the place can reach, ``before``
+    the number of those in front of it.  Texts go by their digest: what is
+    found depends on the text alone, so equal texts share it.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast(known)
+    names = ["digest", "code", "place", "before", "context"]
 
-    counts = docs.select(F.col(text_col).cast("binary").alias("text")).mapInArrow(count, "file string, s long, k long, n long")
-    none = built.select("file", F.lit(0).cast("long").alias("s"), F.lit(0).cast("long").alias("k"), F.lit(0).cast("long").alias("n"))
-    counts = counts.unionByName(none).groupBy("file", "s", "k").agg(F.sum("n").alias("n"))
+    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for words, hashes, first, b in _hashed(batches):
+            digests: dict[int, bytes] = {}
+            for s in sizes:
+                codes = shingle_codes(hashes, s)
+                at = shared.value.passing(codes)
+                at = at[_inside(codes, first, s)[at]]
+                doc = np.searchsorted(first, at, "right") - 1
+                made: list[tuple] = []
+                for d, p, code in zip(doc.tolist(), (at - first[doc]).tolist(), codes[at].tolist()):
+                    if d not in digests:
+                        digests[d] = text_digest(b.column(0)[d].as_py())
+                    before = min(p, window - 1)
+                    made.append((digests[d], code, p, before, b" ".join(words[d][p - before : p + window]).decode()))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * 5, kinds)], names)
+
+    return texts.mapInArrow(find, "digest binary, code long, place long, before int, context string")
+
+
+def text_digest(text: bytes | None) -> bytes:
+    return hashlib.blake2b(text or b"", digest_size=16).digest()
+
+
+def occurrences(places: DataFrame, prefix: DataFrame) -> DataFrame:
+    """``(digest, start, end, window)``: occurrences of windows, compared word by word.
+
+    A hash join on the prefix; the positions bound where a window may begin
+    and end, and its words are compared as text.  A hot prefix is split by the
+    adaptive skew join, for the side of the windows is small at any code.
+    """
+    words = F.split("context", " ")
+    near = places.join(prefix, "code").where((F.col("at") <= F.col("before")) & (F.col("before") - F.col("at") + F.col("n") <= F.size(words)))
+    same = near.where(F.array_join(F.slice(words, F.col("before") - F.col("at") + 1, F.col("n")), " ") == F.col("window"))
+    return same.select("digest", (F.col("place") - F.col("at")).alias("start"), (F.col("place") - F.col("at") + F.col("n")).alias("end"), "window").distinct()
 
-    def order(key: tuple, group: pa.Table) -> pa.Table:
-        index = load(key[0].as_py())
-        frequency = {s: np.zeros(len(c), np.int64) for s, c in index.codes.items()}
-        s, k, n = (group.column(c).to_numpy() for c in ("s", "k", "n"))
-        for size in frequency:
-            frequency[size][k[s == size]] = n[s == size]
-        index.order(frequency)
-        return store(index, key[0].as_py().removesuffix(".built") + ".ordered")
 
-    ordered = written(counts.groupBy("file").applyInArrow(order, "file string"), "ordered")
-    return sorted(r[0] for r in ordered.collect())
+def merged_spans(found: DataFrame) -> DataFrame:
+    """``(digest, spans)``: the ranges of words that occurrences cover, those that touch merged."""
+    order = Window.partitionBy("digest").orderBy("start", "end")
+    upto = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = (F.coalesce(F.col("start") > upto, F.lit(True))).cast("int")
+    ranges = found.select("digest", "start", "end").distinct().withColumn("fresh", fresh)
+    parts = ranges.withColumn("part", F.sum("fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    spans = parts.groupBy("digest", "part").agg(F.min("start").alias("start"), F.max("end").alias("end"))
+    return spans.groupBy("digest").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, block_bytes: int = BLOCK_BYTES,
+    docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shingle: int = SHINGLE,
     id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", keep: list[str] | None = None,
 ) -> DataFrame:
     """``(id, n_words, spans, items)`` per row of ``docs``.
@@ -236,59 +212,43 @@ def find_contamination(
     repeated rows stay, repeated items count once; an empty table gives no
     rows, an empty benchmark no spans; other columns are not read, but those
     named in ``keep`` pass through in place of the id, whatever their names.
-    The documents are read twice, however large the benchmark, and not
-    shuffled: hot passages cost their own rows only.  A task holds
-    ``HELD_BYTES`` of documents and the index of one block.
+
+    Shingles are ordered by their rarity in all texts.  The documents are read
+    three times whatever the benchmark's size: to count its shingles, to find
+    the places of the windows' prefixes, and to count words.  What is joined
+    are these places, so work grows with the documents and with what they
+    share with the benchmark, not with the product of both.
     """
     session(docs)
     rows, at = numbered(docs)
-    files = build_indexes(rows, benchmark, window, block_bytes, at(text_col), item_col, item_text_col)
+    texts = rows.select(F.col(at(text_col)).cast("binary").alias("text"))
+    made = written(benchmark_windows(benchmark, window, shingle, item_col, item_text_col), "windows")
+    sizes = sorted(r[0] for r in made.select(F.least("n", F.lit(shingle))).distinct().collect())
+    windows = made.groupBy("text").agg(F.first("n").alias("n"), F.first("codes").alias("codes"))
+    counts = shingle_counts(texts, CodeFilter(made.select(F.explode("codes").alias("code")).distinct()), sizes)
+    prefix = written(prefixes(windows, counts), "prefixes")
+    places = prefix_places(texts, CodeFilter(prefix.select("code").distinct()), sizes, window)
+    found = written(occurrences(places, prefix), "occurrences")
+    owners = made.where("item IS NOT NULL").select(F.col("text").alias("window"), "item").distinct()
+    items = found.select("digest", "window").distinct().join(owners, "window").groupBy("digest").agg(F.sort_array(F.collect_set("item")).alias("items"))
+    hits = merged_spans(found).join(items, "digest", "left")
+
     kept = [id_col] if keep is None else keep
-    rows = rows.select(F.col(at(text_col)).cast("binary").alias("text"), *(F.col(at(c)).alias(f"_{k}") for k, c in enumerate(kept)))
-    span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
+    carried = rows.select(F.col(at(text_col)).cast("binary").alias("text"), *(F.col(at(c)).alias(f"_{k}") for k, c in enumerate(kept)))
+    names = [*carried.columns[1:], "n_words", "digest"]
 
-    def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for some, texts, hashes, first in held(batches):
-            found: list[set] = [set() for _ in texts]
-            step, words = np.zeros(len(hashes) + 1, np.int64), {}
-            for file in files:
-                index = load(file)
-                for n, start, w in index.find(hashes):
-                    doc = np.searchsorted(first, start, "right") - 1
-                    seen = set()
-                    for d, s, k in zip(doc.tolist(), start.tolist(), w.tolist()):
-                        if d not in words:
-                            words[d] = alnum_words(texts[d])
-                        if b" ".join(words[d][s - first[d] : s - first[d] + n]) == index.text(n, k):
-                            step[s] += 1
-                            step[s + n] -= 1
-                            if (d, k) not in seen:
-                                seen.add((d, k))
-                                found[d].update(index.names_of(n, k))
-            edge = np.diff((np.cumsum(step) > 0).astype(np.int8), prepend=0)
-            begins, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-            doc = np.searchsorted(first, begins, "right") - 1
-            spans: list[list[dict]] = [[] for _ in texts]
-            for d, s, e in zip(doc.tolist(), (begins - first[doc]).tolist(), (ends - first[doc]).tolist()):
-                spans[d].append({"start": s, "end": e})
-            size, done = np.diff(first) - 1, 0
-            for b in some:
-                own = slice(done, done + b.num_rows)
-                done += b.num_rows
-                yield pa.RecordBatch.from_arrays(
-                    [*b.columns[1:], pa.array(size[own]), pa.array(spans[own], span_type), pa.array([sorted(x) for x in found[own]], pa.list_(pa.string()))],
-                    [*b.schema.names[1:], "n_words", "spans", "items"],
-                )
-
-    schema = T.StructType(
-        [
-            *rows.schema.fields[1:],
-            T.StructField("n_words", T.LongType()),
-            T.StructField("spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))),
-            T.StructField("items", T.ArrayType(T.StringType())),
-        ]
-    )
-    return rows.mapInArrow(find, schema).toDF(*kept, "n_words", "spans", "items")
+    def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            raw = [t.as_py() for t in b.column(0)]
+            columns = [pa.array([len(alnum_words(t)) for t in raw], pa.int64()), pa.array(map(text_digest, raw), pa.binary())]
+            yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], names)
+
+    schema = T.StructType([*carried.schema.fields[1:], T.StructField("n_words", T.LongType()), T.StructField("digest", T.BinaryType())])
+    joined = carried.mapInArrow(measured, schema).join(hits, "digest", "left")
+    none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
+    return joined.select(
+        *names[:-1], none("spans", "array<struct<start:bigint,end:bigint>>"), none("items", "array<string>")
+    ).toDF(*kept, "n_words", "spans", "items")
 
 
 def op9_decontamination(spark, sf_dir: str) -> DataFrame:

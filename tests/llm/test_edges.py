@@ -190,36 +190,60 @@ def test_bad_host_takes_its_passing_documents_along(spark):
     assert fair.where("kept").count() == 180
 
 
-def test_decontam_blocks_agree(docs, spark):
+def test_decontam_passages_and_small_bitmaps(docs, spark, monkeypatch):
     key = F.struct("doc_id", "n_words", "spans", "items").cast("string")
     one = sorted(r[0] for r in decontam.find_contamination(docs, bench(spark)).select(key).collect())
-    many = sorted(r[0] for r in decontam.find_contamination(docs, bench(spark), block_bytes=100).select(key).collect())
-    assert one == many
     got = {r["doc_id"]: r for r in decontam.find_contamination(docs, bench(spark)).collect()}
     assert got[3]["items"] == ["1"] and got[4]["items"] == [] and len(got[4]["spans"]) == 1
     assert (got[5]["spans"][0]["start"], got[5]["spans"][0]["end"]) == (500, 540) and got[5]["items"] == ["4"]
     empty = decontam.find_contamination(docs, bench(spark).limit(0))
     assert empty.where("size(spans) > 0").count() == 0 and empty.count() == docs.count()
+    # a bitmap in which nearly every shingle passes changes no result
+    monkeypatch.setattr(decontam, "MAX_BITS", 7)
+    assert sorted(r[0] for r in decontam.find_contamination(docs, bench(spark)).select(key).collect()) == one
 
 
-def test_decontam_long_items_and_scans(docs, spark, monkeypatch):
-    from ledgerloom.llm import decontam as d
-
+def test_decontam_long_items(docs, spark):
     words = LONG.split()
     long_item = spark.createDataFrame([(1, LONG), (2, " ".join(words[90:130]))], BENCH)
-    stretches = d.benchmark_stretches(long_item, 10, "item_id", "text", 1000).collect()
-    assert len(stretches) == 61
-    windows = {tuple(words[i : i + 10]) for i in range(len(words) - 9)}
-    cut = [r["text"].decode().split() for r in stretches if r["item"] == "1"]
-    assert {tuple(x[i : i + 10]) for x in cut for i in range(len(x) - 9)} == windows
-    assert sum(len(x) - 9 for x in cut) == len(words) - 9
-    index = d.WindowIndex([("1", " ".join(f"v{i}" for i in range(2_200_000)).encode())])
-    assert len(index.windows[10]) == 2_200_000 - 9
-    scans, read = [], docs.__class__.mapInArrow
+    made = decontam.benchmark_windows(long_item, 10, 3, "item_id", "text", 1000).collect()
+    assert {r["text"] for r in made if r["item"] == "1"} == {" ".join(words[i : i + 10]) for i in range(len(words) - 9)}
+    assert sum(r["item"] == "1" for r in made) == len(words) - 9 and all(len(r["codes"]) == 8 for r in made)
+    huge = spark.createDataFrame([(1, " ".join(f"v{i}" for i in range(2_200_000)))], BENCH)
+    assert decontam.benchmark_windows(huge, 10, 3, "item_id", "text").count() == 2_200_000 - 9
+
+
+def test_decontam_does_not_grow_with_documents_times_benchmark(docs, spark, monkeypatch):
+    """Ten times the benchmark: the texts are read as often, and no more places are joined."""
+    scans, joined, read = [], [], docs.__class__.mapInArrow
     monkeypatch.setattr(docs.__class__, "mapInArrow", lambda self, *a, **k: (scans.append(self.columns), read(self, *a, **k))[1])
-    d.find_contamination(docs, bench(spark), block_bytes=100).count()
-    # one pass counts, one finds, and one cuts the benchmark, for all of its blocks
-    assert len(scans) == 3
+    find = decontam.prefix_places
+    monkeypatch.setattr(decontam, "prefix_places", lambda *a: (joined.append(find(*a).count()), find(*a))[1])
+    other = lambda n: bench(spark).unionByName(spark.range(n).selectExpr("id + 100 AS item_id", "array_join(transform(sequence(0, 60), k -> concat('u', id * 61 + k)), ' ') AS text"))
+    few = sorted(map(str, decontam.find_contamination(docs, other(20)).collect()))
+    n = len(scans)
+    many = sorted(map(str, decontam.find_contamination(docs, other(200)).collect()))
+    assert few == many and len(scans) == 2 * n and sum(c[0] == "text" and len(c) <= 2 for c in scans) == 2 * 4
+    assert joined[1] < 2 * joined[0]  # what passes the bitmap without being known
+
+
+def test_decontam_against_plain_version(spark):
+    import random
+
+    random.seed(9)
+    vocabulary = [f"w{k}" for k in range(12)]
+    text = lambda n: " ".join(random.choice(vocabulary) for _ in range(n))
+    items = [(k % 9 if k % 7 else None, text(random.choice([0, 1, 2, 3, 9, 10, 11, 14]))) for k in range(25)]
+    rows = [(k, text(random.choice([0, 1, 3, 30, 80]))) for k in range(60)]
+    rows += [(100 + k, f"{text(4)} {items[k % 25][1]}, {items[(k + 3) % 25][1].upper()} {text(3)}") for k in range(40)]
+    windows = [(item, tuple(ws[i : i + min(10, len(ws))])) for item, t in items for ws in [t.split()] if ws for i in range(len(ws) - min(10, len(ws)) + 1)]
+    got = {r["doc_id"]: r for r in decontam.find_contamination(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, BENCH)).collect()}
+    for k, t in rows:
+        ws = t.lower().replace(",", " ").split()
+        at = [(item, i, i + len(w)) for item, w in windows for i in range(len(ws) - len(w) + 1) if tuple(ws[i : i + len(w)]) == w]
+        hit = sorted({q for _, a, b in at for q in range(a, b)})
+        assert sorted(q for s in got[k]["spans"] for q in range(s["start"], s["end"])) == hit and got[k]["n_words"] == len(ws)
+        assert got[k]["items"] == sorted({str(i) for i, _, _ in at if i is not None})
 
 
 PAGES = [
@@ -452,3 +476,43 @@ def test_packs_fill_well():
     assert used == {n: c for n, c in histogram.items() if c}
     assert packing.shortest_pack_first({}, 2048) == []
     assert sum(c for _, c in packing.shortest_pack_first({512: 1000}, 2048)) == 250
+
+
+def plain_components(n, pairs):
+    label = list(range(n))
+
+    def top(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for u, v in pairs:
+        label[top(v)] = top(u)
+    seen = {}
+    return [seen.setdefault(top(k), len(seen)) for k in range(n)]
+
+
+def test_jaccard_forest_connects_what_all_pairs_do():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    for t in range(120):
+        make = lambda m, top: [np.unique(rng.integers(0, top, rng.integers(1, 12), dtype=np.uint32)) for _ in range(m)]
+        top = int(rng.choice([9, 14, 200]))
+        a, b = make(int(rng.integers(1, 60)), top), None if t % 2 else make(int(rng.integers(1, 60)), top)
+        sets = [set(x.tolist()) for x in [*a, *(b or [])]]
+        pairs = [(i, j) for i in range(len(a)) for j in (range(i + 1, len(a)) if b is None else range(len(a), len(sets)))]
+        want = [(i, j) for i, j in pairs if len(sets[i] & sets[j]) + 1e-9 >= 0.8 * len(sets[i] | sets[j])]
+        u, v = neardup.jaccard_forest(a, b, 0.8)
+        assert len(u) < len(sets) and plain_components(len(sets), zip(u, v)) == plain_components(len(sets), want)
+
+
+def test_jaccard_forest_is_linear_in_unlike_sets():
+    import time
+
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, 2**32, 5, dtype=np.uint32)) for _ in range(48_000)]
+    began = time.process_time()
+    assert neardup.jaccard_forest(sets, None, 0.8) == ([], []) and time.process_time() - began < 15  # over all pairs: minutes
