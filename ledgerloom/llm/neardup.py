@@ -68,33 +68,57 @@ def jaccard_forest(a: list[np.ndarray], b: list[np.ndarray] | None, similarity:
     """Pairs of row numbers (through ``a``, then ``b``) that connect all similar sets.
 
     The sets of one side are indexed by element, so a row finds what it has in
-    common with all of them at once, exactly.  Rows whose possible partners are
-    all connected to them already are not looked up: a dense group costs little
-    more than its members.
+    common with all of them at once, exactly.  A row with few entries in the
+    index looks at these.  One with more of them than there are rows first asks
+    which possible partners are not connected to it yet, and compares itself
+    with these alone where they are fewer: a dense group costs little more than
+    its members, and unlike sets what they share.
     """
     sets = [*a, *(b or [])]
     shift = 0 if b is None else len(a)
     size = np.fromiter(map(len, sets), np.int64, len(sets))
-    label = np.arange(len(sets))
-    element = np.concatenate([*sets[shift:], np.zeros(0, np.uint32)])
-    order = np.argsort(element, kind="stable")
-    element, owner = element[order], np.repeat(np.arange(len(sets) - shift), size[shift:])[order]
+    label, members = np.arange(len(sets)), [[k] for k in range(len(sets))]
+    other = size[shift:]
+    whole, begin = np.concatenate([*sets[shift:], np.zeros(0, np.uint32)]), np.cumsum(other) - other
+    order = np.argsort(whole, kind="stable")
+    element, owner = whole[order], np.repeat(np.arange(len(sets) - shift), other)[order]
+    spread = lambda lo, n: np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
     us, vs = [], []
-    for i in range(len(a)):
-        other = size[shift:]
-        may = (label[shift:] != label[i]) & (np.minimum(size[i], other) >= similarity * np.maximum(size[i], other))
-        if b is None:
-            may[: i + 1] = False
-        if not may.any():
+    asked, ends = np.concatenate([*a, np.zeros(0, np.uint32)]), np.cumsum(size[: len(a)])
+    lows = np.searchsorted(element, asked, "left")
+    counts = np.searchsorted(element, asked, "right") - lows
+    total = np.diff(np.concatenate(([0], np.cumsum(counts)))[np.concatenate(([0], ends))])
+    # a row that only finds itself has no partner
+    for i in np.flatnonzero(total > (size[: len(a)] if b is None else 0)).tolist():
+        hits, first = int(total[i]), i + 1 if b is None else 0
+        lo, n = lows[ends[i] - size[i] : ends[i]], counts[ends[i] - size[i] : ends[i]]
+        if hits >= len(other):
+            may = (label[shift:] != label[i]) & (np.minimum(size[i], other) >= similarity * np.maximum(size[i], other))
+            may[:first] = False
+            js = np.flatnonzero(may)
+            if not len(js):
+                continue
+            if other[js].sum() < hits:
+                near = whole[spread(begin[js], other[js])]
+                same = sets[i][np.minimum(np.searchsorted(sets[i], near), size[i] - 1)] == near
+                both = np.bincount(np.repeat(np.arange(len(js)), other[js]), same, len(js))
+            else:
+                both = np.bincount(owner[spread(lo, n)], minlength=len(other))[js]
+        else:
+            js, both = np.unique(owner[spread(lo, n)], return_counts=True)
+            keep = (js >= first) & (label[js + shift] != label[i])
+            js, both = js[keep], both[keep]
+        js = js[both + 1e-9 >= similarity * (size[i] + other[js] - both)] + shift
+        if not len(js):
             continue
-        lo, n = (lambda x: (x, np.searchsorted(element, sets[i], "right") - x))(np.searchsorted(element, sets[i], "left"))
-        at = np.arange(n.sum()) + np.repeat(lo - np.cumsum(n) + n, n)
-        both = np.bincount(owner[at], minlength=len(other))
-        js = np.flatnonzero(may & (both + 1e-9 >= similarity * (size[i] + other - both))) + shift
-        found, first = np.unique(label[js], return_index=True)
+        found, one = np.unique(label[js], return_index=True)
         us += [i] * len(found)
-        vs += js[first].tolist()
-        label[np.isin(label, found)] = label[i]
+        vs += js[one].tolist()
+        joined = sorted({int(label[i]), *found.tolist()}, key=lambda x: len(members[x]))
+        for x in joined[:-1]:  # the smaller ones take the label of the largest
+            label[members[x]] = joined[-1]
+            members[joined[-1]] += members[x]
+            members[x] = []
     return us, vs
 
 

@@ -102,7 +102,7 @@ def quality_verdicts(docs: DataFrame, text_col: str = "text", host_col: str = "s
 
 def op7_quality_rules(spark, sf_dir: str) -> DataFrame:
     return quality_verdicts(table(spark, sf_dir, "documents"), keep=["doc_id"]).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", F.round("host_rate", 9).alias("host_rate"), "kept"
     )
 
 
@@ -125,6 +125,6 @@ WITH t AS (SELECT doc_id, source, coalesce(text, '') AS t FROM documents),
      p AS (SELECT m, CASE WHEN extra > 0 AND m * (1 - m) > extra THEN least(m * (1 - m) / extra - 1, most) ELSE most END AS k FROM q),
      z AS (SELECT source, (failed + m * k) / (n + k) AS host_rate FROM s, p)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-       NOT own_failed AND host_rate <= {MAX_HOST_RATE} AS kept
+       round(host_rate, 9) AS host_rate, NOT own_failed AND host_rate <= {MAX_HOST_RATE} AS kept
 FROM o JOIN z ON o.source IS NOT DISTINCT FROM z.source
 """
