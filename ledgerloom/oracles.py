@@ -518,6 +518,8 @@ _PAIRS = f"""SELECT client_id, i, sum(g) AS g, sum(h) AS h FROM (SELECT client_i
       (SELECT client_id, a, CASE y WHEN 1 THEN -1 ELSE 1 END AS s, others[({mixed('base + a * 4 + k + 1')} % len(others) + 1)::INT] AS b FROM
         (SELECT x.client_id, x.i AS a, x.y, list(z.i ORDER BY z.i) FILTER (WHERE z.y <> x.y) AS others, {mixed("('0x' || substr(md5(x.client_id), 1, 15))::HUGEINT")} AS base FROM ({_LISTS}) x JOIN ({_LISTS}) z USING (client_id) GROUP BY ALL),
         (SELECT range AS k FROM range(4)) WHERE others IS NOT NULL)) GROUP BY client_id, i"""
+_TEXT_OF = lambda when: f"(SELECT client_id, string_agg(txt, ' ; ' ORDER BY timestamp, tx_id, txt) AS document FROM led WHERE t {when} GROUP BY client_id)"
+_EARLY, _LATE = (_TERMS.replace("docs", _TEXT_OF(when)) for when in ("< -15", ">= -15"))
 _TRIALS = "SELECT (2 * k + s)::INT AS trial, list_transform(range(8), lambda j: (CASE WHEN j = k THEN d ELSE 0 END) - d / 8) AS bias FROM (SELECT range AS k FROM range(8)), (VALUES (0, -0.2::DOUBLE), (1, 0.2::DOUBLE)) AS v(s, d)"
 _SETS = " UNION ALL ".join(f"SELECT {k} AS part, client_id, list(ln(greatest(round(p, 6), 1e-12)) ORDER BY family_index) AS l FROM ({BODIES[n]}) GROUP BY client_id" for k, n in enumerate(("ensemble", "raw_ensemble")))
 BODIES |= {
@@ -529,6 +531,8 @@ BODIES |= {
         (SELECT trial, part, y, guess, unnest([y, guess]) AS label, unnest([0, 1]) AS side FROM (SELECT trial, part, list_position([{texts(LABELS)}], {label_at(3)}) - 1 AS y,
           list_transform([list_transform(range(1, 9), lambda j: l[j] + bias[j])], lambda s: list_position(s, list_max(s)) - 1)[1] AS guess FROM ({_SETS}), ({_TRIALS}))) GROUP BY ALL) GROUP BY ALL) GROUP BY trial""",
     "template_canonical": BODIES_TC,
+    "tfidf_vectors": f"""SELECT client_id, term, v / sqrt(sum(v * v) OVER (PARTITION BY client_id)) AS weight FROM (SELECT client_id, term, (1 + ln(n)) * (ln((1 + (SELECT count(*) FROM {_TEXT_OF('< -15')})) / (1 + df)) + 1) AS v
+        FROM (SELECT client_id, term, count(*) AS n FROM ({_LATE}) GROUP BY ALL) JOIN (SELECT term, count(DISTINCT client_id) AS df, count(*) AS total FROM ({_EARLY}) GROUP BY term HAVING count(DISTINCT client_id) >= 2 ORDER BY total DESC, term LIMIT 200) USING (term))""",
     "invariance_rename": """SELECT client_id, '' AS "column" FROM ids WHERE false""",
     "invariance_shuffle": """SELECT client_id, family, scope, "window", '' AS "column" FROM ro WHERE false""",
     "invariance_poison": f"""SELECT client_id, unnest(list_filter(['largest', CASE WHEN count(*) <> count(*) FILTER (WHERE fee > 0) THEN 'fees' END], lambda x: x IS NOT NULL)) AS "column" FROM led WHERE {NUMBER} % 10 = 3 GROUP BY client_id""",

@@ -231,22 +231,15 @@ def tfidf(documents: DataFrame, analyzer: str = "word", min_df: int = 2, size: i
 
 
 def text_model(label: str = "label", min_df: int = 2, size: int = 30_000, weight: str | None = "weight"):
-    """TF-IDF of an array ``terms`` (:func:`terms`) with a logistic regression, by
-    default of classes with the same mass (:func:`balanced`).
-
-    Counts enter as they are: sublinear ones are in :func:`tfidf` only.
-    """
+    """Sublinear TF-IDF of an array ``terms`` (:func:`terms`) with a logistic regression, by
+    default of classes with the same mass (:func:`balanced`)."""
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, CountVectorizer, Normalizer
+
+    from .textmodel import SublinearTfidf
 
     weighted = {"weightCol": weight} if weight else {}
-    return Pipeline(
-        stages=[
-            CountVectorizer(inputCol="terms", outputCol="counts", minDF=min_df, vocabSize=size), IDF(inputCol="counts", outputCol="tfidf"), Normalizer(inputCol="tfidf", outputCol="features"),
-            LogisticRegression(labelCol=label, featuresCol="features", maxIter=50, **weighted),
-        ]
-    )
+    return Pipeline(stages=[SublinearTfidf(minDF=min_df, vocabSize=size), LogisticRegression(labelCol=label, featuresCol="features", maxIter=50, **weighted)])
 
 
 def tabular_model(columns: list[str], label: str = "label", weight: str | None = None):

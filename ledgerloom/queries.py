@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 from .constants import FAMILIES, LABELS, PATTERNS, PERIODS, TEST_CUTOFF, TEST_WINDOWS
 from .functions import numeric, text
 from .operators import audit, clients, families, invariance, noise, ordered, scoring, streams
-from .plans import boosting, features, learning
+from .plans import boosting, components, features, learning
+from .plans.textmodel import SublinearTfidf
 from .sources import ledger as src
-from .sources.stored import written
+from .sources.stored import fresh_dir, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 # Names of statistics of a stream.
@@ -919,9 +920,21 @@ def template_canonical(spark, d):
 
 @query
 def drift_auc(spark, d):
-    """How well candidates' features tell early from late ledgers: out-of-fold AUC per fold."""
+    """How well clients' statistics tell early from late ledgers: out-of-fold AUC per fold."""
     x = led(spark, d)
     half = lambda rows: clients.client_globals(rows, TEST_WINDOWS).na.fill(0)
-    a, b = half(x.where("t < -15")), half(x.where("t >= -15"))
-    columns = [c for c, k in a.dtypes if k in ("double", "bigint") and c in ("total_count", "amount_mean", "amount_std")]
-    return out(audit.auc(learning.drift_scores(a, b, columns or [c for c in a.columns if c != "client_id"][:3]), "probability", "label", by=("fold",)))
+    store = components.Store(spark, fresh_dir(spark, "components"))
+    return out(components.drift_report(store, half(x.where("t < -15")), half(x.where("t >= -15")), ["total_count", "amount_mean", "amount_std"], folds=3)[0])
+
+
+@query
+def tfidf_vectors(spark, d):
+    """Vectors of late documents by a vocabulary learnt from early ones, long."""
+    from pyspark.ml.functions import vector_to_array
+
+    x = led(spark, d)
+    text_of = lambda rows: learning.terms(clients.document_text(rows))
+    model = SublinearTfidf(minDF=2, vocabSize=200).fit(text_of(x.where("t < -15")))
+    names = F.array(*map(F.lit, model.vocabulary))
+    made = model.transform(text_of(x.where("t >= -15"))).select("client_id", F.posexplode(vector_to_array("features")).alias("k", "weight")).where("weight > 0")
+    return out(made.select("client_id", F.get(names, F.col("k")).alias("term"), "weight"))
