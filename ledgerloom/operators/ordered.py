@@ -74,47 +74,42 @@ def running(df: DataFrame, order: list, by: tuple[str, ...], sums: dict[str, Col
     return _matched(made, totals, by).withColumns({n: F.col(n) + F.col(f"_t_{n}") for n in sums}).drop("_part", "_at", *[f"_t_{n}" for n in sums])
 
 
-def order_statistics(values: DataFrame, wanted: DataFrame, rows: int = RANGE_ROWS) -> DataFrame:
+def order_statistics(values: DataFrame, wanted: DataFrame, rows: int = RANGE_ROWS, largest: int | None = None) -> DataFrame:
     """``(g, rank, value)``: the ``rank``-th smallest value (from 0) of each group.
 
     ``values`` holds ``(g, value)``, ``wanted`` ``(g, rank)``; ``g`` is any
-    column, null included.  Approximate quantiles cut each group into buckets;
-    their sizes tell which bucket holds a wanted rank, and only such buckets
-    are looked at further, until they are small enough to sort their distinct
-    values.  Cuts only decide where is looked: the result is exact.
+    column, null included.  As long as a group has more than ``rows`` distinct
+    values, approximate quantiles cut it into buckets; their sizes tell which
+    holds a wanted rank, and only such buckets are looked at further.  Then
+    the distinct values are ordered.  Cuts only decide where is looked: the
+    result is exact.  ``largest`` is the size of the largest group, if known.
     """
     key, level = F.col("g"), 0
     asked = wanted.select("g", F.col("rank").alias("want"), "rank")
-    state = values.select("g", F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
-    while True:
+    rows_ = values.select("g", F.col("value").cast("double").alias("value")).where("value IS NOT NULL")
+    state = rows_.groupBy("g", "value").agg(F.count("*").alias("n"))  # combined before it is shuffled
+    most = lambda: state.groupBy("g").count().agg(F.max("count")).first()[0] or 0
+    distinct = most() if largest is None or largest > rows else largest
+    while distinct > rows:
+        # of distinct values, so that a frequent one cannot keep the others together
         cuts = state.groupBy("g").agg(F.percentile_approx("value", [k / (CUTS + 1) for k in range(1, CUTS + 1)]).alias("cuts"))
         cuts = cuts.select(F.col("g").alias("g_"), F.array_distinct("cuts").alias("cuts"))
         # a value lies in the bucket of the first cut that is not below it
         bucket = F.size(F.filter("cuts", lambda c: c < F.col("value")))
-        cut = state.join(cuts, key.eqNullSafe(F.col("g_"))).withColumn("b", bucket).drop("g_", "cuts")
-        sizes = cut.groupBy("g", "b").agg(F.count("*").alias("n"))
+        cut = written(state.join(cuts, key.eqNullSafe(F.col("g_"))).withColumn("b", bucket).drop("g_", "cuts"), "cut")
+        sizes = cut.groupBy("g", "b").agg(F.sum("n").alias("n"), F.count("*").alias("d"))
         upto = Window.partitionBy("g").orderBy("b").rowsBetween(Window.unboundedPreceding, 0)
-        sizes = sizes.withColumn("upto", F.sum("n").over(upto)).select(F.col("g").alias("g_"), "b", "n", "upto")
+        sizes = sizes.withColumn("upto", F.sum("n").over(upto)).select(F.col("g").alias("g_"), "b", "n", "d", "upto")
         inside = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n"))
         found = asked.join(sizes, key.eqNullSafe(F.col("g_")) & inside).select(
-            F.struct("g", "b").alias("g"), "want", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "n"
+            F.struct("g", "b").alias("g"), "want", (F.col("rank") - F.col("upto") + F.col("n")).alias("rank"), "d"
         )
-        asked = written(found, "ranks")
-        level += 1
+        asked, level = written(found, "ranks"), level + 1
         buckets = asked.select(F.col("g").alias("g_")).distinct()
-        state = cut.select(F.struct("g", "b").alias("g"), "value").join(buckets, key.eqNullSafe(F.col("g_")), "left_semi")
-        largest = asked.agg(F.max("n")).first()[0] or 0
-        counted = state.groupBy("g", "value").agg(F.count("*").alias("n"))
-        if largest <= rows:
-            break
-        # a bucket of one value, however often, needs no further cut
-        state = written(state, "buckets")
-        counted = state.groupBy("g", "value").agg(F.count("*").alias("n"))
-        if (counted.groupBy("g").count().agg(F.max("count")).first()[0] or 0) <= rows:
-            break
-        asked = asked.drop("n")
+        state = cut.select(F.struct("g", "b").alias("g"), "value", "n").join(buckets, key.eqNullSafe(F.col("g_")), "left_semi")
+        distinct = asked.agg(F.max("d")).first()[0] or 0
     w = Window.partitionBy("g").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-    placed = counted.withColumn("upto", F.sum("n").over(w)).select(F.col("g").alias("g_"), "value", F.col("n").alias("n_"), "upto")
+    placed = state.withColumn("upto", F.sum("n").over(w)).select(F.col("g").alias("g_"), "value", F.col("n").alias("n_"), "upto")
     own = (F.col("rank") < F.col("upto")) & (F.col("rank") >= F.col("upto") - F.col("n_"))
     group = "g" + ".g" * level
     return asked.join(placed, key.eqNullSafe(F.col("g_")) & own).select(F.col(group).alias("g"), F.col("want").alias("rank"), "value")
@@ -133,7 +128,8 @@ def percentiles(df: DataFrame, column: str, probabilities: list[float], by: tupl
     ends = F.array(*[f(at(p)).cast("long") for p in probabilities for f in (F.floor, F.ceil)])
     sizes = written(sizes, "sizes")
     asked = sizes.where("n > 0").select("g", F.explode(F.array_distinct(ends)).alias("rank"))
-    found = order_statistics(values, asked, rows).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("of")).select(F.col("g").alias("g_"), "of")
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    found = order_statistics(values, asked, rows, largest).groupBy("g").agg(F.map_from_entries(F.collect_list(F.struct("rank", "value"))).alias("of")).select(F.col("g").alias("g_"), "of")
     every = sizes.join(found, F.col("g").eqNullSafe(F.col("g_")), "left")
 
     def between(p: float) -> Column:

@@ -99,9 +99,11 @@ def fit_cuts(x: DataFrame, columns: list[str], bins: int) -> list[list[float]]:
     each = F.explode(F.array(*[F.struct(F.lit(k).alias("g"), F.col(c).cast("double").alias("value")) for k, c in enumerate(columns)])).alias("e")
     long_ = x.select(each).select("e.*").where("value IS NOT NULL")
     ranks = F.transform(F.sequence(F.lit(1), F.lit(bins - 1)), lambda k: F.floor(k * F.col("n") / bins).cast("long"))
-    wanted = long_.groupBy("g").agg(F.count("*").alias("n")).select("g", F.explode(F.array_distinct(ranks)).alias("rank"))
+    sizes = written(long_.groupBy("g").agg(F.count("*").alias("n")), "sizes")
+    wanted = sizes.select("g", F.explode(F.array_distinct(ranks)).alias("rank"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
     cuts: list[list[float]] = [[] for _ in columns]
-    for r in order_statistics(long_, written(wanted, "ranks")).groupBy("g").agg(F.array_sort(F.collect_set("value")).alias("c")).collect():
+    for r in order_statistics(long_, wanted, largest=largest).groupBy("g").agg(F.array_sort(F.collect_set("value")).alias("c")).collect():
         cuts[r["g"]] = list(r["c"])
     return cuts
 

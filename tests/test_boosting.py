@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ledgerloom.plans import boosting
 from ledgerloom.plans.boosting import Boosting
 
-LIST = Boosting(rounds=3, leaves=6, learning_rate=0.3, min_rows=4, l2=1.0, columns=1.0, bins=12)
+LIST = Boosting(rounds=2, leaves=5, learning_rate=0.3, min_rows=4, l2=1.0, columns=1.0, bins=12)
 
 
 @pytest.fixture(scope="module")
@@ -117,7 +117,7 @@ def same_trees(model, trees):
 def test_listwise_trees_equal_a_plain_version(lists):
     model = boosting.fit(lists, ["a", "b", "c"], "label", ["client_id"], "family_index", LIST)
     cuts, trees, scores = plain_fit(lists, LIST, by_definition)
-    assert model.cuts == cuts and len(trees[0][0]) == 5
+    assert model.cuts == cuts and len(trees[0][0]) == 4
     same_trees(model, trees)
     got = {(r["client_id"], r["family_index"]): r["scores"][0] for r in boosting.predict(model, lists, ["client_id", "family_index"]).collect()}
     assert np.allclose([v for _, v in sorted(got.items())], scores, atol=1e-9)
@@ -126,7 +126,7 @@ def test_listwise_trees_equal_a_plain_version(lists):
 
 
 def test_trees_do_not_depend_on_partitions_or_stored_scores(lists, monkeypatch):
-    fit = lambda df: boosting.fit(df, ["a", "b", "c"], "label", ["client_id"], "family_index", replace(LIST, rounds=4))
+    fit = lambda df: boosting.fit(df, ["a", "b", "c"], "label", ["client_id"], "family_index", LIST)
     one = fit(lists.coalesce(1))
     monkeypatch.setattr(boosting, "PENDING", 1)
     assert fit(lists.repartition(7, "c")).trees == one.trees
@@ -243,7 +243,7 @@ def test_target_statistics_see_earlier_rows_only(classes):
 def test_symmetric_trees_and_their_expression(classes):
     x = boosting.target_statistics(classes, "color", "y", 3, ["id"])
     columns = ["u", "v", "color_ts_0", "color_ts_1", "color_ts_2"]
-    s = replace(boosting.SYMMETRIC, rounds=6, depth=3, learning_rate=0.5, classes=3, bins=16)
+    s = replace(boosting.SYMMETRIC, rounds=3, depth=3, learning_rate=0.8, classes=3, bins=16)
     model = boosting.fit(x.withColumn("place", F.lit(0)), columns, "y", ["id"], "place", s)
     for t in model.trees:
         for level in range(1, 4):

@@ -67,6 +67,13 @@ def test_no_task_sorts_a_group(skewed):
         assert v == values[len(values) // 2]
 
 
+def test_a_frequent_value_does_not_hide_the_others(spark):
+    values = spark.range(20_000).select(F.lit("x").alias("g"), F.when(F.col("id") < 600, F.col("id").cast("double")).otherwise(1000.0).alias("value"))
+    wanted = spark.createDataFrame([("x", 0), ("x", 577), ("x", 600), ("x", 19_999)], "g string, rank long")
+    got = {r["rank"]: r["value"] for r in ordered.order_statistics(values, wanted, rows=10).collect()}
+    assert got == {0: 0.0, 577: 577.0, 600: 1000.0, 19_999: 1000.0}
+
+
 def test_permutation_and_folds_by_ranges(spark):
     labels = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") % 3).alias("y"))
     few, many = (sorted(map(repr, audit.stratified_folds(labels, "y", "k", rows=n).collect())) for n in (100, 10**6))
