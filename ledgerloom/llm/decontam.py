@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -103,7 +104,7 @@ def _hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[list[list[bytes
     """Per batch the words of its texts (column 0), the hashes of all and where each text starts."""
     for b in batches:
         words = [alnum_words(t.as_py()) for t in b.column(0)]
-        yield words, word_hashes(w for ws in words for w in ws), np.cumsum([0, *map(len, words)]), b
+        yield words, word_hashes(chain.from_iterable(words)), np.cumsum([0, *map(len, words)]), b
 
 
 def _inside(codes: np.ndarray, first: np.ndarray, s: int) -> np.ndarray:
@@ -141,14 +142,14 @@ def prefixes(windows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def prefix_places(texts: DataFrame, known: CodeFilter, sizes: list[int], window: int) -> DataFrame:
-    """``(digest, code, place, before, context)``: where prefixes may stand in texts.
+    """``(digest, mark, code, place, before, context)``: where prefixes may stand in texts.
 
     ``context`` has the words that windows over the place can reach, ``before``
     the number of those in front of it.  Texts go by their digest: what is
     found depends on the text alone, so equal texts share it.
     """
     shared = texts.sparkSession.sparkContext.broadcast(known)
-    names = ["digest", "code", "place", "before", "context"]
+    names = ["digest", "mark", "code", "place", "before", "context"]
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words, hashes, first, b in _hashed(batches):
@@ -163,19 +164,24 @@ def prefix_places(texts: DataFrame, known: CodeFilter, sizes: list[int], window:
                     if d not in digests:
                         digests[d] = text_digest(b.column(0)[d].as_py())
                     before = min(p, window - 1)
-                    made.append((digests[d], code, p, before, b" ".join(words[d][p - before : p + window]).decode()))
-                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int32(), pa.string())
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * 5, kinds)], names)
+                    made.append((digests[d], mark_of(digests[d]), code, p, before, b" ".join(words[d][p - before : p + window]).decode()))
+                kinds = (pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.string())
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made) if made else [()] * 6, kinds)], names)
 
-    return texts.mapInArrow(find, "digest binary, code long, place long, before int, context string")
+    return texts.mapInArrow(find, "digest binary, mark long, code long, place long, before int, context string")
 
 
 def text_digest(text: bytes | None) -> bytes:
     return hashlib.blake2b(text or b"", digest_size=16).digest()
 
 
+def mark_of(digest: bytes) -> int:
+    """Half of a digest as a number, for the bitmap."""
+    return int.from_bytes(digest[:8], "little", signed=True)
+
+
 def occurrences(places: DataFrame, prefix: DataFrame) -> DataFrame:
-    """``(digest, start, end, window)``: occurrences of windows, compared word by word.
+    """``(digest, mark, start, end, window)``: occurrences of windows, compared word by word.
 
     A hash join on the prefix; the positions bound where a window may begin
     and end, and its words are compared as text.  A hot prefix is split by the
@@ -184,7 +190,7 @@ def occurrences(places: DataFrame, prefix: DataFrame) -> DataFrame:
     words = F.split("context", " ")
     near = places.join(prefix, "code").where((F.col("at") <= F.col("before")) & (F.col("before") - F.col("at") + F.col("n") <= F.size(words)))
     same = near.where(F.array_join(F.slice(words, F.col("before") - F.col("at") + 1, F.col("n")), " ") == F.col("window"))
-    return same.select("digest", (F.col("place") - F.col("at")).alias("start"), (F.col("place") - F.col("at") + F.col("n")).alias("end"), "window").distinct()
+    return same.select("digest", "mark", (F.col("place") - F.col("at")).alias("start"), (F.col("place") - F.col("at") + F.col("n")).alias("end"), "window").distinct()
 
 
 def merged_spans(found: DataFrame) -> DataFrame:
@@ -214,10 +220,11 @@ def find_contamination(
     named in ``keep`` pass through in place of the id, whatever their names.
 
     Shingles are ordered by their rarity in all texts.  The documents are read
-    three times whatever the benchmark's size: to count its shingles, to find
-    the places of the windows' prefixes, and to count words.  What is joined
-    are these places, so work grows with the documents and with what they
-    share with the benchmark, not with the product of both.
+    four times whatever the benchmark's size: to count its shingles, to find
+    the places of the windows' prefixes, and to give the rows with and without
+    occurrences.  What is joined are these places, so work grows with the
+    documents and with what they share with the benchmark, not with the
+    product of both; only rows with occurrences are shuffled.
     """
     session(docs)
     rows, at = numbered(docs)
@@ -235,19 +242,26 @@ def find_contamination(
 
     kept = [id_col] if keep is None else keep
     carried = rows.select(F.col(at(text_col)).cast("binary").alias("text"), *(F.col(at(c)).alias(f"_{k}") for k, c in enumerate(kept)))
-    names = [*carried.columns[1:], "n_words", "digest"]
+    names = [*carried.columns[1:], "n_words", "digest", "maybe"]
+    shared = docs.sparkSession.sparkContext.broadcast(CodeFilter(found.select(F.col("mark").alias("code")).distinct()))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             raw = [t.as_py() for t in b.column(0)]
-            columns = [pa.array([len(alnum_words(t)) for t in raw], pa.int64()), pa.array(map(text_digest, raw), pa.binary())]
+            digests = [text_digest(t) for t in raw]
+            maybe = np.zeros(len(raw), bool)
+            maybe[shared.value.passing(np.array([mark_of(d) for d in digests], np.int64))] = True
+            columns = [pa.array([len(alnum_words(t)) for t in raw], pa.int64()), pa.array(digests, pa.binary()), pa.array(maybe)]
             yield pa.RecordBatch.from_arrays([*b.columns[1:], *columns], names)
 
-    schema = T.StructType([*carried.schema.fields[1:], T.StructField("n_words", T.LongType()), T.StructField("digest", T.BinaryType())])
-    joined = carried.mapInArrow(measured, schema).join(hits, "digest", "left")
+    kinds = (("n_words", T.LongType()), ("digest", T.BinaryType()), ("maybe", T.BooleanType()))
+    every = carried.mapInArrow(measured, T.StructType([*carried.schema.fields[1:], *(T.StructField(n, t) for n, t in kinds)]))
+    # rows without an occurrence do not move, whatever they carry
+    joined = every.where("maybe").join(hits, "digest", "left").select(*names[:-2], "spans", "items")
+    made = joined.unionByName(every.where("NOT maybe").select(*names[:-2]), allowMissingColumns=True)
     none = lambda c, kind: F.coalesce(c, F.array().cast(kind)).alias(c)
-    return joined.select(
-        *names[:-1], none("spans", "array<struct<start:bigint,end:bigint>>"), none("items", "array<string>")
+    return made.select(
+        *names[:-2], none("spans", "array<struct<start:bigint,end:bigint>>"), none("items", "array<string>")
     ).toDF(*kept, "n_words", "spans", "items")
 
 
