@@ -924,7 +924,7 @@ def drift_auc(spark, d):
     x = led(spark, d)
     half = lambda rows: clients.client_globals(rows, TEST_WINDOWS).na.fill(0)
     store = components.Store(spark, fresh_dir(spark, "components"))
-    return out(components.drift_report(store, half(x.where("t < -15")), half(x.where("t >= -15")), ["total_count", "amount_mean", "amount_std"], folds=3)[0])
+    return out(components.drift_report(store, half(x.where("t < -15")), half(x.where("t >= -15")), ["total_count", "amount_mean", "amount_std"], 3, settings=learning.replace(components.DRIFT, rounds=3, leaves=4))[0])
 
 
 @query
