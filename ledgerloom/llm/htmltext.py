@@ -29,6 +29,9 @@ CLOSES = {
     "option": ({"option"}, {"select", "datalist"}),
 }
 SCOPE = set("html body article aside section nav header footer main div td th table form blockquote figure details".split())
+HEAD = set("base link meta noscript script style template title".split())  # what does not end the head
+UNSEEN = set("head noscript script style template title".split())  # never shown
+FURTHER, LONE = 10, 3  # a further region has at least a tenth of the densest one's sum, a lone line a third
 # What is not part of an article, by tag, role and word of class or id.
 NOISE_TAGS = set("nav footer aside form script style noscript template iframe object embed svg canvas button select textarea input menu dialog head title search".split())
 NOISE_ROLES = set("navigation banner contentinfo complementary search alert alertdialog dialog form menu menubar toolbar".split())
@@ -71,10 +74,13 @@ class Dom:
         self.parent: list[int] = [-1]
         self.noise: list[int] = [0]  # 1: not if it holds the article, 2: in any case, 3: if outside the article
         self.named: list[bool] = [False]  # noise by class or id only
+        self.unseen: list[bool] = [False]
         self.events: list[tuple[int, str | None]] = []  # (element, text), None: a block border
         self._parse(source)
 
     def _open(self, stack: list[int], name: str, attrs: str) -> None:
+        if name != "html" and name not in HEAD and len(stack) > 1 and self.tag[stack[1]] == "head":
+            self._close(stack, {"head"}, set())
         if name in ("html", "body"):
             return
         if name in BLOCK:
@@ -84,9 +90,11 @@ class Dom:
         node = len(self.tag)
         self.tag.append(name)
         self.parent.append(stack[-1])
-        found, named = self._is_noise(name, attrs)
+        hidden = bool(attrs.strip()) and self._hidden(attrs)
+        found, named = (1, False) if hidden else self._is_noise(name, attrs)
         self.noise.append(found)
         self.named.append(named)
+        self.unseen.append(name in UNSEEN or hidden)
         if name in BLOCK:
             self.events.append((node, None))
         if name == "br":
@@ -106,6 +114,16 @@ class Dom:
             if name in scope:
                 return
 
+    @staticmethod
+    def _hidden(attrs: str) -> bool:
+        for key, *values in ATTRS.findall(attrs):
+            key, value = key.lower(), "".join(values).lower()
+            if key == "hidden" or key == "aria-hidden" and value == "true":
+                return True
+            if key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+                return True
+        return False
+
     def _is_noise(self, name: str, attrs: str) -> tuple[int, bool]:
         if name in NOISE_TAGS:
             return 1, False
@@ -125,9 +143,7 @@ class Dom:
                     by_name = by_name if by_name == 2 else 1
                 elif "header" in words:
                     by_name = by_name or 3
-            elif key == "role" and value in NOISE_ROLES or key == "hidden" or key == "aria-hidden" and value == "true":
-                return 1, False
-            elif key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
+            elif key == "role" and value in NOISE_ROLES:
                 return 1, False
         if found == 3:  # a header element stays one whatever its names
             return by_name if by_name in (1, 2) else 3, False
@@ -261,60 +277,89 @@ def _spared(dom: Dom) -> list[bool]:
     return [dom.named[k] and inside[k] for k in range(n)]
 
 
-def main_text(source: str | None) -> str:
-    """Main text of a page: blocks in page order, one per line; "" if none."""
-    if not source:
-        return ""
-    dom = Dom(source)
+def _regions(dom: Dom, seen: list[bool], share: float, widen: tuple[list[int], list[int], list[int]], further: int, lone: int) -> tuple[list[bool], int]:
+    """Roots of the regions that density picks among the elements ``seen``, and
+    the element of the largest sum.
+
+    The threshold is the least density on that element's path to the body,
+    without the body: that holds the page's other parts too.  From the body
+    down, every topmost element as dense as that gives its subtree of the
+    largest sum.  Further subtrees need one ``further``-th of the page's largest
+    sum, or one ``lone``-th where one element holds all their text (0: any will
+    do): a lone line without links is denser than any article.
+    """
     n = len(dom.tag)
-    dom.noise = [0 if s else x for s, x in zip(_spared(dom), dom.noise)]
     article = [t in ("article", "main") for t in dom.tag]
-    out, within, keep = [False] * n, [False] * n, [True] * n
-    for k in range(1, n):
-        p = dom.parent[k]
-        out[k] = out[p] or dom.noise[k] == 2
-        within[k] = within[p] or article[p]
-    holds = [a and not o for a, o in zip(article, out)]
-    for k in range(n - 1, 0, -1):
-        holds[dom.parent[k]] |= holds[k]
-    for k in range(1, n):
-        noise = dom.noise[k] == 1 or dom.noise[k] == 3 and not within[k]
-        keep[k] = keep[dom.parent[k]] and not out[k] and not (noise and not holds[k])
-    chars, _, lchars, _, _ = _sums(dom, [True] * n)
-    share = lchars[0] / max(chars[0], 1)
-    chars, tags, lchars, ltags, own = _sums(dom, keep)
-    density = [_density(chars[k], tags[k], lchars[k], ltags[k], share) if keep[k] else 0.0 for k in range(n)]
+    chars, tags, lchars, ltags, own = _sums(dom, seen)
+    density = [_density(chars[k], tags[k], lchars[k], ltags[k], share) if seen[k] else 0.0 for k in range(n)]
     total = [_density(own[k], 1, 0, 0, share) if own[k] else 0.0 for k in range(n)]
     for k in range(1, n):
         total[dom.parent[k]] += density[k]
     best = max(range(n), key=lambda k: (total[k], -k))
-    # the path to the body, without the body: that holds the page's other parts too
     path = [best]
     while dom.parent[path[-1]] > 0:
         path.append(dom.parent[path[-1]])
     # without a link the density only grows with the element: characters per tag decide
-    reach = density if lchars[0] else [chars[k] / max(tags[k], 1) if keep[k] else 0.0 for k in range(n)]
+    reach = density if lchars[0] else [chars[k] / max(tags[k], 1) if seen[k] else 0.0 for k in range(n)]
     threshold = min(reach[k] for k in path)
-    # go down from the body through elements as dense as the body path: each gives
-    # its subtree of the largest sum; where that is an article, others are looked
-    # for in articles only
-    chosen, done, top = [False] * n, [False] * n, [False] * n
-    below = _headings(dom, keep, chars)
-    peak = list(range(n))
+    roots, done, top = [False] * n, [False] * n, [False] * n
+    peak, holders = list(range(n)), [int(x > 0) for x in own]
     for k in range(n - 1, 0, -1):
         p = dom.parent[k]
         if (total[peak[k]], -peak[k]) > (total[peak[p]], -peak[p]):
             peak[p] = peak[k]
+        holders[p] += holders[k]
     marked = False
     for k in range(n):
         p = dom.parent[k]
-        done[k] = chosen[k] or k > 0 and done[p]
-        top[k] = not k or top[p] and keep[k] and chars[k] > 0 and reach[k] >= threshold
-        if top[k] and not done[k]:
-            whole = _whole_article(dom, peak[k], below, chars, lchars)
+        done[k] = roots[k] or k > 0 and done[p]
+        top[k] = not k or top[p] and seen[k] and chars[k] > 0 and reach[k] >= threshold
+        need = further if holders[peak[k]] > 1 else lone
+        if top[k] and not done[k] and (not need or need * total[peak[k]] >= total[best]):
+            whole = _whole_article(dom, peak[k], *widen)
             marked = marked or not k and article[whole]
-            chosen[whole] = chosen[whole] or not marked or article[whole]
-            done[k] = chosen[k]
+            # where the densest is an article, others are looked for in articles only
+            roots[whole] = roots[whole] or not marked or article[whole]
+            done[k] = roots[k]
+    return roots, best
+
+
+def main_text(source: str | None, further: int = 0, lone: int = 0) -> str:
+    """Main text of a page: blocks in page order, one per line; "" if none.
+
+    Density picks the regions among all that the page shows; what tags, roles
+    and names call furniture goes from inside them.  Where that is most of the
+    densest element, the element is furniture itself, and density picks again
+    without what is called so.  ``further`` and ``lone``: what small regions
+    need beside the densest one, see ``_regions``; by default nothing.
+    """
+    if not source:
+        return ""
+    dom = Dom(source)
+    n = len(dom.tag)
+    dom.noise = [0 if s else x for s, x in zip(_spared(dom), dom.noise)]
+    article = [t in ("article", "main") for t in dom.tag]
+    out, within, keep, seen = [False] * n, [False] * n, [True] * n, [True] * n
+    for k in range(1, n):
+        p = dom.parent[k]
+        out[k] = out[p] or dom.noise[k] == 2
+        within[k] = within[p] or article[p]
+    holds = [a and not o for a, o in zip(article, out)]
+    for k in range(n - 1, 0, -1):
+        holds[dom.parent[k]] |= holds[k]
+    for k in range(1, n):
+        p = dom.parent[k]
+        noise = dom.noise[k] == 1 or dom.noise[k] == 3 and not within[k]
+        seen[k] = seen[p] and not (dom.unseen[k] and not holds[k])
+        keep[k] = keep[p] and seen[k] and not out[k] and not (noise and not holds[k])
+    chars, _, lchars, _, _ = _sums(dom, [True] * n)
+    share = lchars[0] / max(chars[0], 1)
+    shown = _sums(dom, seen)[0]
+    kept, _, lkept, _, _ = _sums(dom, keep)
+    widen = (_headings(dom, keep, kept), kept, lkept)
+    chosen, best = _regions(dom, seen, share, widen, further, lone)
+    if 2 * kept[best] < shown[best]:
+        chosen, _ = _regions(dom, keep, share, widen, further, lone)
     for k in range(1, n):
         chosen[k] = (chosen[k] or chosen[dom.parent[k]]) and keep[k]
     blocks, run = [], []
@@ -330,9 +375,12 @@ def main_text(source: str | None) -> str:
     return "\n".join(b for b in (" ".join(x.split()) for x in blocks) if b)
 
 
-def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
+def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", further: int = FURTHER, lone: int = LONE) -> DataFrame:
     """``(id, url, text)`` per row of ``pages``; ``text`` is the main text.
 
+    Regions beside the densest one need a tenth of its density sum, lone lines a
+    third (``further``, ``lone``; 0: any will do).
+
     A null page is empty and has the text ""; broken markup is read as
     browsers mostly do; repeated rows and null ids stay; an empty table gives
     no rows; other columns are not read.  No shuffle; time and memory are
@@ -343,7 +391,7 @@ def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            texts = pa.array([main_text(x.as_py()) for x in b.column(2)], pa.string())
+            texts = pa.array([main_text(x.as_py(), further, lone) for x in b.column(2)], pa.string())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), texts], ["id", "url", "text"])
 
     schema = T.StructType([rows.schema["id"], rows.schema["url"], T.StructField("text", T.StringType())])

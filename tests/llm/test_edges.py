@@ -1,5 +1,7 @@
 """Nulls, empty and long texts, ties, repeated rows, empty tables, clashing names."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -383,6 +385,54 @@ def test_html_threshold_is_that_of_the_path_below_the_body():
     assert htmltext.main_text(f"<p>One <span>{'w ' * 9}</span></p>".replace("<p>", "<div>").replace("</p>", "</div>")) != ""
 
 
+@pytest.fixture
+def no_lists(monkeypatch):
+    for name in ("NOISE_WORDS", "COMMENT_WORDS", "NOISE_ROLES", "NOISE_TAGS"):
+        monkeypatch.setattr(htmltext, name, set())
+
+
+def _production(page):
+    return htmltext.main_text(page, htmltext.FURTHER, htmltext.LONE)
+
+
+def test_html_production_parameters():
+    for source, want in (HTML | {p: "\n".join([PROSE] * 3) for p in UNNAMED}).items():
+        assert _production(source) == want, source
+    links = "<div>" + "<span><a href=/x>Somewhere else</a></span>" * 6 + "</div>"
+    page = f"<div><div>{f'<p>{PROSE}</p>' * 4}</div>{links}</div><div><a href=/>Home</a></div><div>%s</div>"
+    # a lone line beside the article goes, a small region of several lines stays
+    assert _production(page % "All rights are ours.") == "\n".join([PROSE] * 4)
+    assert _production(page % f"<p>{PROSE}</p><p>Its end.</p>") == "\n".join([PROSE] * 5 + ["Its end."])
+    assert _production(page % "<p>Ours.</p><p>All.</p>") == "\n".join([PROSE] * 4)
+    assert "All rights" in htmltext.main_text(page % "All rights are ours.")
+
+
+@pytest.mark.usefixtures("no_lists")
+def test_html_density_comes_before_the_lists(spark, sf_dir, monkeypatch):
+    # an article of less text than the furniture around it has no density to show
+    pages = [r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    article = lambda p: htmltext.main_text(re.search(r"(?s)<article>.*</article>", p).group())
+    pages = [p for p in pages if len(article(p)) >= 400]
+    want = [article(p) for p in pages]
+    unnamed = [re.sub(r"<(/?)(?:article|nav|footer|aside|div)\b[^>]*>", r"<\1div>", p) for p in pages]
+    assert sum(map(lambda p, w: _production(p) == w, unnamed, want)) >= 0.95 * len(pages)
+    monkeypatch.setattr(htmltext, "_density", lambda *a: 1.0)
+    assert sum(map(lambda p, w: _production(p) == w, unnamed, want)) < 0.1 * len(pages)
+
+
+def test_html_furniture_denser_than_the_article():
+    # density picks the comments and the advert first; the lists say what they are
+    loud = "<p>I disagree with all of this, at length, loudly, and without a single link in it.</p>"
+    art = f"<div><h2>Head</h2><p>{PROSE}</p><p>{PROSE} <a href=/x>More</a></p></div>"
+    for other in (f"<div class=comments>{loud * 4}</div>", f"<div class=ad>{loud * 2}</div>", f"<aside>{loud * 9}</aside>"):
+        assert _production(f"<div>{art}{other}</div>") == f"Head\n{PROSE}\n{PROSE} More", other
+
+
+def test_html_head_without_its_end_tag():
+    assert htmltext.main_text("<html><head><meta charset=utf-8><title>t</title><body><p>Text") == "Text"
+    assert htmltext.main_text("<head><title>t</title><script>x</script><div>Text</div>") == "Text"
+
+
 def test_html_against_a_plain_version():
     import math
     import random
