@@ -541,6 +541,34 @@ BODIES |= {
     + ", ".join(f"avg(regexp_matches(txt, '{PATTERNS[f]}')::INT) AS semantic_{f}, avg((mcc = '{MCC[f]}')::INT) AS mcc_{f}, count(DISTINCT txt) FILTER (WHERE txt IN ({texts(TEMPLATES[f])})) AS template_{f}_diversity, count(*) FILTER (WHERE txt IN ({texts(TEMPLATES[f])})) AS template_{f}_count" for f in FAMILIES)
     + f" FROM (SELECT *, count(*) OVER (PARTITION BY {GAP_KEYS}, mcc) / count(*) OVER (PARTITION BY {GAP_KEYS}) AS ms FROM m1) GROUP BY {GAP_KEYS}",
 }
+_COMPARED = "count amount_cv last_age span unique_description description_top_fraction description_entropy gap_median gap_std gap_cv generic_fraction".split()
+_CLUSTERS = f"""(SELECT st0.*, label AS target, family = label AS matches_target, descriptions, mcc_mode FROM (SELECT *, amount_std / amount_mean AS amount_cv FROM stf WHERE group_type = 'amount') st0 JOIN ({WEAK}) USING (client_id)
+    JOIN (SELECT client_id, currency, comp, string_agg(txt, ' | ' ORDER BY n DESC, txt) AS descriptions FROM (SELECT client_id, currency, comp, txt, count(*) AS n FROM chains WHERE size >= 3 GROUP BY ALL) GROUP BY ALL) USING (client_id, currency, comp)
+    JOIN (SELECT client_id, currency, comp, arg_min(mcc, (-n, mcc)) AS mcc_mode FROM (SELECT client_id, currency, comp, mcc, count(*) AS n FROM chains WHERE size >= 3 GROUP BY ALL) GROUP BY ALL) USING (client_id, currency, comp))"""
+_JUDGED = f"(SELECT client_id, label AS truth, prediction, round(confidence, 9) AS confidence FROM (SELECT client_id, arg_max(family, (p, -family_index)) AS prediction, max(p) AS confidence FROM probs GROUP BY client_id) JOIN ({WEAK}) USING (client_id))"
+_OWN = f"""(SELECT *, truth <> 'none' AS fam_, truth <> 'none' AND c >= 3 AS cand_ FROM (SELECT j.*, total, coalesce(amount0_count, -1) AS c, coalesce(amount0_last_age, -1) AS age, coalesce(amount0_gap_cv, -1) AS cv
+    FROM {_JUDGED} j JOIN (SELECT client_id, count(*) AS total FROM led GROUP BY client_id) USING (client_id) LEFT JOIN fm ON fm.client_id = j.client_id AND fm.family = truth))"""
+_COHORTS = {
+    "all": "true", "low_history": "total < 20", "high_activity": "total > 30", "true_none": "NOT fam_", "true_family": "fam_", "family_without_candidate": "fam_ AND c < 3",
+    "family_regular": "cand_ AND cv BETWEEN 0 AND 0.25", "family_irregular": "cand_ AND cv > 0.25", "family_recent": "cand_ AND age BETWEEN 0 AND 45", "family_stale": "cand_ AND age > 90",
+}
+_PICKED = lambda c: f"CASE evidence WHEN 'amount0' THEN amount0_{c} WHEN 'broad0' THEN broad0_{c} END AS {c}"
+BODIES |= {
+    "forensic_clusters": f"SELECT client_id, currency, comp, target, descriptions, mcc_mode, family, matches_target, {', '.join(_COMPARED)} FROM {_CLUSTERS}",
+    "forensic_report": f"SELECT matches_target, statistic, count(value) AS n, round(avg(value) + 1e-9, 6) AS mean, median(value) AS median FROM (UNPIVOT (SELECT matches_target, {', '.join(f'{c}::DOUBLE AS {c}' for c in _COMPARED)} FROM {_CLUSTERS}) ON {', '.join(_COMPARED)} INTO NAME statistic VALUE value) GROUP BY ALL",
+    "forensic_intervals": f"SELECT round_even(gap_median, 0)::BIGINT AS days, count(*) AS n FROM {_CLUSTERS} GROUP BY days ORDER BY n DESC, days LIMIT 20",
+    "forensic_texts": f"""SELECT client_id, txt, any_value(label) AS target, count(*) AS count, median(amount) AS amount_median, count(DISTINCT description) AS unique_description, avg(-ln(share)) AS description_entropy, avg((fee > 0)::INT) AS fee_fraction,
+        count(DISTINCT strftime(timestamp, '%Y-%m')) AS month_count, any_value(gm) AS gap_median, median(abs(gap - gm)) AS gap_mad, max(t) + any_value(gm) AS next_median, arg_max(gap, (t, tx_id)) AS gap_last
+        FROM (SELECT *, median(gap) OVER (PARTITION BY client_id, txt) AS gm FROM (SELECT *, t - lag(t) OVER (PARTITION BY client_id, txt ORDER BY t, tx_id) AS gap, count(*) OVER (PARTITION BY client_id, txt, description) / count(*) OVER (PARTITION BY client_id, txt) AS share FROM co))
+        JOIN ({WEAK}) USING (client_id) GROUP BY client_id, txt HAVING count(*) >= 3""",
+    "error_cohorts": " UNION ALL ".join(f"SELECT '{k}' AS cohort, count(*) AS n, count(*) FILTER (WHERE truth <> prediction) AS errors, avg((truth = prediction)::INT) AS accuracy FROM {_OWN} WHERE {w}" for k, w in _COHORTS.items()),
+    "error_kinds": f"SELECT count(*) FILTER (WHERE truth <> prediction) AS errors, count(*) FILTER (WHERE truth <> 'none' AND prediction = 'none') AS missed, count(*) FILTER (WHERE truth = 'none' AND prediction <> 'none') AS invented, count(*) FILTER (WHERE truth <> prediction AND truth <> 'none' AND prediction <> 'none') AS wrong_family FROM {_JUDGED}",
+    "explanations": f"""SELECT client_id, prediction AS label, confidence, evidence, available, {', '.join(map(_PICKED, ('count', 'gap_median', 'last_age', 'amount_median', 'refund_count')))} FROM
+        (SELECT *, CASE WHEN prediction = 'none' THEN NULL WHEN amount0_count >= 3 THEN 'amount0' WHEN broad0_count > 0 THEN 'broad0' END AS evidence FROM
+          (SELECT * FROM {_JUDGED} WHERE truth = prediction QUALIFY row_number() OVER (PARTITION BY prediction ORDER BY confidence DESC, client_id) = 1) b JOIN (SELECT client_id, family AS prediction, {', '.join(f'{s}_{c}' for s in ('amount0', 'broad0') for c in ('count', 'gap_median', 'last_age', 'amount_median'))} FROM fm) USING (client_id, prediction)
+          LEFT JOIN (SELECT client_id, family AS prediction, {', '.join(f"max(CASE WHEN prefix = '{p}' THEN refund_count END) AS {p}_refund_count" for p in ('amount0', 'broad0'))} FROM ctx GROUP BY ALL) USING (client_id, prediction)
+          JOIN (SELECT client_id, count(*) FILTER (WHERE family <> 'none' AND amount0_count >= 3) AS available FROM fm GROUP BY client_id) USING (client_id))""",
+}
 ORACLE_SQL = {k: sql(v) for k, v in BODIES.items()}
 # its own WITH clause follows the shared expressions
 _HEAD = sql("SELECT 1 FROM quiet").rsplit("\n", 1)[0]

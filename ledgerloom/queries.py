@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .constants import FAMILIES, LABELS, PATTERNS, PERIODS, TEST_CUTOFF, TEST_WINDOWS
 from .functions import numeric, text
 from .operators import audit, clients, families, invariance, noise, ordered, scoring, streams
-from .plans import boosting, components, features, learning
+from .plans import boosting, components, features, learning, reports
 from .plans.textmodel import SublinearTfidf
 from .sources import ledger as src
 from .sources.stored import fresh_dir, written
@@ -938,3 +938,55 @@ def tfidf_vectors(spark, d):
     names = F.array(*map(F.lit, model.vocabulary))
     made = model.transform(text_of(x.where("t >= -15"))).select("client_id", F.posexplode(vector_to_array("features")).alias("k", "weight")).where("weight > 0")
     return out(made.select("client_id", F.get(names, F.col("k")).alias("term"), "weight"))
+
+
+def targets(spark, d):
+    return weak_labels(spark, d).withColumnRenamed("label", "target")
+
+
+def clusters(spark, d):
+    return reports.amount_clusters(led(spark, d), targets(spark, d), TEST_WINDOWS)
+
+
+@query
+def forensic_clusters(spark, d):
+    return out(clusters(spark, d), *KEY[:2], "comp", "target", "descriptions", "mcc_mode", "family", "matches_target", *reports.COMPARED)
+
+
+@query
+def forensic_report(spark, d):
+    x = reports.cluster_report(written(clusters(spark, d).select("matches_target", *reports.COMPARED), "clusters"))
+    # means of shares of few streams often end in a five behind the sixth place
+    return out(x.withColumn("mean", F.round(F.col("mean") + 1e-9, 6)))
+
+
+@query
+def forensic_intervals(spark, d):
+    return out(reports.interval_counts(clusters(spark, d)))
+
+
+@query
+def forensic_texts(spark, d):
+    x = reports.text_streams(led(spark, d), targets(spark, d), TEST_WINDOWS)
+    return out(x, "client_id", "txt", "target", "count", "amount_median", "unique_description", "description_entropy", "fee_fraction", "month_count", "gap_median", "gap_mad", "next_median", "gap_last")
+
+
+def judged(spark, d):
+    """Decisions by the softmax of stream counts beside the weak labels."""
+    p = probabilities(spark, d).groupBy("client_id").agg(F.max_by("family", F.struct("p", -F.col("family_index"))).alias("prediction"), F.max("p").alias("confidence"))
+    return p.join(weak_labels(spark, d).withColumnRenamed("label", "truth"), "client_id").withColumn("confidence", F.round("confidence", 9))
+
+
+@query
+def error_cohorts(spark, d):
+    return out(reports.error_cohorts(reports.with_own_evidence(judged(spark, d), matrix(spark, d)), 20, 30))
+
+
+@query
+def error_kinds(spark, d):
+    return out(reports.error_kinds(judged(spark, d)))
+
+
+@query
+def explanations(spark, d):
+    return out(reports.explanations(judged(spark, d), matrix(spark, d)).drop("note"))
