@@ -554,6 +554,7 @@ _COHORTS = {
 }
 _PICKED = lambda c: f"CASE evidence WHEN 'amount0' THEN amount0_{c} WHEN 'broad0' THEN broad0_{c} END AS {c}"
 BODIES |= {
+    "json_rows_parsed": "SELECT tx_id, client_id, epoch_us(timestamp) AS at_us, amount, type, mcc, description, fee FROM led",
     "forensic_clusters": f"SELECT client_id, currency, comp, target, descriptions, mcc_mode, family, matches_target, {', '.join(_COMPARED)} FROM {_CLUSTERS}",
     "forensic_report": f"SELECT matches_target, statistic, count(value) AS n, round(avg(value) + 1e-9, 6) AS mean, median(value) AS median FROM (UNPIVOT (SELECT matches_target, {', '.join(f'{c}::DOUBLE AS {c}' for c in _COMPARED)} FROM {_CLUSTERS}) ON {', '.join(_COMPARED)} INTO NAME statistic VALUE value) GROUP BY ALL",
     "forensic_intervals": f"SELECT round_even(gap_median, 0)::BIGINT AS days, count(*) AS n FROM {_CLUSTERS} GROUP BY days ORDER BY n DESC, days LIMIT 20",

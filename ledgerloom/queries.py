@@ -678,6 +678,14 @@ def row_json(spark, d):
     return led(spark, d).select("tx_id", F.to_json(F.struct("client_id", "type", "mcc", "txt")).alias("json"))
 
 
+@query
+def json_rows_parsed(spark, d):
+    """The ledger through JSON and back."""
+    x = led(spark, d).select("tx_id", "client_id", "timestamp", "amount", "type", "mcc", "description", "fee")
+    back = src.from_json_rows(src.to_json_rows(x, "tx_id"), "tx_id", x.schema)
+    return back.withColumn("timestamp", F.unix_micros("timestamp")).withColumnRenamed("timestamp", "at_us")
+
+
 @query
 def first_rows(spark, d):
     return audit.first_rows(led(spark, d).select("client_id", "timestamp", "tx_id", "txt", "amount"), "client_id", ["timestamp", "tx_id"]).drop("timestamp")

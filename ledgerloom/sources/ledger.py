@@ -165,6 +165,24 @@ def write_json(path: str, value, exclusive: bool = False) -> None:
         json.dump(value, f, indent=2, sort_keys=True)
 
 
+# JSON keeps milliseconds only, if it is not told otherwise.
+_MICROS = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"}
+
+
+def to_json_rows(df: DataFrame, key: str) -> DataFrame:
+    """``(key, json)``: each row's other columns as one JSON object; null fields are left out."""
+    return df.select(key, F.to_json(F.struct(*[c for c in df.columns if c != key]), _MICROS).alias("json"))
+
+
+def from_json_rows(rows: DataFrame, key: str, schema: T.StructType) -> DataFrame:
+    """Rows of :func:`to_json_rows` as columns again; absent fields are null.
+
+    A text that is not JSON, or a field that is not of its type, ends the job
+    when it is reached; null texts give null fields.
+    """
+    return rows.select(key, F.from_json("json", schema, _MICROS | {"mode": "FAILFAST"}).alias("_row")).select(key, *[F.col("_row")[f.name].alias(f.name) for f in schema.fields if f.name != key])
+
+
 def digest(value) -> str:
     """SHA-256 of canonical JSON."""
     return hashlib.sha256(json.dumps(value, sort_keys=True, separators=(",", ":")).encode()).hexdigest()

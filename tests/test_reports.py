@@ -1,8 +1,9 @@
-"""Forensic and error reports on rows written out by hand."""
+"""Forensic and error reports on rows written out by hand; rows as JSON."""
 
 import pytest
 
 from ledgerloom.plans import reports
+from ledgerloom.sources import ledger as src
 
 KNOWN = [
     ("a", "gym", "gym", 0.9), ("b", "gym", "gym", 0.9), ("c", "gym", "none", 0.4), ("d", "none", "none", 0.7), ("e", "none", "music", 0.6), ("f", "cloud", "music", 0.5), ("g", "music", "music", 0.8),
@@ -54,3 +55,13 @@ def test_cluster_report_takes_medians_over_ranges(spark):
     got = {(r["matches_target"], r["statistic"]): (r["n"], r["median"]) for r in reports.cluster_report(x, ["gap_median", "count"]).collect()}
     assert got == {(True, "gap_median"): (21, 3.0), (True, "count"): (21, 20.0), (False, "gap_median"): (20, 3.0), (False, "count"): (20, 20.0)}
     assert [(r["days"], r["n"]) for r in reports.interval_counts(spark.createDataFrame([(0.5,), (1.5,), (2.5,), (1.9,)], "gap_median double")).collect()] == [(2, 3), (0, 1)]
+
+
+def test_rows_as_json_and_back(spark):
+    x = spark.createDataFrame([(1, 'say "hi"\n{}', 0.1, None), (2, None, None, 7), (3, "", -0.0, 2**60), (3, "", -0.0, 2**60)], "id long, text string, part double, big long")
+    back = src.from_json_rows(src.to_json_rows(x, "id"), "id", x.schema)
+    assert back.schema.names == x.schema.names and sorted(map(repr, back.collect())) == sorted(map(repr, x.collect()))
+    assert src.from_json_rows(src.to_json_rows(x.limit(0), "id"), "id", x.schema).count() == 0
+    broken = spark.createDataFrame([(1, "{no json")], "id long, json string")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        src.from_json_rows(broken, "id", x.schema).collect()
