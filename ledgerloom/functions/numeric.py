@@ -13,6 +13,16 @@ def day(ts: Column, cutoff: str) -> Column:
     return (F.unix_micros(ts) - F.unix_micros(F.lit(cutoff).cast("timestamp"))).cast("double") / DAY_US
 
 
+def divided(a: Column, b: Column) -> Column:
+    """``a / b`` in IEEE arithmetic: a zero divisor gives an infinity, or NaN for 0 / 0, and no error."""
+    return F.when(b == 0, a * float("inf")).otherwise(a / b)
+
+
+def log(x: Column) -> Column:
+    """Natural logarithm in IEEE arithmetic: minus infinity for 0, NaN below it."""
+    return F.when(x == 0, float("-inf")).when(x < 0, float("nan")).otherwise(F.ln(x))
+
+
 def floor_mod(a: Column, b) -> Column:
     return F.pmod(a, F.lit(float(b)) if isinstance(b, (int, float)) else b)
 
@@ -39,7 +49,7 @@ def right_closed(x: Column, edges: list[float], lowest: bool = False) -> Column:
 
 def price_support(amount: Column, low: Column, high: Column) -> Column:
     a = F.greatest(amount, F.lit(0.01))
-    return F.exp(-8 * F.greatest(F.lit(0.0), F.ln(low / a), F.ln(a / high)))
+    return F.exp(-8 * F.greatest(F.lit(0.0), log(low / a), log(divided(a, high))))
 
 
 def softmax(score: Column, window) -> Column:

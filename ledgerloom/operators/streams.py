@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND, EPS, FAMILIES, GENERIC, MCC, PATTERNS, PERIODS, TEMPLATES
-from ..functions.numeric import cadence_error, circular, label
+from ..functions.numeric import cadence_error, circular, divided, label, log
 
 KEYS = ["client_id", "currency", "group_type", "comp"]
 
@@ -29,11 +29,13 @@ def amount_components(rows: DataFrame, eps: float = EPS, min_count: int = 3, by:
     Gaps and islands in the order of amount: the one-dimensional case of
     density clustering with two or three neighbours.  ``comp`` numbers the
     chains of a client and currency; chains under ``min_count`` rows go.
+    A zero has no finite logarithm: it is near no amount, nor another zero.
     """
     if min_count not in (2, 3):
         raise ValueError("chains of two or three payments")
     w = Window.partitionBy(*by).orderBy("amount", "tx_id")
-    start = F.when(F.ln("amount") - F.lag(F.ln("amount")).over(w) > eps, 1).otherwise(0)
+    value = log(F.col("amount"))
+    start = F.when(value - F.lag(value).over(w) > eps, 1).otherwise(0)
     marked = rows.withColumn("_start", start).withColumn("comp", F.sum("_start").over(w).cast("long"))
     sized = marked.withColumn("_n", F.count("*").over(Window.partitionBy(*by, "comp")))
     return sized.where(F.col("_n") >= min_count).drop("_start", "_n").withColumn("group_type", F.lit("amount"))
@@ -71,6 +73,7 @@ def stream_stats(members: DataFrame, windows: list[int], periods: list[float] =
     """One row per stream with its amount, time, text and cadence statistics.
 
     Gap statistics are null below two events.  Standard deviations divide by n.
+    Ratios to a zero amount are infinite, or NaN for 0 / 0.
     """
     key = Window.partitionBy(*KEYS)
     time = key.orderBy("t", "tx_id")
@@ -85,9 +88,9 @@ def stream_stats(members: DataFrame, windows: list[int], periods: list[float] =
     m = m.withColumn("_gmed", F.median("_gap").over(key))
     n, a, t, g = F.count("*"), F.col("amount"), F.col("t"), F.col("_gap")
     aggs = {
-        "count": n, "amount_mean": F.avg(a), "amount_std": F.stddev_pop(a), "amount_cv": F.stddev_pop(a) / F.avg(a),
+        "count": n, "amount_mean": F.avg(a), "amount_std": F.stddev_pop(a), "amount_cv": divided(F.stddev_pop(a), F.avg(a)),
         "amount_min": F.min(a), "amount_max": F.max(a), "amount_median": F.first("_amed"),
-        "amount_mad": F.median(F.abs(a - F.col("_amed"))) / F.first("_amed"),
+        "amount_mad": divided(F.median(F.abs(a - F.col("_amed"))), F.first("_amed")),
         "first_age": -F.min(t), "last_age": -F.max(t), "span": F.max(t) - F.min(t),
         "unique_description": distinct("txt"), "description_top_fraction": F.max("_share"), "description_entropy": F.avg(-F.ln("_share")),
         "unique_mcc": distinct("mcc"), "mcc_top_fraction": F.max("_mshare"),
@@ -96,7 +99,7 @@ def stream_stats(members: DataFrame, windows: list[int], periods: list[float] =
         "gap_median": F.first("_gmed"), "gap_mean": F.avg(g), "gap_std": F.stddev_pop(g), "gap_mad": F.median(F.abs(g - F.col("_gmed"))),
         "gap_min": F.min(g), "gap_max": F.max(g), "gap_cv": F.stddev_pop(g) / F.greatest(F.avg(g), F.lit(1e-6)),
         "gap_last": F.max_by(g, F.col("_i")), "gap_recent": F.median(F.when(F.col("_back") <= 3, g)), "_last": F.max(t),
-        "amount_change": F.max_by(a, F.col("_i")) / F.min_by(a, F.col("_i")) - 1,
+        "amount_change": divided(F.max_by(a, F.col("_i")), F.min_by(a, F.col("_i"))) - 1,
         "linear_period": F.regr_slope(t, F.col("_i")), "_intercept": F.regr_intercept(t, F.col("_i")),
         "linear_residual": F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(t, F.col("_i")) * (1 - F.regr_r2(t, F.col("_i"))) / n)),
     }
