@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..constants import BACKGROUND, FAMILIES, GENERIC, LABELS, MCC, NO_EVENT, PATTERNS
-from ..functions.numeric import business_day, day, next_month, right_closed
+from ..functions.numeric import business_day, day, divided, next_month, right_closed
 from ..functions.text import enriched
 from .streams import amount_components, card_out, distinct, without_background
 
@@ -158,7 +158,7 @@ def weak_labels(ledger: DataFrame, cutoff_day: float, horizon: float, min_prior:
     past = F.col("t") < cutoff_day
     pace = members.withColumn("gap", gap).groupBy(*keys).agg(
         F.count_if(past).alias("prior"), F.median(F.when(past, F.col("gap"))).alias("gm"),
-        (F.stddev_pop(F.when(past, F.col("gap"))) / F.avg(F.when(past, F.col("gap")))).alias("cv"),
+        divided(F.stddev_pop(F.when(past, F.col("gap"))), F.avg(F.when(past, F.col("gap")))).alias("cv"),
         F.min(F.when(~past & (F.col("t") < cutoff_day + horizon), F.col("t"))).alias("future"),
     ).where((F.col("prior") >= min_prior) & F.col("gm").between(min_gap, max_gap) & (F.col("cv") <= max_cv) & F.col("future").isNotNull())
     family = stream_stats(members, [], []).where("family_score > 0.25").select(*keys, "family")

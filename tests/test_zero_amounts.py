@@ -5,13 +5,15 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerloom.functions import numeric
-from ledgerloom.operators import streams
+from ledgerloom.operators import clients, streams
 from ledgerloom.oracles import ORACLE_SQL
 from ledgerloom.plans import features
 from ledgerloom.queries import QUERIES
+from ledgerloom.sources import ledger as src
 
 NAMES = [
     "amount_change",
+    "explanations",
 ]
 
 
@@ -73,3 +75,11 @@ def test_arithmetic_of_zeros(spark):
     assert got == ["inf", "nan", "-inf", "0.25", "None", "None"]
     assert [str(r[0]) for r in x.select(numeric.log(F.col("a") / 2)).collect()][:3] == ["0.0", "-inf", "nan"]
     assert x.limit(1).select(numeric.price_support(F.col("a"), F.lit(0.0), F.lit(0.0))).first()[0] == 0.0
+
+
+def test_payments_of_one_moment_have_no_cadence(spark):
+    rows = [("a", k, 5.0, "gym membership") for k in range(4)]
+    x = spark.createDataFrame(rows, "client_id string, tx_id long, amount double, description string").withColumns(
+        {"timestamp": F.when(F.col("tx_id") < 3, "2025-01-01").otherwise("2025-12-30").cast("timestamp"), "currency": F.lit("chf"), "type": F.lit("card_payment"), "direction": F.lit("out"), "mcc": F.lit("7997"), "fee": F.lit(0.0)}
+    )
+    assert [tuple(r) for r in clients.weak_labels(src.enrich(x), -30, 30, min_gap=0).collect()] == [("a", "none")]
