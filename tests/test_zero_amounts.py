@@ -14,6 +14,7 @@ from ledgerloom.sources import ledger as src
 NAMES = [
     "amount_change",
     "explanations",
+    "error_cohorts",
 ]
 
 
