@@ -15,6 +15,7 @@ NAMES = [
     "amount_change",
     "explanations",
     "error_cohorts",
+    "feature_matrix",
 ]
 
 
