@@ -16,6 +16,7 @@ NAMES = [
     "explanations",
     "error_cohorts",
     "feature_matrix",
+    "matrix_activity",
 ]
 
 
