@@ -17,6 +17,7 @@ NAMES = [
     "error_cohorts",
     "feature_matrix",
     "matrix_activity",
+    "matrix_amount1",
 ]
 
 
