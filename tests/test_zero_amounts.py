@@ -18,6 +18,7 @@ NAMES = [
     "feature_matrix",
     "matrix_activity",
     "matrix_amount1",
+    "matrix_amount0",
 ]
 
 
