@@ -19,6 +19,7 @@ NAMES = [
     "matrix_activity",
     "matrix_amount1",
     "matrix_amount0",
+    "matrix_broad0",
 ]
 
 
