@@ -20,6 +20,7 @@ NAMES = [
     "matrix_amount1",
     "matrix_amount0",
     "matrix_broad0",
+    "matrix_broad1",
 ]
 
 
