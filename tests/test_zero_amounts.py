@@ -21,6 +21,7 @@ NAMES = [
     "matrix_amount0",
     "matrix_broad0",
     "matrix_broad1",
+    "matrix_competition",
 ]
 
 
