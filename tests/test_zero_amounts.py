@@ -22,6 +22,7 @@ NAMES = [
     "matrix_broad0",
     "matrix_broad1",
     "matrix_competition",
+    "matrix_context",
 ]
 
 
