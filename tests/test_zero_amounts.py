@@ -23,6 +23,7 @@ NAMES = [
     "matrix_broad1",
     "matrix_competition",
     "matrix_context",
+    "matrix_globals",
 ]
 
 
