@@ -24,6 +24,7 @@ NAMES = [
     "matrix_competition",
     "matrix_context",
     "matrix_globals",
+    "matrix_ranks",
 ]
 
 
