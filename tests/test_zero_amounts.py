@@ -25,6 +25,7 @@ NAMES = [
     "matrix_context",
     "matrix_globals",
     "matrix_ranks",
+    "matrix_templates",
 ]
 
 
