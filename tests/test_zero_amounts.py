@@ -26,6 +26,7 @@ NAMES = [
     "matrix_globals",
     "matrix_ranks",
     "matrix_templates",
+    "ranking_competition",
 ]
 
 
