@@ -27,6 +27,7 @@ NAMES = [
     "matrix_ranks",
     "matrix_templates",
     "ranking_competition",
+    "ranking_matrix",
 ]
 
 
