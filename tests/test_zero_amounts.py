@@ -28,6 +28,7 @@ NAMES = [
     "matrix_templates",
     "ranking_competition",
     "ranking_matrix",
+    "ablation_columns",
 ]
 
 
