@@ -29,6 +29,7 @@ NAMES = [
     "ranking_competition",
     "ranking_matrix",
     "ablation_columns",
+    "amount_components",
 ]
 
 
