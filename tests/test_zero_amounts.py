@@ -30,6 +30,7 @@ NAMES = [
     "ranking_matrix",
     "ablation_columns",
     "amount_components",
+    "amount_pairs",
 ]
 
 
