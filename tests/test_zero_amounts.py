@@ -31,6 +31,7 @@ NAMES = [
     "ablation_columns",
     "amount_components",
     "amount_pairs",
+    "cadence_audit",
 ]
 
 
