@@ -32,6 +32,7 @@ NAMES = [
     "amount_components",
     "amount_pairs",
     "cadence_audit",
+    "cadence_error",
 ]
 
 
