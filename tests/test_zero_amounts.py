@@ -33,6 +33,7 @@ NAMES = [
     "amount_pairs",
     "cadence_audit",
     "cadence_error",
+    "calibration_bins",
 ]
 
 
