@@ -34,6 +34,7 @@ NAMES = [
     "cadence_audit",
     "cadence_error",
     "calibration_bins",
+    "clock_selection",
 ]
 
 
