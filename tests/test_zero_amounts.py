@@ -35,6 +35,7 @@ NAMES = [
     "cadence_error",
     "calibration_bins",
     "clock_selection",
+    "edge_values",
 ]
 
 
