@@ -36,6 +36,7 @@ NAMES = [
     "calibration_bins",
     "clock_selection",
     "edge_values",
+    "error_kinds",
 ]
 
 
