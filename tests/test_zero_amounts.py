@@ -37,6 +37,7 @@ NAMES = [
     "clock_selection",
     "edge_values",
     "error_kinds",
+    "family_ranks",
 ]
 
 
