@@ -38,6 +38,7 @@ NAMES = [
     "edge_values",
     "error_kinds",
     "family_ranks",
+    "flagship_minimum_next",
 ]
 
 
