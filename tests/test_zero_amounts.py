@@ -39,6 +39,7 @@ NAMES = [
     "error_kinds",
     "family_ranks",
     "flagship_minimum_next",
+    "forensic_clusters",
 ]
 
 
