@@ -40,6 +40,7 @@ NAMES = [
     "family_ranks",
     "flagship_minimum_next",
     "forensic_clusters",
+    "forensic_intervals",
 ]
 
 
