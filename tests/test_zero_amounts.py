@@ -41,6 +41,7 @@ NAMES = [
     "flagship_minimum_next",
     "forensic_clusters",
     "forensic_intervals",
+    "forensic_report",
 ]
 
 
