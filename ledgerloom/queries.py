@@ -38,10 +38,13 @@ def tab(spark: SparkSession, d: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{d}/{name}.parquet")
 
 
-def out(df: DataFrame, *columns: str) -> DataFrame:
-    """The columns, counts as long and doubles to six places."""
+def out(df: DataFrame, *columns: str, rounded: bool = True) -> DataFrame:
+    """The columns, counts as long and doubles to six places, or as they are.
+
+    Spark rounds the decimal text of a double: one just below a five that prints as the five goes up.
+    """
     kinds = dict(df.dtypes)
-    shown = {"double": "round(`{c}`, 6) + 0.0D AS `{c}`", "float": "round(`{c}`, 6) + 0.0D AS `{c}`"}
+    shown = dict.fromkeys(("double", "float"), "round(`{c}`, 6) + 0.0D AS `{c}`" if rounded else "`{c}` + 0.0D AS `{c}`")
     shown |= {k: "CAST(`{c}` AS BIGINT) AS `{c}`" for k in ("int", "bigint", "smallint", "tinyint")}
     return df.selectExpr(*[shown.get(kinds[c], "`{c}`").format(c=c) for c in (columns or df.columns)])
 
@@ -880,7 +883,7 @@ def _matrix(name, columns):
     def run(spark, d):
         x = matrix(spark, d)
         x = x.withColumns({c: F.round(c, 4) for c in x.columns if c.endswith("linear_residual")})
-        return out(x, "client_id", "family", *columns)
+        return out(x, "client_id", "family", *columns, rounded=False)
 
     QUERIES[f"matrix_{name}"] = run
 
