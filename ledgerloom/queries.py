@@ -908,7 +908,7 @@ RANKING = [f"{s}_{c}" for s in features.SLOTS for c in features.COMPARED] + [f"o
 def ranking_matrix(spark, d):
     x = features.ranking_features(led(spark, d), TEST_WINDOWS, families.price_profiles(led(spark, d)))
     clocks = [f"{s}_{c}" for s in features.SLOTS for c in ("clock_period", "clock_next", "clock_strength", "clock_active", "next_modulo")]
-    return out(x, "client_id", "family", *clocks, *[f"global_none_{c}" for c in TEMPLATE_STATS])
+    return out(x, "client_id", "family", *clocks, *[f"global_none_{c}" for c in TEMPLATE_STATS], rounded=False)
 
 
 @query
