@@ -346,7 +346,7 @@ def weak_labels(spark, d):
 
 @query
 def cadence_audit(spark, d):
-    return out(clients.cadence_audit(led(spark, d), TEST_CUTOFF, min_events=5, gaps=(0.1, 35), max_cv=9.0))
+    return out(clients.cadence_audit(led(spark, d), TEST_CUTOFF, min_events=5, gaps=(0.1, 35), max_cv=9.0), rounded=False)
 
 
 def _halves(spark, d):

@@ -12,6 +12,7 @@ from ledgerloom.queries import QUERIES
 
 NAMES = [
     "ranking_matrix",
+    "cadence_audit",
 ]
 
 
