@@ -187,7 +187,7 @@ def stream_ols(spark, d):
 
 @query
 def cadence_error(spark, d):
-    return out(found(spark, d, PERIODS), *KEY, *[f"period_error_{numeric.label(p)}" for p in PERIODS])
+    return out(found(spark, d, PERIODS), *KEY, *[f"period_error_{numeric.label(p)}" for p in PERIODS], rounded=False)
 
 
 @query

@@ -13,6 +13,7 @@ from ledgerloom.queries import QUERIES
 NAMES = [
     "ranking_matrix",
     "cadence_audit",
+    "cadence_error",
 ]
 
 
