@@ -292,7 +292,7 @@ def compact_activity(spark, d):
 def clock_selection(spark, d):
     x = family_matrix(spark, d, PERIODS)
     made = {k: v for s in features.SLOTS for k, v in families.clock(x, s).items()}
-    return out(x.select("client_id", "family", *[v.alias(k) for k, v in made.items()]))
+    return out(x.select("client_id", "family", *[v.alias(k) for k, v in made.items()]), rounded=False)
 
 
 def slots(spark, d):

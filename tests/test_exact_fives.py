@@ -14,6 +14,7 @@ NAMES = [
     "ranking_matrix",
     "cadence_audit",
     "cadence_error",
+    "clock_selection",
 ]
 
 
