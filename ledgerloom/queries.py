@@ -852,7 +852,7 @@ def tabular_wide(spark, d):
 @query
 def edge_values(spark, d):
     x = features.at_edge(family_matrix(spark, d)).select("client_id", "family", "amount0_count", "broad0_gap_median")
-    return out(x.withColumn("broad0_gap_known", F.nullif("broad0_gap_median", F.lit(-999.0))))
+    return out(x.withColumn("broad0_gap_known", F.nullif("broad0_gap_median", F.lit(-999.0))), rounded=False)
 
 
 @query

@@ -15,6 +15,7 @@ NAMES = [
     "cadence_audit",
     "cadence_error",
     "clock_selection",
+    "edge_values",
 ]
 
 
