@@ -252,7 +252,7 @@ def family_matrix(spark, d, periods=()):
 @query
 def family_ranks(spark, d):
     x = families.ranks(family_matrix(spark, d).where("family <> 'none'"), ["amount0_next_median", "amount0_count", "broad0_count"])
-    return out(x, "client_id", "family", *[f"{c}_{k}" for c in ("amount0_next_median", "amount0_count", "broad0_count") for k in ("rank", "vs_best")])
+    return out(x, "client_id", "family", *[f"{c}_{k}" for c in ("amount0_next_median", "amount0_count", "broad0_count") for k in ("rank", "vs_best")], rounded=False)
 
 
 @query

@@ -16,6 +16,7 @@ NAMES = [
     "cadence_error",
     "clock_selection",
     "edge_values",
+    "family_ranks",
 ]
 
 
