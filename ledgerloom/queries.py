@@ -961,7 +961,7 @@ def clusters(spark, d):
 
 @query
 def forensic_clusters(spark, d):
-    return out(clusters(spark, d), *KEY[:2], "comp", "target", "descriptions", "mcc_mode", "family", "matches_target", *reports.COMPARED)
+    return out(clusters(spark, d), *KEY[:2], "comp", "target", "descriptions", "mcc_mode", "family", "matches_target", *reports.COMPARED, rounded=False)
 
 
 @query
