@@ -914,7 +914,7 @@ def ranking_matrix(spark, d):
 @query
 def ranking_competition(spark, d):
     x = features.ranking_features(led(spark, d), TEST_WINDOWS, families.price_profiles(led(spark, d)))
-    return out(x, "client_id", "family", *[f"{c}_competition_{k}" for c in RANKING for k in ("min", "max", "mean", "rank", "delta")])
+    return out(x, "client_id", "family", *[f"{c}_competition_{k}" for c in RANKING for k in ("min", "max", "mean", "rank", "delta")], rounded=False)
 
 
 @query
