@@ -18,10 +18,14 @@ VOCABULARY = {
 
 
 def client_globals(ledger: DataFrame, windows: list[int], vocabulary: dict[str, list[str]] = VOCABULARY) -> DataFrame:
-    """Counts and moments per client; category columns come from a fixed vocabulary."""
+    """Counts and moments per client; category columns come from a fixed vocabulary.
+
+    A mean adds its amounts in the order of ``tx_id``: its last bits depend on no partition.
+    """
     age = -F.col("t")
-    return ledger.groupBy("client_id").agg(
-        F.count("*").alias("total_count"), F.avg("amount").alias("amount_mean"), F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("amount_std"),
+    in_order = Window.partitionBy("client_id").orderBy("tx_id").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    return ledger.withColumn("_mean", F.avg("amount").over(in_order)).groupBy("client_id").agg(
+        F.count("*").alias("total_count"), F.first("_mean").alias("amount_mean"), F.coalesce(F.stddev_samp("amount"), F.lit(0.0)).alias("amount_std"),
         F.max(age).alias("first_age"), F.min(age).alias("last_age"),
         *[F.count_if(F.col(c) == v).alias(f"{c}_{v}") for c, vs in vocabulary.items() for v in vs],
         *[F.count_if(age <= w).alias(f"count_{w}") for w in windows],
