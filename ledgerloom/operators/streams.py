@@ -30,10 +30,11 @@ def amount_components(rows: DataFrame, eps: float = EPS, min_count: int = 3, by:
     density clustering with two or three neighbours.  ``comp`` numbers the
     chains of a client and currency; chains under ``min_count`` rows go.
     A zero has no finite logarithm: it is near no amount, nor another zero.
+    Rows without an amount come last and begin no chain, as in the SQL.
     """
     if min_count not in (2, 3):
         raise ValueError("chains of two or three payments")
-    w = Window.partitionBy(*by).orderBy("amount", "tx_id")
+    w = Window.partitionBy(*by).orderBy(F.asc_nulls_last("amount"), "tx_id")
     value = log(F.col("amount"))
     start = F.when(value - F.lag(value).over(w) > eps, 1).otherwise(0)
     marked = rows.withColumn("_start", start).withColumn("comp", F.sum("_start").over(w).cast("long"))
