@@ -10,6 +10,7 @@ from ledgerloom.queries import QUERIES
 
 NAMES = [
     "amount_components",
+    "error_cohorts",
 ]
 
 
