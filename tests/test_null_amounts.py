@@ -11,6 +11,7 @@ from ledgerloom.queries import QUERIES
 NAMES = [
     "amount_components",
     "error_cohorts",
+    "matrix_activity",
 ]
 
 
