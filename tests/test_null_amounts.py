@@ -12,6 +12,7 @@ NAMES = [
     "amount_components",
     "error_cohorts",
     "matrix_activity",
+    "matrix_amount1",
 ]
 
 
