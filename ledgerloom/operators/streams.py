@@ -88,6 +88,7 @@ def stream_stats(members: DataFrame, windows: list[int], periods: list[float] =
     )
     m = m.withColumn("_gmed", F.median("_gap").over(key))
     n, a, t, g = F.count("*"), F.col("amount"), F.col("t"), F.col("_gap")
+    known = F.when(a.isNotNull(), F.col("_i"))
     aggs = {
         "count": n, "amount_mean": F.avg(a), "amount_std": F.stddev_pop(a), "amount_cv": divided(F.stddev_pop(a), F.avg(a)),
         "amount_min": F.min(a), "amount_max": F.max(a), "amount_median": F.first("_amed"),
@@ -100,7 +101,7 @@ def stream_stats(members: DataFrame, windows: list[int], periods: list[float] =
         "gap_median": F.first("_gmed"), "gap_mean": F.avg(g), "gap_std": F.stddev_pop(g), "gap_mad": F.median(F.abs(g - F.col("_gmed"))),
         "gap_min": F.min(g), "gap_max": F.max(g), "gap_cv": F.stddev_pop(g) / F.greatest(F.avg(g), F.lit(1e-6)),
         "gap_last": F.max_by(g, F.col("_i")), "gap_recent": F.median(F.when(F.col("_back") <= 3, g)), "_last": F.max(t),
-        "amount_change": divided(F.max_by(a, F.col("_i")), F.min_by(a, F.col("_i"))) - 1,
+        "amount_change": divided(F.max_by(a, known), F.min_by(a, known)) - 1,
         "linear_period": F.regr_slope(t, F.col("_i")), "_intercept": F.regr_intercept(t, F.col("_i")),
         "linear_residual": F.sqrt(F.greatest(F.lit(0.0), F.regr_syy(t, F.col("_i")) * (1 - F.regr_r2(t, F.col("_i"))) / n)),
     }

@@ -13,6 +13,7 @@ NAMES = [
     "error_cohorts",
     "matrix_activity",
     "matrix_amount1",
+    "matrix_amount0",
 ]
 
 
