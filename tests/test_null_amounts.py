@@ -15,6 +15,7 @@ NAMES = [
     "matrix_amount1",
     "matrix_amount0",
     "matrix_competition",
+    "matrix_context",
 ]
 
 
