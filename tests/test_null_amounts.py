@@ -16,6 +16,7 @@ NAMES = [
     "matrix_amount0",
     "matrix_competition",
     "matrix_context",
+    "matrix_ranks",
 ]
 
 
