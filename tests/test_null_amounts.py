@@ -17,6 +17,7 @@ NAMES = [
     "matrix_competition",
     "matrix_context",
     "matrix_ranks",
+    "matrix_templates",
 ]
 
 
