@@ -18,6 +18,7 @@ NAMES = [
     "matrix_context",
     "matrix_ranks",
     "matrix_templates",
+    "ablation_columns",
 ]
 
 
