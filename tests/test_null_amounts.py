@@ -19,6 +19,7 @@ NAMES = [
     "matrix_ranks",
     "matrix_templates",
     "ablation_columns",
+    "amount_pairs",
 ]
 
 
