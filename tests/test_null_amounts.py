@@ -20,6 +20,7 @@ NAMES = [
     "matrix_templates",
     "ablation_columns",
     "amount_pairs",
+    "error_kinds",
 ]
 
 
