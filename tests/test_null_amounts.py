@@ -23,6 +23,7 @@ NAMES = [
     "error_kinds",
     "flagship_minimum_next",
     "forensic_intervals",
+    "forensic_report",
 ]
 
 
